@@ -1,7 +1,8 @@
 """Quality classifier with supervised subword embeddings.
 
-A document is the mean of the hashed vectors of its words and of the three- to five-byte
-pieces of its words (white space marks a word's edge). A softmax layer turns the mean into
+A document is the mean of the hashed vectors of its words, of the three- to five-byte
+pieces of its words (white space marks a word's edge), and of a word pair for each word
+that repeats the one before it. A softmax layer turns the mean into
 class probabilities; vectors and layer are learned together by plain stochastic gradient
 descent in numpy on a bounded sample of labelled rows.
 
@@ -27,6 +28,8 @@ from pyspark.sql import types as T
 from lectern.llm import kernels
 
 BUCKETS = 1 << 18
+#: The bucket of a word that repeats the one before it.
+REPEATED = BUCKETS - 1
 DIMENSIONS = 8
 PIECES = (3, 4, 5)
 THRESHOLD = 0.3
@@ -46,7 +49,11 @@ def _features(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray
     """Kinds of features one after another: their buckets and the text that owns each."""
     n = len(offsets) - 1
     words, before = kernels.word_hashes(raw, offsets, lower=False)
-    yield (words >> np.uint64(64 - 18)).astype(np.int64), np.repeat(np.arange(n), np.diff(before))
+    owner = np.repeat(np.arange(n), np.diff(before))
+    yield (words >> np.uint64(64 - 18)).astype(np.int64), owner
+    # the word pair of a word and itself is one feature, whatever the word
+    again = np.flatnonzero((words[1:] == words[:-1]) & (owner[1:] == owner[:-1])) if len(words) else np.zeros(0, np.int64)
+    yield np.full(len(again), REPEATED), owner[again]
     # a blank before, between and after the texts
     owner = np.repeat(np.arange(n), np.diff(offsets) + 1)
     spread = np.full(len(raw) + n + 1, 32, dtype=np.uint8)
