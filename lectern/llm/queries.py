@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import curriculum_mix, oph_fingerprint, subword_quality
+from lectern.llm import bitplane_store, curriculum_mix, gga_packing, oph_fingerprint, subword_quality, token_ids
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_gga_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gga_packing.pack_documents(_table(spark, sf_dir, "documents"), token_ids.vocabulary_path("byte_bpe_50k.json"))
+
+
 def op4_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = subword_quality.classify(documents, _table(spark, sf_dir, "labels"))
@@ -23,11 +27,16 @@ def op5_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
+def op7_bitplane_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = bitplane_store.write(_table(spark, sf_dir, "documents"), token_ids.vocabulary_path("word_bpe_49k.json"), end_id=2)
+    return bitplane_store.read(spark, folder)
+
+
 def op8_oph_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return oph_fingerprint.fingerprints(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_subword_quality, op5_curriculum_mix, op8_oph_fingerprint)}
+QUERIES = {f.__name__: f for f in (op3_gga_packing, op4_subword_quality, op5_curriculum_mix, op7_bitplane_store, op8_oph_fingerprint)}
 
 ORACLE_SQL = {
     "op5_curriculum_mix": r"""
