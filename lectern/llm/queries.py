@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bitplane_store, curriculum_mix, gga_packing, oph_fingerprint, subword_quality, token_ids
+from lectern.llm import bitplane_store, bottomk_dedup, curriculum_mix, gga_packing, oph_fingerprint, subword_quality, token_ids
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op5_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
+def op6_bottomk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bottomk_dedup.near_duplicates(_table(spark, sf_dir, "documents"), width=4)
+
+
 def op7_bitplane_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = bitplane_store.write(_table(spark, sf_dir, "documents"), token_ids.vocabulary_path("word_bpe_49k.json"), end_id=2)
     return bitplane_store.read(spark, folder)
@@ -36,7 +40,7 @@ def op8_oph_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return oph_fingerprint.fingerprints(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_gga_packing, op4_subword_quality, op5_curriculum_mix, op7_bitplane_store, op8_oph_fingerprint)}
+QUERIES = {f.__name__: f for f in (op3_gga_packing, op4_subword_quality, op5_curriculum_mix, op6_bottomk_dedup, op7_bitplane_store, op8_oph_fingerprint)}
 
 ORACLE_SQL = {
     "op5_curriculum_mix": r"""
