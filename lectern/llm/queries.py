@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bitplane_store, bottomk_dedup, curriculum_mix, gga_packing, oph_fingerprint, subword_quality, token_ids
+from lectern.llm import bitplane_store, bottomk_dedup, curriculum_mix, egrid_join, gga_packing, oph_fingerprint, subword_quality, token_ids
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_egrid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return egrid_join.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_gga_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gga_packing.pack_documents(_table(spark, sf_dir, "documents"), token_ids.vocabulary_path("byte_bpe_50k.json"))
 
@@ -40,7 +44,7 @@ def op8_oph_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return oph_fingerprint.fingerprints(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_gga_packing, op4_subword_quality, op5_curriculum_mix, op6_bottomk_dedup, op7_bitplane_store, op8_oph_fingerprint)}
+QUERIES = {f.__name__: f for f in (op2_egrid_join, op3_gga_packing, op4_subword_quality, op5_curriculum_mix, op6_bottomk_dedup, op7_bitplane_store, op8_oph_fingerprint)}
 
 ORACLE_SQL = {
     "op5_curriculum_mix": r"""
