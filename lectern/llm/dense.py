@@ -28,7 +28,7 @@ def counts(frame: DataFrame, slots: Callable[[pa.RecordBatch], np.ndarray], bits
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.zeros(total, np.uint32)
         for batch in batches:
-            own += np.bincount(slots(batch), minlength=total).astype(np.uint32)
+            np.add.at(own, slots(batch), np.uint32(1))
         for k in range(0, total, step):
             part = own[k : k + step]
             if part.any():

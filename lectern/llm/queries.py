@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bitplane_store, bottomk_dedup, curriculum_mix, egrid_join, gga_packing, oph_fingerprint, subword_quality, token_ids
+from lectern.llm import bitplane_store, bottomk_dedup, cross_entropy, curriculum_mix, egrid_join, gga_packing, license_rules, oph_fingerprint, subword_quality, token_ids
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,7 +44,17 @@ def op8_oph_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return oph_fingerprint.fingerprints(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_egrid_join, op3_gga_packing, op4_subword_quality, op5_curriculum_mix, op6_bottomk_dedup, op7_bitplane_store, op8_oph_fingerprint)}
+def op9_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_rules.scan(_table(spark, sf_dir, "documents"))
+
+
+def op10_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: the documents labelled good, without the held-out ones."""
+    labels = _table(spark, sf_dir, "labels")
+    return cross_entropy.score(_table(spark, sf_dir, "documents"), labels.where((F.col("quality") == 1) & ~subword_quality.held_out(F.col("doc_id"))))
+
+
+QUERIES = {f.__name__: f for f in (op2_egrid_join, op3_gga_packing, op4_subword_quality, op5_curriculum_mix, op6_bottomk_dedup, op7_bitplane_store, op8_oph_fingerprint, op9_license_rules, op10_cross_entropy)}
 
 ORACLE_SQL = {
     "op5_curriculum_mix": r"""
