@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bitplane_store, bottomk_dedup, cross_entropy, curriculum_mix, egrid_join, gga_packing, license_rules, oph_fingerprint, subword_quality, token_ids
+from lectern.llm import bitplane_store, bottomk_dedup, cross_entropy, curriculum_mix, egrid_join, gga_packing, html_crf, license_rules, oph_fingerprint, subword_quality, token_ids
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.extract(_table(spark, sf_dir, "pages"))
+
+
 def op2_egrid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return egrid_join.near_vectors(_table(spark, sf_dir, "embeddings"))
 
@@ -54,7 +58,7 @@ def op10_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_entropy.score(_table(spark, sf_dir, "documents"), labels.where((F.col("quality") == 1) & ~subword_quality.held_out(F.col("doc_id"))))
 
 
-QUERIES = {f.__name__: f for f in (op2_egrid_join, op3_gga_packing, op4_subword_quality, op5_curriculum_mix, op6_bottomk_dedup, op7_bitplane_store, op8_oph_fingerprint, op9_license_rules, op10_cross_entropy)}
+QUERIES = {f.__name__: f for f in (op1_html_crf, op2_egrid_join, op3_gga_packing, op4_subword_quality, op5_curriculum_mix, op6_bottomk_dedup, op7_bitplane_store, op8_oph_fingerprint, op9_license_rules, op10_cross_entropy)}
 
 ORACLE_SQL = {
     "op5_curriculum_mix": r"""
