@@ -1,4 +1,10 @@
-"""Registered queries of the engine's own operators."""
+"""All registered queries of the engine's own operators, with their SQL where SQL can express them."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from lectern.plans import search
+
+_FAMILIES = (search,)
+
+QUERIES = {name: query for family in _FAMILIES for name, query in family.QUERIES.items()}
+ORACLE_SQL = {name: sql for family in _FAMILIES for name, sql in family.ORACLE_SQL.items()}
