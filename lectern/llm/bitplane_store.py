@@ -180,7 +180,7 @@ def write(documents: DataFrame, vocabulary: str, end_id: int, bits: bool = False
             writer.close()
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = rows.repartitionByRange(ordering.partitions(documents), F.col("doc_id").asc_nulls_first(), "text").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    rows = rows.repartitionByRange(ordering.partitions(documents), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     rows.mapInArrow(run, CATALOGUE).write.parquet(f"{folder}/catalogue")
     return folder
 

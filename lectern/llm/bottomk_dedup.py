@@ -90,7 +90,6 @@ def least_common(size: int, threshold: int = THRESHOLD) -> int:
 def postings(sketches: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Entries (value, rep, n) of the inverted lists of each document's rarest retained values."""
     table = dense.counts(sketches.select("sketch"), lambda batch: _slots(_list_parts(batch.column(0))[0]), BITS)
-    table = np.minimum(table, (1 << 32) - 1).astype(np.uint32)
     shared_counts = sketches.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,15 +142,19 @@ def _estimated(pairs: DataFrame, sketches: DataFrame, threshold: int) -> DataFra
     return joined.mapInArrow(run, "a long, b long")
 
 
+def _marks(ids: DataFrame) -> np.ndarray:
+    """A bit for each slot of a table of fixed size that an id (column ``rep``) falls into."""
+    hashed = ids.select(F.pmod(F.xxhash64("rep"), F.lit(1 << BITS)).alias("slot"))
+    return np.packbits(dense.counts(hashed, lambda batch: np.asarray(batch.column(0)), BITS) > 0)
+
+
 def whole_sets(documents: DataFrame, wanted: DataFrame, width: int, lower: bool = True) -> DataFrame:
     """The whole sets (rep, values) of the documents in ``wanted``, from one pass over the texts.
 
     A table of fixed size tells most other documents apart before their texts are read;
     a join then leaves exactly the wanted ones.
     """
-    hashed = wanted.select(F.pmod(F.xxhash64("rep"), F.lit(1 << BITS)).alias("slot"))
-    marks = dense.counts(hashed, lambda batch: np.asarray(batch.column(0)), BITS) > 0
-    shared_marks = documents.sparkSession.sparkContext.broadcast(np.packbits(marks))
+    shared_marks = documents.sparkSession.sparkContext.broadcast(_marks(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in kernels.blocks(_marked(batches, np.unpackbits(shared_marks.value).astype(bool)), "text"):
@@ -163,6 +166,18 @@ def whole_sets(documents: DataFrame, wanted: DataFrame, width: int, lower: bool
     return sets.join(wanted.select("rep", F.col("signature").alias("_signature")), "rep").mapInArrow(_right_row, "rep long, values binary")
 
 
+def _among(sketches: DataFrame, ids: DataFrame) -> DataFrame:
+    """The sketches of the ids and few others, found without moving a sketch."""
+    shared_marks = sketches.sparkSession.sparkContext.broadcast(_marks(ids))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _marked(batches, np.unpackbits(shared_marks.value).astype(bool)):
+            yield batch.select(["rep", "n", "signature", "sketch"])
+
+    slot = F.pmod(F.xxhash64("rep"), F.lit(1 << BITS)).alias("slot")
+    return sketches.select("rep", "n", "signature", "sketch", slot).mapInArrow(run, "rep long, n long, signature binary, sketch array<int>")
+
+
 def _marked(batches: Iterator[pa.RecordBatch], marks: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield batch.filter(pa.array(marks[np.asarray(batch.column(batch.schema.get_field_index("slot")))]))
@@ -196,6 +211,12 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "va", "vb").mapInArrow(run, "a long, b long")
 
 
+def _ends(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The documents (rep, signature) of the pairs."""
+    ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+    return sketches.select("rep", "signature").join(ids, "rep")
+
+
 def _fitting(pairs_na: str, pairs_nb: str, threshold: int):
     """Set sizes that allow a similarity at the threshold."""
     return F.least(pairs_na, pairs_nb) * 100 >= F.greatest(pairs_na, pairs_nb) * threshold
@@ -261,12 +282,14 @@ def near_duplicates(documents: DataFrame, width: int = 5, lower: bool = True, th
     entries = postings(reps, threshold)
     lists = entries.groupBy("value").agg(F.count("*").alias("length"), F.min(F.struct("rep", "n")).alias("pivot")).where("length > 1")
     entries, entries_path = shared.at_path(entries.join(lists, "value").select("value", "rep", "n", "length", F.col("pivot.rep").alias("pivot"), F.col("pivot.n").alias("pivot_n")), "lists")
-    wanted = entries.select("rep").distinct()
-    listed, listed_path = shared.at_path(reps.join(wanted, "rep"), "listed")
-    sets, sets_path = shared.at_path(whole_sets(documents, listed, width, lower), "sets")
+    listed, listed_path = shared.at_path(_among(reps, entries.select("rep").distinct()), "listed")
     # step 3: each list's least document against the others
     stars = entries.where((F.col("rep") != F.col("pivot")) & _fitting("n", "pivot_n", threshold)).select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    links, links_path = shared.at_path(_confirmed(_estimated(stars, listed, threshold), sets, threshold), "links")
+    stars, stars_path = shared.at_path(_estimated(stars, listed, threshold), "pairs")
+    sets, sets_path = shared.at_path(whole_sets(documents, _ends(stars, listed), width, lower), "sets")
+    links, links_path = shared.at_path(_confirmed(stars, sets, threshold), "links")
+    for path in (stars_path, sets_path):
+        shared.remove(spark, path)
     roots = graph.components(links)
     # step 4: what no link joins
     rooted = entries.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("value", "rep", "n", "length", F.coalesce("root", "rep").alias("root"))
@@ -276,16 +299,19 @@ def near_duplicates(documents: DataFrame, width: int = 5, lower: bool = True, th
     left = cold.select("value", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
     right = cold.select("value", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
     pairs = left.join(right, "value").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _fitting("na", "nb", threshold)).select("a", "b").distinct()
-    cold_links = _confirmed(_estimated(pairs, listed, threshold), sets, threshold)
+    pairs, pairs_path = shared.at_path(_estimated(pairs, listed, threshold), "pairs")
     hot = rooted.where(F.col("length") > COLD)
     families = graph.components(hot.select("rep", (-2 - F.col("value").cast("long") - F.lit(1 << 32)).alias("list")), "rep", "list")
     in_family = hot.select("rep", "n", "root").distinct().join(families.select(F.col("node").alias("rep"), F.col("root").alias("family")), "rep")
+    wanted = _ends(pairs, listed).unionByName(listed.select("rep", "signature").join(in_family.select("rep"), "rep", "left_semi")).distinct()
+    sets, sets_path = shared.at_path(whole_sets(documents, wanted, width, lower), "sets")
+    cold_links = _confirmed(pairs, sets, threshold)
     more, more_path = shared.at_path(cold_links.unionByName(_tiles(in_family, sets, threshold)), "links")
     merged = graph.components(more.unionByName(links))
     found = usable.select("doc_id", "signature", "n_shingles").join(reps.select("signature", "rep"), "signature").join(merged.withColumnRenamed("node", "rep"), "rep", "left")
     found = found.select("doc_id", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
     bare = sketched.where((F.col("n_shingles") == 0) | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    for path in (entries_path, listed_path, sets_path, links_path, rooted_path, more_path):
+    for path in (entries_path, listed_path, sets_path, links_path, rooted_path, pairs_path, more_path):
         shared.remove(spark, path)
     return found.unionByName(bare).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 

@@ -77,7 +77,7 @@ def train(flagged: DataFrame) -> np.ndarray:
             out.extend(_places(word[wanted], past[wanted], pair[wanted], 1))
         return np.concatenate(out) if out else np.zeros(0, np.int64)
 
-    return np.minimum(dense.counts(flagged.select("text", "wanted"), slots, PAIR_BITS, tables=3), (1 << 32) - 1).astype(np.uint32)
+    return dense.counts(flagged.select("text", "wanted"), slots, PAIR_BITS, tables=3)
 
 
 def _own(owner: np.ndarray, slot: np.ndarray, bits: int) -> np.ndarray:

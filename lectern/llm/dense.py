@@ -18,7 +18,7 @@ SEGMENT_BITS = 16
 
 
 def counts(frame: DataFrame, slots: Callable[[pa.RecordBatch], np.ndarray], bits: int, tables: int = 1) -> np.ndarray:
-    """How often each slot occurs, int64 of ``tables * 2 ** bits``.
+    """How often each slot occurs, ``tables * 2 ** bits`` unsigned numbers of 32 bits, at most the greatest.
 
     ``slots`` gives the slots of a batch; slots of a further table are counted on from the last.
     """
@@ -38,10 +38,10 @@ def counts(frame: DataFrame, slots: Callable[[pa.RecordBatch], np.ndarray], bits
         out = np.zeros(step, np.int64)
         for data in table.column("data"):
             out += np.frombuffer(zlib.decompress(data.as_py()), np.uint32)
-        return pa.table({"segment": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([out.tobytes()], pa.binary())})
+        return pa.table({"segment": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([np.minimum(out, (1 << 32) - 1).astype(np.uint32).tobytes()], pa.binary())})
 
     parts = frame.mapInArrow(add, "segment int, data binary").groupBy("segment").applyInArrow(merge, "segment int, data binary")
-    out = np.zeros(total, np.int64)
+    out = np.zeros(total, np.uint32)
     for row in parts.toLocalIterator():
-        out[row.segment * step : (row.segment + 1) * step] = np.frombuffer(row.data, np.int64)
+        out[row.segment * step : (row.segment + 1) * step] = np.frombuffer(row.data, np.uint32)
     return out
