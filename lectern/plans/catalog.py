@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lectern.plans import search
+from lectern.plans import records, search
 
-_FAMILIES = (search,)
+_FAMILIES = (search, records)
 
 QUERIES = {name: query for family in _FAMILIES for name, query in family.QUERIES.items()}
 ORACLE_SQL = {name: sql for family in _FAMILIES for name, sql in family.ORACLE_SQL.items()}
