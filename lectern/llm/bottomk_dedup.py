@@ -89,7 +89,7 @@ def least_common(size: int, threshold: int = THRESHOLD) -> int:
 
 def postings(sketches: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Entries (value, rep, n) of the inverted lists of each document's rarest retained values."""
-    table = dense.counts(sketches.select("sketch"), lambda batch: _slots(_list_parts(batch.column(0))[0]), BITS)
+    table = dense.counts(sketches.select("sketch"), lambda batch: _slots(_list_parts(batch.column(0))[0]), 1 << BITS)
     shared_counts = sketches.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,45 +142,33 @@ def _estimated(pairs: DataFrame, sketches: DataFrame, threshold: int) -> DataFra
     return joined.mapInArrow(run, "a long, b long")
 
 
-def _marks(ids: DataFrame) -> np.ndarray:
-    """A bit for each slot of a table of fixed size that an id (column ``rep``) falls into."""
-    hashed = ids.select(F.pmod(F.xxhash64("rep"), F.lit(1 << BITS)).alias("slot"))
-    return np.packbits(dense.counts(hashed, lambda batch: np.asarray(batch.column(0)), BITS) > 0)
-
-
 def whole_sets(documents: DataFrame, wanted: DataFrame, width: int, lower: bool = True) -> DataFrame:
     """The whole sets (rep, values) of the documents in ``wanted``, from one pass over the texts.
 
     A table of fixed size tells most other documents apart before their texts are read;
     a join then leaves exactly the wanted ones.
     """
-    shared_marks = documents.sparkSession.sparkContext.broadcast(_marks(wanted))
+    shared_marks = documents.sparkSession.sparkContext.broadcast(dense.marks(wanted, "rep"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in kernels.blocks(_marked(batches, np.unpackbits(shared_marks.value).astype(bool)), "text"):
+        for block in kernels.blocks(dense.marked(batches, shared_marks.value), "text"):
             sets = kernels.shingle_sets(block.column(block.schema.get_field_index("text")), width, lower)
             yield pa.record_batch({"rep": block.column(block.schema.get_field_index("doc_id")), "values": pa.array([s.tobytes() for s in sets], pa.binary())})
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << BITS)).alias("slot"))
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", dense.slot(F.col("doc_id").cast("long")).alias("slot"))
     sets = rows.where(F.col("doc_id").isNotNull()).mapInArrow(run, "rep long, values binary")
     return sets.join(wanted.select("rep", F.col("signature").alias("_signature")), "rep").mapInArrow(_right_row, "rep long, values binary")
 
 
 def _among(sketches: DataFrame, ids: DataFrame) -> DataFrame:
     """The sketches of the ids and few others, found without moving a sketch."""
-    shared_marks = sketches.sparkSession.sparkContext.broadcast(_marks(ids))
+    shared_marks = sketches.sparkSession.sparkContext.broadcast(dense.marks(ids, "rep"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _marked(batches, np.unpackbits(shared_marks.value).astype(bool)):
+        for batch in dense.marked(batches, shared_marks.value):
             yield batch.select(["rep", "n", "signature", "sketch"])
 
-    slot = F.pmod(F.xxhash64("rep"), F.lit(1 << BITS)).alias("slot")
-    return sketches.select("rep", "n", "signature", "sketch", slot).mapInArrow(run, "rep long, n long, signature binary, sketch array<int>")
-
-
-def _marked(batches: Iterator[pa.RecordBatch], marks: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield batch.filter(pa.array(marks[np.asarray(batch.column(batch.schema.get_field_index("slot")))]))
+    return sketches.select("rep", "n", "signature", "sketch", dense.slot(F.col("rep")).alias("slot")).mapInArrow(run, "rep long, n long, signature binary, sketch array<int>")
 
 
 def _right_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -50,34 +50,35 @@ def _events(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return word, past, pair.astype(np.int64), before
 
 
-def _flagged(documents: DataFrame, target: DataFrame) -> DataFrame:
-    marks = target.select(F.col("doc_id").cast("long").alias("_id")).where(F.col("_id").isNotNull()).distinct().withColumn("_in", F.lit(True))
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.join(marks, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", F.coalesce("_in", F.lit(False)).alias("wanted"))
+#: One model's counts in one array: pairs, then words, then histories.
+_WORDS = 1 << PAIR_BITS
+_PASTS = _WORDS + (1 << WORD_BITS)
+_TOTAL = _PASTS + (1 << WORD_BITS)
 
 
-#: Tables in one array: pairs of the background, of the target, words and histories of both.
-_WORDS = 2 << PAIR_BITS
+def train(texts: DataFrame) -> np.ndarray:
+    """Counts of a model over the column ``text`` of all rows."""
 
+    def slots(batch: pa.RecordBatch) -> np.ndarray:
+        out = [np.zeros(0, np.int64)]
+        for block in kernels.blocks(iter([batch]), "text"):
+            word, past, pair, _ = _events(block.column(block.schema.get_field_index("text")))
+            out += [pair, _WORDS + word, _PASTS + past]
+        return np.concatenate(out)
 
-def _places(word: np.ndarray, past: np.ndarray, pair: np.ndarray, target: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    base = _WORDS + (target << (WORD_BITS + 1))
-    return pair + (target << PAIR_BITS), base + word, base + (1 << WORD_BITS) + past
+    return dense.counts(texts.select("text"), slots, _TOTAL)
 
 
-def train(flagged: DataFrame) -> np.ndarray:
-    """Counts of both models over all documents, uint32 in the order of ``_places``."""
+def _of(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents with the ids. A mark table drops most others before anything is moved."""
+    shared_marks = documents.sparkSession.sparkContext.broadcast(dense.marks(ids, "_id"))
 
-    def slots(batch: pa.RecordBatch) -> np.ndarray:
-        out = []
-        for block in kernels.blocks(iter([batch]), "text"):
-            word, past, pair, before = _events(block.column(block.schema.get_field_index("text")))
-            wanted = np.repeat(block.column(block.schema.get_field_index("wanted")).to_numpy(zero_copy_only=False).astype(bool), np.diff(before))
-            out.extend(_places(word, past, pair, 0))
-            out.extend(_places(word[wanted], past[wanted], pair[wanted], 1))
-        return np.concatenate(out) if out else np.zeros(0, np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in dense.marked(batches, shared_marks.value):
+            yield batch.select(["doc_id", "text"])
 
-    return dense.counts(flagged.select("text", "wanted"), slots, PAIR_BITS, tables=3)
+    rows = documents.where("doc_id IS NOT NULL").select("doc_id", "text", dense.slot(F.col("doc_id")).alias("slot")).mapInArrow(run, "doc_id long, text string")
+    return rows.join(ids.hint("merge"), F.col("doc_id") == F.col("_id"))
 
 
 def _own(owner: np.ndarray, slot: np.ndarray, bits: int) -> np.ndarray:
@@ -86,39 +87,50 @@ def _own(owner: np.ndarray, slot: np.ndarray, bits: int) -> np.ndarray:
     return times[inverse]
 
 
-def losses(counts: np.ndarray, totals: tuple[int, int], column: pa.Array, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token counts, and the mean loss under the target and the background for each text."""
-    word, past, pair, before = _events(column)
-    size = np.diff(before)
-    n = len(size)
-    owner = np.repeat(np.arange(n), size)
-    own_word, own_past, own_pair = _own(owner, word, WORD_BITS), _own(owner, past, WORD_BITS), _own(owner, pair, PAIR_BITS)
-    means = []
-    for target in (1, 0):
-        counted = wanted[owner] if target else np.ones(len(owner), bool)
-        at_pair, at_word, at_past = _places(word, past, pair, target)
-        c_pair = counts[at_pair] - np.where(counted, own_pair, 0).astype(np.float64)
-        c_word = counts[at_word] - np.where(counted, own_word, 0).astype(np.float64)
-        c_past = counts[at_past] - np.where(counted, own_past, 0).astype(np.float64)
-        total = totals[target] - np.where(counted, size[owner], 0)
-        p_word = (c_word + ALPHA) / (total + ALPHA * (1 << WORD_BITS))
-        loss = -np.log((c_pair + MU * p_word) / (c_past + MU))
-        means.append(np.bincount(owner, weights=loss, minlength=n) / np.maximum(size, 1))
-    return size, means[0], means[1]
+class Scorer:
+    """Mean losses of texts under both models."""
+
+    def __init__(self, target: np.ndarray, background: np.ndarray):
+        self.models = target, background
+        self.totals = [int(m[_WORDS:_PASTS].sum(dtype=np.int64)) for m in self.models]
+
+    def losses(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each text its tokens, its target loss if the target has counted it and if not, and its background loss."""
+        word, past, pair, before = _events(column)
+        size = np.diff(before)
+        n = len(size)
+        owner = np.repeat(np.arange(n), size)
+        own_pair, own_word, own_past, own_size = _own(owner, pair, PAIR_BITS), _own(owner, word, WORD_BITS), _own(owner, past, WORD_BITS), size[owner]
+        means = []
+        for k, counted in ((0, True), (0, False), (1, True)):
+            model, less = self.models[k], float(counted)
+            c_pair, c_word, c_past = model[pair] - less * own_pair, model[_WORDS + word] - less * own_word, model[_PASTS + past] - less * own_past
+            if k == 0 and counted:  # a text that the target lacks has no counts of its own there
+                c_pair, c_word, c_past = (np.maximum(c, 0) for c in (c_pair, c_word, c_past))
+            total = np.maximum(self.totals[k] - less * own_size, 0)
+            p_word = (c_word + ALPHA) / (total + ALPHA * (1 << WORD_BITS))
+            loss = -np.log((c_pair + MU * p_word) / (c_past + MU))
+            means.append(np.bincount(owner, weights=loss, minlength=n) / np.maximum(size, 1))
+        return size, means[0], means[1], means[2]
 
 
 def score(documents: DataFrame, target: DataFrame) -> DataFrame:
-    """Losses and score of every document; ``target`` names the target's documents by doc_id."""
-    flagged = _flagged(documents, target)
-    counts = train(flagged)
-    totals = tuple(int(counts[_WORDS + (t << (WORD_BITS + 1)) :][: 1 << WORD_BITS].sum(dtype=np.int64)) for t in (0, 1))
-    shared_counts = documents.sparkSession.sparkContext.broadcast(counts)
+    """Losses and score of every document; ``target`` names the target's documents by doc_id.
+
+    No text is shuffled but the target's own: every document is scored as if it were in the
+    target and as if it were not, and a join of these few numbers with the names chooses.
+    """
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    ids = target.select(F.col("doc_id").cast("long").alias("_id")).where(F.col("_id").isNotNull()).distinct()
+    shared_scorer = documents.sparkSession.sparkContext.broadcast((train(_of(rows, ids)), train(rows)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(*shared_scorer.value)
         for block in kernels.blocks(batches, "text"):
-            col = lambda c: block.column(block.schema.get_field_index(c))
-            size, target_loss, background_loss = losses(shared_counts.value, totals, col("text"), col("wanted").to_numpy(zero_copy_only=False).astype(bool))
-            bare = size == 0
-            yield pa.RecordBatch.from_arrays([col("doc_id"), pa.array(size, pa.int64()), *(pa.array(x, pa.float64(), mask=bare) for x in (target_loss, background_loss, target_loss - background_loss))], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+            size, inside, outside, background = scorer.losses(block.column(block.schema.get_field_index("text")))
+            yield pa.RecordBatch.from_arrays([block.column(block.schema.get_field_index("doc_id")), pa.array(size, pa.int64()), *(pa.array(x, pa.float64(), mask=size == 0) for x in (inside, outside, background))], ["doc_id", "n_tokens", "inside", "outside", "background_loss"])
 
-    return flagged.mapInArrow(run, SCHEMA)
+    scored = rows.mapInArrow(run, "doc_id long, n_tokens long, inside double, outside double, background_loss double")
+    chosen = scored.join(ids.hint("merge"), F.col("doc_id") == F.col("_id"), "left")
+    target_loss = F.when(F.col("_id").isNotNull(), F.col("inside")).otherwise(F.col("outside"))
+    return chosen.select("doc_id", "n_tokens", target_loss.alias("target_loss"), "background_loss", (target_loss - F.col("background_loss")).alias("score"))

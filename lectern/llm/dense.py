@@ -1,8 +1,8 @@
 """Counts in a table of fixed size, gathered from any number of tasks.
 
 A task adds up its own dense table and hands on its segments; each segment is summed by
-one task of the next stage. The finished table has ``2 ** bits`` numbers whatever the size
-of the input, which bounds what reaches the driver and what is broadcast.
+one task of the next stage. The finished table has ``total`` numbers whatever the size of
+the input, which bounds what reaches the driver and what is broadcast.
 """
 
 from __future__ import annotations
@@ -12,17 +12,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 SEGMENT_BITS = 16
+#: Size of a mark table, as a power of two: a bit each.
+MARK_BITS = 22
 
 
-def counts(frame: DataFrame, slots: Callable[[pa.RecordBatch], np.ndarray], bits: int, tables: int = 1) -> np.ndarray:
-    """How often each slot occurs, ``tables * 2 ** bits`` unsigned numbers of 32 bits, at most the greatest.
+def counts(frame: DataFrame, slots: Callable[[pa.RecordBatch], np.ndarray], total: int) -> np.ndarray:
+    """How often each slot below ``total`` occurs, as unsigned numbers of 32 bits, at most the greatest.
 
-    ``slots`` gives the slots of a batch; slots of a further table are counted on from the last.
+    ``slots`` gives the slots of a batch.
     """
-    total = tables << bits
     step = min(total, 1 << SEGMENT_BITS)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -45,3 +47,24 @@ def counts(frame: DataFrame, slots: Callable[[pa.RecordBatch], np.ndarray], bits
     for row in parts.toLocalIterator():
         out[row.segment * step : (row.segment + 1) * step] = np.frombuffer(row.data, np.uint32)
     return out
+
+
+def slot(key: Column) -> Column:
+    """The slot of a key in a mark table."""
+    return F.pmod(F.xxhash64(key), F.lit(1 << MARK_BITS))
+
+
+def marks(keys: DataFrame, key: str) -> np.ndarray:
+    """A mark table: a bit for each slot that a key falls into, packed (half a megabyte).
+
+    It lets most rows of other keys be told apart without a shuffle; a few pass, so an exact
+    step must follow where that matters.
+    """
+    return np.packbits(counts(keys.select(slot(F.col(key)).alias("slot")), lambda batch: np.asarray(batch.column(0)), 1 << MARK_BITS) > 0)
+
+
+def marked(batches: Iterator[pa.RecordBatch], packed: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The rows whose column ``slot`` is marked."""
+    table = np.unpackbits(packed).astype(bool)
+    for batch in batches:
+        yield batch.filter(pa.array(table[np.asarray(batch.column(batch.schema.get_field_index("slot")))]))
