@@ -291,7 +291,8 @@ def near_duplicates(documents: DataFrame, width: int = 5, lower: bool = True, th
     hot = rooted.where(F.col("length") > COLD)
     families = graph.components(hot.select("rep", (-2 - F.col("value").cast("long") - F.lit(1 << 32)).alias("list")), "rep", "list")
     in_family = hot.select("rep", "n", "root").distinct().join(families.select(F.col("node").alias("rep"), F.col("root").alias("family")), "rep")
-    wanted = _ends(pairs, listed).unionByName(listed.select("rep", "signature").join(in_family.select("rep"), "rep", "left_semi")).distinct()
+    ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).union(in_family.select("rep")).distinct()
+    wanted = listed.select("rep", "signature").join(ids, "rep")
     sets, sets_path = shared.at_path(whole_sets(documents, wanted, width, lower), "sets")
     cold_links = _confirmed(pairs, sets, threshold)
     more, more_path = shared.at_path(cold_links.unionByName(_tiles(in_family, sets, threshold)), "links")

@@ -15,7 +15,7 @@ import pyarrow as pa
 
 SEGMENT = 1 << 21
 #: Bytes of text that one step of an operator handles at once.
-BLOCK = 1 << 22
+BLOCK = 1 << 21
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
