@@ -151,13 +151,16 @@ def whole_sets(documents: DataFrame, wanted: DataFrame, width: int, lower: bool
     shared_marks = documents.sparkSession.sparkContext.broadcast(dense.marks(wanted, "rep"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for block in kernels.blocks(dense.marked(batches, shared_marks.value), "text"):
             sets = kernels.shingle_sets(block.column(block.schema.get_field_index("text")), width, lower)
-            yield pa.record_batch({"rep": block.column(block.schema.get_field_index("doc_id")), "values": pa.array([s.tobytes() for s in sets], pa.binary())})
+            yield pa.record_batch({"rep": block.column(block.schema.get_field_index("doc_id")), "signature": pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), "values": pa.array([s.tobytes() for s in sets], pa.binary())})
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", dense.slot(F.col("doc_id").cast("long")).alias("slot"))
-    sets = rows.where(F.col("doc_id").isNotNull()).mapInArrow(run, "rep long, values binary")
-    return sets.join(wanted.select("rep", F.col("signature").alias("_signature")), "rep").mapInArrow(_right_row, "rep long, values binary")
+    sets = rows.where(F.col("doc_id").isNotNull()).mapInArrow(run, "rep long, signature binary, values binary")
+    # of rows that share a doc_id, the one whose set is wanted
+    return sets.join(wanted.select("rep", "signature"), ["rep", "signature"]).select("rep", "values")
 
 
 def _among(sketches: DataFrame, ids: DataFrame) -> DataFrame:
@@ -171,16 +174,6 @@ def _among(sketches: DataFrame, ids: DataFrame) -> DataFrame:
     return sketches.select("rep", "n", "signature", "sketch", dense.slot(F.col("rep")).alias("slot")).mapInArrow(run, "rep long, n long, signature binary, sketch array<int>")
 
 
-def _right_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows that share a doc_id, the one whose set is wanted."""
-    import xxhash
-
-    for batch in batches:
-        values, wanted = (batch.column(batch.schema.get_field_index(c)) for c in ("values", "_signature"))
-        good = [xxhash.xxh3_128_digest(v) == w for v, w in zip(values.to_pylist(), wanted.to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("rep")), values], ["rep", "values"]).filter(pa.array(good, pa.bool_()))
-
-
 def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
 

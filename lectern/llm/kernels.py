@@ -17,6 +17,9 @@ SEGMENT = 1 << 21
 #: Bytes of text that one step of an operator handles at once.
 BLOCK = 1 << 21
 
+# Python workers live on from stage to stage: what one frees goes back to the system
+pa.set_memory_pool(pa.system_memory_pool())
+
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER_BYTE = _BYTE.copy()

@@ -6,10 +6,14 @@ local tests, a folder under ``/tmp/checkpoints`` is used.
 
 from __future__ import annotations
 
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH = 2000
+
 
 def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
@@ -26,10 +30,22 @@ def written(frame: DataFrame, name: str) -> DataFrame:
 
 def at_path(frame: DataFrame, name: str) -> tuple[DataFrame, str]:
     path = new_path(frame.sparkSession, name)
-    frame.write.mode("errorifexists").parquet(path)
+    with small_batches(frame.sparkSession):
+        frame.write.mode("errorifexists").parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path), path
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of ``BATCH`` rows meanwhile, since a row may hold a whole set or sketch; then as before."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(BATCH, int(before)) if int(before) > 0 else BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a table that no later plan reads."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
