@@ -13,9 +13,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SEGMENT = 1 << 21
+SEGMENT = 1 << 18
 #: Bytes of text that one step of an operator handles at once.
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 
 # Python workers live on from stage to stage: what one frees goes back to the system
 pa.set_memory_pool(pa.system_memory_pool())
