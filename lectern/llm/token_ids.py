@@ -14,9 +14,9 @@ import pyarrow as pa
 from lectern.llm import kernels
 
 #: Distinct units that one worker remembers before it starts anew.
-MEMORY = 1 << 21
-_PIECES = 1 << 18
-_JOINED = 1 << 14
+MEMORY = 1 << 19
+_PIECES = 1 << 16
+_JOINED = 1 << 13
 
 
 def vocabulary_path(name: str) -> str:
