@@ -3,7 +3,8 @@
 A text is cut into sentences, at line ends as well as across wrapped lines. A sentence is
 normalised (case, spelling of licence, punctuation) and looked up among the sentences known
 from licences and licence notices; each known sentence has an identifier, and several
-wordings may share one. The identifiers of a text, in order, are matched against rules: a
+wordings may share one. A wording that is itself cut (at the colon of an SPDX line, say) is
+looked up as neighbouring sentences joined. The identifiers of a text, in order, are matched against rules: a
 rule is a licence and the ordered identifiers that state it, between which other sentences
 may stand, at most ``GAP``. At each place the longest rule that matches wins, so a licence
 is named by its most specific statement and its sentences are not used a second time.
@@ -18,6 +19,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -80,6 +82,7 @@ TRIGGER = r"(?i)licen[cs]e|copyright|permission|redistribut|warranty|public\s+do
 
 _WORD = re.compile(r"[^\W_]+(?:[.+-][^\W_]+)*")
 _STOP = re.compile(r"[.:;!?]+(?=\s|$)")
+_TEXT = re.compile(r"\S")
 _LINE = re.compile(r"[^\r\n]+")
 _PARAGRAPH = re.compile(r"(?:[^\r\n]+(?:\r?\n(?![ \t]*\r?(?:\n|$)))?)+")
 
@@ -92,27 +95,38 @@ def normalised(sentence: str) -> str:
 
 
 def _known() -> tuple[dict[str, str], tuple[tuple[str, tuple[str, ...]], ...]]:
+    """The identifier of each wording, and all rules."""
     known, rules = {}, list(RULES)
     for name, wordings in SENTENCES.items():
         for wording in wordings:
-            known[normalised(wording)] = name
+            known[wording] = name
     for short, long in _COMMONS.items():
         for version in _VERSIONS:
             name = f"cc-{short.lower()}-{version}"
             for wording in (f"Licensed under CC {short} {version}.", f"Released under CC {short} {version}.", f"This work is licensed under CC {short} {version}.", f"Licensed under a Creative Commons {long} {version} International License.", f"This work is licensed under a Creative Commons {long} {version} International License.", f"SPDX-License-Identifier: CC-{short}-{version}"):
-                known[normalised(wording)] = name
+                known[wording] = name
             rules.append((f"CC-{short}-{version}", (name,)))
     for wording in _ZERO:
-        known[normalised(wording)] = "cc0"
+        known[wording] = "cc0"
     return known, (*rules, ("CC0-1.0", ("cc0",)))
 
 
-KNOWN, ALL_RULES = _known()
+KNOWN_WORDINGS, ALL_RULES = _known()
+KNOWN = {normalised(wording): name for wording, name in KNOWN_WORDINGS.items()}
 _BY_FIRST: dict[str, list[tuple[str, tuple[str, ...]]]] = {}
 for _rule in sorted(ALL_RULES, key=lambda r: -len(r[1])):
     _BY_FIRST.setdefault(_rule[1][0], []).append(_rule)
 
 
+def _leading() -> set[str]:
+    """The normalised leading sentences of the wordings that are cut into several."""
+    out = set()
+    for wording in KNOWN_WORDINGS:
+        ends = [high for _, high in _cut(wording, 0, len(wording))]
+        out |= {normalised(wording[:high]) for high in ends[:-1]}
+    return out
+
+
 def _cut(text: str, low: int, high: int) -> Iterator[tuple[int, int]]:
     at = low
     for stop in _STOP.finditer(text, low, high):
@@ -142,33 +156,63 @@ def sentences(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+LEADING = _leading()
+
+
+def _found(text: str) -> list[tuple[str, int, int, int, int]]:
+    """The known wordings of a text in order: identifier, start, end, numbers of the first and last sentence.
+
+    The same words cut at a line's end and across lines are found once, and none within another.
+    """
+    cut, follow = [], {}
+    for low, high, number in sentences(text):
+        start = low + len(text[low:high]) - len(text[low:high].lstrip())
+        cut.append((start, high, number))
+        follow.setdefault(start, []).append((high, normalised(text[low:high])))
+    numbers = {}
+    for start, _, number in cut:
+        numbers.setdefault(number, start)
+    starts = [numbers[number] for number in sorted(numbers)]
+    out = {}
+    for start, high, number in cut:
+        reached = [(high, normalised(text[start:high]))]
+        while reached:
+            end, key = reached.pop()
+            if key in KNOWN:
+                last = max(number, bisect.bisect_left(starts, end) - 1)
+                out.setdefault((start, KNOWN[key]), (KNOWN[key], start, end, number, last))
+            if key in LEADING:
+                after = _TEXT.search(text, end)
+                reached += [(e, f"{key} {more}") for e, more in follow.get(after.start() if after else -1, ())]
+    found, upto = [], 0
+    for one in sorted(out.values(), key=lambda f: (f[1], -f[2])):
+        if one[2] > upto:  # not the end of a wrapped wording that is known by itself too
+            found.append(one)
+            upto = one[2]
+    return found
+
+
 def recognise(text: str) -> tuple[list[tuple[str, int, int]], int]:
-    """Matches (licence, start, end) of a text and how many known sentences it has."""
-    found = [(KNOWN[key], low, high, number) for low, high, number in sentences(text) if (key := normalised(text[low:high])) in KNOWN]
+    """Matches (licence, start, end) of a text and how many known wordings it has."""
+    found = _found(text)
     matches, at = [], 0
     while at < len(found):
         for license_name, wanted in _BY_FIRST.get(found[at][0], ()):
             used = [at]
             for name in wanted[1:]:
-                near = [k for k in range(used[-1] + 1, len(found)) if found[k][3] - _last_number(found, used[-1]) <= GAP + 1]
+                near = [k for k in range(used[-1] + 1, len(found)) if found[k][3] - found[used[-1]][4] <= GAP + 1]
                 hit = next((k for k in near if found[k][0] == name), None)
                 if hit is None:
                     break
                 used.append(hit)
             if len(used) == len(wanted):
-                start = found[at][1] + len(text[found[at][1] : found[at][2]]) - len(text[found[at][1] : found[at][2]].lstrip())
-                matches.append((license_name, start, found[used[-1]][2]))
+                matches.append((license_name, found[at][1], found[used[-1]][2]))
                 at = used[-1]
                 break
         at += 1
     return matches, len(found)
 
 
-def _last_number(found: list[tuple[str, int, int, int]], k: int) -> int:
-    """The number of the last sentence within a found one, which may span several lines."""
-    return max([n for _, low, _, n in found if low < found[k][2]] + [found[k][3]])
-
-
 def scan(documents: DataFrame) -> DataFrame:
     """Licences, number of known sentences and matches of every document."""
 

@@ -180,6 +180,24 @@ def test_licences_by_sentence_rules(spark):
     assert len(got[5].matches) == 1
 
 
+def test_every_known_wording_is_recognised():
+    """Alone, after prose and before a comment's end, and wrapped as in a source header."""
+    single = {names[0]: license_name for license_name, names in license_rules.ALL_RULES if len(names) == 1}
+    for wording, name in license_rules.KNOWN_WORDINGS.items():
+        words = wording.split()
+        wrapped = "/* Some prose.\n" + "\n".join(" * " + " ".join(words[k : k + 6]) for k in range(0, len(words), 6)) + "\n */"
+        for text in (wording, f"Some prose. {wording}\n*/\n\nMore prose.", wrapped):
+            matches, n = license_rules.recognise(text)
+            assert n == 1, text
+            assert [m[0] for m in matches] == ([single[name]] if name in single else []), text
+
+
+def test_wrapped_licence_text_is_one_match():
+    notice = [w for n in ("gpl2-later", "gpl-warranty") for w in license_rules.SENTENCES[n][:1]]
+    text = "\n".join(line for w in notice for line in re.findall(r"\S.{0,60}(?=\s|$)", w))
+    assert license_rules.recognise(text) == ([("GPL-2.0-or-later", 0, len(text))], 2)
+
+
 def test_cross_entropy_equals_plain_counts(spark):
     """Against counts in dictionaries; the few words here have classes of their own."""
     r = random.Random(8)
