@@ -229,6 +229,29 @@ def test_cross_entropy_equals_plain_counts(spark):
     assert cross_entropy.score(documents.limit(0), target).count() == 0
 
 
+def test_cross_entropy_of_a_large_vocabulary(spark, monkeypatch):
+    """More pairs than 2 ** 17, over several chunks and parts, against exact counts."""
+    monkeypatch.setattr(cross_entropy, "CHUNK", 1 << 18, raising=False)
+    monkeypatch.setattr(cross_entropy, "PART", 1 << 14, raising=False)
+    r = random.Random(9)
+    texts = [" ".join(f"w{int(r.paretovariate(0.3)) % 200_000}" for _ in range(1000)) for _ in range(300)]
+    got = {x.doc_id: x for x in cross_entropy.score(frame_of(spark, texts), frame_of(spark, texts[:60])).collect()}
+    words = [t.split() for t in texts]
+    pairs = [list(zip([None, *w], w, strict=False)) for w in words]
+    for column, members in (("target_loss", 60), ("background_loss", 300)):
+        c1, c2, h = Counter(), Counter(), Counter()
+        for w, p in zip(words[:members], pairs[:members], strict=True):
+            c1.update(w)
+            c2.update(p)
+            h.update(a for a, _ in p)
+        for k in (0, 59, 60, 299):
+            own = [Counter(words[k]), Counter(pairs[k]), Counter(a for a, _ in pairs[k])] if k < members else [Counter()] * 3
+            n = members * 1000 - sum(own[0].values())
+            p = lambda w: (c1[w] - own[0][w] + 0.1) / (n + 0.1 * 2**20)  # noqa: B023, E731
+            loss = np.mean([-math.log((c2[a, b] - own[1][a, b] + 64 * p(b)) / (h[a] - own[2][a] + 64)) for a, b in pairs[k]])
+            assert got[k][column] == pytest.approx(loss, rel=1e-9)
+
+
 def test_page_blocks_and_main_text(spark):
     page = "<html><body><nav class=menu><a href=x>Home</a></nav><article><h1>The title &amp; more</h1><p>First   paragraph of the article, with <b>bold</b> words.</p><p>Second paragraph, which goes on for a while and ends.</p></article><div class='comments'><p>Nice post!</p></div><script>var x = '<p>no</p>';</script><footer>&copy; 2024</footer></body></html>"
     assert [b.text() for b in html_blocks.blocks(page)] == ["Home", "The title & more", "First paragraph of the article, with bold words.", "Second paragraph, which goes on for a while and ends.", "Nice post!", "© 2024"]
