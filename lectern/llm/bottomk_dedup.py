@@ -9,9 +9,9 @@ on the whole sets; components of links are the groups.
    large, is one grouped minimum).
 2. Inverted lists of retained values. Values are ordered by a count table of fixed size,
    the rare ones first. Linked documents share so many retained values that they meet in
-   the list of one of the first ``prefix`` values; only those are listed. For sets kept
-   whole the number is exact; for larger ones it allows for 5.5 standard deviations of the
-   sketch.
+   the list of one of the first ``prefix`` values; only those are listed. For two
+   sets kept whole the number is exact; where one may be larger it allows for 5.5 standard
+   deviations of the sketch.
 3. Each list's least document is compared with the others of the list: the number of
    comparisons is the number of entries. Their links nearly always join whole groups.
 4. Only pairs in one list that no link joins so far are left. In lists of at most ``COLD``
@@ -87,6 +87,18 @@ def least_common(size: int, threshold: int = THRESHOLD) -> int:
     return max(1, math.floor(SKETCH * share - 5.5 * math.sqrt(SKETCH * share * (1 - share))))
 
 
+def _prefix(size: int, threshold: int = THRESHOLD) -> int:
+    """How many of a document's rarest retained values are listed.
+
+    A set kept whole whose partner may be larger than SKETCH shares only what the partner's
+    sketch retains, so it is listed as for a larger set.
+    """
+    common = least_common(size, threshold)
+    if 100 * size >= threshold * (SKETCH + 1):
+        common = min(common, least_common(SKETCH + 1, threshold))
+    return min(size, SKETCH) - common + 1
+
+
 def postings(sketches: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Entries (value, rep, n) of the inverted lists of each document's rarest retained values."""
     table = dense.counts(sketches.select("sketch"), lambda batch: _slots(_list_parts(batch.column(0))[0]), 1 << BITS)
@@ -100,7 +112,7 @@ def postings(sketches: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
             owner = np.repeat(np.arange(len(rep)), np.diff(at))
             order = np.lexsort((values, count[_slots(values)], owner))
             place = np.arange(len(values)) - at[:-1][owner]
-            prefix = np.array([min(int(x), SKETCH) - least_common(int(x), threshold) + 1 for x in n], dtype=np.int64)
+            prefix = np.array([_prefix(int(x), threshold) for x in n], dtype=np.int64)
             kept = order[place < prefix[owner]]
             yield pa.record_batch({"value": pa.array(values[kept]), "rep": pa.array(rep[owner[kept]]), "n": pa.array(n[owner[kept]])})
 

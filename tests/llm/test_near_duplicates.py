@@ -105,6 +105,16 @@ def test_lists_meet_for_every_linked_pair():
     assert kernels.shingle_sets(__import__("pyarrow").array([None, ""]), 5, True)[0].size == 0
 
 
+def test_pairs_on_both_sides_of_the_sketch(spark):
+    """Texts of more than SKETCH shingles and their cut copies of at most as many, without a third copy."""
+    rows = []
+    for small, large in [(128, 160)] * 15 + [(128, 158)] * 15 + [(127, 158)] * 15 + [(128, 129)] * 5 + [(104, 130)] * 5 + [(103, 129)] * 5:
+        words = [f"{len(rows)}x{k}" for k in range(large + 4)]
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(words[: small + 4]))]
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in bottomk_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()}
+    assert got == brute(rows, 5)
+
+
 def vectors(seed, n=300, dim=24):
     rng = np.random.default_rng(seed)
     centres = rng.normal(size=(n // 6, dim))
