@@ -64,6 +64,12 @@ def test_alignment_is_greedy_by_score(spark):
     assert got == {("a1", "b1"), ("a2", "b2")}
 
 
+def test_alignment_of_many_equal_sections(spark):
+    rows = [("p", f"a{i:03}", f"b{j:03}", 1.0) for i in range(100) for j in range(100)]
+    got = {(r.id, r.other) for r in compare.aligned(spark.createDataFrame(rows, "pair_id string, id string, other string, score double")).collect()}
+    assert got == {(f"a{i:03}", f"b{i:03}") for i in range(100)}
+
+
 def test_redaction_masks_each_kind_once_and_is_idempotent():
     text = "mail a.b@example.org see https://example.org/x IBAN DE89 3704 0044 0532 0130 00 card 4111 1111 1111 1111 on 2024-05-06 call +49 30 1234567"
     masked, counts = redaction.redact(text)
