@@ -54,11 +54,20 @@ def chunk_general(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "chunk_index", "token_count", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
+def _overlap(chunked: DataFrame) -> DataFrame:
+    made = chunking.without_overlap(chunked, 20)
+    return made.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum("shared").cast("long").alias("shared_words"), F.sum(F.ceil(T.token_count(F.col("text")) * 1.3)).cast("long").alias("prompt_tokens"))
+
+
 def chunk_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that each chunk repeats from the one before, and what is left."""
+    """Words that each chunk repeats from the one before, and what is left, of documents whose words cost one token each."""
     docs = table(spark, sf_dir, "documents")
-    made = chunking.without_overlap(chunking.simple_chunks(docs.where(chunking.simple(F.col("text"))).select("doc_id", "text"), 100, 20), 20)
-    return made.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum("shared").cast("long").alias("shared_words"), F.sum(F.ceil(T.token_count(F.col("text")) * 1.3)).cast("long").alias("prompt_tokens"))
+    return _overlap(chunking.simple_chunks(docs.where(chunking.simple(F.col("text"))).select("doc_id", "text"), 100, 20))
+
+
+def chunk_overlap_general(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of all documents."""
+    return _overlap(chunking.chunks(table(spark, sf_dir, "documents"), 100, 20))
 
 
 def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,7 +175,7 @@ def embedded_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.top(retrieval.bm25(docs, QUESTION).join(vectors, "chunk_id"), 30)
 
 
-QUERIES = {f.__name__: f for f in (token_stats, content_hashes, message_titles, context_usage, chunk_closed_form, chunk_general, chunk_overlap, keyword_search, keyword_search_scoped, vector_topk, vector_topk_filtered, hash_embed_topk, rrf_fusion, hybrid_retrieve, page_dedup, context_budget_trim, conversation_search, embedded_hits)}
+QUERIES = {f.__name__: f for f in (token_stats, content_hashes, message_titles, context_usage, chunk_closed_form, chunk_general, chunk_overlap, chunk_overlap_general, keyword_search, keyword_search_scoped, vector_topk, vector_topk_filtered, hash_embed_topk, rrf_fusion, hybrid_retrieve, page_dedup, context_budget_trim, conversation_search, embedded_hits)}
 
 _FLAT = f"trim(regexp_replace(text, '[{_WS}]+', ' ', 'g'))"
 _WORDS = f"regexp_extract_all(text, '[^{_WS}]+')"

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
 import random
+import re
 
 import pytest
 
 from lectern.functions import money as M
+from lectern.functions import text as T
 from lectern.operators import chunking, compare, redaction, statement
+from lectern.plans import search
 
 
 def test_windows_equal_the_closed_form():
@@ -91,3 +95,19 @@ def test_statement_rows_and_balances(spark):
     rows = statement.transactions(documents).orderBy("pos").collect()
     assert [(r.description, r.cents, r.balance) for r in rows] == [("Coffee shop", -450, 9550), ("Salary", 100000, 109550)]
     assert [(r.doc_id, r.opening, r.closing) for r in statement.balances(documents).collect()] == [(1, 10000, 109550)]
+
+
+def test_overlap_of_all_documents(spark, tmp_path):
+    """Long words and spaceless scripts too, against plain windows and suffix comparison."""
+    texts = ["a b c", "", None, " ".join(f"w{i}" for i in range(250)), " ".join(f"averyveryverylongword{i}" for i in range(90)), "x" * 2000, "日本語の文 " * 60]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    cost = lambda text: sum(len(re.findall(T.SPACELESS, w)) + sum(1 if len(p) <= 16 else -(-len(p) // 4) for p in re.split(T.SPACELESS, w) if p) for w in re.split(f"{T.SPACE}+", text) if w)
+    expected = {}
+    for k, text in enumerate(texts):
+        made = [x.split(" ") for x, _ in chunking.windows(text or "", 100, 20)]
+        shared = [0] + [max([n for n in range(1, min(20, len(a), len(b)) + 1) if b[:n] == a[-n:]], default=0) for a, b in zip(made, made[1:], strict=False)]
+        left = [" ".join(x if n >= len(x) else x[n:]) for x, n in zip(made, shared, strict=False)]
+        if made:
+            expected[k] = (len(made), sum(shared), sum(math.ceil(cost(x) * 1.3) for x in left))
+    got = {r.doc_id: (r.chunks, r.shared_words, r.prompt_tokens) for r in search.chunk_overlap_general(spark, str(tmp_path)).collect()}
+    assert got == expected and len(got) == 5
