@@ -21,16 +21,17 @@ MARK_BITS = 22
 
 
 def counts(frame: DataFrame, slots: Callable[[pa.RecordBatch], np.ndarray], total: int) -> np.ndarray:
-    """How often each slot below ``total`` occurs, as unsigned numbers of 32 bits, at most the greatest.
+    """How often each slot below ``total`` occurs. ``slots`` gives the slots of a batch.
 
-    ``slots`` gives the slots of a batch.
+    Counts are added up in 64 bits; what comes back are their nearest single-precision numbers,
+    which keep the order of any two that differ by more than a ten-millionth.
     """
     step = min(total, 1 << SEGMENT_BITS)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(total, np.uint32)
+        own = np.zeros(total, np.int64)
         for batch in batches:
-            np.add.at(own, slots(batch), np.uint32(1))
+            np.add.at(own, slots(batch), 1)
         for k in range(0, total, step):
             part = own[k : k + step]
             if part.any():
@@ -39,13 +40,13 @@ def counts(frame: DataFrame, slots: Callable[[pa.RecordBatch], np.ndarray], tota
     def merge(key: tuple, table: pa.Table) -> pa.Table:
         out = np.zeros(step, np.int64)
         for data in table.column("data"):
-            out += np.frombuffer(zlib.decompress(data.as_py()), np.uint32)
-        return pa.table({"segment": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([np.minimum(out, (1 << 32) - 1).astype(np.uint32).tobytes()], pa.binary())})
+            out += np.frombuffer(zlib.decompress(data.as_py()), np.int64)
+        return pa.table({"segment": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([out.astype(np.float32).tobytes()], pa.binary())})
 
     parts = frame.mapInArrow(add, "segment int, data binary").groupBy("segment").applyInArrow(merge, "segment int, data binary")
-    out = np.zeros(total, np.uint32)
+    out = np.zeros(total, np.float32)
     for row in parts.toLocalIterator():
-        out[row.segment * step : (row.segment + 1) * step] = np.frombuffer(row.data, np.uint32)
+        out[row.segment * step : (row.segment + 1) * step] = np.frombuffer(row.data, np.float32)
     return out
 
 

@@ -3,7 +3,8 @@
 They run inside Spark tasks on Arrow batches. Words are the maximal runs of bytes
 outside ``\\x20 \\x09-\\x0D``; hashes are 64 bits wide. A text is read in segments of
 about ``SEGMENT`` bytes, so memory follows the segment and the number of words, never
-the length of the longest text times eight.
+the length of the longest text times eight. Words of more than ``LONG`` bytes are hashed one
+by one, since the sums used for short ones have known collisions at greater lengths.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 
 SEGMENT = 1 << 18
+#: Bytes of the longest word that is hashed together with others.
+LONG = 256
 #: Bytes of text that one step of an operator handles at once.
 BLOCK = 1 << 20
 
@@ -41,14 +44,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
-        size = max(n, SEGMENT + 1024)
         made = []
         for base in (_BASE, _BASE_INVERSE):
-            steps = np.full(size, base, dtype=np.uint64)
+            steps = np.full(max(n, SEGMENT + 1024), base, dtype=np.uint64)
             steps[0] = 1
             made.append(np.cumprod(steps, dtype=np.uint64))
-        if size > 4 * SEGMENT:  # one giant word: not kept
-            return made[0], made[1]
         _powers[:] = made
     return _powers[0], _powers[1]
 
@@ -84,6 +84,16 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str, size: int = BLOCK) ->
 def segment_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
     """A hash of the bytes in each ascending, disjoint range ``[start, end)``."""
     out = np.empty(len(starts), dtype=np.uint64)
+    long = np.flatnonzero(ends - starts > LONG)
+    if len(long):
+        import xxhash
+
+        short = np.flatnonzero(ends - starts <= LONG)
+        out[short] = segment_hashes(raw, starts[short], ends[short], lower)
+        for k in long.tolist():
+            word = raw[starts[k] : ends[k]].tobytes()
+            out[k] = xxhash.xxh3_64_intdigest(word.lower() if lower else word)
+        return out
     table, done = _LOWER_BYTE if lower else _BYTE, 0
     while done < len(starts):
         low = int(starts[done])

@@ -1,7 +1,7 @@
 """Tables that cut lineage, in the folder that driver and executors share.
 
-The folder is the session's ``spark.checkpoint.dir``; only where that is unset, as in
-local tests, a folder under ``/tmp/checkpoints`` is used.
+The folder is the session's ``spark.checkpoint.dir``; only where that is unset and Spark is
+local, as in tests, a folder under ``/tmp/checkpoints`` is used.
 """
 
 from __future__ import annotations
@@ -16,7 +16,10 @@ BATCH = 2000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return named or "/tmp/checkpoints"
 
 
 def new_path(spark: SparkSession, name: str) -> str:

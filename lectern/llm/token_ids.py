@@ -3,11 +3,14 @@
 A text is cut after each word, so a unit is a word with the white space before it. A
 tokenizer that splits at white space never joins two units, hence each distinct unit is
 encoded once and the ids are gathered by array operations. Texts with white space that the
-cut does not know (no-break spaces, separators) are encoded in one piece.
+cut does not know (no-break spaces, separators), or with the string of an added token, are
+encoded in one piece by the tokenizer itself.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 
@@ -17,6 +20,8 @@ from lectern.llm import kernels
 MEMORY = 1 << 19
 _PIECES = 1 << 16
 _JOINED = 1 << 13
+#: Units that may be taken together: known white space and one word without any other white space.
+_UNIT = re.compile(r"[\x20\x09-\x0D]+[^\s\x1c-\x1f\x85]+")
 
 
 def vocabulary_path(name: str) -> str:
@@ -49,7 +54,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = [x.encode() for x in added]
+        self.has_added = re.compile("|".join(map(re.escape, added)) or r"(?!)").search
         self._forget()
         self.pieces: dict[str, tuple[int, ...]] = {}
         self._learn_rule()
@@ -104,6 +111,8 @@ class Encoder:
                 return None
             cut = self.tokenizer.pre_tokenizer.pre_tokenize_str(text)
             owner = np.searchsorted(begins, np.fromiter((at[0] for _, at in cut), np.int64, len(cut)), side="right") - 1
+            if len(owner) and owner[0] < 0:
+                return None
         else:
             cut = self.tokenizer.pre_tokenizer.pre_tokenize_str(text)
             ends = np.cumsum(np.fromiter((len(u.encode()) for u in units), np.int64, len(units)))
@@ -119,7 +128,7 @@ class Encoder:
         """Ids of all units in order, and how many each has."""
         out: list = [self._simple(u) for u in units] if self.lead is not None else [None] * len(units)
         left = [i for i, ids in enumerate(out) if ids is None]
-        at = [i for i in left if units[i][0].isspace() and len(units[i].split()) == 1]
+        at = [i for i in left if _UNIT.fullmatch(units[i]) and not self.has_added(units[i])]
         single = sorted({*left} - {*at})
         for low in range(0, len(at), _JOINED):
             part = at[low : low + _JOINED]
@@ -136,11 +145,21 @@ class Encoder:
         sizes = np.fromiter(map(len, out), np.int64, len(out))
         return np.fromiter((x for ids in out for x in ids), np.uint32, int(sizes.sum())), sizes
 
+    def _added_at(self, raw: np.ndarray) -> np.ndarray:
+        """Where the strings of added tokens begin."""
+        data, found = raw.tobytes(), []
+        for content in self.added:
+            at = data.find(content)
+            while at >= 0:
+                found.append(at)
+                at = data.find(content, at + 1)
+        return np.array(found, dtype=np.int64)
+
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and where each text's begin and end."""
         raw, offsets = kernels.text_buffer(column)
         _, ends, _ = kernels.word_ranges(raw, offsets)
-        odd = _odd_space(raw)
+        odd = np.concatenate([_odd_space(raw), self._added_at(raw)])
         if len(odd):
             bad = np.unique(np.searchsorted(offsets, odd, side="right") - 1)
             inside = np.isin(np.searchsorted(offsets, ends - 1, side="right") - 1, bad)

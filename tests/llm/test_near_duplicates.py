@@ -86,6 +86,17 @@ def test_repeated_ids_null_ids_and_empty_table(spark):
     assert bottomk_dedup.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id_are_linked_by_their_texts(spark):
+    """A row of another text under the same doc_id is lost by no stage, and links with its own copies."""
+    one, two, three = "a b c d e f", "p q r s t u", "v w x y z"
+    rows = [(1, one, "s"), (1, two, "s"), (2, two, "t"), (3, one, "t"), (4, three, "u"), (4, three, "t"), (5, None, "s"), (5, None, "s"), (None, one, "s")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted((str(r.doc_id), str(r.component_id)) for r in bottomk_dedup.near_duplicates(frame).collect())
+    assert got == [("1", "1"), ("1", "1"), ("2", "1"), ("3", "1"), ("4", "4"), ("4", "4"), ("5", "5"), ("5", "5"), ("None", "None")]
+    kept = sorted((str(r.doc_id), str(r.text), r.source) for r in bottomk_dedup.keep_one(frame).collect())
+    assert kept == [("1", one, "s"), ("1", two, "s"), ("4", three, "t"), ("5", "None", "s"), ("5", "None", "s"), ("None", one, "s")]
+
+
 def test_keep_one_keeps_the_columns(spark):
     frame = spark.createDataFrame([(i, t, "s", 7, "x") for i, t in corpus(3, groups=2)], DOCUMENTS)
     kept = bottomk_dedup.keep_one(frame)
@@ -108,7 +119,8 @@ def test_lists_meet_for_every_linked_pair():
 def test_pairs_on_both_sides_of_the_sketch(spark):
     """Texts of more than SKETCH shingles and their cut copies of at most as many, without a third copy."""
     rows = []
-    for small, large in [(128, 160)] * 15 + [(128, 158)] * 15 + [(127, 158)] * 15 + [(128, 129)] * 5 + [(104, 130)] * 5 + [(103, 129)] * 5:
+    sizes = [(n, m) for n in range(100, 136, 3) for m in (n + 1, n * 9 // 8, n * 5 // 4)] * 3
+    for small, large in [(128, 160)] * 15 + [(128, 158)] * 15 + [(127, 158)] * 15 + sizes:
         words = [f"{len(rows)}x{k}" for k in range(large + 4)]
         rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(words[: small + 4]))]
     got = {x.doc_id: (x.n_shingles, x.component_id) for x in bottomk_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()}

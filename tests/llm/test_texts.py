@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from lectern.llm import bitplane_store, cross_entropy, curriculum_mix, gga_packing, html_blocks, html_crf, html_samples, license_rules, oph_fingerprint, queries, subword_quality, token_ids
+from lectern.llm import bitplane_store, cross_entropy, curriculum_mix, gga_packing, html_blocks, html_crf, html_samples, kernels, license_rules, oph_fingerprint, queries, subword_quality, token_ids
 
 LARGER = "/root/testdata/sf0.01"  # the smallest tables have a dozen held-out labels
 ODD = [None, "", " ", "one", "Ünï cödé ß 日本語 text", "a b c", "tab\tand\nline  two   blanks", "<|endoftext|> x", "don't 12,345.67 e-mail", "x" * 5000, "same text here", "same text here"]
@@ -26,7 +26,6 @@ def frame_of(spark, texts):
 
 def encoded(name):
     tokenizer = Tokenizer.from_file(token_ids.vocabulary_path(name))
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
@@ -40,6 +39,30 @@ def test_ids_equal_the_tokenizer(name):
     assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [encode(t) for t in texts]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_of_odd_texts(name):
+    """Odd white space, joiners, marks, and the strings of added tokens."""
+    import pyarrow as pa
+
+    parts = ["a", "B", "don't", " ", "  ", "\t", "\n", "\r\n", "\x0b", "\x1c", "\x1d", "\x1f", "\x85", "\u3000", "\u00a0", "\u2009", "\u200b", "\u200d", "\u0301", "e\u0301", "😀", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<|", "12", "ß", "İ", "日本", "'S", "…", "x" * 300, " word,", " THE", "\x00"]
+    r, encode = random.Random(1), encoded(name)
+    encoder = token_ids.Encoder(token_ids.vocabulary_path(name))
+    for _ in range(40):
+        texts = ["".join(r.choices(parts, k=r.choice([1, 2, 3, 5, 20, 60]))) for _ in range(40)] + ["\x1c b", "<|endoftext|> x"]
+        ids, at = encoder.encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [encode(t) for t in texts]
+
+
+def test_long_words_have_their_own_hash():
+    """Two words of 4096 letters on which sums modulo a power of two agree."""
+    import pyarrow as pa
+
+    word = "".join("ab"[bin(k).count("1") % 2] for k in range(4096))
+    raw, offsets = kernels.text_buffer(pa.array([f"{word} {word.translate(str.maketrans('ab', 'ba'))} {word.upper()}"]))
+    hashes, _ = kernels.word_hashes(raw, offsets, lower=True)
+    assert hashes[0] != hashes[1] and hashes[0] == hashes[2]
+
+
 def test_store_round_trip(spark):
     encode = encoded("word_bpe_49k.json")
     for bits in (False, True):
@@ -121,6 +144,62 @@ def test_classifier_without_labels_and_odd_texts(spark):
     assert subword_quality.classify(documents.limit(0), none).count() == 0
 
 
+def plain_bag(text):
+    """Features of a text by name: words, pairs, pieces within words with blanks at their edges."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    out = Counter(("word", w) for w in words)
+    out.update(("pair", a, b) if a != b else ("again",) for a, b in zip(words, words[1:], strict=False))
+    for w in words:
+        data = b" " + w.encode() + b" "
+        out.update(("piece", data[k : k + n]) for n in (3, 4, 5) for k in range(len(data) - n + 1))
+    return out
+
+
+@pytest.mark.parametrize("segment", [1 << 18, 50])
+def test_features_equal_plain_ones(segment, monkeypatch):
+    """The number of features of each kind, and of each repeated feature, whatever the cuts of long texts."""
+    monkeypatch.setattr(kernels, "SEGMENT", segment)
+    r = random.Random(12)
+    for text in ["", " ", "one", "a a a b", "tab\tand\nline", "é " * 40, "x" * 400, *(" ".join(r.choices(["go", "went", "Gone,", "über", "no"], k=200)) for _ in range(5))]:
+        plain = plain_bag(text)
+        buckets, shares = subword_quality.bag(text)
+        total = sum(plain.values())
+        assert sorted((shares * total).round().astype(int).tolist()) == sorted(plain.values())
+        assert (subword_quality.REPEATED in buckets) == (("again",) in plain)
+
+
+def test_scores_do_not_depend_on_cuts_or_neighbours():
+    import pyarrow as pa
+
+    model = subword_quality.train(["good words here", "bad bad bad bad"] * 20, [1, 0] * 20)
+    long = " ".join(random.Random(3).choices(["good", "bad", "words", "here\tand", "x" * 3000], k=2000))
+    alone, beside = model.probabilities(pa.array([long])), model.probabilities(pa.array(["good", long, None]))
+    assert alone[0] == beside[1] and model.probabilities(pa.array(["bad bad"]))[0] < 0.5 < model.probabilities(pa.array(["good words"]))[0]
+
+
+def test_learning_equals_plain_steps():
+    """The same updates in plain loops over dense vectors."""
+    texts, labels = ["a b c", "c c d", "a d", "b b b"], [1, 0, 1, 0]
+    model = subword_quality.train(texts, labels, seed=9)
+    rng = np.random.default_rng(9)
+    vectors = rng.uniform(-1 / 8, 1 / 8, (subword_quality.BUCKETS, 8)).astype(np.float32)
+    layer, bias, done = np.zeros((8, 2), np.float32), np.zeros(2, np.float32), 0
+    for _ in range(subword_quality.EPOCHS):
+        for i in rng.permutation(4):
+            rate = subword_quality.RATE * (1 - done / (4 * subword_quality.EPOCHS))
+            done += 1
+            buckets, shares = subword_quality.bag(texts[i])
+            mean = sum(s * vectors[b] for b, s in zip(buckets, shares, strict=True))
+            e = np.exp(mean @ layer + bias)
+            gradient = e / e.sum() - np.eye(2)[labels[i]]
+            back = layer @ gradient
+            layer, bias = layer - rate * np.outer(mean, gradient), bias - rate * gradient * 0.1
+            for b, s in zip(buckets, shares, strict=True):
+                vectors[b] -= rate * 20 * min(s, 0.05) * back
+    used = np.unique(np.concatenate([subword_quality.bag(t)[0] for t in texts]))
+    assert model.weight[used] == pytest.approx((vectors @ (layer[:, 1] - layer[:, 0]))[used], abs=1e-4)
+
+
 def test_mix_meets_its_targets(spark):
     r = random.Random(4)
     rows = [(i, " ".join("w" * r.randint(0, 30)), r.choice(["b", "a", None, "ä", "Z"])) for i in range(300)]
