@@ -55,15 +55,12 @@ class Chain:
 
     def __init__(self, weights: dict[str, float], moves: np.ndarray, start: np.ndarray):
         self.weights, self.moves, self.start = weights, moves, start
-        self.by_path: dict[tuple[str, ...], float] = {}
+
+    def weigh(self, sign: str) -> float:
+        return self.weights.get(sign, 0.0)
 
     def emission(self, block: html_blocks.Block, text: str) -> float:
-        path = self.by_path.get(block.path)
-        if path is None:
-            if len(self.by_path) > 50_000:
-                self.by_path.clear()
-            path = self.by_path[block.path] = sum(self.weights.get(f, 0.0) for f in block.path)
-        return path + self.weights.get("always", 0.0) + sum(self.weights.get(f, 0.0) for f in text_features(block, text))
+        return block.weight + self.weigh("always") + sum(map(self.weigh, text_features(block, text)))
 
     def decode(self, emissions: list[float]) -> list[int]:
         """The likeliest states by Viterbi's algorithm."""
@@ -83,7 +80,7 @@ class Chain:
 
     def extract(self, page: str) -> tuple[str, int]:
         """The main text and how many blocks it has."""
-        found = [(b, t) for b in html_blocks.blocks(page) if (t := b.text())]
+        found = [(b, t) for b in html_blocks.blocks(page, self.weigh) if (t := b.text())]
         states = self.decode([self.emission(b, t) for b, t in found])
         kept = [t for (_, t), s in zip(found, states, strict=True) if s]
         return " ".join(kept), len(kept)
@@ -107,10 +104,10 @@ def _mark(part: str, label: int) -> str:
     """The part with a sign of its label at the start of each piece of text."""
     sign = "\ue001" if label else "\ue000"
     out, at = [], 0
-    for tag in html_blocks._TAG.finditer(part):
-        piece = part[at : tag.start()]
-        out.append((sign + piece if piece.strip() else piece) + tag[0])
-        at = tag.end()
+    for tag in html_blocks.tags(part):
+        piece = part[at : tag.start]
+        out.append((sign + piece if piece.strip() else piece) + part[tag.start : tag.end])
+        at = tag.end
     rest = part[at:]
     return "".join(out) + (sign + rest if rest.strip() else rest)
 

@@ -35,17 +35,34 @@ SENTENCES: dict[str, tuple[str, ...]] = {
     "mit-grant": ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",),
     "mit-notice": ("The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",),
     "mit-warranty": ("THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",),
+    "mit-liability": ("IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",),
     "isc-named": ("Licensed under the ISC License.", "ISC License", "SPDX-License-Identifier: ISC"),
     "isc-grant": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",),
+    "isc-warranty": ("THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",),
+    "isc-liability": ("IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",),
     "bsd2-named": ("Licensed under the BSD 2-Clause License.", "BSD 2-Clause License", "SPDX-License-Identifier: BSD-2-Clause"),
     "bsd3-named": ("Licensed under the BSD 3-Clause License.", "BSD 3-Clause License", "SPDX-License-Identifier: BSD-3-Clause"),
     "bsd-grant": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",),
     "bsd-source": ("Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",),
     "bsd-binary": ("Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",),
     "bsd-names": ("Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",),
+    "bsd-warranty": tuple(f"THIS SOFTWARE IS PROVIDED BY THE {by} \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED." for by in ("COPYRIGHT HOLDERS AND CONTRIBUTORS", "REGENTS AND CONTRIBUTORS", "AUTHOR")),
+    "bsd-liability": tuple(f"IN NO EVENT SHALL THE {who} BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE." for who in ("COPYRIGHT HOLDER OR CONTRIBUTORS", "COPYRIGHT OWNER OR CONTRIBUTORS", "REGENTS OR CONTRIBUTORS", "AUTHOR")),
     "apache2-named": ("Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\");", "Licensed under the Apache License 2.0.", "Released under the Apache License, Version 2.0.", "This project is licensed under the Apache License 2.0.", "SPDX-License-Identifier: Apache-2.0"),
     "apache2-compliance": ("you may not use this file except in compliance with the License.",),
     "apache2-where": ("You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",),
+    "apache2-unless": ("Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",),
+    "apache2-see": ("See the License for the specific language governing permissions and limitations under the License.",),
+    "apache2-title": ("Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",),
+    "apache2-copyright": ("Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form.",),
+    "gpl3-title": ("GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",),
+    "gpl2-title": ("GNU GENERAL PUBLIC LICENSE Version 2, June 1991",),
+    "lgpl3-title": ("GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",),
+    "lgpl21-title": ("GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",),
+    "agpl3-title": ("GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",),
+    "gnu-verbatim": ("Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",),
+    "gpl-details": ("See the GNU General Public License for more details.",),
+    "gpl-received": ("You should have received a copy of the GNU General Public License along with this program.", "You should have received a copy of the GNU General Public License along with this program; if not, see <https://www.gnu.org/licenses/>."),
     "gpl3-named": ("This work is licensed under the GNU General Public License, version 3.", "Licensed under the GNU General Public License, version 3.", "Licensed under the GNU General Public License v3.0.", "Licensed under the GPLv3.", "SPDX-License-Identifier: GPL-3.0-only", "SPDX-License-Identifier: GPL-3.0"),
     "gpl2-named": ("This work is licensed under the GNU General Public License, version 2.", "Licensed under the GNU General Public License, version 2.", "Licensed under the GPLv2.", "SPDX-License-Identifier: GPL-2.0-only", "SPDX-License-Identifier: GPL-2.0"),
     "gpl3-later": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "SPDX-License-Identifier: GPL-3.0-or-later"),
@@ -54,8 +71,16 @@ SENTENCES: dict[str, tuple[str, ...]] = {
     "lgpl3-named": ("Licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0-only", "SPDX-License-Identifier: LGPL-3.0-or-later"),
     "agpl3-named": ("Licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0-only", "SPDX-License-Identifier: AGPL-3.0-or-later"),
     "mpl2-named": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License 2.0.", "SPDX-License-Identifier: MPL-2.0"),
+    "mpl2-title": ("Mozilla Public License Version 2.0",),
+    "mpl2-where": ("If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.", "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    "unlicense-anyone": ("Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",),
     "unlicense-named": ("This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: Unlicense"),
     "zlib-named": ("Licensed under the zlib License.", "SPDX-License-Identifier: Zlib"),
+    "zlib-warranty": ("This software is provided 'as-is', without any express or implied warranty.",),
+    "zlib-liability": ("In no event will the authors be held liable for any damages arising from the use of this software.",),
+    "zlib-grant": ("Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",),
+    "boost-title": ("Boost Software License - Version 1.0 - August 17th, 2003",),
+    "boost-grant": ("Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:",),
     "boost-named": ("Distributed under the Boost Software License, Version 1.0.", "SPDX-License-Identifier: BSL-1.0"),
     "reserved": ("All rights reserved under copyright.", "Copyright. All rights reserved."),
 }
@@ -67,10 +92,17 @@ _ZERO = ("Licensed under CC0 1.0.", "Released under the CC0 1.0 Universal licens
 # Rules, each a licence and the identifiers that state it in order.
 RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("MIT", ("mit-named",)), ("MIT", ("mit-grant",)), ("MIT", ("mit-named", "mit-grant")), ("MIT", ("mit-grant", "mit-notice", "mit-warranty")), ("MIT", ("mit-named", "mit-grant", "mit-notice", "mit-warranty")),
-    ("ISC", ("isc-named",)), ("ISC", ("isc-grant",)), ("ISC", ("isc-named", "isc-grant")),
+    ("MIT", ("mit-grant", "mit-notice", "mit-warranty", "mit-liability")), ("MIT", ("mit-named", "mit-grant", "mit-notice", "mit-warranty", "mit-liability")),
+    ("ISC", ("isc-named",)), ("ISC", ("isc-grant",)), ("ISC", ("isc-named", "isc-grant")), ("ISC", ("isc-grant", "isc-warranty", "isc-liability")), ("ISC", ("isc-named", "isc-grant", "isc-warranty", "isc-liability")),
     ("BSD-2-Clause", ("bsd2-named",)), ("BSD-3-Clause", ("bsd3-named",)),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")), ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names")),
     ("BSD-2-Clause", ("bsd2-named", "bsd-grant", "bsd-source", "bsd-binary")), ("BSD-3-Clause", ("bsd3-named", "bsd-grant", "bsd-source", "bsd-binary", "bsd-names")),
+    *((name, (*start, "bsd-grant", "bsd-source", "bsd-binary", *names, "bsd-warranty", "bsd-liability")) for name, start, names in (("BSD-2-Clause", (), ()), ("BSD-2-Clause", ("bsd2-named",), ()), ("BSD-3-Clause", (), ("bsd-names",)), ("BSD-3-Clause", ("bsd3-named",), ("bsd-names",)))),
+    ("Apache-2.0", ("apache2-named", "apache2-compliance", "apache2-where", "apache2-unless", "apache2-see")), ("Apache-2.0", ("apache2-title",)), ("Apache-2.0", ("apache2-copyright",)),
+    ("GPL-3.0", ("gpl3-title",)), ("GPL-3.0", ("gpl3-title", "gnu-verbatim")), ("GPL-2.0", ("gpl2-title",)), ("GPL-2.0", ("gpl2-title", "gnu-verbatim")), ("AGPL-3.0", ("agpl3-title",)), ("AGPL-3.0", ("agpl3-title", "gnu-verbatim")),
+    ("LGPL-3.0", ("lgpl3-title",)), ("LGPL-3.0", ("lgpl3-title", "gnu-verbatim")), ("LGPL-2.1", ("lgpl21-title",)), ("LGPL-2.1", ("lgpl21-title", "gnu-verbatim")),
+    ("GPL-3.0-or-later", ("gpl3-later", "gpl-warranty", "gpl-details", "gpl-received")), ("GPL-2.0-or-later", ("gpl2-later", "gpl-warranty", "gpl-details", "gpl-received")),
+    ("MPL-2.0", ("mpl2-title",)), ("MPL-2.0", ("mpl2-named", "mpl2-where")), ("Unlicense", ("unlicense-named", "unlicense-anyone")), ("Zlib", ("zlib-grant",)), ("Zlib", ("zlib-warranty", "zlib-liability", "zlib-grant")), ("BSL-1.0", ("boost-title",)), ("BSL-1.0", ("boost-grant",)), ("BSL-1.0", ("boost-title", "boost-grant")),
     ("Apache-2.0", ("apache2-named",)), ("Apache-2.0", ("apache2-named", "apache2-compliance")), ("Apache-2.0", ("apache2-named", "apache2-compliance", "apache2-where")),
     ("GPL-3.0-only", ("gpl3-named",)), ("GPL-2.0-only", ("gpl2-named",)), ("GPL-3.0-or-later", ("gpl3-later",)), ("GPL-2.0-or-later", ("gpl2-later",)),
     ("GPL-3.0-or-later", ("gpl3-later", "gpl-warranty")), ("GPL-2.0-or-later", ("gpl2-later", "gpl-warranty")),
@@ -78,7 +110,7 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
 )
 
 #: Every known sentence has one of these, whatever its case.
-TRIGGER = r"(?i)licen[cs]e|copyright|permission|redistribut|warranty|public\s+domain|released\s+under"
+TRIGGER = r"(?i)licen[cs]e|copyright|permission|redistribut|warrant|public\s+domain|released\s+under|liable|anyone\s+is\s+free|copy\s+of\s+the\s+mpl"
 
 _WORD = re.compile(r"[^\W_]+(?:[.+-][^\W_]+)*")
 _STOP = re.compile(r"[.:;!?]+(?=\s|$)")
@@ -200,11 +232,12 @@ def recognise(text: str) -> tuple[list[tuple[str, int, int]], int]:
         for license_name, wanted in _BY_FIRST.get(found[at][0], ()):
             used = [at]
             for name in wanted[1:]:
-                near = [k for k in range(used[-1] + 1, len(found)) if found[k][3] - found[used[-1]][4] <= GAP + 1]
-                hit = next((k for k in near if found[k][0] == name), None)
-                if hit is None:
+                k, upto = used[-1] + 1, found[used[-1]][4] + GAP + 1
+                while k < len(found) and found[k][3] <= upto and found[k][0] != name:
+                    k += 1
+                if k == len(found) or found[k][3] > upto:
                     break
-                used.append(hit)
+                used.append(k)
             if len(used) == len(wanted):
                 matches.append((license_name, found[at][1], found[used[-1]][2]))
                 at = used[-1]

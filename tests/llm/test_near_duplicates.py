@@ -159,3 +159,23 @@ def test_vectors_empty_table_and_null_id(spark):
     frame = spark.createDataFrame([(None, [1.0, 0.0]), (1, [1.0, 0.0])], "vec_id long, embedding array<float>")
     assert sorted((str(r.vec_id), r.n_links, r.kept) for r in egrid_join.near_vectors(frame).collect()) == [("1", 0, True), ("None", 0, True)]
     assert egrid_join.near_vectors(frame.limit(0)).count() == 0
+
+
+def test_distant_blocks_are_skipped(spark):
+    """Clustered vectors: many pairs of blocks are never compared, and the result is that of all pairs."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 24)) * np.array([4, 3, 2, *[1] * 21])
+    data = (centres[rng.integers(0, 12, 400)] + 0.15 * rng.normal(size=(400, 24))).astype(np.float32)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(data)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    compared, pairs = egrid_join.interval_pairs(frame, block=16, fan=4)
+    assert pairs > 300 and compared < pairs / 2
+    got = {r.vec_id: (r.n_links, r.component_id) for r in egrid_join.near_vectors(frame, block=16, fan=4).collect()}
+    assert got == brute_vectors(rows)
+
+
+def test_vectors_that_share_an_id(spark):
+    """Two vectors of one vec_id are counted apart."""
+    rows = [(1, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0]), (2, [1.0, 0.01, 0.0]), (3, [0.9, 0.1, 0.0]), (4, [0.0, 1.0, 0.02]), (5, [0.0, 0.0, 1.0])]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in egrid_join.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect())
+    assert got == [(1, 1, 1), (1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 1, 1), (5, 0, 5)]

@@ -271,6 +271,39 @@ def test_every_known_wording_is_recognised():
             assert [m[0] for m in matches] == ([single[name]] if name in single else []), text
 
 
+def test_rules_equal_plain_matching():
+    """Identifiers in any order against every rule tried at every place."""
+    r = random.Random(4)
+    names = ["mit-named", "mit-grant", "mit-notice", "mit-warranty", "bsd-grant", "bsd-source", "bsd-binary", "bsd-names", "gnu-verbatim", None, None]
+    rules = sorted(license_rules.ALL_RULES, key=lambda x: -len(x[1]))
+    for _ in range(60):
+        line = [r.choice(names) for _ in range(30)]
+        text = "\n\n".join(license_rules.SENTENCES[n][0] if n else "Some other prose stands here." for n in line)
+        plain, at = [], 0
+        while at < len(line):
+            for license_name, wanted in rules:
+                place, upto = at, at + 1
+                for name in wanted if wanted[0] == line[at] else ("no",):
+                    hit = next((k for k in range(place, min(len(line), upto)) if line[k] == name), None)
+                    if hit is None:
+                        break
+                    place, upto = hit + 1, hit + license_rules.GAP + 2
+                else:
+                    plain.append(license_name)
+                    at = place - 1
+                    break
+            at += 1
+        assert [m[0] for m in license_rules.recognise(text)[0]] == plain
+
+
+def test_many_statements_take_linear_time():
+    import time
+
+    began = time.monotonic()
+    matches, n = license_rules.recognise("MIT License\n" * 20_000)
+    assert (len(matches), n) == (20_000, 20_000) and time.monotonic() - began < 20
+
+
 def test_wrapped_licence_text_is_one_match():
     notice = [w for n in ("gpl2-later", "gpl-warranty") for w in license_rules.SENTENCES[n][:1]]
     text = "\n".join(line for w in notice for line in re.findall(r"\S.{0,60}(?=\s|$)", w))
@@ -348,15 +381,59 @@ def test_page_labels_on_unseen_sites():
     for _ in range(60):
         parts = maker.page()
         _, labels = html_crf.labelled(parts)
-        found = [(b, t) for b in html_blocks.blocks("".join(x for _, x in parts)) if (t := b.text())]
-        if len(found) != len(labels):
-            continue
+        found = [(b, t) for b in html_blocks.blocks("".join(x for _, x in parts), chain.weigh) if (t := b.text())]
+        assert len(found) == len(labels)
         states = chain.decode([chain.emission(b, t) for b, t in found])
         hits += sum(a == b for a, b in zip(states, labels, strict=True))
         total += len(labels)
     assert total > 500 and hits / total > 0.95
 
 
+def plain_path(page, k):
+    """The signs around the k-th leaf of a well-formed page, read from its nesting alone."""
+    import xml.etree.ElementTree as tree
+
+    leaves = []
+
+    def walk(node, above, own):
+        mine = html_blocks.signs(node.tag, "".join(f' {a}="{v}"' for a, v in node.attrib.items()))
+        own, above = (mine, above | {*mine}) if node.tag in html_blocks.BLOCK else (own, above | {s for s in mine if not s.startswith("tag=")})
+        if node.text and node.text.strip():
+            leaves.append((node.text.strip(), above | {f"own:{s}" for s in own}))
+        for child in node:
+            walk(child, above, own)
+
+    walk(tree.fromstring(page), set(), ())
+    return leaves[k]
+
+
+def test_signs_around_blocks_equal_plain_ones():
+    page = '<html><body class="site"><div id="mainContent" class="post-body wide"><p>One</p><ul><li class="x">Two</li><li><span class="y">Three</span></li></ul></div><footer role="contentinfo"><p style="display:none">Four</p></footer></body></html>'
+    for k, block in enumerate(html_blocks.blocks(page)):
+        assert (block.text(), {*block.path}) == plain_path(page, k)
+    chain = html_crf.default_chain()
+    for plain, weighed in zip(html_blocks.blocks(page), html_blocks.blocks(page, chain.weigh), strict=True):
+        assert weighed.weight == pytest.approx(sum(map(chain.weigh, plain.path)))
+
+
+def test_broken_pages_are_read_once():
+    """Unclosed and unmatched markup of a megabyte, in a few seconds each; and what such markup hides."""
+    import time
+
+    texts = lambda page: [b.text() for b in html_blocks.blocks(page)]
+    assert texts("<p>a<svg/>b</p><p>c</p><svg><path/></svg>d") == ["ab", "c", "d"]
+    assert texts("<p>a</p><script>var x = 1") == ["a"]
+    assert texts("<p>a</p><noscript><p>b</p>") == ["a", "b"]
+    assert texts('<p title="a > b">c</p><p title=it\'s>d</p>') == ["c", "d"]
+    assert texts("<p>a<!-- x -- > y -->b<!-->c</p><p") == ["abc"]
+    assert texts("<ul><li>a<li>b<ul><li>c</ul><li>d</ul><p>e<p>f") == ["a", "b", "c", "d", "e", "f"]
+    chain = html_crf.default_chain()
+    for part in ("<a ", "<div>", "</b>", "<svg>", "<a b='", '<a ">', "<i>x</b>", "<!--", "<div class=c>t", "<td><li>", "&am", "<p>x <b>"):
+        began = time.monotonic()
+        chain.extract(part * (1_000_000 // len(part)))
+        assert time.monotonic() - began < 20, part
+
+
 def test_viterbi_finds_the_best_path():
     import itertools
 
