@@ -16,15 +16,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEGMENT_BITS = 16
+#: Steps of a count for each doubling.
+STEPS = 6
 #: Size of a mark table, as a power of two: a bit each.
 MARK_BITS = 22
 
 
 def counts(frame: DataFrame, slots: Callable[[pa.RecordBatch], np.ndarray], total: int) -> np.ndarray:
-    """How often each slot below ``total`` occurs. ``slots`` gives the slots of a batch.
+    """How often each slot below ``total`` occurs, as steps of a scale. ``slots`` gives the slots of a batch.
 
-    Counts are added up in 64 bits; what comes back are their nearest single-precision numbers,
-    which keep the order of any two that differ by more than a ten-millionth.
+    Counts are added up in 64 bits. What comes back is a byte for each: ``STEPS`` steps for each
+    doubling, 0 for none, so any count up to 2 ** 42 has a step of its own size and order.
     """
     step = min(total, 1 << SEGMENT_BITS)
 
@@ -41,12 +43,12 @@ def counts(frame: DataFrame, slots: Callable[[pa.RecordBatch], np.ndarray], tota
         out = np.zeros(step, np.int64)
         for data in table.column("data"):
             out += np.frombuffer(zlib.decompress(data.as_py()), np.int64)
-        return pa.table({"segment": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([out.astype(np.float32).tobytes()], pa.binary())})
+        return pa.table({"segment": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([np.ceil(STEPS * np.log2(1.0 + out)).astype(np.uint8).tobytes()], pa.binary())})
 
     parts = frame.mapInArrow(add, "segment int, data binary").groupBy("segment").applyInArrow(merge, "segment int, data binary")
-    out = np.zeros(total, np.float32)
+    out = np.zeros(total, np.uint8)
     for row in parts.toLocalIterator():
-        out[row.segment * step : (row.segment + 1) * step] = np.frombuffer(row.data, np.float32)
+        out[row.segment * step : (row.segment + 1) * step] = np.frombuffer(row.data, np.uint8)
     return out
 
 

@@ -7,8 +7,10 @@ packed on several islands at once:
 
 * an individual is a set of bins (groups of pieces), its fitness the mean squared fill;
 * crossover injects well-filled bins of one parent whole into the other, whose bins with
-  pieces that are now there twice are taken apart, and the displaced pieces are put back by
+  pieces that are now there twice are taken apart; displaced pieces first take the place of
+  smaller ones in bins that they fill better, and what is displaced in the end is put back by
   best fit, the longest first;
+* generations go on until the bound of all lengths is met or ``PATIENCE`` of them bring nothing;
 * after each epoch an island's elite also goes to the next island of its province, so the
   elites travel through Spark's shuffle and no task needs more than one province.
 
@@ -37,9 +39,13 @@ LENGTH = 2048
 PROVINCE = 4096
 ISLANDS = 2
 EPOCHS = 2
-POPULATION = 4
-GENERATIONS = 4
+POPULATION = 6
+#: Generations of an epoch at most, and without a fitter best before it ends.
+GENERATIONS = 60
+PATIENCE = 8
 ELITES = 1
+#: Displaced pieces that look for places of smaller ones.
+SEEKERS = 24
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _STATE = "province long, island int, fitness double, uids array<long>, lengths array<int>, bins array<int>"
@@ -109,6 +115,44 @@ def best_fit(order: list[int], lengths: list[int], bins: list[int], fill: list[i
             room.add(free - size, number)
 
 
+def settle(bins: np.ndarray, lengths: np.ndarray, loose: list[int], fill: list[int], length: int) -> list[int]:
+    """Let displaced pieces, alone or as two, take the place of one smaller piece, fullest bins first; gives those displaced in the end.
+
+    Each exchange makes a bin fuller, so there is an end. ``bins`` and ``fill`` are changed.
+    """
+    free = length - np.asarray(fill, dtype=np.int64)
+    placed = np.flatnonzero(bins >= 0)
+    placed = placed[free[bins[placed]] > 0]  # pieces of bins with room
+    loose = sorted(loose, key=lambda i: -int(lengths[i]))
+    seekers = loose[:SEEKERS]
+    rest = loose[SEEKERS:]
+    tries = 4 * SEEKERS
+    while seekers and len(placed) and tries:
+        tries -= 1
+        own, room = lengths[placed], lengths[placed] + free[bins[placed]]
+        options = [(int(lengths[i]), (i,)) for i in seekers] + [(int(lengths[a] + lengths[b]), (a, b)) for k, a in enumerate(seekers) for b in seekers[k + 1 :]]
+        sizes = np.array([x for x, _ in options])
+        order = np.argsort(sizes, kind="stable")
+        # for each placed piece the largest option that fits in its stead
+        best = np.searchsorted(sizes[order], room, side="right") - 1
+        got = np.where(best >= 0, sizes[order][best], 0)
+        gain = np.where(got > own, got - room, -length)  # 0 where the bin becomes full
+        k = int(np.argmax(gain))
+        if gain[k] <= -length or got[k] <= own[k]:
+            break
+        piece, chosen = int(placed[k]), options[order[best[k]]][1]
+        number = int(bins[piece])
+        free[number] -= int(got[k] - own[k])
+        fill[number] += int(got[k] - own[k])
+        bins[piece] = -1
+        seekers = [i for i in seekers if i not in chosen] + [piece]
+        for i in chosen:
+            bins[i] = number
+        placed = placed[placed != piece]
+        placed = placed[bins[placed] != number] if not free[number] else np.append(placed, chosen)
+    return seekers + rest
+
+
 def _fitness(fill: np.ndarray, length: int) -> float:
     used = fill[fill > 0]
     return float(np.mean((used / length) ** 2)) if len(used) else 1.0
@@ -133,9 +177,14 @@ def crossover(giver: np.ndarray, taker: np.ndarray, lengths: np.ndarray, length:
     bins = np.full(len(lengths), -1)
     bins[kept] = renamed
     used = np.bincount(renamed, weights=lengths[kept], minlength=len(names)).astype(np.int64).tolist()
-    loose = np.flatnonzero(displaced)
+    return _put_back(bins, lengths, np.flatnonzero(displaced), used, length)
+
+
+def _put_back(bins: np.ndarray, lengths: np.ndarray, loose: np.ndarray, used: list[int], length: int) -> np.ndarray:
+    bins[loose] = -1
+    left = np.array(settle(bins, lengths, loose.tolist(), used, length), dtype=np.int64)
     placed = bins.tolist()
-    best_fit(loose[np.argsort(-lengths[loose], kind="stable")].tolist(), lengths.tolist(), placed, used, length)
+    best_fit(left[np.argsort(-lengths[left], kind="stable")].tolist(), lengths.tolist(), placed, used, length)
     return np.array(placed)
 
 
@@ -146,34 +195,37 @@ def mutate(bins: np.ndarray, lengths: np.ndarray, length: int, rng: np.random.Ge
     gone[np.argsort(fill)[:2]] = True
     loose = np.flatnonzero(gone[bins])
     used = np.where(gone, 0, fill).astype(np.int64).tolist()
-    placed = bins.tolist()
-    best_fit(loose[np.argsort(-lengths[loose], kind="stable")].tolist(), lengths.tolist(), placed, used, length)
-    return np.array(placed)
+    return _put_back(bins.copy(), lengths, loose, used, length)
 
 
-def evolve(lengths: np.ndarray, individuals: list[np.ndarray], seed: int, length: int = LENGTH) -> list[tuple[float, np.ndarray]]:
+def evolve(lengths: np.ndarray, individuals: list[np.ndarray], seed: int, length: int = LENGTH, generations: int = GENERATIONS, patience: int = PATIENCE) -> list[tuple[float, np.ndarray]]:
     """The fittest individuals of one island after an epoch, the best first."""
     rng = np.random.default_rng(seed)
     least = -(-int(lengths.sum()) // length)
     size = lengths.tolist()
     people = list(individuals)
-    while len(people) < POPULATION:
-        noise = rng.random(len(size)) * (0.15 * len(people)) * length * 0.25
-        bins: list[int] = [-1] * len(size)
-        best_fit(np.argsort(-(lengths + noise), kind="stable").tolist(), size, bins, [], length)
-        people.append(np.array(bins))
-        if not individuals and len(people) == 1 and max(bins) + 1 == least:
-            break  # nothing can be better
-    ranked = sorted(((_fitness(np.bincount(b, weights=lengths), length), k, b) for k, b in enumerate(people)), key=lambda x: (-x[0], x[1]))
-    for generation in range(GENERATIONS):
-        if len({*ranked[0][2].tolist()}) <= least:
+    if not people or any(len({*b.tolist()}) > least for b in people):
+        while len(people) < POPULATION:
+            noise = rng.random(len(size)) * (0.15 * len(people)) * length * 0.25
+            bins: list[int] = [-1] * len(size)
+            best_fit(np.argsort(-(lengths + noise), kind="stable").tolist(), size, bins, [], length)
+            people.append(np.array(bins))
+            if max(bins) + 1 == least:
+                break  # nothing can be better
+    rank = lambda people: sorted(people, key=lambda x: (x[0], -x[1], x[2]))[:POPULATION]
+    ranked = rank([(len({*b.tolist()}), _fitness(np.bincount(b, weights=lengths), length), k, b) for k, b in enumerate(people)])
+    idle = 0
+    for generation in range(generations):
+        if ranked[0][0] <= least or idle >= patience:
             break
         k = len(ranked)
-        a, b = (0, int(rng.integers(1, k))) if k > 1 else (0, 0)
-        child = mutate(crossover(ranked[b][2], ranked[a][2], lengths, length, rng), lengths, length, rng)
+        a, b = (int(rng.integers(0, k)), int(rng.integers(0, k))) if generation % 2 else (0, int(rng.integers(1, k)) if k > 1 else 0)
+        child = mutate(crossover(ranked[b][3], ranked[a][3], lengths, length, rng), lengths, length, rng)
         child, fill = _compact(child, lengths)
-        ranked = sorted([*ranked, (_fitness(fill, length), 1000 + generation, child)], key=lambda x: (-x[0], x[1]))[:POPULATION]
-    return [(f, b) for f, _, b in ranked[:ELITES]]
+        before = ranked[0][:2]
+        ranked = rank([*ranked, (len(fill), _fitness(fill, length), 1000 + generation, child)])
+        idle = 0 if ranked[0][:2] != before else idle + 1
+    return [(f, b) for _, f, _, b in ranked[:ELITES]]
 
 
 def _epoch(length: int):

@@ -9,6 +9,8 @@ by one, since the sums used for short ones have known collisions at greater leng
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -79,6 +81,13 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str, size: int = BLOCK) ->
             stop = max(start + 1, int(np.searchsorted(at, at[start] + size, side="right")) - 1)
             yield batch.slice(start, stop - start)
             start = stop
+    release()
+
+
+def release() -> None:
+    """Give what numpy has freed back to the system, where the C library can: Python workers live on from stage to stage."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def segment_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:

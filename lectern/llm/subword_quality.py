@@ -210,9 +210,11 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLA
             })
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by([("doc_id", "ascending"), ("quality", "ascending")])
+        ids, labels = table.column("doc_id").to_pylist(), table.column("quality").to_pylist()
+        order = sorted(range(len(ids)), key=lambda k: (ids[k], labels[k]))
         held = [(np.frombuffer(b.as_buffer(), "<i4"), np.frombuffer(s.as_buffer(), "<f4")) for b, s in zip(table.column("buckets"), table.column("shares"), strict=True)]
-        model = learn(held, table.column("quality").to_pylist())
+        model = learn([held[k] for k in order], [labels[k] for k in order])
+        kernels.release()
         return pa.table({"weight": pa.array([model.weight.astype("<f4").tobytes()], pa.binary()), "bias": pa.array([model.bias])})
 
     made = rows.mapInArrow(bags, "doc_id long, quality int, buckets binary, shares binary")

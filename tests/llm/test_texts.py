@@ -125,6 +125,20 @@ def test_crossover_keeps_every_piece():
     assert len(child) == 200 and child.min() >= 0 and np.bincount(child, weights=lengths).max() <= 2048
 
 
+def test_evolution_beats_best_fit_on_hard_instances():
+    """Full bins of three pieces each, which best fit, the longest first, can't find again."""
+    for seed in range(3):
+        rng = np.random.default_rng(seed)
+        parts = [rng.multinomial(2048 - 1500, [0.4, 0.35, 0.25]) + 500 for _ in range(60)]
+        lengths = rng.permutation(np.concatenate(parts))
+        bins = [-1] * len(lengths)
+        gga_packing.best_fit(np.argsort(-lengths, kind="stable").tolist(), lengths.tolist(), bins, [], 2048)
+        (_, found), = gga_packing.evolve(lengths, [], seed, generations=400, patience=400)[:1]
+        fill = np.bincount(found, weights=lengths)
+        assert fill.max() <= 2048 and fill.sum() == lengths.sum()
+        assert len({*found.tolist()}) < max(bins) + 1
+
+
 def test_classifier_learns_and_scores_every_row(spark):
     documents, labels = spark.read.parquet(f"{LARGER}/documents.parquet"), spark.read.parquet(f"{LARGER}/labels.parquet")
     known = {r.doc_id: r.quality for r in labels.collect()}
