@@ -14,6 +14,16 @@ QUERY_TERMS = 32
 SNIPPET = 600
 
 
+def stripped(text: Column) -> Column:
+    """The text without white space at its ends, line breaks included."""
+    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+
+
+def without_mark(text: Column) -> Column:
+    """The text without a leading byte order mark."""
+    return F.regexp_replace(text, r"^\ufeff", "")
+
+
 def words(text: Column) -> Column:
     """The words of a text: runs without white space."""
     return F.filter(F.split(text, f"{SPACE}+"), lambda w: w != "")
