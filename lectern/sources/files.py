@@ -112,7 +112,7 @@ def csv_text(rows: Column) -> Column:
 
 def csv_segments(rows: DataFrame, delimiter: str = ",", key: str = "doc_id") -> DataFrame:
     """CSV texts, one segment each."""
-    parsed = rows.select(key, csv_records(F.col("text"), delimiter).alias("_records"))
+    parsed = rows.select(key, F.explode(F.array(csv_records(F.col("text"), delimiter))).alias("_records"))  # so that it is made once
     return parsed.select(key, F.lit(0).alias("ordinal"), F.lit(None).cast("string").alias("label"), csv_text(F.col("_records")).alias("text")).where("text <> ''")
 
 
