@@ -80,3 +80,33 @@ def figures(text: Column) -> Column:
 def without_dates(text: Column) -> Column:
     """The text with a blank for each date."""
     return F.regexp_replace(text, rf"(?<![\d.])(?:{DATE})(?![\d])", " ")
+
+
+def first_date(text: Column) -> Column:
+    """The first printed date of a text; empty without one."""
+    return F.regexp_extract(text, rf"(?<![\d.])({DATE})(?!\d)", 1)
+
+
+def last_amount(text: Column) -> Column:
+    """The last figure of a text in cents."""
+    return amount(F.try_element_at(figures(text), F.lit(-1)))
+
+
+def last_integer(text: Column) -> Column:
+    """The last whole number that stands beside a currency sign or code, in cents; a minus counts if it touches it, parentheses in any case."""
+    codes = "|".join(CURRENCIES)
+    number = r"(?:\(\s*)?-?(?<![\d.,])\d+(?![\d]|[.,]\d)"
+    before = rf"(?:[€$£¥]\s*|(?<![\p{{L}}\p{{N}}])(?:{codes})\s+)({number}(?:\s*\)|-)?)"
+    behind = rf"({number}(?:\s*\)|-)?)\s*(?:[€$£¥]|(?<=\s)(?:{codes})(?![\p{{L}}\p{{N}}]))"
+    found = F.regexp_extract_all(without_dates(text), F.lit(f"{before}|{behind}"), F.lit(0))
+    return amount(F.regexp_extract(F.try_element_at(found, F.lit(-1)), rf"({number}(?:\s*\)|-)?)", 1))
+
+
+def total(text: Column) -> Column:
+    """The printed total of a line: its last figure, else its last whole number beside a currency."""
+    return F.coalesce(last_amount(text), last_integer(text))
+
+
+def percent(text: Column) -> Column:
+    """The first percentage of a text."""
+    return F.regexp_replace(F.regexp_extract(text, r"(\d+(?:[.,]\d+)?)\s*%", 1), ",", ".").try_cast("double")

@@ -55,8 +55,13 @@ def transcript(messages: DataFrame) -> DataFrame:
 
 
 def older_than(events: DataFrame, cursor: tuple | None, size: int, time: str = "ts", key: str = "event_id") -> DataFrame:
-    """A page of events, the newest first, strictly older than the cursor (time, key)."""
+    """A page of events, the newest first, strictly older than the cursor (time, key).
+
+    Without a cursor the first page; a cursor of nulls, of an event that is not there, has none after it.
+    """
     rows = events
+    if cursor is not None and None in cursor:
+        return rows.limit(0)
     if cursor is not None:
         rows = rows.where((F.col(time) < F.lit(cursor[0])) | ((F.col(time) == F.lit(cursor[0])) & (F.col(key) < F.lit(cursor[1]))))
     return rows.orderBy(F.col(time).desc(), F.col(key).desc()).limit(size)

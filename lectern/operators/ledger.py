@@ -83,3 +83,8 @@ def invoice_checks(lines: DataFrame, totals: DataFrame, keys: str = "invoice") -
     check = lambda have, want: F.when(have.isNull() | want.isNull(), "unknown").when(F.abs(have - want) <= slack, "ok").otherwise("mismatch")
     net, tax, gross = F.col("net"), F.col("tax"), F.col("gross")
     return rows.select(keys, check(F.col("items"), net).alias("items_net"), check(net + tax, gross).alias("net_gross"), check(net * F.col("rate") / 100, tax).alias("rate_tax"))
+
+
+def with_categories(rows: DataFrame, categories: DataFrame) -> DataFrame:
+    """Transactions with the name of their category (category_id, name); null for one that is unknown or not given."""
+    return rows.join(categories.select("category_id", "name"), "category_id", "left")

@@ -8,11 +8,14 @@ currency is no row.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions import money as M
+from lectern.functions import text as T
 
 # Labels of balance lines, lower case.
 OPENING = ("opening balance", "balance brought forward", "previous balance", "starting balance", "alter kontostand", "alter saldo", "anfangssaldo", "saldovortrag", "kontostand alt", "saldo alt")
@@ -66,7 +69,10 @@ def transactions(documents: DataFrame) -> DataFrame:
     """
     rows = lines(documents)
     anchor = rows.select("doc_id", "pos", M.first_full_date(F.col("line")).alias("full")).where("full IS NOT NULL").groupBy("doc_id").agg(F.min_by("full", "pos").alias("full"))
-    body = rows.where(~_any(OPENING + CLOSING + PERIOD))
+    # a line of words alone right behind a row goes on with its description
+    words = (F.size(M.figures(F.col("line"))) == 0) & (M.first_date(F.col("line")) == "") & ~_any(OPENING + CLOSING + PERIOD)
+    following = F.lead(F.when(words, F.trim("line"))).over(W.partitionBy("doc_id").orderBy("pos"))
+    body = rows.withColumn("more", following).where(~_any(OPENING + CLOSING + PERIOD))
     body = body.join(currency_vote(rows), "doc_id", "left").join(date_order(rows), "doc_id", "left").join(anchor, "doc_id", "left")
     known = M.date(F.col("full"), F.coalesce("month_first", F.lit(False)))
     body = body.withColumn("anchor", known)
@@ -76,13 +82,14 @@ def transactions(documents: DataFrame) -> DataFrame:
     body = body.withColumn("rest", M.without_dates(rest)).withColumn("figures", F.regexp_extract_all("rest", F.lit(f"({M.FIGURE})"), F.lit(1)))
     body = body.withColumn("date", parse(leading(1))).withColumn("value_date", parse(leading(2))).where(F.size("figures") > 0)
     description = F.trim(F.regexp_replace(F.regexp_extract("rest", f"(?s)^(.*?){M.FIGURE}", 1), r"\s*(?:[A-Z]{3}|[€$£¥])\s*$", ""))
+    own = description
+    description = F.when(description != "", F.concat_ws(" ", description, "more")).otherwise("")
     many = F.size("figures") >= 2
     region = F.regexp_extract("rest", f"((?:(?:[A-Z]{{3}}|[€$£¥])\\s?)?{M.FIGURE}.*)$", 1)
-    body = body.select("doc_id", "pos", "date", "value_date", description.alias("description"), M.amount(F.element_at("figures", F.when(many, -2).otherwise(-1))).alias("cents"), F.when(many, M.amount(F.element_at("figures", -1))).alias("balance"), F.coalesce(M.currency(region), F.col("doc_currency")).alias("currency"))
+    body = body.select("doc_id", "pos", "date", "value_date", description.alias("description"), (~many & own.rlike(r"(?:^|\s)\d+$")).alias("doubtful"), M.amount(F.element_at("figures", F.when(many, -2).otherwise(-1))).alias("cents"), F.when(many, M.amount(F.element_at("figures", -1))).alias("balance"), F.coalesce(M.currency(region), F.col("doc_currency")).alias("currency"))
     body = body.where(F.col("date").isNotNull() & (F.col("description") != "") & F.col("currency").isNotNull())
     printed = F.max(F.col("balance").isNotNull()).over(W.partitionBy("doc_id"))
-    doubtful = F.col("balance").isNull() & F.col("description").rlike(r"(?:^|\s)\d+$")
-    return body.withColumn("_printed", printed).where(~(doubtful & F.col("_printed"))).drop("_printed")
+    return body.withColumn("_printed", printed).where(~(F.col("doubtful") & F.col("_printed"))).drop("_printed", "doubtful")
 
 
 def balances(documents: DataFrame) -> DataFrame:
@@ -98,8 +105,48 @@ def balances(documents: DataFrame) -> DataFrame:
     return found.select("doc_id", F.coalesce("o", F.when(F.col("days") > 1, F.col("first"))).alias("opening"), F.coalesce("c", F.when(F.col("days") > 0, F.col("last"))).alias("closing")).where("opening IS NOT NULL OR closing IS NOT NULL")
 
 
-# Labels that begin the total lines of an invoice, lower case.
-TOTALS = {"net": ("net", "net total", "subtotal", "netto", "nettobetrag", "zwischensumme"), "tax": ("tax", "vat", "ust", "mwst", "umsatzsteuer", "mehrwertsteuer"), "gross": ("total", "gross", "gross total", "grand total", "amount due", "gesamt", "gesamtbetrag", "rechnungsbetrag", "brutto", "summe")}
+# Labels that begin the header and total lines of an invoice, lower case.
+HEADER = {
+    "vendor": ("vendor", "lieferant", "seller", "verkäufer", "supplier", "rechnungssteller", "from"),
+    "recipient": ("rechnungsempfänger", "empfänger", "bill to", "billed to", "invoice to", "kunde", "customer", "rechnung an"),
+    "number": ("invoice number", "invoice no", "invoice #", "rechnungsnummer", "rechnungs-nr", "rechnung nr", "rechnung-nr"),
+    "due_date": ("due date", "fälligkeitsdatum", "fällig", "payment due", "zahlbar bis", "due"),
+    "date": ("invoice date", "rechnungsdatum", "datum", "date"),
+}
+TOTALS = {
+    "net": ("net total", "net amount", "nettobetrag", "nettosumme", "netto", "subtotal", "zwischensumme", "summe netto"),
+    "tax": ("vat", "mehrwertsteuer", "umsatzsteuer", "mwst", "steuerbetrag", "ust", "tax total", "tax", "steuer"),
+    "gross": ("gross total", "gross amount", "gesamtbetrag", "rechnungsbetrag", "rechnungssumme", "gesamtsumme", "endsumme", "endbetrag", "gesamt", "brutto", "amount due", "zu zahlen", "zahlbetrag", "summe", "total"),
+}
+
+
+def glyph_soup(documents: DataFrame) -> DataFrame:
+    """Per document its lines, how many are scattered single characters, and whether the text is suspect.
+
+    A line is scattered with three single characters in a row, or if it has six words at least, 45 in
+    a hundred of one character. Three such lines at least, and one in five, make a text suspect.
+    """
+    rows = documents.select("doc_id", F.explode(F.split("text", r"\r?\n")).alias("line")).select("doc_id", F.split(T.stripped(F.col("line")), r"\s+").alias("w")).where("w[0] <> ''")
+    single = F.size(F.filter("w", lambda w: F.length(w) == 1))
+    scattered = F.array_join("w", " ").rlike(r"(?:^|\s)\S\s\S\s\S(?:\s|$)") | ((F.size("w") >= 6) & (single / F.size("w") >= 0.45))
+    found = rows.groupBy("doc_id").agg(F.count("*").alias("lines"), F.sum(scattered.cast("long")).alias("scattered"))
+    return found.withColumn("suspect", (F.col("scattered") >= 3) & (F.col("scattered") / F.col("lines") >= 0.2))
+
+
+def invoice_header(documents: DataFrame) -> DataFrame:
+    """Vendor, recipient, number, date and due date: the first labelled line of each, without a figure."""
+    rows = lines(documents).where(F.size(M.figures(F.col("line"))) == 0).join(date_order(lines(documents)), "doc_id", "left")
+    value = lambda kind: F.regexp_extract(F.trim("line"), rf"(?i)^(?:{'|'.join(re.escape(x) for x in HEADER[kind])})(?![\p{{L}}\p{{N}}])[\s.:#-]*(\S.*)$", 1)
+    day = lambda kind: M.date(F.regexp_extract(value(kind), rf"({M.DATE})", 1), F.coalesce("month_first", F.lit(False)))
+    kinds, taken = {}, F.lit(False)
+    for kind in HEADER:  # a line is of the first kind that it fits
+        got = day(kind) if "date" in kind else F.nullif(F.trim(value(kind)), F.lit(""))
+        if kind == "recipient":
+            got = F.when(~got.rlike(r"(?i)^(?:number|no|nr|nummer|reference|ref|id)\b"), got)
+        kinds[kind] = F.when(~taken, got)
+        taken = taken | got.isNotNull()
+    marked = rows.select("doc_id", "pos", *(c.alias(k) for k, c in kinds.items()))
+    return marked.groupBy("doc_id").agg(*(F.min_by(k, F.when(F.col(k).isNotNull(), F.col("pos"))).alias(k) for k in HEADER))
 
 
 def invoice_totals(documents: DataFrame) -> DataFrame:

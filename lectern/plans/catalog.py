@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lectern.plans import ingest, records, search
+from lectern.plans import ingest, records, search, statements
 
-_FAMILIES = (search, records, ingest)
+_FAMILIES = (search, records, ingest, statements)
 
 QUERIES = {name: query for family in _FAMILIES for name, query in family.QUERIES.items()}
 ORACLE_SQL = {name: sql for family in _FAMILIES for name, sql in family.ORACLE_SQL.items()}

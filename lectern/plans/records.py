@@ -118,7 +118,7 @@ def audit_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page of events before a cursor."""
     events = table(spark, sf_dir, "events").select("event_id", "ts", "event_type")
     cursor = events.where("event_type = 'error'").agg(F.max(F.struct("ts", "event_id")).alias("m")).collect()[0].m
-    return conversation.older_than(events, (cursor.ts, cursor.event_id), 50).select("event_id", "event_type")
+    return conversation.older_than(events, tuple(cursor) if cursor else (None, None), 50).select("event_id", "event_type")
 
 
 def audit_retention(spark: SparkSession, sf_dir: str) -> DataFrame:

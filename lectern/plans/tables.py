@@ -15,10 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation turn as a chunk: the conversation is its document, the turn its page."""
     rows = table(spark, sf_dir, "conversations")
-    return rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("chunk_id"), F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), "role", "text", F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")).cast("long").alias("token_count"))
+    return rows.select((F.col("conv_id") * (1 << 32) + F.col("turn")).alias("chunk_id"), F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), "role", "text", F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")).cast("long").alias("token_count"))
 
 
-CHUNKS = r"""chunks AS (SELECT conv_id * 1000 + turn AS chunk_id, conv_id AS doc_id, turn AS page, role, text,
+CHUNKS = r"""chunks AS (SELECT conv_id * 4294967296 + turn AS chunk_id, conv_id AS doc_id, turn AS page, role, text,
   CAST(len(regexp_extract_all(text, '[^ \t\n\r\f\v]+')) AS BIGINT) AS token_count FROM conversations)"""
 
 
