@@ -70,3 +70,31 @@ def older_than(events: DataFrame, cursor: tuple | None, size: int, time: str = "
 def newest(events: DataFrame, keep: int, time: Column, key: str = "event_id") -> DataFrame:
     """The newest events that a bounded log keeps."""
     return events.orderBy(time.desc(), F.col(key).desc()).limit(keep)
+
+
+def with_skills(messages: DataFrame, skills: DataFrame, result_tables: DataFrame) -> DataFrame:
+    """Messages with the title of the skill that made them, and whether they have a result table."""
+    has = result_tables.select("conv_id", "seq").distinct().withColumn("has_table", F.lit(True))
+    rows = messages.join(skills.select("skill_id", F.col("title").alias("skill_title")), "skill_id", "left").join(has, ["conv_id", "seq"], "left")
+    return rows.withColumn("has_table", F.coalesce("has_table", F.lit(False)))
+
+
+def undone(messages: DataFrame, result_tables: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Messages and result tables without each conversation's last message, if an answer; and what was taken, to restore it by union."""
+    last = latest(messages).where("role = 'assistant'").select("conv_id", "seq")
+    taken = messages.join(last, ["conv_id", "seq"], "left_semi")
+    return messages.join(last, ["conv_id", "seq"], "left_anti"), result_tables.join(last, ["conv_id", "seq"], "left_anti"), taken
+
+
+def compacted(messages: DataFrame, due: DataFrame, summaries: DataFrame) -> DataFrame:
+    """The messages with a checkpoint (role system, kind compaction) behind the last of each conversation that is due."""
+    last = messages.groupBy("conv_id").agg(F.max("seq").alias("_last"))
+    rows = due.join(summaries, "conv_id").join(last, "conv_id")
+    made = rows.select("conv_id", (F.col("_last") + 1).cast(messages.schema["seq"].dataType).alias("seq"), F.lit("system").alias("role"), F.col("summary").alias("text"), F.lit("compaction").alias("kind"), "covers_through")
+    return messages.unionByName(made, allowMissingColumns=True)
+
+
+def citations(json: Column) -> Column:
+    """Citations of a message as an array; null where the text is no such JSON."""
+    found = F.from_json(json, "array<struct<label:string,sourceTitle:string,pageNumber:int,documentId:long>>")
+    return F.when(F.trim(json).startswith("["), F.when(F.forall(found, lambda c: c.isNotNull()), found))

@@ -59,14 +59,36 @@ def needs_reindex(documents: DataFrame, chunks: DataFrame, vectors: DataFrame) -
 
 def smart_views(documents: DataFrame, memberships: DataFrame) -> DataFrame:
     """A row (view, documents) for each smart view."""
+    rows, views = _views(documents, memberships)
+    counted = rows.select(*[F.sum(c.cast("long")).alias(v) for v, c in views.items()])
+    return counted.unpivot([], list(views), "view", "documents").withColumn("documents", F.coalesce("documents", F.lit(0).cast("long")))
+
+
+def _views(documents: DataFrame, memberships: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+    """The documents with what the views look at, and the views."""
     filed = memberships.where("type = 'project'").select("doc_id").distinct().withColumn("_p", F.lit(True))
     rows = documents.join(filed, "doc_id", "left")
     views = {
         "archived": F.coalesce("lifecycle", F.lit("permanent")) == "archived", "unfiled": F.col("_p").isNull(), "large": F.coalesce(F.col("size_bytes") >= LARGE, F.lit(False)),
         "failed": F.col("status") == "failed", "audio": F.coalesce(F.col("mime_type").startswith("audio/"), F.lit(False)),
     }
-    counted = rows.select(*[F.sum(c.cast("long")).alias(v) for v, c in views.items()])
-    return counted.unpivot([], list(views), "view", "documents").withColumn("documents", F.coalesce("documents", F.lit(0).cast("long")))
+    for name, column in (("generated", "origin"), ("needsReindex", "stale_embeddings"), ("ocr", "ocr")):
+        if column in documents.columns:
+            views[name] = F.coalesce(F.col(column), F.lit(False)) if documents.schema[column].dataType.typeName() == "boolean" else F.col(column).isNotNull()
+    return rows, views
+
+
+def filtered(documents: DataFrame, memberships: DataFrame, view: str | None = None, lifecycle: str | None = None, collection: str | None = None) -> DataFrame:
+    """The documents of a view, a lifecycle (none given counts as permanent) and a collection, the last changed first."""
+    names, rows = documents.columns, documents
+    if view:
+        rows, views = _views(documents, memberships)
+        rows = rows.where(views[view])
+    if lifecycle:
+        rows = rows.where(F.coalesce("lifecycle", F.lit("permanent")) == lifecycle)
+    if collection:
+        rows = rows.join(memberships.where(F.col("collection") == collection).select("doc_id"), "doc_id", "left_semi")
+    return rows.select(*names).orderBy(F.col("updated_at").desc(), F.col("doc_id").desc())
 
 
 def named_documents(documents: DataFrame, question: str) -> DataFrame:
@@ -124,3 +146,60 @@ def without(tables: dict[str, DataFrame], ids: DataFrame, key: str = "doc_id") -
 def kept_newest(table: DataFrame, cap: int, order: list[Column]) -> DataFrame:
     """The first ``cap`` rows of an order."""
     return table.orderBy(*order).limit(cap)
+
+
+def resolved_scope(conversations: DataFrame, memberships: DataFrame, attachments: DataFrame) -> DataFrame:
+    """Documents (conv_id, doc_id) in each conversation's scope.
+
+    The scope is that of ``scope_json`` (collectionIds, documentIds); else the ids of the older
+    ``ids_json``; else the conversation's project; else the collection Library. Attached documents
+    always belong to it. Text that is no JSON counts as none.
+    """
+    new = F.from_json("scope_json", "collectionIds array<string>, documentIds array<long>")
+    old = F.from_json("ids_json", "array<long>")
+    usable = F.coalesce(F.size(new["collectionIds"]) > 0, F.lit(False)) | F.coalesce(F.size(new["documentIds"]) > 0, F.lit(False))
+    legacy = F.coalesce(F.size(old) > 0, F.lit(False))
+    rows = conversations.select("conv_id", F.when(usable, new["collectionIds"]).when(legacy, F.array().cast("array<string>")).otherwise(F.array(F.coalesce("project", F.lit("Library")))).alias("c"), F.when(usable, new["documentIds"]).when(legacy, old).alias("d"))
+    by_collection = rows.select("conv_id", F.explode("c").alias("collection")).join(memberships, "collection").select("conv_id", "doc_id")
+    return by_collection.union(rows.select("conv_id", F.explode("d").alias("doc_id"))).union(attachments.select("conv_id", "doc_id")).distinct()
+
+
+def ordered_collections(collections: DataFrame) -> DataFrame:
+    """Collections, built-in ones first, then by name."""
+    return collections.orderBy((F.col("type") != "builtin").cast("int"), "name")
+
+
+def seeded(categories: DataFrame, names: list[str]) -> DataFrame:
+    """The categories (name, builtin) with those of the names that are missing, as built-in ones."""
+    fresh = categories.sparkSession.createDataFrame([(n, True) for n in dict.fromkeys(names)], "name string, builtin boolean")
+    return categories.unionByName(fresh.join(categories.where("builtin").select("name"), "name", "left_anti").select(*categories.columns))
+
+
+def filed(imports: DataFrame, collections: DataFrame) -> DataFrame:
+    """Where imported documents (doc_id, destination, target) belong: the project if there is one of that name, else the Library; temporary ones nowhere."""
+    known = collections.where("type = 'project'").select(F.col("name").alias("target"), F.lit(True).alias("_there"))
+    rows = imports.join(known, "target", "left")
+    place = F.when((F.col("destination") == "project") & F.col("_there"), F.col("target")).otherwise("Library")
+    return rows.where("destination <> 'temporary'").select("doc_id", place.alias("collection"), F.when(place == "Library", "builtin").otherwise("project").alias("type"))
+
+
+def archived(documents: DataFrame, ids: DataFrame, on: bool = True) -> DataFrame:
+    """The documents with the lifecycle of some set to archived or back to permanent."""
+    rows = documents.join(ids.select("doc_id").distinct().withColumn("_on", F.lit(True)), "doc_id", "left")
+    return rows.withColumn("lifecycle", F.when(F.col("_on"), "archived" if on else "permanent").otherwise(F.col("lifecycle"))).drop("_on").select(*documents.columns)
+
+
+def removed(memberships: DataFrame, gone: DataFrame) -> DataFrame:
+    """The memberships without those (doc_id, collection) that are taken away."""
+    return memberships.join(gone.select("doc_id", "collection").distinct(), ["doc_id", "collection"], "left_anti")
+
+
+def listed_by_ids(documents: DataFrame, memberships: DataFrame, chunks: DataFrame, vectors: DataFrame, ids: list[int]) -> DataFrame:
+    """The document list for some ids; only their rows are counted."""
+    own = F.col("doc_id").isin(*ids)
+    return listing(*(t.where(own) for t in (documents, memberships, chunks, vectors)))
+
+
+def signature(table: DataFrame, seq: str) -> DataFrame:
+    """One row that changes with the table: how many rows it has and the last number."""
+    return table.agg(F.count("*").alias("n"), F.max(seq).alias("last"))

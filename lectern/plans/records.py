@@ -176,7 +176,7 @@ def invoice_total_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (scope_union, scope_archived, searchable_documents, project_only_docs, unfiled_docs, list_documents, smart_views, reindex_needed, filename_scope, generated_staleness, upsert_settings, membership_insert, latest_message, last_user_turn, role_collapse, context_fit, compaction_due, transcript_export, audit_page, audit_retention, audit_daily, reconcile_running_balance, statement_completeness, reconciliation_counts, cashflow_summary, category_totals, invoice_total_checks)}
 
-_COST = "(CAST(ceil(coalesce(list_sum(list_transform(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\v]+'), lambda w: CASE WHEN length(w) <= 16 THEN 1 ELSE CAST(ceil(length(w) / 4) AS BIGINT) END)), 0) * 1.3::DOUBLE * 1.5::DOUBLE) AS BIGINT) + 8)"
+COST = "(CAST(ceil(coalesce(list_sum(list_transform(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\v]+'), lambda w: CASE WHEN length(w) <= 16 THEN 1 ELSE CAST(ceil(length(w) / 4) AS BIGINT) END)), 0) * 1.3::DOUBLE * 1.5::DOUBLE) AS BIGINT) + 8)"
 _CHECKED = f"""{LEDGER}, sums AS (SELECT *, CAST(sum(cents) OVER (PARTITION BY statement ORDER BY pos) AS BIGINT) AS total FROM ledger),
   lasts AS (SELECT *, last_value(balance IGNORE NULLS) OVER w AS lb, last_value(CASE WHEN balance IS NOT NULL THEN total END IGNORE NULLS) OVER w AS lt FROM sums WINDOW w AS (PARTITION BY statement ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
   checked AS (SELECT *, lb + total - lt AS expected, CASE WHEN balance IS NULL OR lb IS NULL THEN 'unknown' WHEN balance = lb + total - lt THEN 'ok' ELSE 'mismatch' END AS status FROM lasts)"""
@@ -202,11 +202,11 @@ ORACLE_SQL = {
     "latest_message": "SELECT conv_id, max(turn) AS seq, arg_max(role, turn) AS role, max(turn) FILTER (role = 'user') AS user_seq FROM conversations GROUP BY conv_id",
     "last_user_turn": "SELECT conv_id, turn AS seq, (SELECT max(turn) FROM conversations u WHERE u.conv_id = c.conv_id AND u.role = 'user' AND u.turn < c.turn) AS question_seq FROM conversations c WHERE role = 'assistant'",
     "role_collapse": "SELECT conv_id, turn AS seq, role FROM (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS following FROM conversations) WHERE following IS NULL OR following <> role",
-    "context_fit": f"""WITH c AS (SELECT conv_id, turn AS seq, role, {_COST} AS cost FROM conversations),
+    "context_fit": f"""WITH c AS (SELECT conv_id, turn AS seq, role, {COST} AS cost FROM conversations),
       s AS (SELECT *, coalesce(sum(cost) FILTER (role = 'system') OVER (PARTITION BY conv_id), 0) AS fixed, coalesce(sum(cost) FILTER (role <> 'system') OVER (PARTITION BY conv_id ORDER BY seq DESC), 0) AS spent FROM c),
       k AS (SELECT * FROM s WHERE role = 'system' OR spent + fixed <= 600)
       SELECT conv_id, seq, role, cost FROM k WHERE role = 'system' OR EXISTS (SELECT 1 FROM k u WHERE u.conv_id = k.conv_id AND u.role = 'user' AND u.seq <= k.seq)""",
-    "compaction_due": f"""WITH c AS (SELECT conv_id, turn, role, {_COST} AS cost, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations)
+    "compaction_due": f"""WITH c AS (SELECT conv_id, turn, role, {COST} AS cost, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations)
       SELECT * FROM (SELECT conv_id, CAST(sum(cost) AS BIGINT) AS tokens, count(*) AS messages, max(turn) FILTER (back > 2 AND role = 'assistant') AS covers_through FROM c GROUP BY conv_id) WHERE tokens > 510 AND messages >= 4 AND covers_through IS NOT NULL""",
     "transcript_export": "SELECT conv_id, md5(string_agg('## ' || upper(left(role, 1)) || substr(role, 2) || chr(10) || chr(10) || trim(text) || chr(10), chr(10) ORDER BY turn)) AS markdown_md5 FROM conversations GROUP BY conv_id",
     "audit_page": "WITH c AS (SELECT ts, event_id FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id DESC LIMIT 1) SELECT event_id, event_type FROM events e WHERE (e.ts, e.event_id) < (SELECT (ts, event_id) FROM c) ORDER BY ts DESC, event_id DESC LIMIT 50",
