@@ -1,11 +1,17 @@
-"""Windows of words over texts, and what chunks of one document share."""
+"""Windows of words over texts, and what chunks of one document share.
+
+Windows depend on all words before them, so a small kernel cuts each text in one pass over its
+words; Spark hands it Arrow batches, and only the finished chunks leave it.
+"""
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,11 +22,12 @@ SIZE = 500
 OVERLAP = 80
 #: A document with more chunks is refused as a whole.
 MOST_CHUNKS = 1000
+#: Characters of two neighbours that are compared, for each token of overlap.
+REACH = 20
 
-
-def simple(text: Column) -> Column:
-    """Whether all words of a text cost one token, so windows follow from their number alone."""
-    return ~F.coalesce(text, F.lit("")).rlike(f"[^{T.SPACE[1:-1]}]{{17}}") & ~F.coalesce(text, F.lit("")).rlike(T.SPACELESS)
+_CHUNKS = "doc_id long, chunk_index int, text string, token_count long, shared int"
+_SPACES = re.compile(f"{T.SPACE}+")
+_SPACELESS = re.compile(T.SPACELESS)
 
 
 def window_count(n: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
@@ -28,22 +35,10 @@ def window_count(n: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
     return F.when(n == 0, 0).otherwise(1 + F.greatest(F.lit(0), F.ceil((n - size) / (size - overlap)))).cast("int")
 
 
-def simple_chunks(documents: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """Chunks (doc_id, chunk_index, text, token_count) of texts whose words cost one token each."""
-    step = size - overlap
-    rows = documents.select("doc_id", T.words(F.col("text")).alias("w"))
-    rows = rows.withColumn("n", F.size("w")).where("n > 0")
-    rows = rows.select("doc_id", "w", F.explode(F.sequence(F.lit(0), window_count(F.col("n"), size, overlap) - 1)).alias("chunk_index"))
-    part = F.slice("w", F.col("chunk_index") * step + 1, F.lit(size))
-    return rows.select("doc_id", "chunk_index", F.array_join(part, " ").alias("text"), F.size(part).cast("long").alias("token_count"))
-
-
 def _pieces(word: str, size: int, overlap: int) -> list[tuple[str, int, bool]]:
     """Atoms (text, tokens, glued to the one before) of a word."""
-    import re
-
-    cost = len(re.findall(T.SPACELESS, word))
-    rest = [w for w in re.split(T.SPACELESS, word) if w]
+    cost = len(_SPACELESS.findall(word))
+    rest = [w for w in _SPACELESS.split(word) if w]
     cost += sum(1 if len(w) <= 16 else math.ceil(len(w) / 4) for w in rest)
     if cost <= size:
         return [(word, cost, False)]
@@ -51,11 +46,19 @@ def _pieces(word: str, size: int, overlap: int) -> list[tuple[str, int, bool]]:
     return [(word[i : i + step], 1 if len(word[i : i + step]) <= 16 else math.ceil(len(word[i : i + step]) / 4), i > 0) for i in range(0, len(word), step)]
 
 
+def word_windows(words: list[str], size: int = SIZE, overlap: int = OVERLAP) -> list[tuple[str, int]]:
+    """Windows (text, words) that count every word as one."""
+    step = size - overlap
+    count = 1 + max(0, -(-(len(words) - size) // step)) if words else 0
+    return [(" ".join(words[k * step : k * step + size]), len(words[k * step : k * step + size])) for k in range(count)]
+
+
 def windows(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[tuple[str, int]]:
     """Windows (text, tokens) over any text, words of any cost."""
-    import re
-
-    atoms = [a for w in re.split(f"{T.SPACE}+", text) if w for a in _pieces(w, size, overlap)]
+    words = [w for w in _SPACES.split(text) if w]
+    if max(map(len, words), default=0) <= 16 and not _SPACELESS.search(text):
+        return word_windows(words, size, overlap)
+    atoms = [a for w in words for a in _pieces(w, size, overlap)]
     out, start = [], 0
     while start < len(atoms):
         stop, total = start, 0
@@ -73,18 +76,41 @@ def windows(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[tuple[s
     return out
 
 
-def chunks(documents: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """Chunks of all texts. Simple texts stay in the JVM; the others pass a small kernel."""
+def shared_length(before: str | None, text: str, reach: int = OVERLAP * REACH) -> int:
+    """Characters that end one text and begin the next: the most, none if that is the whole of the next."""
+    tail, head = (before or "")[-reach:] if reach else "", text[:reach]
+    at = tail.find(head[0]) if head else -1
+    while at >= 0:
+        if head.startswith(tail[at:]):
+            n = len(tail) - at
+            return n if n < len(text) else 0
+        at = tail.find(head[0], at + 1)
+    return 0
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(d, i, t, n) for d, x in zip(frame.doc_id, frame.text, strict=True) for i, (t, n) in enumerate(windows(x or "", size, overlap))]
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "text", "token_count"])
 
-    plain = documents.where(simple(F.col("text"))).select("doc_id", "text")
-    other = documents.where(~simple(F.col("text"))).select("doc_id", "text")
-    made = other.mapInPandas(run, "doc_id long, chunk_index int, text string, token_count long")
-    return simple_chunks(plain, size, overlap).unionByName(made)
+def _cut(documents: DataFrame, cut, overlap: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[], [], [], [], []]
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                before = None
+                for k, (part, n) in enumerate(cut(text or "")):
+                    for column, value in zip(out, (doc_id, k, part, n, shared_length(before, part, overlap * REACH)), strict=True):
+                        column.append(value)
+                    before = part
+            yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.string()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.int32())], names=["doc_id", "chunk_index", "text", "token_count", "shared"])
+
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _CHUNKS)
+
+
+def simple_chunks(documents: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
+    """Chunks of all texts, every word counted as one; else as ``chunks``."""
+    return _cut(documents, lambda text: word_windows([w for w in _SPACES.split(text) if w], size, overlap), overlap)
+
+
+def chunks(documents: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
+    """Chunks (doc_id, chunk_index, text, token_count, shared) of all texts; ``shared`` characters repeat the chunk before."""
+    return _cut(documents, lambda text: windows(text, size, overlap), overlap)
 
 
 def coalesced(segments: DataFrame) -> DataFrame:
@@ -101,18 +127,20 @@ def refused(chunked: DataFrame, most: int = MOST_CHUNKS) -> DataFrame:
     return chunked.groupBy("doc_id").agg(F.count("*").alias("n_chunks")).where(F.col("n_chunks") > most)
 
 
-def shared_words(chunked: DataFrame, overlap: int = OVERLAP) -> DataFrame:
-    """Chunks with ``shared``: how many words of the text before they begin with, at most ``overlap``."""
+def shared_with_previous(chunked: DataFrame, overlap: int = OVERLAP) -> DataFrame:
+    """Stored chunks (doc_id, chunk_index, text, page, section) with ``shared``; chunks of another page or section share nothing."""
+
+    @F.pandas_udf("int")
+    def length(before: pd.Series, text: pd.Series) -> pd.Series:
+        return pd.Series([shared_length(b, t or "", overlap * REACH) for b, t in zip(before, text, strict=True)], dtype="int32")
+
     order = W.partitionBy("doc_id").orderBy("chunk_index")
-    rows = chunked.withColumn("own", F.split("text", " ")).withColumn("before", F.lag("own").over(order))
-    sizes = F.sequence(F.least(F.lit(overlap), F.size("own"), F.size("before")), F.lit(1), F.lit(-1))
-    fits = F.filter(sizes, lambda n: F.slice("own", 1, n) == F.slice("before", F.size("before") - n + 1, n))
-    shared = F.when(F.col("before").isNull() | (F.size("before") < 1), 0).otherwise(F.coalesce(F.try_element_at(fits, F.lit(1)), F.lit(0)))
-    return rows.withColumn("shared", shared).drop("before")
-
-
-def without_overlap(chunked: DataFrame, overlap: int = OVERLAP) -> DataFrame:
-    """Chunks whose text no longer repeats the end of the chunk before; never emptied."""
-    rows = shared_words(chunked, overlap)
-    kept = F.slice("own", F.col("shared") + 1, F.size("own") - F.col("shared"))
-    return rows.select("doc_id", "chunk_index", F.when(F.col("shared") >= F.size("own"), F.col("text")).otherwise(F.array_join(kept, " ")).alias("text"), "shared")
+    same = F.lag("page").over(order).eqNullSafe(F.col("page")) & F.lag("section").over(order).eqNullSafe(F.col("section"))
+    rows = chunked.withColumn("_before", F.when(same, F.lag("text").over(order)))
+    return rows.withColumn("shared", F.when(F.col("_before").isNull(), 0).otherwise(length("_before", "text"))).drop("_before")
+
+
+def without_overlap(chunked: DataFrame) -> DataFrame:
+    """Chunks without the ``shared`` characters at their beginning and white space behind them."""
+    left = F.regexp_replace(F.substr("text", F.col("shared") + 1), f"^{T.SPACE}+", "")
+    return chunked.withColumn("text", F.when(F.col("shared") > 0, left).otherwise(F.col("text")))

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 _FENCE = r"^ {0,3}(`{3,}|~{3,})"
 _HEADING = r"^ {0,3}#{1,6}(?:\s|$)"
@@ -34,7 +35,7 @@ def _in_fence(lines: list[str]) -> list[int]:
     return out
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(ArrayType(IntegerType()))
 def fences(texts: pd.Series) -> pd.Series:
     """The number of the fence that each line is in; the only part that depends on all lines before."""
     return texts.map(lambda t: _in_fence(re.split(r"\r\n?|\n", t or "")))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, FloatType
 
 from lectern.functions import text as T
+from lectern.operators import budgets
 
 K1, B = 1.2, 0.75
 RRF = 60
@@ -16,29 +20,65 @@ BUDGET = 2500
 MARGIN = 1.3
 
 
-def postings(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """Inverted index: a row (key, term, tf, dl) for each term of each chunk."""
-    rows = chunks.select(key, T.terms(F.col("text")).alias("terms")).withColumn("dl", F.size("terms").cast("long"))
-    return rows.select(key, "dl", F.explode("terms").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-
-
 def bm25(chunks: DataFrame, question: str, key: str = "chunk_id") -> DataFrame:
     """BM25 scores (key, score) of the chunks that hold a term of the question.
 
-    Statistics come from all chunks given; a term that the question repeats counts as often.
-    Only the question's terms leave the scan, and one row of totals is broadcast.
+    Statistics come from all chunks given; a term that the question repeats counts as often. One
+    pass gathers one row of totals, with how many chunks hold each of the question's terms (32 at
+    most); a second one scores chunk by chunk, so no chunk is shuffled.
+    """
+    asked = [r.term for r in chunks.sparkSession.range(1).select(F.explode(T.query_terms(F.lit(question))).alias("term")).collect()]
+    times = {t: asked.count(t) for t in sorted(set(asked))}
+    wanted = F.array(*map(F.lit, times)).cast("array<string>")
+    words = T.terms(F.col("text"))
+    rows = chunks.select(key, F.explode(F.array(words)).alias("terms")).select(key, F.size("terms").cast("long").alias("dl"), F.filter("terms", lambda t: F.array_contains(wanted, t)).alias("hits"))
+    totals = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("average"), *(F.sum(F.array_contains("hits", t).cast("long")).alias(f"df{i}") for i, t in enumerate(times)))
+    scored = rows.where(F.size("hits") > 0).crossJoin(F.broadcast(totals))  # one row of totals
+    score = F.lit(0.0)
+    for i, (term, n) in enumerate(times.items()):
+        tf, df = F.size(F.filter("hits", _equals(term))), F.col(f"df{i}")
+        idf = F.greatest(F.log((F.col("n") - df + 0.5) / (df + 0.5)), F.lit(1e-6))
+        part = n * idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("average")))
+        score = score + F.when(tf > 0, F.round(part, 9)).otherwise(0.0)
+    return scored.select(key, F.round(score, 6).alias("score"))
+
+
+def _equals(term: str):
+    return lambda t: t == term
+
+
+class Index:
+    """A stored inverted index: postings dealt by term, and one row of totals.
+
+    A question reads the parts of its own terms only, whatever the number of chunks.
     """
-    spark = chunks.sparkSession
-    asked = spark.range(1).select(F.explode(T.query_terms(F.lit(question))).alias("term")).groupBy("term").agg(F.count("*").alias("times"))
-    rows = chunks.select(key, T.terms(F.col("text")).alias("terms")).withColumn("dl", F.size("terms").cast("long"))
-    totals = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("average"))
-    wanted = F.array(*[F.lit(t) for t in sorted({r.term for r in asked.collect()})]).cast("array<string>")  # 32 terms at most
-    hits = rows.select(key, "dl", F.explode(F.filter("terms", lambda t: F.array_contains(wanted, t))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    scored = hits.join(F.broadcast(df), "term").join(F.broadcast(asked), "term").crossJoin(F.broadcast(totals))  # one row of totals
-    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    part = F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("average")))
-    return scored.groupBy(key).agg(F.round(F.sum(F.round(part, 9)), 6).alias("score"))
+
+    PARTS = 64
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    @classmethod
+    def build(cls, chunks: DataFrame, path: str, key: str = "chunk_id") -> Index:
+        rows = chunks.select(F.col(key).alias("chunk_id"), F.explode(F.array(T.terms(F.col("text")))).alias("terms")).withColumn("dl", F.size("terms").cast("long"))
+        rows.agg(F.count("*").alias("n"), F.avg("dl").alias("average")).write.parquet(f"{path}/totals")
+        terms = rows.select("chunk_id", "dl", F.explode("terms").alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+        placed = terms.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(cls.PARTS)).cast("int"))
+        # a frequent term is spread over several files of its part
+        placed.repartition("part", F.pmod(F.xxhash64("chunk_id"), F.lit(8))).sortWithinPartitions("part", "term").write.partitionBy("part").parquet(f"{path}/postings")
+        return cls(chunks.sparkSession, path)
+
+    def scores(self, question: str) -> DataFrame:
+        """The same scores as ``bm25``."""
+        asked = self.spark.range(1).select(F.explode(T.query_terms(F.lit(question))).alias("term")).groupBy("term").agg(F.count("*").alias("times"))
+        found = asked.select("term", "times", F.pmod(F.xxhash64("term"), F.lit(self.PARTS)).cast("int").alias("part")).collect()  # 32 at most
+        hits = self.spark.read.parquet(f"{self.path}/postings").where(F.col("part").isin(sorted({r.part for r in found})) & F.col("term").isin([r.term for r in found])).drop("part")
+        df = hits.groupBy("term").agg(F.count("*").alias("df"))
+        totals = self.spark.read.parquet(f"{self.path}/totals")
+        rows = hits.join(F.broadcast(df), "term").join(F.broadcast(asked), "term").crossJoin(F.broadcast(totals))  # 32 rows and one
+        idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+        part = F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("average")))
+        return rows.groupBy("chunk_id").agg(F.round(F.sum(F.round(part, 9)), 6).alias("score"))
 
 
 def top(scored: DataFrame, k: int, key: str = "chunk_id") -> DataFrame:
@@ -132,3 +172,56 @@ def retrieve(chunks: DataFrame, question: str, candidates: int = CANDIDATES, fin
     rows = placed.join(chunks.select("chunk_id", "doc_id", "page", "token_count", "text"), "chunk_id")
     kept = within_budget(one_per_page(rows), budget, final)
     return kept.select("label", "chunk_id", "doc_id", "page", F.coalesce("cosine", "rrf").alias("score"), "rrf", T.snippet(F.col("text")).alias("snippet"))
+
+
+def reranked(candidates: DataFrame, scores: DataFrame | None, key: str = "chunk_id") -> DataFrame:
+    """Candidates (key, rank, score) in the order of a second scorer's scores (key, second), ties by the rank before.
+
+    Those that it did not score follow in their own order with their own score; without scores nothing changes.
+    """
+    if scores is None:
+        return candidates
+    rows = candidates.join(scores, key, "left")
+    order = W.orderBy(F.col("second").desc_nulls_last(), "rank")  # a dozen candidates
+    return rows.withColumn("score", F.coalesce("second", "score")).withColumn("rank", F.row_number().over(order)).drop("second")
+
+
+def encoded(vector: Column) -> Column:
+    """A vector as the bytes of little-endian single-precision numbers, in base 64."""
+    return F.base64(_bytes(vector))
+
+
+@F.pandas_udf(BinaryType())
+def _bytes(vectors: pd.Series) -> pd.Series:
+    return vectors.map(lambda v: None if v is None else np.asarray(v, dtype="<f4").tobytes())
+
+
+@F.pandas_udf(ArrayType(FloatType()))
+def _numbers(data: pd.Series, count: pd.Series) -> pd.Series:
+    return pd.Series([None if d is None or n is None or len(d) != 4 * n else np.frombuffer(d, "<f4") for d, n in zip(data, count, strict=True)])
+
+
+def decoded(text: Column, dimensions: Column) -> Column:
+    """The vector of stored bytes; null where they aren't as many as it has dimensions."""
+    return _numbers(F.unbase64(text), dimensions.cast("int"))
+
+
+def node_search(nodes: DataFrame, question: str, k: int = CANDIDATES) -> DataFrame:
+    """The summary nodes (node_id, text) nearest to a question by hash embedding."""
+    return top(hash_similar(nodes, question, "node_id"), k, "node_id")
+
+
+def whole_pair(chunks: DataFrame, pairs: DataFrame, budget: int) -> DataFrame:
+    """Both documents of each pair (pair_id, a, b) read from the beginning: labels run on from a to b, each within its share of the budget.
+
+    ``chunks`` has doc_id, chunk_index, token_count. A document's first chunk is always there.
+    """
+    sums = chunks.groupBy("doc_id").agg(F.sum(F.ceil(F.col("token_count") * MARGIN)).cast("long").alias("_sum"))
+    sized = pairs.join(sums.select(F.col("doc_id").alias("a"), F.col("_sum").alias("_a")), "a").join(sums.select(F.col("doc_id").alias("b"), F.col("_sum").alias("_b")), "b")
+    first, second = budgets.split_budget(F.col("_a"), F.col("_b"), F.lit(budget))
+    sides = sized.select("pair_id", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("doc_id"), first.alias("share")), F.struct(F.lit(1).alias("side"), F.col("b").alias("doc_id"), second.alias("share")))).alias("s")).select("pair_id", "s.*")
+    order = W.partitionBy("pair_id", "side").orderBy("chunk_index")
+    rows = sides.join(chunks, "doc_id").withColumn("_n", F.row_number().over(order)).withColumn("_spent", F.sum(F.ceil(F.col("token_count") * MARGIN)).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    kept = rows.where((F.col("_n") == 1) | (F.col("_spent") <= F.col("share")))
+    label = F.row_number().over(W.partitionBy("pair_id").orderBy("side", "chunk_index"))
+    return kept.select("pair_id", "side", "doc_id", "chunk_index", F.concat(F.lit("S"), label.cast("string")).alias("label"))

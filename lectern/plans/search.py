@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,9 +44,8 @@ def context_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_closed_form(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows of documents whose words cost one token each."""
-    docs = table(spark, sf_dir, "documents")
-    made = chunking.simple_chunks(docs.where(chunking.simple(F.col("text"))).select("doc_id", "text"))
+    """Windows of all documents that count every word as one."""
+    made = chunking.simple_chunks(table(spark, sf_dir, "documents"))
     return made.select("doc_id", "chunk_index", "token_count", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
@@ -55,18 +56,17 @@ def chunk_general(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _overlap(chunked: DataFrame) -> DataFrame:
-    made = chunking.without_overlap(chunked, 20)
-    return made.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum("shared").cast("long").alias("shared_words"), F.sum(F.ceil(T.token_count(F.col("text")) * 1.3)).cast("long").alias("prompt_tokens"))
+    made = chunking.without_overlap(chunked)
+    return made.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum("shared").cast("long").alias("shared_chars"), F.sum(F.ceil(T.token_count(F.col("text")) * 1.3)).cast("long").alias("prompt_tokens"))
 
 
 def chunk_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that each chunk repeats from the one before, and what is left, of documents whose words cost one token each."""
-    docs = table(spark, sf_dir, "documents")
-    return _overlap(chunking.simple_chunks(docs.where(chunking.simple(F.col("text"))).select("doc_id", "text"), 100, 20))
+    """Characters that each chunk repeats from the one before, and what is left, in windows that count every word as one."""
+    return _overlap(chunking.simple_chunks(table(spark, sf_dir, "documents"), 100, 20))
 
 
 def chunk_overlap_general(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same of all documents."""
+    """The same in windows of tokens."""
     return _overlap(chunking.chunks(table(spark, sf_dir, "documents"), 100, 20))
 
 
@@ -85,10 +85,11 @@ def keyword_search_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _BM25 = f"""
-terms AS (SELECT chunk_id, t AS term, dl FROM (SELECT chunk_id, unnest({_TERMS}) AS t, len({_TERMS}) AS dl FROM base)),
-stats AS (SELECT count(*) AS n, avg(len({_TERMS})) AS average FROM base),
-asked AS (SELECT term, count(*) AS times FROM (SELECT unnest(list_slice(regexp_extract_all(lower('{QUESTION}'), '[\\p{{L}}\\p{{N}}]+'), 1, 32)) AS term) GROUP BY term),
-hits AS (SELECT chunk_id, term, count(*) AS tf, first(dl) AS dl FROM terms WHERE term IN (SELECT term FROM asked) GROUP BY chunk_id, term),
+listed AS MATERIALIZED (SELECT chunk_id, {_TERMS} AS ts FROM base),
+stats AS MATERIALIZED (SELECT count(*) AS n, avg(len(ts)) AS average FROM listed),
+asked AS MATERIALIZED (SELECT term, count(*) AS times FROM (SELECT unnest(list_slice(regexp_extract_all(lower('{QUESTION}'), '[\\p{{L}}\\p{{N}}]+'), 1, 32)) AS term) GROUP BY term),
+terms AS (SELECT chunk_id, len(ts) AS dl, unnest(list_filter(ts, lambda t: t IN ({', '.join(repr(t) for t in sorted(set(QUESTION.split())))}))) AS term FROM listed),
+hits AS MATERIALIZED (SELECT chunk_id, term, count(*) AS tf, first(dl) AS dl FROM terms GROUP BY chunk_id, term),
 dfs AS (SELECT term, count(*) AS df FROM hits GROUP BY term),
 bm25 AS (SELECT chunk_id, round(sum(round(times * greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / average)), 9)), 6) AS score
   FROM hits JOIN dfs USING (term) JOIN asked USING (term), stats GROUP BY chunk_id)"""
@@ -179,9 +180,30 @@ QUERIES = {f.__name__: f for f in (token_stats, content_hashes, message_titles,
 
 _FLAT = f"trim(regexp_replace(text, '[{_WS}]+', ' ', 'g'))"
 _WORDS = f"regexp_extract_all(text, '[^{_WS}]+')"
-_SIMPLE = f"list_max(list_transform({_WORDS}, lambda w: length(w))) <= 16 AND NOT regexp_matches(text, '[{_CJK}]')"
 _WINDOWS = lambda size, step: f"""pieces AS (SELECT doc_id, CAST(k AS INT) AS chunk_index, list_slice(w, k * step + 1, k * step + size) AS part
-  FROM (SELECT doc_id, {_WORDS} AS w, {size} AS size, {step} AS step FROM documents WHERE {_SIMPLE}), LATERAL (SELECT unnest(range(CAST(1 + greatest(0, ceil((len(w) - size) / step)) AS BIGINT))) AS k))"""
+  FROM (SELECT doc_id, {_WORDS} AS w, {size} AS size, {step} AS step FROM documents WHERE len({_WORDS}) > 0), LATERAL (SELECT unnest(range(CAST(1 + greatest(0, ceil((len(w) - size) / step)) AS BIGINT))) AS k))"""
+
+
+def _general(size: int, overlap: int) -> str:
+    """Windows of tokens: from each atom the last one that fits, and from there the first one that is repeated, by sums up to each atom."""
+    step = math.gcd(size, overlap)
+    cost = f"(len(regexp_extract_all(w, '[{_CJK}]')) + coalesce(list_sum(list_transform(regexp_extract_all(w, '[^{_CJK}]+'), lambda x: CASE WHEN length(x) <= 16 THEN 1 ELSE CAST(ceil(length(x) / 4) AS BIGINT) END)), 0))"
+    return f"""words AS (SELECT doc_id, unnest({_WORDS}) AS w, generate_subscripts({_WORDS}, 1) AS i FROM documents), priced AS (SELECT *, CAST({cost} AS BIGINT) AS c FROM words),
+      cut AS (SELECT doc_id, i, k, CASE WHEN c <= {size} THEN w ELSE substr(w, k * {step} + 1, {step}) END AS w, CASE WHEN c <= {size} THEN c WHEN length(substr(w, k * {step} + 1, {step})) <= 16 THEN 1 ELSE CAST(ceil(length(substr(w, k * {step} + 1, {step})) / 4) AS BIGINT) END AS c
+        FROM priced, LATERAL (SELECT unnest(range(CASE WHEN c <= {size} THEN 1 ELSE CAST(ceil(length(w) / {step}) AS BIGINT) END)) AS k)),
+      atoms AS (SELECT doc_id, row_number() OVER o AS a, w, c, k > 0 AS glued, CAST(sum(c) OVER o AS BIGINT) AS upto FROM cut WINDOW o AS (PARTITION BY doc_id ORDER BY i, k)),
+      reach AS (SELECT *, greatest(a, max(a) OVER (PARTITION BY doc_id ORDER BY upto - c RANGE BETWEEN CURRENT ROW AND {size} FOLLOWING)) AS loose, min(a) OVER (PARTITION BY doc_id ORDER BY upto RANGE BETWEEN {overlap} PRECEDING AND CURRENT ROW) AS back, max(a) OVER (PARTITION BY doc_id) AS n FROM atoms),
+      fits AS (SELECT r.doc_id, r.a, r.n, coalesce((SELECT max(x.a) FROM atoms x WHERE x.doc_id = r.doc_id AND x.a BETWEEN r.a AND r.loose AND x.upto <= r.upto - r.c + {size}), r.a) AS stop FROM reach r),
+      hops AS (SELECT f.doc_id, f.a, f.n, f.stop, greatest(f.a + 1, least(b.back + 1, f.stop + 1)) AS again FROM fits f JOIN reach b ON b.doc_id = f.doc_id AND b.a = f.stop),
+      starts AS (SELECT doc_id, a, stop, n, again, 0 AS chunk_index FROM hops WHERE a = 1 UNION ALL SELECT h.doc_id, h.a, h.stop, h.n, h.again, s.chunk_index + 1 FROM starts s JOIN hops h ON h.doc_id = s.doc_id AND h.a = s.again WHERE s.stop < s.n),
+      pieces AS (SELECT s.doc_id, s.chunk_index, CAST(sum(c) AS BIGINT) AS token_count, string_agg(CASE WHEN glued OR x.a = s.a THEN w ELSE ' ' || w END, '' ORDER BY x.a) AS text FROM starts s JOIN atoms x ON x.doc_id = s.doc_id AND x.a BETWEEN s.a AND s.stop GROUP BY s.doc_id, s.chunk_index)"""
+
+
+_LEFT = _COST.replace("text", "rest")
+_SHARED = f"""pairs AS (SELECT doc_id, chunk_index, text, right(lag(text) OVER (PARTITION BY doc_id ORDER BY chunk_index), 400) AS before FROM texts),
+  found AS (SELECT doc_id, text, CASE WHEN before IS NULL THEN 0 ELSE coalesce(list_max(list_filter(range(1, 1 + least(400, length(text), length(before))), lambda n: left(text, n) = right(before, n))), 0) END AS most FROM pairs),
+  kept AS (SELECT doc_id, CASE WHEN most >= length(text) THEN 0 ELSE most END AS shared, CASE WHEN most > 0 AND most < length(text) THEN regexp_replace(substr(text, most + 1), '^[{_WS}]+', '') ELSE text END AS rest FROM found)
+  SELECT doc_id, count(*) AS chunks, CAST(sum(shared) AS BIGINT) AS shared_chars, CAST(sum(ceil({_LEFT} * 1.3::DOUBLE)) AS BIGINT) AS prompt_tokens FROM kept GROUP BY doc_id"""
 _BASE_DOCS = "base AS (SELECT doc_id AS chunk_id, text FROM documents)"
 
 ORACLE_SQL = {
@@ -190,10 +212,9 @@ ORACLE_SQL = {
     "message_titles": f"SELECT conv_id, CASE WHEN {_FLAT} = '' THEN 'New conversation' ELSE left({_FLAT}, 60) END AS title, CASE WHEN length(trim(text)) > 40 THEN rtrim(left(trim(text), 40)) || '…' ELSE trim(text) END AS snippet FROM (SELECT conv_id, arg_min(text, turn) AS text FROM conversations WHERE role = 'user' GROUP BY conv_id)",
     "context_usage": f"SELECT conv_id, CAST(sum(ceil({_COST} * 1.3::DOUBLE * 1.5::DOUBLE) + 8) AS BIGINT) AS tokens, count(*) AS messages FROM conversations GROUP BY conv_id",
     "chunk_closed_form": f"WITH {_WINDOWS(500, 420)} SELECT doc_id, chunk_index, CAST(len(part) AS BIGINT) AS token_count, md5(array_to_string(part, ' ')) AS text_md5 FROM pieces",
-    "chunk_overlap": f"""WITH {_WINDOWS(100, 80)},
-      pairs AS (SELECT doc_id, chunk_index, part, lag(part) OVER (PARTITION BY doc_id ORDER BY chunk_index) AS before FROM pieces),
-      found AS (SELECT doc_id, chunk_index, part, CASE WHEN before IS NULL THEN 0 ELSE coalesce(list_max(list_filter(range(1, 1 + least(20, len(part), len(before))), lambda n: part[1:n] = before[len(before) - n + 1:])), 0) END AS shared FROM pairs)
-      SELECT doc_id, count(*) AS chunks, CAST(sum(shared) AS BIGINT) AS shared_words, CAST(sum(ceil((CASE WHEN shared >= len(part) THEN len(part) ELSE len(part) - shared END) * 1.3::DOUBLE)) AS BIGINT) AS prompt_tokens FROM found GROUP BY doc_id""",
+    "chunk_general": f"WITH RECURSIVE {_general(500, 80)} SELECT doc_id, chunk_index, token_count, md5(text) AS text_md5 FROM pieces",
+    "chunk_overlap": f"WITH {_WINDOWS(100, 80)}, texts AS (SELECT doc_id, chunk_index, array_to_string(part, ' ') AS text FROM pieces), {_SHARED}",
+    "chunk_overlap_general": f"WITH RECURSIVE {_general(100, 20)}, texts AS (SELECT * FROM pieces), {_SHARED}",
     "keyword_search": f"WITH {_BASE_DOCS}, {_BM25} SELECT chunk_id, score FROM bm25 ORDER BY score DESC, chunk_id LIMIT 20",
     "keyword_search_scoped": f"WITH {_BASE_DOCS}, {_BM25} SELECT chunk_id, score FROM bm25 WHERE chunk_id IN (SELECT doc_id FROM documents WHERE source = 'src3') ORDER BY score DESC, chunk_id LIMIT 20",
     "vector_topk": f"SELECT vec_id AS chunk_id, round(list_cosine_similarity(list_transform(embedding, lambda x: x::DOUBLE), list_transform(q, lambda x: x::DOUBLE)), 6) AS score FROM embeddings, {_COSINE} ORDER BY score DESC, chunk_id LIMIT 25",

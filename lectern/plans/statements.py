@@ -186,7 +186,7 @@ ORACLE_SQL = {
     "invoice_header": "SELECT o_orderkey AS doc_id, 'Muster & Sohn' AS vendor, 'Customer ' || o_custkey AS recipient, 'R-' || o_orderkey AS number, strftime(o_orderdate, '%Y-%m-%d') AS date, CASE WHEN o_orderstatus = 'F' THEN strftime(o_orderdate, '%Y-%m-%d') END AS due_date FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)",
     "invoice_items": "SELECT l_orderkey AS doc_id, CAST(l_quantity AS BIGINT) AS quantity, 'Article ' || l_returnflag || l_linestatus AS description, CAST(1250 AS BIGINT) AS unit_price, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)",
     "invoice_totals": "WITH n AS (SELECT l_orderkey, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS net FROM lineitem GROUP BY l_orderkey) SELECT l_orderkey AS doc_id, net, CAST(round(net * 0.2::DOUBLE) AS BIGINT) AS tax, CAST(round(net * 1.2::DOUBLE) AS BIGINT) AS gross, 20.0::DOUBLE AS rate FROM n WHERE l_orderkey IN (SELECT o_orderkey FROM orders)",
-    "categorize_rules": "SELECT p_partkey, ['Fees', NULL, 'Fees', 'Income', 'Income', 'Transfer', NULL, 'Cash', 'Income'][p_partkey % 9 + 1] AS c, coalesce(c, CASE WHEN p_partkey % 2 = 0 THEN 'Income' ELSE 'Spending' END) AS category FROM part",
+    "categorize_rules": "SELECT p_partkey, ['Fees', NULL, 'Fees', NULL, 'Income', 'Transfer', NULL, 'Cash', 'Income'][p_partkey % 9 + 1] AS c, coalesce(c, CASE WHEN p_partkey % 2 = 0 THEN 'Income' ELSE 'Spending' END) AS category FROM part",
     "transactions_with_categories": f"WITH {LEDGER} SELECT statement, pos, cents, CASE right(description, 1) WHEN 'O' THEN 'Income' WHEN 'F' THEN 'Spending' END AS category FROM ledger",
     "redact_text": """SELECT c_custkey AS doc_id, 'Dear ' || c_name || ', write to [EMAIL] or see [URL] (no@mail). Pay to [IBAN] with card ' || CASE WHEN c_custkey % 2 = 0 THEN '[CARD]' ELSE '4111 1111 1111 1112' END || ' by [DATE] or 2024-13-45, call [PHONE]' || CASE WHEN c_custkey % 5 = 0 THEN ' or [PHONE].' ELSE ' or 12345.' END AS text,
       1 AS email, 1 AS url, 1 AS iban, CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 0 END AS card, 1 AS date, CASE WHEN c_custkey % 5 = 0 THEN 2 ELSE 1 END AS phone FROM customer""",
