@@ -95,8 +95,9 @@ def edited(documents: DataFrame, edits: DataFrame) -> DataFrame:
     def located(texts: pd.Series, wanted: pd.Series) -> pd.Series:
         def one(text: str, own) -> Iterator[dict]:
             for e in sorted(own if own is not None else [], key=lambda e: e["number"]):
-                places = [s for s, line in occurrences(text or "", e["find"]) if e["line"] is None or line == e["line"]]
-                nth = (e["nth"] or 1) - 1
+                wanted_line, nth = (None if pd.isna(e[c]) else int(e[c]) for c in ("line", "nth"))
+                places = [s for s, line in occurrences(text or "", e["find"]) if wanted_line is None or line == wanted_line]
+                nth = (nth or 1) - 1
                 if 0 <= nth < len(places):
                     yield {"start": places[nth], "length": len(e["find"]), "replacement": e["replacement"]}
 

@@ -188,7 +188,7 @@ def reranked(candidates: DataFrame, scores: DataFrame | None, key: str = "chunk_
 
 def encoded(vector: Column) -> Column:
     """A vector as the bytes of little-endian single-precision numbers, in base 64."""
-    return F.base64(_bytes(vector))
+    return F.replace(F.base64(_bytes(vector)), F.lit("\r\n"), F.lit(""))
 
 
 @F.pandas_udf(BinaryType())

@@ -120,7 +120,7 @@ def hash_embed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.top(retrieval.hash_similar(tables.chunks(spark, sf_dir).select("chunk_id", "text"), QUESTION), 25)
 
 
-_HASHED = f"""
+HASHED = f"""
 q AS (SELECT 0 AS chunk_id, '{QUESTION}' AS text),
 both_texts AS (SELECT chunk_id, text, 0 AS side FROM chunks UNION ALL SELECT chunk_id, text, 1 FROM q),
 ht AS (SELECT side, chunk_id, term, count(*) AS tf FROM (SELECT side, chunk_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM both_texts) GROUP BY ALL),
@@ -219,9 +219,9 @@ ORACLE_SQL = {
     "keyword_search_scoped": f"WITH {_BASE_DOCS}, {_BM25} SELECT chunk_id, score FROM bm25 WHERE chunk_id IN (SELECT doc_id FROM documents WHERE source = 'src3') ORDER BY score DESC, chunk_id LIMIT 20",
     "vector_topk": f"SELECT vec_id AS chunk_id, round(list_cosine_similarity(list_transform(embedding, lambda x: x::DOUBLE), list_transform(q, lambda x: x::DOUBLE)), 6) AS score FROM embeddings, {_COSINE} ORDER BY score DESC, chunk_id LIMIT 25",
     "vector_topk_filtered": f"SELECT * FROM (SELECT vec_id AS chunk_id, round(list_cosine_similarity(list_transform(embedding, lambda x: x::DOUBLE), list_transform(q, lambda x: x::DOUBLE)), 6) AS score FROM embeddings, {_COSINE} WHERE label = 3) WHERE score >= 0 ORDER BY score DESC, chunk_id LIMIT 25",
-    "hash_embed_topk": f"WITH {CHUNKS}, {_HASHED} SELECT chunk_id, score FROM hashed ORDER BY score DESC, chunk_id LIMIT 25",
-    "rrf_fusion": f"WITH {CHUNKS}, base AS (SELECT chunk_id, text FROM chunks), {_BM25}, {_HASHED}, {_RRF} SELECT * FROM fused",
-    "hybrid_retrieve": f"""WITH {CHUNKS}, base AS (SELECT chunk_id, text FROM chunks), {_BM25}, {_HASHED}, {_RRF},
+    "hash_embed_topk": f"WITH {CHUNKS}, {HASHED} SELECT chunk_id, score FROM hashed ORDER BY score DESC, chunk_id LIMIT 25",
+    "rrf_fusion": f"WITH {CHUNKS}, base AS (SELECT chunk_id, text FROM chunks), {_BM25}, {HASHED}, {_RRF} SELECT * FROM fused",
+    "hybrid_retrieve": f"""WITH {CHUNKS}, base AS (SELECT chunk_id, text FROM chunks), {_BM25}, {HASHED}, {_RRF},
       placed AS (SELECT f.*, c.doc_id, c.page, c.token_count, c.text, row_number() OVER (ORDER BY rrf DESC, best_rank, chunk_id) AS rank FROM fused f JOIN chunks c USING (chunk_id)),
       paged AS (SELECT * FROM placed QUALIFY row_number() OVER (PARTITION BY doc_id, page ORDER BY rank) = 1),
       spent AS (SELECT *, row_number() OVER (ORDER BY rank) AS place, sum(ceil(token_count * 1.3::DOUBLE)) OVER (ORDER BY rank) AS total FROM paged)

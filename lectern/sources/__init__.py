@@ -1 +1 @@
-"""Document-intelligence analytics on Spark DataFrames."""
+"""Where tables come from and go to: files, and exports."""

@@ -1 +1 @@
-"""Document-intelligence analytics on Spark DataFrames."""
+"""Structured streams over the engine's tables."""
