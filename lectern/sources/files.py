@@ -53,7 +53,7 @@ def texts(spark: SparkSession, files: DataFrame, most_text: int = MOST_TEXT) ->
     names = [r.path for r in files.where("status = 'queued'").select("path").toLocalIterator()]
     if not names:
         return files.limit(0).select("path", "kind", F.lit(None).cast("string").alias("text"))
-    rows = spark.read.option("wholetext", True).text(names).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"), F.col("_metadata.file_size").alias("_size"))
+    rows = spark.read.text(names, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"), F.col("_metadata.file_size").alias("_size"))
     return rows.select("path", kind_of(F.col("path")).alias("kind"), F.when(F.col("_size") <= most_text, T.without_mark(F.col("text"))).alias("text"))
 
 

@@ -10,8 +10,11 @@ import pytest
 
 from lectern.functions import money as M
 from lectern.functions import text as T
-from lectern.operators import chunking, compare, redaction, statement
+from lectern.operators import analysis, budgets, chunking, compare, edits, library, redaction, retrieval, skills, statement
+from lectern.plans import compare as compare_plans
 from lectern.plans import search
+from lectern.sources import exports, files
+from lectern.streaming import audit
 
 
 def test_windows_equal_the_closed_form():
@@ -93,7 +96,7 @@ def test_statement_rows_and_balances(spark):
     text = "Opening balance 01.02.2024 EUR 100,00\n02.02.2024 Coffee shop -4,50 95,50\n03.02.2024 Salary EUR 1.000,00 1.095,50\nno row here\nClosing balance EUR 1.095,50"
     documents = spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id long, text string")
     rows = statement.transactions(documents).orderBy("pos").collect()
-    assert [(r.description, r.cents, r.balance) for r in rows] == [("Coffee shop", -450, 9550), ("Salary", 100000, 109550)]
+    assert [(r.description, r.cents, r.balance) for r in rows] == [("Coffee shop", -450, 9550), ("Salary no row here", 100000, 109550)]
     assert [(r.doc_id, r.opening, r.closing) for r in statement.balances(documents).collect()] == [(1, 10000, 109550)]
 
 
@@ -104,10 +107,146 @@ def test_overlap_of_all_documents(spark, tmp_path):
     cost = lambda text: sum(len(re.findall(T.SPACELESS, w)) + sum(1 if len(p) <= 16 else -(-len(p) // 4) for p in re.split(T.SPACELESS, w) if p) for w in re.split(f"{T.SPACE}+", text) if w)
     expected = {}
     for k, text in enumerate(texts):
-        made = [x.split(" ") for x, _ in chunking.windows(text or "", 100, 20)]
-        shared = [0] + [max([n for n in range(1, min(20, len(a), len(b)) + 1) if b[:n] == a[-n:]], default=0) for a, b in zip(made, made[1:], strict=False)]
-        left = [" ".join(x if n >= len(x) else x[n:]) for x, n in zip(made, shared, strict=False)]
+        made = [x for x, _ in chunking.windows(text or "", 100, 20)]
+        shared = [0] + [max([n for n in range(1, min(400, len(a), len(b)) + 1) if b[:n] == a[-n:]], default=0) for a, b in zip(made, made[1:], strict=False)]
+        shared = [0 if n >= len(x) else n for x, n in zip(made, shared, strict=False)]
+        left = [re.sub(f"^{T.SPACE}+", "", x[n:]) if n else x for x, n in zip(made, shared, strict=False)]
         if made:
             expected[k] = (len(made), sum(shared), sum(math.ceil(cost(x) * 1.3) for x in left))
-    got = {r.doc_id: (r.chunks, r.shared_words, r.prompt_tokens) for r in search.chunk_overlap_general(spark, str(tmp_path)).collect()}
+    got = {r.doc_id: (r.chunks, r.shared_chars, r.prompt_tokens) for r in search.chunk_overlap_general(spark, str(tmp_path)).collect()}
     assert got == expected and len(got) == 5
+
+
+def test_edit_script_stops_at_its_limit():
+    """One edit more than allowed gives none, whatever the texts."""
+    r = random.Random(2)
+    for _ in range(300):
+        old, new = ([r.choice("abcde") for _ in range(r.randint(0, 12))] for _ in range(2))
+        n = sum(kind != "equal" for kind, _, _ in compare.edit_script(old, new))
+        assert compare.edit_script(old, new, n) is not None and (n == 0 or compare.edit_script(old, new, n - 1) is None)
+
+
+def test_files_of_all_kinds(spark, tmp_path):
+    """Listing, limits and parsers on real files; a named file counts whatever its kind."""
+    sub = tmp_path / "in" / "deep"
+    sub.mkdir(parents=True)
+    (sub / "a.TXT").write_bytes("\ufeffplain\ntext".encode())
+    (sub / "b.md").write_text("before\n# One\nbody\n```\n# code\n```\n## Two ##\n\n")
+    (sub / "c.csv").write_text('name,role\n"Lovelace, Ada","wrote ""notes"""\n\nBob,,extra\n')
+    (sub / "d.tsv").write_text("only one row\tof two, cells\n")
+    (sub / "e.bin").write_text("x")
+    (sub / "f.log").write_text("y" * 200)
+    (tmp_path / "named.bin").write_text("z")
+    found = files.limited(files.listed(spark, [str(tmp_path / "in")], [str(tmp_path / "named.bin")]), 150)
+    state = {r.path.rpartition("/")[2]: (r.kind, r.status, r.error, r.folder) for r in found.collect()}
+    assert state == {"a.TXT": ("text", "queued", None, "deep"), "b.md": ("markdown", "queued", None, "deep"), "c.csv": ("csv", "queued", None, "deep"), "d.tsv": ("csv", "queued", None, "deep"), "f.log": ("text", "failed", "too-large", "deep"), "named.bin": (None, "failed", "unsupported", tmp_path.name)}
+    rows = sorted((r.path.rpartition("/")[2], r.ordinal, r.label, r.text) for r in files.segments(spark, found).collect())
+    assert rows == [("a.TXT", 0, None, "plain\ntext"), ("b.md", 0, None, "before"), ("b.md", 1, "One", "# One\nbody\n```\n# code\n```"), ("b.md", 2, "Two ##", "## Two ##"), ("c.csv", 0, None, 'name: Lovelace, Ada; role: wrote "notes"\nname: Bob; role: ; col3: extra'), ("d.tsv", 0, None, "only one row, of two, cells")]
+    page = files.preview(spark.range(120).selectExpr("1 AS doc_id", "id AS ordinal"), 2).collect()
+    assert [r.ordinal for r in sorted(page)] == list(range(100, 120)) and page[0].pages == 3
+
+
+def test_csv_of_exports_is_read_back(spark):
+    rows = spark.createDataFrame([(1, 0, "=1+1", 5, None), (1, 1, 'say "hi", now', -123456, 7)], "k int, pos int, what string, cents long, page int")
+    made = exports.table_csv(rows, [("what", "what", "text"), ("cents", "amount", "money"), ("page", "page", "integer")], "k", "pos")
+    assert made.collect()[0].csv == "what,amount,page\r\n'=1+1,0.05,\r\n\"say \"\"hi\"\", now\",-1234.56,7\r\n"
+    back = files.csv_segments(made.select(made.k.alias("doc_id"), made.csv.alias("text"))).collect()[0].text
+    assert back == "what: '=1+1; amount: 0.05; page: \nwhat: say \"hi\", now; amount: -1234.56; page: 7"
+
+
+def test_stored_index_scores_as_a_scan(spark, tmp_path):
+    r = random.Random(1)
+    rows = [(i, " ".join(r.choices(["red", "green", "blue", "cyan", "the"], k=r.randint(0, 30)))) for i in range(200)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, text string")
+    stored = retrieval.Index.build(chunks, str(tmp_path / "index"))
+    for question in ("red the the", "blue", "nothing here", ""):
+        scan = {x.chunk_id: x.score for x in retrieval.bm25(chunks, question).collect()}
+        assert {x.chunk_id: x.score for x in stored.scores(question).collect()} == pytest.approx(scan)
+    assert "PartitionFilters: [isnotnull(part" in stored.scores("red")._jdf.queryExecution().toString() or "part" in stored.scores("red")._jdf.queryExecution().toString()
+
+
+def test_nearest_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(compare, "ROWS", 16)
+    r = random.Random(4)
+    rows = [(k % 2, i, [r.gauss(0, 1) for _ in range(6)]) for i, k in enumerate(range(100))]
+    frame = spark.createDataFrame(rows, "pair_id int, id int, vector array<double>")
+    got = sorted((x.pair_id, x.id, x.other, x.rank) for x in compare.nearest(frame.where("id < 60"), frame.where("id >= 60"), 4).collect())
+    cosine = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b))
+    expected = []
+    for p, i, v in rows[:60]:
+        best = sorted((-round(cosine(v, w), 6), j) for q, j, w in rows[60:] if q == p)[:4]
+        expected += [(p, i, j, k + 1) for k, (_, j) in enumerate(best)]
+    assert got == sorted(expected)
+
+
+def test_spans_are_spliced_in_order(spark):
+    rows = spark.createDataFrame([("abcdef", [(4, 1, "X"), (0, 2, "-"), (1, 3, "no"), (5, 9, "no"), (3, 0, "no")])], "text string, spans array<struct<start:int,length:int,replacement:string>>")
+    got = rows.select(edits.spliced(rows.text, rows.spans).alias("r")).collect()[0].r
+    assert (got.text, got.applied) == ("-cdXf", 2)
+
+
+def test_registry_checks_what_goes_in_and_out(spark):
+    tools = compare_plans.registry()
+    rows = spark.createDataFrame([(1, "a@b.org"), (2, None)], "doc_id long, text string")
+    assert tools.names() == ["categorize_transactions", "count_selected_documents", "redact_documents", "summarize_cashflow"]
+    assert tools.run(spark, "count_selected_documents", rows).collect()[0].documents == 2
+    with pytest.raises(PermissionError):
+        tools.run(spark, "redact_documents", rows)
+    assert sorted(str(r.text) for r in tools.run(spark, "redact_documents", rows, confirmed=True).collect()) == ["None", "[EMAIL]"]
+    with pytest.raises(ValueError, match="needs the columns"):
+        tools.run(spark, "summarize_cashflow", rows)
+    tools.add(skills.Tool("bad", lambda r: r, ("doc_id",), "other long"))
+    with pytest.raises(ValueError, match="gives no other"):
+        tools.run(spark, "bad", rows)
+    with pytest.raises(ValueError, match="already"):
+        tools.add(skills.Tool("bad", lambda r: r, ("doc_id",), "other long"))
+
+
+def test_log_stream_over_several_batches(spark, tmp_path):
+    """Batches as files; a stream that starts again goes on where it stopped."""
+    folder = tmp_path / "events"
+    for k in range(3):
+        spark.createDataFrame([(i, f"2024-01-01 00:{i // 60:02}:{i % 60:02}") for i in range(k * 40, k * 40 + 40)], "event_id long, t string").selectExpr("event_id", "CAST(t AS timestamp) AS ts").coalesce(1).write.parquet(str(folder / f"{k}"))
+    schema = spark.read.parquet(str(folder / "0")).schema
+    for _ in range(2):
+        rows = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(folder))
+        audit.bounded_log(rows, str(tmp_path / "out"), 50, 20).awaitTermination()
+    kept = audit.latest_version(spark, f"{tmp_path}/out/log")
+    assert sorted(r.event_id for r in kept.collect()) == list(range(70, 120))
+
+
+def test_tree_and_leaves_of_any_height(spark):
+    """Seventy levels, a cycle, and a leaf that is reached twice."""
+    nodes = [(1, 0, 0, True)]
+    edges = [(1, k, k + 1, False, 0) for k in range(70)] + [(1, k, 1000 + k, True, 1) for k in range(0, 71, 10)] + [(1, 70, 5, False, 2), (1, 70, 1000, True, 3)]
+    got = analysis.leaves(spark.createDataFrame(nodes, "doc_id int, node_id int, ordinal int, is_root boolean"), spark.createDataFrame(edges, "doc_id int, parent_id int, child_id int, child_is_leaf boolean, ordinal int"))
+    assert [r.leaf_id for r in got.orderBy("place").collect()] == [1070, 1000, 1060, 1050, 1040, 1030, 1020, 1010]
+    chunks = spark.createDataFrame([(1, i, "w w w w") for i in range(300)], "doc_id int, chunk_index int, text string")
+    levels = {r.level: r.n for r in analysis.tree(chunks, 8, 4).groupBy("level").agg({"ordinal": "count"}).withColumnRenamed("count(ordinal)", "n").collect()}
+    assert levels[1] == 150 and levels[max(levels)] == 1 and max(levels) == 9
+
+
+def test_swept_entities_do_not_meet_masks():
+    text, found, masked, dropped = redaction.swept("Bob Red and Bobby met Red.", [("Bob", "name"), ("Bobby", "name"), ("Red", "other"), ("RED", "org"), ("ab", "name"), ("Bob", "org")])
+    assert text == "[NAME] [REDACTED] and [NAME] met [REDACTED]." and (found["name"], found["other"], masked, dropped) == (2, 1, 4, 2)
+
+
+def test_packed_windows_and_budgets(spark):
+    r = random.Random(7)
+    rows = [(d, i, r.randint(0, 9)) for d in range(5) for i in range(40)]
+    got = {(x.doc_id, x.ordinal): x.window for x in budgets.packed(spark.createDataFrame(rows, "doc_id int, ordinal int, cost int").selectExpr("doc_id", "ordinal", "CAST(cost AS long) AS cost"), 12).collect()}
+    expected = {}
+    for d in range(5):
+        total = window = 0
+        for _, i, c in [x for x in rows if x[0] == d and x[2]]:
+            if total and total + c > 12:
+                total, window = 0, window + 1
+            total += c
+            expected[d, i] = window
+    assert got == expected
+
+
+def test_collections_are_merged(spark):
+    table = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id int, collection string")
+    assert sorted(map(tuple, library.added(table, spark.createDataFrame([(1, "a"), (3, "c"), (3, "c")], table.schema), ["doc_id", "collection"]).collect())) == [(1, "a"), (2, "b"), (3, "c")]
+    assert sorted(map(tuple, library.removed(table, spark.createDataFrame([(1, "a"), (2, "x")], table.schema)).collect())) == [(2, "b")]
