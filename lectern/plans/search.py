@@ -112,6 +112,13 @@ def vector_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.top(retrieval.similar(vectors, _question_vector(spark, sf_dir), floor=0.0), 25)
 
 
+def vector_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over fifty times as many vectors, each turned by 0 to 49 places."""
+    turned = table(spark, sf_dir, "embeddings").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(49))))
+    vectors = turned.select((F.col("vec_id") * 50 + F.col("k")).alias("chunk_id"), F.concat(F.slice("embedding", F.col("k") + 1, F.lit(64)), F.slice("embedding", F.lit(1), F.col("k"))).alias("embedding"))
+    return retrieval.top(retrieval.similar(vectors, _question_vector(spark, sf_dir)), 25)
+
+
 _COSINE = """(SELECT embedding AS q FROM embeddings ORDER BY vec_id LIMIT 1)"""
 
 
@@ -176,7 +183,7 @@ def embedded_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.top(retrieval.bm25(docs, QUESTION).join(vectors, "chunk_id"), 30)
 
 
-QUERIES = {f.__name__: f for f in (token_stats, content_hashes, message_titles, context_usage, chunk_closed_form, chunk_general, chunk_overlap, chunk_overlap_general, keyword_search, keyword_search_scoped, vector_topk, vector_topk_filtered, hash_embed_topk, rrf_fusion, hybrid_retrieve, page_dedup, context_budget_trim, conversation_search, embedded_hits)}
+QUERIES = {f.__name__: f for f in (token_stats, content_hashes, message_titles, context_usage, chunk_closed_form, chunk_general, chunk_overlap, chunk_overlap_general, keyword_search, keyword_search_scoped, vector_topk, vector_topk_filtered, vector_scan, hash_embed_topk, rrf_fusion, hybrid_retrieve, page_dedup, context_budget_trim, conversation_search, embedded_hits)}
 
 _FLAT = f"trim(regexp_replace(text, '[{_WS}]+', ' ', 'g'))"
 _WORDS = f"regexp_extract_all(text, '[^{_WS}]+')"
@@ -219,6 +226,7 @@ ORACLE_SQL = {
     "keyword_search_scoped": f"WITH {_BASE_DOCS}, {_BM25} SELECT chunk_id, score FROM bm25 WHERE chunk_id IN (SELECT doc_id FROM documents WHERE source = 'src3') ORDER BY score DESC, chunk_id LIMIT 20",
     "vector_topk": f"SELECT vec_id AS chunk_id, round(list_cosine_similarity(list_transform(embedding, lambda x: x::DOUBLE), list_transform(q, lambda x: x::DOUBLE)), 6) AS score FROM embeddings, {_COSINE} ORDER BY score DESC, chunk_id LIMIT 25",
     "vector_topk_filtered": f"SELECT * FROM (SELECT vec_id AS chunk_id, round(list_cosine_similarity(list_transform(embedding, lambda x: x::DOUBLE), list_transform(q, lambda x: x::DOUBLE)), 6) AS score FROM embeddings, {_COSINE} WHERE label = 3) WHERE score >= 0 ORDER BY score DESC, chunk_id LIMIT 25",
+    "vector_scan": f"WITH t AS (SELECT vec_id * 50 + k AS chunk_id, list_concat(embedding[k + 1:], embedding[:k]) AS embedding FROM embeddings, range(50) r(k)) SELECT chunk_id, round(list_cosine_similarity(list_transform(embedding, lambda x: x::DOUBLE), list_transform(q, lambda x: x::DOUBLE)), 6) AS score FROM t, {_COSINE} ORDER BY score DESC, chunk_id LIMIT 25",
     "hash_embed_topk": f"WITH {CHUNKS}, {HASHED} SELECT chunk_id, score FROM hashed ORDER BY score DESC, chunk_id LIMIT 25",
     "rrf_fusion": f"WITH {CHUNKS}, base AS (SELECT chunk_id, text FROM chunks), {_BM25}, {HASHED}, {_RRF} SELECT * FROM fused",
     "hybrid_retrieve": f"""WITH {CHUNKS}, base AS (SELECT chunk_id, text FROM chunks), {_BM25}, {HASHED}, {_RRF},

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions import money as M
-from lectern.operators import ledger, redaction, statement
+from lectern.operators import labels, ledger, redaction, statement
 from lectern.plans import tables
 from lectern.plans.tables import LEDGER, table
 
@@ -136,6 +136,29 @@ def transactions_with_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.with_categories(rows, names.select(F.col("key").alias("category_id"), "name")).select("statement", "pos", "cents", F.col("name").alias("category"))
 
 
+def taxonomy_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Categories of taxonomy files in several notations, some of them bad; and the file that a question names."""
+    k = F.col("n_nationkey")
+    text = F.when(k % 5 == 0, F.concat(F.lit("Kategorie;Hinweis\n# note\nRent;flat, house;\n"), F.initcap(F.replace("n_name", F.lit("_"), F.lit(" "))), F.lit("\nRENT;twice\n"))).when(k % 5 == 1, "Food\tshop\nFun\n").when(k % 5 == 2, "Only one\n").when(k % 5 == 3, "Good,a,b\n1 bad\n").otherwise('"Food", "super market"\nTravel by train or ship\n')
+    rows = table(spark, sf_dir, "nation").select(k.alias("doc_id"), text.alias("text"))
+    ask = F.when(k % 3 == 0, 'Categorize by "in/my list.csv", please').when(k % 3 == 1, "kategorisiere nach (work\\\\k.csv").otherwise("open list.csv")
+    asked = table(spark, sf_dir, "nation").select(k.alias("doc_id"), labels.taxonomy_file(ask).alias("file"))
+    shown = F.array_join(F.transform("categories", lambda c: F.concat_ws("=", c["name"], c["gloss"])), "|")
+    return labels.taxonomy(rows).select("doc_id", shown.alias("categories")).join(asked, "doc_id")
+
+
+def _choose(descriptions: list[str]) -> list[str | None]:
+    """A stand-in for a model: it fails on some batches and knows two words."""
+    return [None if "5-" in d else "Rent" if "1-" in d else "Unknown" for d in descriptions]
+
+
+def categorized_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows categorised by a function within a set of one's own, with a derived column."""
+    rows = labels.categorised(tables.ledger(spark, sf_dir).select("statement", "pos", "cents", "description"), ["Rent", "Food"], _choose)
+    made = labels.enriched(rows, {"size": ["small", "large"]}, lambda name, batch: ["huge" if abs(r["cents"]) > 30_000_000 else "large" if abs(r["cents"]) > 10_000_000 else "small" for r in batch])
+    return made.groupBy("category", "size").agg(F.count("*").alias("n"))
+
+
 def _personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A letter for each customer with data of every kind, some of it not quite right."""
     k = F.col("c_custkey")
@@ -165,7 +188,7 @@ def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("lang", *redaction.counts(F.col("text"))).groupBy("lang").agg(F.sum("emails").alias("emails"), F.sum("urls").alias("urls"))
 
 
-QUERIES = {f.__name__: f for f in (parse_amount, parse_date, detect_currency, statement_rows, statement_balances, currency_vote, date_order_vote, glyph_soup, invoice_header, invoice_items, invoice_totals, categorize_rules, transactions_with_categories, redact_text, redact_entities, pii_counts)}
+QUERIES = {f.__name__: f for f in (parse_amount, parse_date, detect_currency, statement_rows, statement_balances, currency_vote, date_order_vote, glyph_soup, invoice_header, invoice_items, invoice_totals, categorize_rules, transactions_with_categories, taxonomy_files, categorized_rows, redact_text, redact_entities, pii_counts)}
 
 _DAYS = f"""{LEDGER}, days AS (SELECT l.*, o_orderdate AS d, l.statement % 4 = 0 AS us FROM ledger l JOIN orders ON o_orderkey = row_id),
   votes AS (SELECT statement, bool_or(us AND day(d) > 12) AS month_first, bool_or(day(d) > 12) AS shown FROM days GROUP BY statement)"""
@@ -188,6 +211,9 @@ ORACLE_SQL = {
     "invoice_totals": "WITH n AS (SELECT l_orderkey, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS net FROM lineitem GROUP BY l_orderkey) SELECT l_orderkey AS doc_id, net, CAST(round(net * 0.2::DOUBLE) AS BIGINT) AS tax, CAST(round(net * 1.2::DOUBLE) AS BIGINT) AS gross, 20.0::DOUBLE AS rate FROM n WHERE l_orderkey IN (SELECT o_orderkey FROM orders)",
     "categorize_rules": "SELECT p_partkey, ['Fees', NULL, 'Fees', NULL, 'Income', 'Transfer', NULL, 'Cash', 'Income'][p_partkey % 9 + 1] AS c, coalesce(c, CASE WHEN p_partkey % 2 = 0 THEN 'Income' ELSE 'Spending' END) AS category FROM part",
     "transactions_with_categories": f"WITH {LEDGER} SELECT statement, pos, cents, CASE right(description, 1) WHEN 'O' THEN 'Income' WHEN 'F' THEN 'Spending' END AS category FROM ledger",
+    "taxonomy_files": r"""SELECT n_nationkey AS doc_id, CASE n_nationkey % 5 WHEN 0 THEN 'Rent=flat, house|' || (SELECT string_agg(upper(left(w, 1)) || lower(substr(w, 2)), ' ') FROM (SELECT unnest(string_split(replace(n_name, '_', ' '), ' ')) AS w)) WHEN 1 THEN 'Food=shop|Fun' END AS categories,
+      CASE n_nationkey % 3 WHEN 0 THEN 'my list.csv' WHEN 1 THEN 'k.csv' END AS file FROM nation""",
+    "categorized_rows": f"WITH {LEDGER} SELECT CASE WHEN description LIKE '1-%' THEN 'Rent' ELSE 'Uncategorized' END AS category, CASE WHEN abs(cents) > 30000000 THEN '' WHEN abs(cents) > 10000000 THEN 'large' ELSE 'small' END AS size, count(*) AS n FROM ledger GROUP BY ALL",
     "redact_text": """SELECT c_custkey AS doc_id, 'Dear ' || c_name || ', write to [EMAIL] or see [URL] (no@mail). Pay to [IBAN] with card ' || CASE WHEN c_custkey % 2 = 0 THEN '[CARD]' ELSE '4111 1111 1111 1112' END || ' by [DATE] or 2024-13-45, call [PHONE]' || CASE WHEN c_custkey % 5 = 0 THEN ' or [PHONE].' ELSE ' or 12345.' END AS text,
       1 AS email, 1 AS url, 1 AS iban, CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 0 END AS card, 1 AS date, CASE WHEN c_custkey % 5 = 0 THEN 2 ELSE 1 END AS phone FROM customer""",
     "redact_entities": "SELECT c_custkey AS doc_id, left('Dear [NAME], write to [EMAIL]', 24) AS start, 1 AS name, 0 AS org, 1 AS other, 2 AS masked, 2 AS dropped, 1 AS email FROM customer",
