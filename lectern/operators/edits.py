@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
+# How lines of Markdown blocks begin.
 _FENCE = r"^ {0,3}(`{3,}|~{3,})"
 _HEADING = r"^ {0,3}#{1,6}(?:\s|$)"
 _QUOTE = r"^ {0,3}>"

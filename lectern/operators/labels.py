@@ -19,6 +19,10 @@ CATEGORY_BATCH, ENRICH_BATCH, MOST_COLUMNS = 20, 12, 4
 # First cells that mark a header line, lower case; and the form of a label.
 HEADER_CELLS = ("kategorie", "kategorien", "category", "categories", "name", "label")
 LABEL = r"^\p{L}[\p{L}\p{N}&+\-/. ]{0,39}$"
+# How a question asks to categorise, and how it names a CSV file, in quotes or bare.
+ASKS = r"(?i)\b(?:kategorisier\w*|categori[sz]e\w*|categori[sz]ation)\b"
+QUOTED_FILE = "(?i)[\"'„“«]([^\"'„“«»\\n]{1,160}?\\.csv)[\"'“«»]"
+BARE_FILE = "(?i)(?:^|\\s)([^\\s\"'„“«»]{1,160}\\.csv)\\b"
 
 
 def taxonomy(files: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -45,9 +49,7 @@ def taxonomy(files: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def taxonomy_file(question: Column) -> Column:
     """The base name of the CSV file that a question to categorise names; null without one."""
-    asked = question.rlike(r"(?i)\b(?:kategorisier\w*|categori[sz]e\w*|categori[sz]ation)\b")
-    quoted = F.regexp_extract(question, "(?i)[\"'„“«]([^\"'„“«»\\n]{1,160}?\\.csv)[\"'“«»]", 1)
-    bare = F.regexp_extract(question, "(?i)(?:^|\\s)([^\\s\"'„“«»]{1,160}\\.csv)\\b", 1)
+    asked, quoted, bare = question.rlike(ASKS), F.regexp_extract(question, QUOTED_FILE, 1), F.regexp_extract(question, BARE_FILE, 1)
     name = F.regexp_extract(F.trim(F.regexp_replace(F.when(quoted != "", quoted).otherwise(bare), r"^[(\[{]+", "")), r"([^/\\]*)$", 1)
     return F.when(asked, F.nullif(name, F.lit("")))
 

@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 
-# Extensions by kind of file, and the limits of a file.
+# Extensions by kind of file, the limits of a file, and how Markdown's fences and headings begin.
 KINDS = {"text": ("txt", "text", "log"), "markdown": ("md", "markdown", "mdown"), "csv": ("csv", "tsv")}
 MOST_BYTES = 1 << 30
 MOST_TEXT = 64 << 20
 PAGE = 50
+FENCE = r"^\s*(```|~~~)"
+HEADING = r"^#{1,6}\s+(.*)$"
 
 
 def kind_of(path: Column) -> Column:
@@ -69,11 +71,11 @@ def markdown_segments(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     """
     lines = rows.select(key, F.posexplode(F.split(T.without_mark(F.col("text")), r"\r?\n")).alias("pos", "line"))
     order = W.partitionBy(key).orderBy("pos")
-    fence = F.col("line").rlike(r"^\s*(```|~~~)")
+    fence = F.col("line").rlike(FENCE)
     open_ = F.coalesce(F.sum(F.col("fence").cast("int")).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) % 2 == 1
-    lines = lines.withColumn("fence", fence).withColumn("heading", ~F.col("fence") & ~open_ & F.col("line").rlike(r"^#{1,6}\s+.*$"))
+    lines = lines.withColumn("fence", fence).withColumn("heading", ~F.col("fence") & ~open_ & F.col("line").rlike(HEADING))
     lines = lines.withColumn("section", F.sum(F.col("heading").cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)))
-    label = F.max(F.when(F.col("heading"), T.stripped(F.regexp_extract("line", r"^#{1,6}\s+(.*)$", 1))))
+    label = F.max(F.when(F.col("heading"), T.stripped(F.regexp_extract("line", HEADING, 1))))
     parts = lines.groupBy(key, "section").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("x"), label.alias("label"))
     parts = parts.select(key, "section", F.nullif("label", F.lit("")).alias("label"), T.stripped(F.array_join("x.line", "\n")).alias("text")).where("text <> ''")
     return parts.select(key, (F.row_number().over(W.partitionBy(key).orderBy("section")) - 1).alias("ordinal"), "label", "text")
