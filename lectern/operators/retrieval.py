@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -118,14 +123,61 @@ def hash_embedding(chunks: DataFrame, key: str = "chunk_id", dimensions: int = 3
     return rows.join(places, "term").groupBy(key, "position").agg(F.sum(F.col("tf") * F.col("sign")).alias("weight")).where("weight <> 0")
 
 
+class _Places:
+    """Positions and signs of terms, each distinct term hashed once; one lives in each task."""
+
+    MOST = 1 << 18
+
+    def __init__(self, dimensions: int):
+        self.dimensions, self.number = dimensions, {}
+        self.at, self.sign = np.zeros((1024, 6), np.int64), np.zeros((1024, 6), np.int64)
+
+    def of(self, terms: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.number) > self.MOST:
+            self.number.clear()
+        ids = np.empty(len(terms), np.int64)
+        for i, term in enumerate(terms):
+            k = self.number.get(term)
+            if k is None:
+                k = self.number[term] = len(self.number)
+                if k >= len(self.at):
+                    self.at, self.sign = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.sign))
+                digest = np.frombuffer(hashlib.sha256(term.encode()).digest()[:30], np.uint8).reshape(6, 5)
+                self.at[k] = digest[:, :4].copy().view(">u4").ravel().astype(np.int64) % self.dimensions
+                self.sign[k] = np.where(digest[:, 4] % 2 == 1, 1, -1)
+            ids[i] = k
+        return self.at[ids], self.sign[ids]
+
+    def vectors(self, texts: list[str | None]) -> np.ndarray:
+        """A row of whole numbers for each text."""
+        found = [_HASHED_TERM.findall((t or "").lower()) for t in texts]
+        at, sign = self.of([w for words in found for w in words])
+        row = np.repeat(np.arange(len(texts)), [len(words) for words in found])
+        flat = np.bincount((row[:, None] * self.dimensions + at).ravel(), weights=sign.ravel(), minlength=len(texts) * self.dimensions)
+        return flat.reshape(len(texts), self.dimensions)
+
+
+_HASHED_TERM = re.compile("[a-z0-9]+")
+
+
 def hash_similar(chunks: DataFrame, question: str, key: str = "chunk_id", dimensions: int = 384) -> DataFrame:
-    """Scores (key, score) by the cosine of hash embeddings."""
-    embedded = hash_embedding(chunks, key, dimensions)
-    asked = hash_embedding(chunks.sparkSession.createDataFrame([(question,)], "text string").withColumn("q", F.lit(0)), "q", dimensions)
-    asked = asked.select("position", F.col("weight").alias("asked"))  # at most ``dimensions`` rows
-    norm = asked.agg(F.sqrt(F.sum(F.col("asked") * F.col("asked"))).alias("norm"))
-    sums = embedded.join(F.broadcast(asked), "position", "left").groupBy(key).agg(F.sum(F.col("weight") * F.coalesce("asked", F.lit(0))).alias("dot"), F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("own"))
-    return sums.crossJoin(F.broadcast(norm)).select(key, F.round(F.col("dot") / (F.col("own") * F.col("norm")), 6).alias("score"))  # one row
+    """Scores (key, score) by the cosine of hash embeddings, chunk by chunk; a chunk whose embedding is zero has none."""
+    asked = _Places(dimensions).vectors([question])[0]
+    norm = float(np.sqrt(asked @ asked))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = _Places(dimensions)
+        for batch in batches:
+            for low in range(0, batch.num_rows, 500):
+                part = batch.slice(low, 500)
+                made = places.vectors(part.column(1).to_pylist())
+                own = np.sqrt((made * made).sum(1))
+                good = own > 0
+                score = np.divide(made @ asked, own * norm, out=np.full(len(own), np.nan), where=good & (norm > 0))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score, mask=np.isnan(score))], [key, "raw"]).filter(pa.array(good))
+
+    kind = chunks.schema[key].dataType.simpleString()
+    return chunks.select(key, "text").mapInArrow(run, f"{key} {kind}, raw double").select(key, F.round("raw", 6).alias("score"))
 
 
 def ranked(hits: DataFrame, k: int, key: str = "chunk_id") -> DataFrame:
