@@ -16,8 +16,9 @@ Defined results: a null text has size 0; documents of size 0 are never taken and
 position; a null source is a source of its own. Rows that share a doc_id are separate
 documents. An empty table gives an empty result. Other columns do not matter.
 
-Running sums never gather a source in one task: each source's hash range is cut into
-``SLICES`` slices, whose totals alone are summed up by source.
+Running sums never gather a source in one task: each source's hash range is cut into slices of
+about ``ROWS`` rows of the table at most, whose totals alone are summed up by source. Sizes are
+counted once and written without the texts.
 """
 
 from __future__ import annotations
@@ -26,15 +27,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.llm import ordering
+from lectern.llm import ordering, shared
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 SLOPES = (0.5, 0.0, -0.5)
 SHARE = 1.5
 LIMIT = 2
-#: Hexadecimal digits of the hash that choose a slice: 4096 slices.
-DIGITS = 3
+#: Rows of the whole table for each slice, of which there are 4096 at least.
+ROWS = 1 << 16
+
+
+def _digits(n: int) -> int:
+    """Hexadecimal digits of the hash that choose a slice among so many rows."""
+    return max(3, ((max(n, 1) - 1) // ROWS).bit_length() // 4 + 1)
 
 
 def _sized(documents: DataFrame, *more: str) -> DataFrame:
@@ -63,9 +69,11 @@ def mix(documents: DataFrame, *more: str) -> DataFrame:
     ``passes`` lists for each time that the document is taken its number, its words and
     its training position in [0, 1].
     """
-    rows = _sized(documents, *more).withColumn("slice", F.substring("hash", 1, DIGITS))
-    goal = targets(rows)
-    sums = rows.groupBy("source", "slice").agg(F.sum("size").alias("in_slice"))
+    small = shared.written(_sized(documents), "sized")
+    digits = _digits(small.count())
+    rows = (_sized(documents, *more) if more else small).withColumn("slice", F.substring("hash", 1, digits))
+    goal = targets(small)
+    sums = small.withColumn("slice", F.substring("hash", 1, digits)).groupBy("source", "slice").agg(F.sum("size").alias("in_slice"))
     earlier = W.partitionBy("source").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.withColumn("slice_start", F.coalesce(F.sum("in_slice").over(earlier), F.lit(0)))
     sums = sums.join(goal, sums["source"].eqNullSafe(goal["source"])).select(sums["source"].alias("s"), F.col("slice").alias("b"), "slice_start", "source_size", "slope", "target")
