@@ -179,6 +179,9 @@ def score(documents: DataFrame, target: DataFrame) -> DataFrame:
     asked = texts.cogroup(marks).applyInArrow(ask, _REQUESTS)
     replies = asked.groupBy("part").applyInArrow(_replies, _REPLIES)
     scored = texts.cogroup(replies.groupBy("chunk")).applyInArrow(run, "doc_id long, n_tokens long, inside double, outside double, background_loss double")
-    chosen = scored.join(ids.hint("merge"), F.col("doc_id") == F.col("_id"), "left")
+    # rows without an id meet no name and are spread over all tasks
+    spread = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("n_tokens", "background_loss"), F.lit(1 << 20))).otherwise(0)
+    names = ids.withColumn("_spread", F.lit(0).cast("long"))
+    chosen = scored.withColumn("spread", spread.cast("long")).join(names.hint("merge"), (F.col("doc_id") == F.col("_id")) & (F.col("spread") == F.col("_spread")), "left")
     target_loss = F.when(F.col("_id").isNotNull(), F.col("inside")).otherwise(F.col("outside"))
     return chosen.select("doc_id", "n_tokens", target_loss.alias("target_loss"), "background_loss", (target_loss - F.col("background_loss")).alias("score"))
