@@ -246,7 +246,7 @@ def pack(rows: DataFrame, length: int = LENGTH, province: int = PROVINCE, island
     """Every piece of ``rows`` with sequence_id and offset. ``rows`` must give the same rows at each reading."""
     names = rows.columns
     spark = rows.sparkSession
-    rows = shared.written(rows.withColumn("_uid", F.monotonically_increasing_id()), "pieces")
+    rows, rows_path = shared.at_path(rows.withColumn("_uid", F.monotonically_increasing_id()), "pieces")
     short = rows.where(F.col("length") < length)
     provinces = max(1, -(-short.count() // province))
     dealt = short.select(F.pmod(F.xxhash64("_uid"), F.lit(provinces)).alias("province"), "_uid", F.col("length").cast("int").alias("length"))
@@ -278,8 +278,8 @@ def pack(rows: DataFrame, length: int = LENGTH, province: int = PROVINCE, island
     placed = best.mapInArrow(place, "_id long, sequence_id long, offset long")
     packed = short.join(placed, F.col("_uid") == F.col("_id")).select(*names, "sequence_id", "offset")
     full = rows.where(F.col("length") >= length).select(*names, (-1 - F.col("_uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    out = shared.written(packed.unionByName(full), "packed") if paths else packed.unionByName(full)
-    for path in paths:
+    out = shared.written(packed.unionByName(full), "packed")
+    for path in (rows_path, *paths):
         shared.remove(spark, path)
     return out
 
