@@ -21,6 +21,7 @@ MEMORY = 1 << 19
 _PIECES = 1 << 16
 _JOINED = 1 << 13
 #: Units that may be taken together: known white space and one word without any other white space.
+_KNOWN_SPACE = " \t\n\x0b\x0c\r"
 _UNIT = re.compile(r"[\x20\x09-\x0D]+[^\s\x1c-\x1f\x85]+")
 
 
@@ -124,11 +125,14 @@ class Encoder:
         sizes = np.fromiter(map(len, made), np.int64, len(made))
         return [i for ids in made for i in ids], np.bincount(owner, weights=sizes, minlength=len(units)).astype(np.int64)
 
-    def _encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all units in order, and how many each has."""
+    def _encode_units(self, units: list[str], odd: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all units in order, and how many each has; ``odd`` if some may have other white space or an added token."""
         out: list = [self._simple(u) for u in units] if self.lead is not None else [None] * len(units)
         left = [i for i, ids in enumerate(out) if ids is None]
-        at = [i for i in left if _UNIT.fullmatch(units[i]) and not self.has_added(units[i])]
+        if odd:
+            at = [i for i in left if _UNIT.fullmatch(units[i]) and not self.has_added(units[i])]
+        else:
+            at = [i for i in left if units[i][0] in _KNOWN_SPACE and not units[i].isspace()]
         single = sorted({*left} - {*at})
         for low in range(0, len(at), _JOINED):
             part = at[low : low + _JOINED]
@@ -179,7 +183,7 @@ class Encoder:
         if new.any():
             low, high = starts[first[new]].tolist(), ends[first[new]].tolist()
             data = raw.tobytes()
-            ids, sizes = self._encode_units([data[a:b].decode() for a, b in zip(low, high, strict=True)])
+            ids, sizes = self._encode_units([data[a:b].decode() for a, b in zip(low, high, strict=True)], len(odd) > 0)
             begin = len(self.ids) + np.cumsum(sizes) - sizes
             known = np.concatenate([self.known, hashes[new]])
             order = np.argsort(known, kind="stable")
