@@ -1,13 +1,12 @@
 """Counts in a table of fixed size, gathered from any number of tasks.
 
-A task adds up its own dense table and hands on its segments; each segment is summed by
+A task adds up the slots that it meets and hands them on by segment; each segment is summed by
 one task of the next stage. The finished table has ``total`` numbers whatever the size of
 the input, which bounds what reaches the driver and what is broadcast.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,23 +30,36 @@ def counts(frame: DataFrame, slots: Callable[[pa.RecordBatch], np.ndarray], tota
     step = min(total, 1 << SEGMENT_BITS)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(total, np.int64)
+        own, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held: list[np.ndarray] = []
+
+        def settled() -> tuple[np.ndarray, np.ndarray]:
+            """All slots so far, each once, and how often each occurs; at most ``total`` of them."""
+            found, index, n = np.unique(np.concatenate([own, *held]), return_inverse=True, return_counts=True)
+            n = n.astype(np.int64)
+            n[index[: len(own)]] += times - 1
+            return found, n
+
         for batch in batches:
-            np.add.at(own, slots(batch), 1)
-        for k in range(0, total, step):
-            part = own[k : k + step]
-            if part.any():
-                yield pa.record_batch({"segment": pa.array([k // step], pa.int32()), "data": pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())})
+            held.append(slots(batch))
+            if sum(map(len, held)) > total:
+                own, times = settled()
+                held.clear()
+        own, times = settled()
+        edges = np.searchsorted(own, np.arange(0, total + step, step))
+        for k in np.flatnonzero(np.diff(edges)).tolist():
+            part = slice(edges[k], edges[k + 1])
+            yield pa.record_batch({"segment": pa.array([k], pa.int32()), "at": pa.array([(own[part] - k * step).astype("<u2").tobytes()], pa.binary()), "times": pa.array([times[part].tobytes()], pa.binary())})
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
         out = np.zeros(step, np.int64)
-        for data in table.column("data"):
-            out += np.frombuffer(zlib.decompress(data.as_py()), np.int64)
+        for at, times in zip(table.column("at"), table.column("times"), strict=True):
+            out[np.frombuffer(at.as_buffer(), "<u2")] += np.frombuffer(times.as_buffer(), np.int64)
         return pa.table({"segment": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([np.ceil(STEPS * np.log2(1.0 + out)).astype(np.uint8).tobytes()], pa.binary())})
 
-    parts = frame.mapInArrow(add, "segment int, data binary").groupBy("segment").applyInArrow(merge, "segment int, data binary")
+    parts = frame.mapInArrow(add, "segment int, at binary, times binary").groupBy("segment").applyInArrow(merge, "segment int, data binary")
     out = np.zeros(total, np.uint8)
-    for row in parts.toLocalIterator():
+    for row in parts.collect():  # a byte for each slot, whatever the input: not partition by partition, which would be a job each
         out[row.segment * step : (row.segment + 1) * step] = np.frombuffer(row.data, np.uint8)
     return out
 

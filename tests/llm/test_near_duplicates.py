@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
 
 import numpy as np
 import pytest
 
-from lectern.llm import bottomk_dedup, egrid_join, graph, kernels
+from lectern.llm import bottomk_dedup, dense, egrid_join, graph, kernels
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCUMENTS = "doc_id long, text string, source string, n_shingles int, root string"
@@ -127,6 +128,17 @@ def test_pairs_on_both_sides_of_the_sketch(spark):
     assert got == brute(rows, 5)
 
 
+def test_counts_over_many_batches(spark):
+    """A table of few slots and more rows than it has, counted over several tasks; none, rare and frequent ones."""
+    frame = spark.range(40_000).selectExpr("CAST(CASE WHEN id % 7 = 0 THEN 5 WHEN id < 3 THEN 9 ELSE 130000 + id % 2 END AS long) AS slot").repartition(4)
+    got = dense.counts(frame, lambda batch: np.asarray(batch.column(0)), 1 << 18)
+    times = {}
+    for k in range(40_000):
+        slot = 5 if k % 7 == 0 else 9 if k < 3 else 130_000 + k % 2
+        times[slot] = times.get(slot, 0) + 1
+    assert {k: int(got[k]) for k in np.flatnonzero(got)} == {k: math.ceil(6 * math.log2(1 + n)) for k, n in times.items()}
+
+
 def vectors(seed, n=300, dim=24):
     rng = np.random.default_rng(seed)
     centres = rng.normal(size=(n // 6, dim))
