@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bitplane_store, bottomk_dedup, cross_entropy, curriculum_mix, egrid_join, gga_packing, html_crf, license_rules, oph_fingerprint, subword_quality, token_ids
+from lectern.llm import bitplane_store, bottomk_dedup, cross_entropy, curriculum_mix, egrid_join, gga_packing, html_crf, license_rules, oph_fingerprint, piece_agenda, subword_quality, token_ids
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,7 +58,11 @@ def op10_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_entropy.score(_table(spark, sf_dir, "documents"), labels.where((F.col("quality") == 1) & ~subword_quality.held_out(F.col("doc_id"))))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_crf, op2_egrid_join, op3_gga_packing, op4_subword_quality, op5_curriculum_mix, op6_bottomk_dedup, op7_bitplane_store, op8_oph_fingerprint, op9_license_rules, op10_cross_entropy)}
+def op11_piece_agenda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_agenda.digests(_table(spark, sf_dir, "documents"), token_ids.vocabulary_path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_html_crf, op2_egrid_join, op3_gga_packing, op4_subword_quality, op5_curriculum_mix, op6_bottomk_dedup, op7_bitplane_store, op8_oph_fingerprint, op9_license_rules, op10_cross_entropy, op11_piece_agenda)}
 
 ORACLE_SQL = {
     "op5_curriculum_mix": r"""
