@@ -118,9 +118,9 @@ def segment_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower:
     return mix(out)
 
 
-def word_ranges(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words, and for each text the number of words before it."""
-    inside = ~_SPACE[raw]
+def word_ranges(raw: np.ndarray, offsets: np.ndarray, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words, and for each text the number of words before it. ``apart``: bytes outside words."""
+    inside = ~apart[raw]
     if not len(raw):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
     first = inside.copy()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bitplane_store, bottomk_dedup, cross_entropy, curriculum_mix, egrid_join, gga_packing, html_crf, license_rules, oph_fingerprint, piece_agenda, subword_quality, token_ids
+from lectern.llm import bitplane_store, bottomk_dedup, cross_entropy, curriculum_mix, egrid_join, gga_packing, html_crf, license_rules, oph_fingerprint, piece_agenda, subword_quality, tiered_search, token_ids, turn_trie
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,9 +62,58 @@ def op11_piece_agenda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_agenda.digests(_table(spark, sf_dir, "documents"), token_ids.vocabulary_path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_crf, op2_egrid_join, op3_gga_packing, op4_subword_quality, op5_curriculum_mix, op6_bottomk_dedup, op7_bitplane_store, op8_oph_fingerprint, op9_license_rules, op10_cross_entropy, op11_piece_agenda)}
+def op12_tiered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiered_search.rank_all(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("tier")
+
+
+def op13_turn_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_trie.prefix_nodes(_table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_html_crf, op2_egrid_join, op3_gga_packing, op4_subword_quality, op5_curriculum_mix, op6_bottomk_dedup, op7_bitplane_store, op8_oph_fingerprint, op9_license_rules, op10_cross_entropy, op11_piece_agenda, op12_tiered_search, op13_turn_trie)}
+
+#: CRC-32 of each byte, as SQL: eight times a shift and, where the last bit was set, the polynomial.
+_CRC_TABLE = "SELECT range AS i, range AS x FROM range(256)"
+for _ in range(8):
+    _CRC_TABLE = f"SELECT i, CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END AS x FROM ({_CRC_TABLE})"
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 
 ORACLE_SQL = {
+    "op12_tiered_search": f"""
+WITH docs AS (SELECT doc_id, {_TERMS} AS terms FROM documents),
+sized AS (SELECT doc_id, len(terms) AS n, terms FROM docs WHERE len(terms) > 0),
+totals AS (SELECT CAST(count(*) AS BIGINT) AS total, CAST(sum(n) AS BIGINT) AS length FROM sized),
+counted AS (SELECT doc_id, n, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT doc_id, n, unnest(terms) AS term FROM sized) GROUP BY ALL),
+weights AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * total + 2) / (2.0::DOUBLE * count(*) + 1))) AS BIGINT) AS w FROM counted, totals GROUP BY term, total),
+impacts AS (SELECT doc_id, term, (1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * total) // length)) AS impact FROM counted, totals),
+asked AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+scores AS (
+  SELECT item_id, doc_id, CAST(sum(times * w * impact) AS BIGINT) AS score FROM asked JOIN weights USING (term) JOIN impacts USING (term) GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0) WHERE rank <= 20""",
+    "op13_turn_trie": rf"""
+WITH crc AS (SELECT list(x ORDER BY i) AS t FROM ({_CRC_TABLE})),
+own AS (
+  SELECT conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST, role, text) AS l FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+hashed AS (
+  SELECT conv_id, l, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))),
+    lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]))) % 9 AS h FROM own, crc),
+built AS (
+  SELECT o.conv_id, list_concat(coalesce(b.l[1:o.h], []), o.l[o.h + 1:]) AS l FROM hashed o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 5),
+members AS (SELECT conv_id, l[1:d] AS p, d, len(l) = d AS ends FROM (SELECT conv_id, l, unnest(range(0, len(l) + 1)) AS d FROM built)),
+nodes AS (
+  SELECT p, d, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '') AS ends,
+    CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * strlen(p[d].t) END AS saved
+  FROM members GROUP BY p, d),
+children AS (SELECT p[1:d - 1] AS p, d - 1 AS d, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+whole AS (SELECT n.*, coalesce(c.n, 0) AS n_children FROM nodes n LEFT JOIN children c ON c.d = n.d AND c.p = n.p),
+subtrees AS (
+  SELECT p[1:k] AS p, k AS d, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(saved) AS saved
+  FROM (SELECT p, saved, n_children, unnest(range(0, d + 1)) AS k FROM whole) GROUP BY ALL)
+SELECT w.conv_id, CAST(w.d AS BIGINT) AS depth, a.conv_id AS parent_conv_id, CAST(w.n_convs AS BIGINT) AS n_convs, CAST(w.n_children AS BIGINT) AS n_children,
+  CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(w.ends) AS ends_sha256
+FROM whole w JOIN subtrees s ON s.d = w.d AND s.p = w.p LEFT JOIN nodes a ON a.d = w.d - 1 AND a.p = w.p[1:w.d - 1]""",
     "op5_curriculum_mix": r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS hash FROM documents),

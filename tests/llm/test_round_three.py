@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import random
+import zlib
+from collections import defaultdict
 
 import pyarrow as pa
 import pytest
 import sentencepiece
 
-from lectern.llm import piece_agenda, queries, token_ids
+from lectern.llm import piece_agenda, queries, token_ids, turn_trie
 
 MODEL = token_ids.vocabulary_path("piece_bpe_32k.model")
 PARTS = ["a", "B", "don't", " ", "  ", "\t", "\n", "▁", "▁▁", "\x00", "😀", "é", "é", "日本", "ﬁ", "<s>", "<0x41>", "x" * 70, " the ", " in", "　", "\x85", "\U000e0001", "....", "0123", " " * 40, "ing ", "tion"]
@@ -70,3 +72,53 @@ def test_digests(spark, library):
     whole = piece_agenda.encode(frame, MODEL)
     assert whole.columns == frame.columns and whole.where("part = 'x'").count() == len(texts) + 1
     assert queries.op11_piece_agenda(spark, "/root/testdata/sf0.001").columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def plain_nodes(rows):
+    """All nodes by listing every prefix of every rebuilt conversation."""
+    convs = defaultdict(list)
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            convs[conv].append(((turn is not None, turn or 0), (role or "", text or "")))
+    first = {c: [x for _, x in sorted(v)] for c, v in convs.items()}
+    built = {}
+    for c, own in first.items():
+        h = zlib.crc32(str(c).encode()) % 9
+        built[c] = first.get(c - c % 5, [])[:h] + own[h:]
+    members, children = defaultdict(list), defaultdict(list)
+    members[()] = []
+    for c in sorted(built):
+        for d in range(len(built[c]) + 1):
+            members[tuple(built[c][:d])].append(c)
+    for p in members:
+        if p:
+            children[p[:-1]].append(p)
+    out, leaves, saved = [], {}, {}
+    for p in sorted(members, key=len, reverse=True):
+        m = members[p]
+        leaves[p] = sum(leaves[k] for k in children[p]) or 1
+        saved[p] = (max(len(m) - 1, 0) * len(p[-1][1].encode()) if p else 0) + sum(saved[k] for k in children[p])
+        ends = ",".join(str(c) for c in m if len(built[c]) == len(p))
+        out.append((min(m, default=None), len(p), min(members[p[:-1]]) if p else None, len(m), len(children[p]), leaves[p], saved[p], hashlib.sha256(ends.encode()).hexdigest()))
+    return sorted(out, key=lambda r: (r[1], r[0] or 0))
+
+
+@pytest.mark.parametrize("least, most", [(256, 50_000), (5, 20)])
+def test_tries_equal_all_prefixes(spark, least, most):
+    """Shared first turns, copies, one long conversation, nulls and missing families; with and without oversized first turns."""
+    r, rows = random.Random(1), []
+    for c in range(300):
+        if c % 37:
+            for t in range(r.choice([1, 2, 3, 3, 9, 12])):
+                rows.append((c * (1 if c < 200 else 7), None if r.random() < 0.02 else t, None if r.random() < 0.1 else "user", "hello" if t == 0 and r.random() < 0.6 else r.choice(["a", "b", "é", None]) if t < 4 else r.choice("xy"), 1))
+    rows += [(3001, t, "user", "hello" if t == 0 else "z", 1) for t in range(400)]
+    rows += [(c, t, "user", x, 1) for c in range(5000, 5200) for t, x in enumerate(["hello", "same", "same"])]
+    rows += [(None, 0, "user", "hello", 1), (7777, 0, None, None, 1)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, depth int").repartition(5)
+    got = turn_trie.prefix_nodes(frame, least, most)
+    assert sorted((tuple(x) for x in got.collect()), key=lambda x: (x[1], x[0])) == plain_nodes([x[:4] for x in rows])
+
+
+def test_tries_of_nothing(spark):
+    empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert [tuple(r) for r in turn_trie.prefix_nodes(empty).collect()] == plain_nodes([])
