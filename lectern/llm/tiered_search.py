@@ -205,13 +205,11 @@ def search(index: Index, items: DataFrame, top: int = TOP) -> DataFrame:
     for scores, done, deepest in met:
         totals = done.groupBy("item", "item_id").agg(F.max("bound").alias("bound"), F.max("least").alias("least"))
         doubt = scores.join(_sent(totals, number), "item").where(F.col("part") + F.col("bound") - F.col("seen") >= F.col("least"))
-        doubt = doubt.select("item", "item_id", "row", "id", "part")
-        if deepest + 1 < TIERS:
-            doubt = kept(doubt, "doubt")
-            left = index.postings.where(F.col("tier") > 0).join(doubt.select("item", "row"), "row")
-            more = left.join(_sent(done.select("item", "term", "w", "depth"), number), ["item", "term"]).where("tier > depth")
-            more = more.groupBy("item", "row").agg(F.sum(F.col("w") * F.col("impact")).alias("more"))
-            doubt = doubt.join(more, ["item", "row"], "left").withColumn("part", F.col("part") + F.coalesce("more", F.lit(0)))
+        doubt = kept(doubt.select("item", "item_id", "row", "id", "part"), "doubt")
+        left = index.postings.where(F.col("tier") > 0).join(doubt.select("item", "row"), "row")
+        more = left.join(_sent(done.select("item", "term", "w", "depth"), number), ["item", "term"]).where("tier > depth")
+        more = more.groupBy("item", "row").agg(F.sum(F.col("w") * F.col("impact")).alias("more"))
+        doubt = doubt.join(more, ["item", "row"], "left").withColumn("part", F.col("part") + F.coalesce("more", F.lit(0)))
         results.append(doubt.select("item", "item_id", "row", "id", F.col("part").alias("score"), F.lit(deepest).alias("tier")))
     union = results[0]
     for more in results[1:]:
