@@ -39,12 +39,9 @@ def amount(raw: Column) -> Column:
 
 
 def currency(text: Column) -> Column:
-    """The first recognised code, else the first currency sign; null without either."""
+    """The first recognised code, else the first sign in the order of ``SIGNS`` that occurs; null without either."""
     codes = F.filter(F.regexp_extract_all(text, F.lit(r"(?<![\p{L}\p{N}])([A-Z]{3})(?![\p{L}\p{N}])"), F.lit(1)), lambda c: c.isin(*CURRENCIES))
-    sign = F.regexp_extract(text, "([€$£¥])", 1)
-    named = None
-    for mark, code in SIGNS:
-        named = F.when(sign == mark, code) if named is None else named.when(sign == mark, code)
+    named = F.coalesce(*[F.when(text.contains(mark), code) for mark, code in SIGNS])
     return F.coalesce(F.try_element_at(codes, F.lit(1)), named)
 
 

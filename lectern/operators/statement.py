@@ -1,4 +1,4 @@
-"""Bank statement and invoice rows out of text lines.
+"""Bank statement rows and invoice headers out of text lines.
 
 Lines are exploded with their position, and each is read by expressions alone; what depends
 on the whole document (its currency, its date order, whether balances are printed) is a
@@ -147,25 +147,3 @@ def invoice_header(documents: DataFrame) -> DataFrame:
         taken = taken | got.isNotNull()
     marked = rows.select("doc_id", "pos", *(c.alias(k) for k, c in kinds.items()))
     return marked.groupBy("doc_id").agg(*(F.min_by(k, F.when(F.col(k).isNotNull(), F.col("pos"))).alias(k) for k in HEADER))
-
-
-def invoice_totals(documents: DataFrame) -> DataFrame:
-    """Net, tax and gross in cents and the printed rate in percent; the last line of a kind counts."""
-    rows = lines(documents).withColumn("label", F.trim(F.regexp_replace(F.lower(F.regexp_extract("line", r"^\s*([\p{L} ./-]+)", 1)), r"[ .:/-]*(?:eur|usd|gbp|chf)?[ .:/-]*$", "")))
-    value = M.amount(F.try_element_at(M.figures(F.col("line")), F.lit(-1)))
-    rows = rows.withColumn("value", value).withColumn("rate", F.regexp_extract("line", r"(\d{1,2}(?:[.,]\d{1,2})?)\s?%", 1)).where("value IS NOT NULL")
-    last = lambda kind, what: F.max_by(F.when(F.col("label").isin(*TOTALS[kind]), what), F.when(F.col("label").isin(*TOTALS[kind]), F.col("pos")))
-    percent = F.regexp_replace("rate", ",", ".").try_cast("double")
-    return rows.groupBy("doc_id").agg(last("net", F.col("value")).alias("net"), last("tax", F.col("value")).alias("tax"), last("gross", F.col("value")).alias("gross"), last("tax", percent).alias("rate")).where("net IS NOT NULL OR tax IS NOT NULL OR gross IS NOT NULL")
-
-
-def invoice_lines(documents: DataFrame) -> DataFrame:
-    """Line items (doc_id, pos, quantity, description, unit_price, cents): the last figure is the line's total."""
-    rows = lines(documents).withColumn("figures", M.figures(F.col("line"))).where((F.size("figures") >= 1) & F.col("line").rlike(r"\p{L}"))
-    label = F.trim(F.regexp_replace(F.lower(F.regexp_extract("line", r"^\s*([\p{L} ./-]+)", 1)), r"[ .:/-]*(?:eur|usd|gbp|chf)?[ .:/-]*$", ""))
-    rows = rows.where(~label.isin(*[x for names in TOTALS.values() for x in names]) & ~F.col("line").rlike(rf"^\s*(?:{M.DATE})"))
-    text = F.regexp_extract(M.without_dates(F.col("line")), f"(?s)^(.*?){M.FIGURE}", 1)
-    quantity = F.regexp_extract(text, r"^\s*(\d+)\s*(?:x|pcs|stk|stück|h|std)?\s+\p{L}", 1).try_cast("long")
-    description = F.trim(F.regexp_replace(text, r"^\s*\d+\s*(?:x|pcs|stk|stück|h|std)?\s+(?=\p{L})", ""))
-    made = rows.select("doc_id", "pos", F.when(F.size("figures") >= 2, quantity).alias("quantity"), description.alias("description"), F.when(F.size("figures") >= 2, M.amount(F.element_at("figures", -2))).alias("unit_price"), M.amount(F.element_at("figures", -1)).alias("cents"))
-    return made.where("description <> ''")

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions import money as M
-from lectern.operators import labels, ledger, redaction, statement
+from lectern.operators import invoices, labels, ledger, redaction, statement
 from lectern.plans import tables
 from lectern.plans.tables import LEDGER, table
 
@@ -114,12 +114,48 @@ def invoice_header(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def invoice_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of printed invoices."""
-    return statement.invoice_lines(_invoices(spark, sf_dir)).drop("pos")
+    found = invoices.items(invoices.classed(_invoices(spark, sf_dir)))
+    return found.select("doc_id", F.col("quantity").cast("long").alias("quantity"), "description", "unit_price", "cents")
 
 
 def invoice_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The totals of printed invoices."""
-    return statement.invoice_totals(_invoices(spark, sf_dir))
+    return invoices.totals(invoices.classed(_invoices(spark, sf_dir)))
+
+
+def _crowded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invoices whose columns run into the words, with totals of several labels in one line, in whole numbers that fit, or in such that don't."""
+    li = table(spark, sf_dir, "lineitem")
+    order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    q, unit = F.col("l_quantity").cast("int"), F.col("l_partkey") % 5000 + 100
+    german = lambda c: printed(c.cast("long"), F.lit(0))
+    rows = li.withColumn("pos", F.row_number().over(order)).withColumn("total", q * unit + F.when(F.col("pos") % 3 == 0, 1).otherwise(0))
+    line = F.concat(F.col("pos").cast("string"), F.lit(" Part "), "l_returnflag", F.lit(" "), q, F.lit(" 20% "), german(unit), F.lit("  "), german(F.col("total")))
+    line = F.concat(line, F.when(F.col("pos") % 4 == 0, "\n  in a second line\nand a third").otherwise(""), F.when(F.col("pos") == 2, "\nHosting 12,50 500\nWidget 10 100\nSumme 7,00 x\nSteuerberatung am 03.05.2026 500,00").otherwise(""))
+    items = rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))).alias("x"), F.sum("total").alias("net"))
+    k, net = F.col("l_orderkey"), F.col("net")
+    one = F.concat(F.lit("Netto "), german(net), F.lit(" MwSt 20,00 % "), german(F.round(net * 0.2)), F.lit(" Brutto "), german(net + F.round(net * 0.2)), F.lit(" EUR per 30.06.2026"))
+    fits = F.concat(F.lit("Total (excl. tax) EUR "), k, F.lit("\nUSt 20% "), k * 2, F.lit(" EUR\nTotal (incl. tax) EUR "), k * 3)
+    none = F.concat(F.lit("Net total € "), k, F.lit("\nTax 10% € 1,00\nTotal € "), k + 5)
+    return items.select(k.alias("doc_id"), F.concat(F.lit("EUR\n"), F.array_join("x.line", "\n"), F.lit("\n"), F.when(k % 3 == 0, one).when(k % 3 == 1, fits).otherwise(none)).alias("text"))
+
+
+def invoice_crowded_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each figure of a line goes to its own label; weak totals stay only if the arithmetic lets them."""
+    return invoices.totals(invoices.classed(_crowded(spark, sf_dir)))
+
+
+def invoice_crowded_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns that run into the words, split off where quantity x price is the total, and what stays unread."""
+    rows = invoices.classed(_crowded(spark, sf_dir))
+    return invoices.items(rows).drop("pos").join(invoices.unread(rows), "doc_id")
+
+
+def currency_signs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M4: texts with two signs; the order of the table of signs decides, not that of the text."""
+    sign = lambda d: F.element_at(F.array(*map(F.lit, ("€", "$", "£", "¥", "kr"))), (F.floor(F.col("o_orderkey") / d) % 5 + 1).cast("int"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("12 "), sign(1), F.lit(" or 11 "), sign(7)).alias("text"))
+    return rows.select("o_orderkey", M.currency(F.col("text")).alias("currency"))
 
 
 def categorize_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,11 +224,14 @@ def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("lang", *redaction.counts(F.col("text"))).groupBy("lang").agg(F.sum("emails").alias("emails"), F.sum("urls").alias("urls"))
 
 
-QUERIES = {f.__name__: f for f in (parse_amount, parse_date, detect_currency, statement_rows, statement_balances, currency_vote, date_order_vote, glyph_soup, invoice_header, invoice_items, invoice_totals, categorize_rules, transactions_with_categories, taxonomy_files, categorized_rows, redact_text, redact_entities, pii_counts)}
+QUERIES = {f.__name__: f for f in (parse_amount, parse_date, detect_currency, statement_rows, statement_balances, currency_vote, date_order_vote, glyph_soup, invoice_header, invoice_items, invoice_totals, invoice_crowded_totals, invoice_crowded_items, currency_signs, categorize_rules, transactions_with_categories, taxonomy_files, categorized_rows, redact_text, redact_entities, pii_counts)}
 
 _DAYS = f"""{LEDGER}, days AS (SELECT l.*, o_orderdate AS d, l.statement % 4 = 0 AS us FROM ledger l JOIN orders ON o_orderkey = row_id),
   votes AS (SELECT statement, bool_or(us AND day(d) > 12) AS month_first, bool_or(day(d) > 12) AS shown FROM days GROUP BY statement)"""
 
+_CROWDED = """r AS (SELECT l_orderkey AS k, l_returnflag AS flag, CAST(l_quantity AS BIGINT) AS q, l_partkey % 5000 + 100 AS unit, CAST(l_quantity AS BIGINT) * (l_partkey % 5000 + 100) + CASE WHEN pos % 3 = 0 THEN 1 ELSE 0 END AS total, pos
+  FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax) AS pos FROM lineitem))"""
+
 ORACLE_SQL = {
     "parse_amount": "SELECT o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) * CASE WHEN o_orderkey % 2 = 0 THEN -1 ELSE 1 END AS cents, CAST(2 AS BIGINT) AS figures FROM orders",
     "parse_date": "SELECT o_orderkey, CASE WHEN o_orderkey % 7 < 6 THEN strftime(o_orderdate, '%Y-%m-%d') END AS day FROM orders",
@@ -209,6 +248,16 @@ ORACLE_SQL = {
     "invoice_header": "SELECT o_orderkey AS doc_id, 'Muster & Sohn' AS vendor, 'Customer ' || o_custkey AS recipient, 'R-' || o_orderkey AS number, strftime(o_orderdate, '%Y-%m-%d') AS date, CASE WHEN o_orderstatus = 'F' THEN strftime(o_orderdate, '%Y-%m-%d') END AS due_date FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)",
     "invoice_items": "SELECT l_orderkey AS doc_id, CAST(l_quantity AS BIGINT) AS quantity, 'Article ' || l_returnflag || l_linestatus AS description, CAST(1250 AS BIGINT) AS unit_price, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)",
     "invoice_totals": "WITH n AS (SELECT l_orderkey, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS net FROM lineitem GROUP BY l_orderkey) SELECT l_orderkey AS doc_id, net, CAST(round(net * 0.2::DOUBLE) AS BIGINT) AS tax, CAST(round(net * 1.2::DOUBLE) AS BIGINT) AS gross, 20.0::DOUBLE AS rate FROM n WHERE l_orderkey IN (SELECT o_orderkey FROM orders)",
+    "invoice_crowded_totals": f"""WITH {_CROWDED}, n AS (SELECT k, CAST(sum(total) AS BIGINT) AS net, count(*) + 1 AS n FROM r GROUP BY k),
+      t AS (SELECT *, CAST(round(net * 0.2::DOUBLE) AS BIGINT) AS tax FROM n)
+      SELECT k AS doc_id, CASE k % 3 WHEN 0 THEN net WHEN 1 THEN k * 100 ELSE CASE WHEN abs(k * 10 - 100) <= greatest(1.0, n * 0.5) + 0.5 OR k = net + 50000 THEN k * 100 END END AS net,
+        CASE k % 3 WHEN 0 THEN tax WHEN 1 THEN k * 200 ELSE 100 END AS tax, CASE k % 3 WHEN 0 THEN net + tax WHEN 1 THEN k * 300 END AS gross, CASE k % 3 WHEN 1 THEN 20.0::DOUBLE WHEN 2 THEN 10.0::DOUBLE END AS rate FROM t""",
+    "invoice_crowded_items": f"""WITH {_CROWDED}, i AS (
+        SELECT k, CASE WHEN pos % 3 = 0 THEN pos || ' Part ' || flag || ' ' || q || ' 20%' ELSE 'Part ' || flag END || CASE WHEN pos % 4 = 0 THEN ' in a second line' ELSE '' END AS description,
+          CASE WHEN pos % 3 <> 0 THEN CAST(q AS DOUBLE) END AS quantity, CASE WHEN pos % 3 <> 0 THEN 20.0::DOUBLE END AS tax_rate, unit AS unit_price, total AS cents FROM r
+        UNION ALL SELECT k, 'Steuerberatung am 03.05.2026', NULL, NULL, NULL, 50000 FROM r WHERE pos = 2)
+      SELECT k AS doc_id, description, quantity, tax_rate, unit_price, cents, 'EUR' AS currency, CAST(CASE WHEN k IN (SELECT k FROM r WHERE pos = 2) THEN 2 ELSE 0 END AS BIGINT) AS dropped FROM i""",
+    "currency_signs": "SELECT o_orderkey, ['EUR', 'USD', 'GBP', 'JPY', NULL][least(o_orderkey % 5, o_orderkey // 7 % 5) + 1] AS currency FROM orders",
     "categorize_rules": "SELECT p_partkey, ['Fees', NULL, 'Fees', NULL, 'Income', 'Transfer', NULL, 'Cash', 'Income'][p_partkey % 9 + 1] AS c, coalesce(c, CASE WHEN p_partkey % 2 = 0 THEN 'Income' ELSE 'Spending' END) AS category FROM part",
     "transactions_with_categories": f"WITH {LEDGER} SELECT statement, pos, cents, CASE right(description, 1) WHEN 'O' THEN 'Income' WHEN 'F' THEN 'Spending' END AS category FROM ledger",
     "taxonomy_files": r"""SELECT n_nationkey AS doc_id, CASE n_nationkey % 5 WHEN 0 THEN 'Rent=flat, house|' || (SELECT string_agg(upper(left(w, 1)) || lower(substr(w, 2)), ' ') FROM (SELECT unnest(string_split(replace(n_name, '_', ' '), ' ')) AS w)) WHEN 1 THEN 'Food=shop|Fun' END AS categories,
