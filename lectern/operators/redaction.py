@@ -26,10 +26,13 @@ URL = r"(?i)\b(?:https?://|www\.)[^\s<>(),;]+"
 _LETTERS_DIGITS = re.compile(r"(?<![A-Za-z0-9_])[A-Za-z]{2}[0-9]{2}(?=[A-Za-z0-9 ])")
 _DIGIT_GROUPS = re.compile(r"(?<![A-Za-z0-9_])[0-9]+(?:[ -][0-9]+)*(?![A-Za-z0-9_])")
 _DATE = re.compile(r"(?<![A-Za-z0-9_])(?:(\d{4})-(\d{2})-(\d{2})|(\d{1,2})[./](\d{1,2})[./](\d{4}|\d{2}))(?![A-Za-z0-9_])")
-_NUMBER = re.compile(r"(?<![\d+])[+(]?\d(?:[ ./()-]{0,2}\d){5,}(?!\d)")
+_CHAIN = re.compile(r"\d(?:[ ./()-]{0,2}\d)*")
 _SHADOW = str.maketrans("   ‑–−", "   ---")
 _RANGE = re.compile("[–−]")
 
+#: Digits of the longest telephone number.
+PHONE_DIGITS = 16
+
 Span = tuple[int, int]
 
 
@@ -69,19 +72,40 @@ def ibans(text: str) -> Iterator[Span]:
 
 
 def cards(text: str, original: str) -> Iterator[Span]:
-    """Runs of whole digit groups, 13 to 19 digits with a right check digit, the longest of a run first; never across a dash of a range."""
+    """Runs of whole digit groups, 13 to 19 digits with a right check digit, those of most groups first; never across a dash of a range.
+
+    Each group is the first of at most 19 groups; sums up to each digit give every check in one step.
+    """
     for run in _DIGIT_GROUPS.finditer(text):
-        edges = [(m.start() + run.start(), m.end() + run.start()) for m in re.finditer(r"\d+", run[0])]
-        todo = [(0, len(edges))]
-        while todo:
-            first, last = todo.pop()
-            spans = [(j - i, i, j) for i in range(first, last) for j in range(i + 1, min(last, i + 19) + 1)]
-            for _, i, j in sorted(spans, key=lambda s: (-s[0], s[1])):
-                low, high = edges[i][0], edges[j - 1][1]
-                if 13 <= high - low <= 40 and not _RANGE.search(original[low:high]) and luhn(re.sub(r"\D", "", text[low:high])):
-                    yield low, high
-                    todo += [(j, last), (first, i)]
+        edges = [m.span() for m in re.finditer(r"\d+", text[run.start() : run.end()])]
+        if edges[-1][1] < 13:
+            continue
+        sums, seen, ranges, at = ([0], [0]), [0], [0], 0
+        for low, high in edges:
+            for c in text[run.start() + low : run.start() + high]:
+                d = int(c)
+                twice = 2 * d - 9 if d > 4 else 2 * d
+                sums[at % 2].append(sums[at % 2][-1] + twice)
+                sums[1 - at % 2].append(sums[1 - at % 2][-1] + d)
+                at += 1
+            seen.append(at)
+            ranges.append(ranges[-1] + (original[run.start() + high : run.start() + high + 1] in ("–", "−")))
+        found, first = [], 0
+        for i, (low, _) in enumerate(edges):
+            while first < len(seen) and seen[first] - seen[i] < 13:
+                first += 1
+            for j in range(first, min(len(edges), i + 19) + 1):
+                if seen[j] - seen[i] > 19 or edges[j - 1][1] - low > 40 or ranges[j - 1] > ranges[i]:
                     break
+                # the last digit counts once, so digits of the other parity of place count twice
+                total = sums[seen[j] % 2]
+                if (total[seen[j]] - total[seen[i]]) % 10 == 0:
+                    found.append((i - j, i, j))
+        taken = bytearray(len(edges))
+        for _, i, j in sorted(found):
+            if not any(taken[i:j]):
+                taken[i:j] = b"\1" * (j - i)
+                yield run.start() + edges[i][0], run.start() + edges[j - 1][1]
 
 
 def dates(text: str) -> Iterator[Span]:
@@ -109,14 +133,29 @@ def _is_phone(number: str, original: str) -> bool:
 
 
 def phones(text: str, original: str) -> Iterator[Span]:
-    """The longest leading groups of each number that are a telephone number."""
-    at = 0
-    while m := _NUMBER.search(text, at):
-        ends = [m.start() + g.end() for g in re.finditer(r"\d+", m[0])]
-        hit = next((e for e in reversed(ends) if _is_phone(text[m.start() : e], original[m.start() : e])), None)
-        if hit:
-            yield m.start(), hit
-        at = hit or ends[0]
+    """The longest leading groups of each number that are a telephone number; none has more than ``PHONE_DIGITS`` digits."""
+    for chain in _CHAIN.finditer(text):
+        groups = [(m.start() + chain.start(), m.end() + chain.start()) for m in re.finditer(r"\d+", chain[0])]
+        sizes = [high - low for low, high in groups]
+        left, k = sum(sizes), 0
+        while k < len(groups) and left >= 6:
+            low, hit = groups[k][0], None
+            if text[low - 1 : low] in ("+", "(") and low and not (text[low - 2 : low - 1].isdigit() or text[low - 2 : low - 1] == "+"):
+                low -= 1
+            if text[low - 1 : low] != "+" or not low:
+                last, digits = k, 0
+                while last < len(groups) and digits + sizes[last] <= PHONE_DIGITS:
+                    digits += sizes[last]
+                    last += 1
+                if text[low] not in "+0":  # then it has three groups at the end and one at most before
+                    last = min(last, k + 4)
+                    last = last if any(sizes[j - 2 : j + 1] == [3, 3, 4] for j in range(k + 2, last)) else k
+                hit = next((j for j in range(last - 1, k - 1, -1) if _is_phone(text[low : groups[j][1]], original[low : groups[j][1]])), None)
+            if hit is not None:
+                yield low, groups[hit][1]
+            upto = k + 1 if hit is None else hit + 1
+            left -= sum(sizes[k:upto])
+            k = upto
 
 
 _STEPS: tuple[tuple[str, Callable[[str, str], Iterator[Span]]], ...] = (

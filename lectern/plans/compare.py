@@ -2,25 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
+import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import analysis, compare, edits, ledger, library, redaction, retrieval, skills
+from lectern.operators import analysis, compare, edits, extraction, ledger, library, redaction, retrieval, skills
 from lectern.plans import search, tables
 from lectern.plans.search import HASHED
 from lectern.plans.tables import LEDGER, QUESTION, table
+from lectern.sources import folders
 from lectern.streaming import audit
 
-
-def _shared(spark: SparkSession, name: str) -> str:
-    """A new folder where driver and executors see the same files."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
-    return f"{folder.rstrip('/')}/lectern/{name}-{uuid.uuid4().hex}"
-
-
 # ---- differences ---------------------------------------------------------------------------
 
 
@@ -105,7 +99,7 @@ def reranked_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keyword_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best documents for a question by a stored index."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    return retrieval.top(retrieval.Index.build(docs, _shared(spark, "index")).scores(QUESTION), 20)
+    return retrieval.top(retrieval.Index.build(docs, folders.new_path(spark, "index")).scores(QUESTION), 20)
 
 
 # ---- edits ---------------------------------------------------------------------------------
@@ -148,26 +142,36 @@ def summary_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def audit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST4: the log that a stream of events leaves."""
-    path = _shared(spark, "audit")
-    audit.bounded_log(audit.events_stream(spark, sf_dir, "events.parquet"), path, 500, 50).awaitTermination()
+    path = folders.new_path(spark, "audit")
+    audit.bounded_log(audit.table_stream(spark, f"{sf_dir}/events.parquet"), path, 500, 50).awaitTermination()
     return audit.latest_version(spark, f"{path}/log").select("event_id", "event_type")
 
 
+def _reply(text: str, attempt: int) -> str:
+    """A stand-in for a model: prose around an array, cut at the first attempt for some texts and at both for others, or no array at all."""
+    whole = "Here it is: " + json.dumps([{"type": "Party ", "value": f" {text[:3]} "}, {"type": "?", "value": str(len(text))}, {"type": "date", "value": " "}])
+    kind = len(text) % 4
+    if kind == 0 or (kind == 1 and attempt == 2):
+        return f"```json\n{whole}\n```"
+    return whole[: whole.index('"?"') + 3] if kind < 3 else "no array"
+
+
 def extraction_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST5: records that a stream of chunks leaves, each text scanned once."""
-    path = _shared(spark, "extraction")
-    rows = audit.events_stream(spark, sf_dir, "conversations.parquet").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("long").alias("chunk_id"), "text")
-    audit.extraction(rows, path, lambda text: [("length", str(len(text)))]).awaitTermination()
-    return audit.latest_version(spark, f"{path}/records").groupBy("record_type").agg(F.count("*").alias("n"), F.countDistinct("value").alias("n_values"))
+    """ST5, R16, R17: markers and records of a stream of chunks; each chunk has its own, equal texts too."""
+    path = folders.new_path(spark, "extraction")
+    rows = audit.table_stream(spark, f"{sf_dir}/conversations.parquet").select((F.col("conv_id") * 1000 + F.col("turn")).alias("chunk_id"), F.col("conv_id").alias("doc_id"), F.when(F.col("turn") == 0, F.left("text", F.lit(5))).otherwise(F.col("text")).alias("text"))
+    for _ in range(2):  # the second run finds nothing new
+        audit.extracted(rows, path, _reply, "m1").awaitTermination()
+    found = extraction.current(spark.read.parquet(f"{path}/records"))
+    return found.groupBy("doc_id", "record_type", "normalized").agg(F.count("*").alias("n"))
 
 
 def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts in event time, by a stream that runs until its input is used up."""
-    path = _shared(spark, "hourly")
-    name = f"hourly_{uuid.uuid4().hex}"
-    counts = audit.windowed_counts(audit.events_stream(spark, sf_dir, "events.parquet"), "0 seconds", "1 day")
-    counts.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "events")
+    path = folders.new_path(spark, "hourly")
+    counts = audit.windowed_counts(audit.table_stream(spark, f"{sf_dir}/events.parquet"), "0 seconds", "1 day")
+    audit.changes(counts, path).awaitTermination()
+    return audit.settled(spark, path, ["start", "event_type"], "events").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "events")
 
 
 def registry() -> skills.Registry:
@@ -246,7 +250,10 @@ ORACLE_SQL = {
     "kept_text": r"SELECT doc_id, doc_id % 3 <> 0 AS kept FROM documents",
     "summary_tree": """WITH RECURSIVE n AS (SELECT conv_id AS doc_id, count(*) AS turns FROM conversations GROUP BY conv_id), l AS (SELECT doc_id, 1 AS level, CAST(ceil(turns / 2) AS BIGINT) AS nodes, turns AS children FROM n UNION ALL SELECT doc_id, level + 1, CAST(ceil(nodes / 2) AS BIGINT), nodes FROM l WHERE nodes > 1) SELECT doc_id, level, nodes, children FROM l""",
     "audit_stream": "SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT CASE WHEN (SELECT count(*) FROM events) > 550 THEN 500 ELSE 550 END",
-    "extraction_stream": "SELECT '__scan__' AS record_type, count(DISTINCT text) AS n, CAST(1 AS BIGINT) AS n_values FROM conversations UNION ALL SELECT 'length', count(DISTINCT text), count(DISTINCT length(text)) FROM conversations",
+    "extraction_stream": r"""WITH t AS (SELECT conv_id AS doc_id, CASE WHEN turn = 0 THEN left(text, 5) ELSE text END AS text FROM conversations), k AS (SELECT doc_id, text, length(text) % 4 AS k FROM t WHERE regexp_matches(text, '\S')),
+      r AS (SELECT doc_id, '__scan__' AS record_type, CASE WHEN k = 3 THEN 'unparsed' ELSE 'ok' END AS normalized FROM k
+        UNION ALL SELECT doc_id, 'party', trim(regexp_replace(lower(left(text, 3)), '\s+', ' ', 'g')) FROM k WHERE k < 3 AND regexp_matches(left(text, 3), '\S') UNION ALL SELECT doc_id, 'generic', CAST(length(text) AS VARCHAR) FROM k WHERE k < 2)
+      SELECT doc_id, record_type, normalized, count(*) AS n FROM r GROUP BY ALL""",
     "hourly_events": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS events FROM events GROUP BY ALL",
     "tool_runs": f"WITH {LEDGER} SELECT 'documents' AS what, count(*) AS n FROM documents UNION ALL SELECT 'net', CAST(sum(cents) AS BIGINT) FROM ledger UNION ALL SELECT CASE WHEN cents > 0 THEN 'Income' WHEN cents < 0 THEN 'Spending' ELSE 'Uncategorized' END, count(*) FROM ledger GROUP BY 1",
     "kept_derivatives": "SELECT 'labels' AS table_name, count(*) AS n FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 3 = 0) UNION ALL SELECT 'chunks', count(*) FROM conversations WHERE conv_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 3 = 0)",

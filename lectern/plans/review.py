@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import analysis, budgets, conversation, evidence, library, skills
+from lectern.operators import analysis, budgets, conversation, evidence, extraction, library, skills
 from lectern.plans import tables
 from lectern.plans.records import COST
 from lectern.plans.tables import LIBRARY, MEMBERSHIPS, table
@@ -167,11 +167,14 @@ def missing_page_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def extraction_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST5, R16: chunks scanned by a user's function, without those whose text was done before."""
-    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("chunk_id"), "text")
-    done = rows.where("chunk_id % 2 = 0").select(T.content_hash(F.col("text")).alias("content_hash"))
-    found = analysis.extracted_by(rows, done, lambda text: [("words", str(len(text)))] if text.strip() else None)
-    return found.groupBy("record_type").agg(F.count("*").alias("n"), F.countDistinct("content_hash").alias("texts"))
+    """ST5, R16, R17: a run after one that read every second turn, and after one of another model; each chunk ends with its own marker."""
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("chunk_id"), F.when(F.col("turn") < 2, F.left("text", F.lit(6))).otherwise(F.col("text")).alias("text"))
+    early = rows.where("chunk_id % 1000 % 2 = 0")
+    reply = lambda text, attempt: None if len(text) % 5 == 0 else f'[{{"type": "amount", "value": "{len(text)}"}}]'
+    first = extraction.scanned(early, reply, "m1").unionByName(extraction.scanned(rows.where("chunk_id % 1000 = 1"), lambda text, attempt: "[]", "m0"))
+    again = extraction.scanned(rows, lambda text, attempt: reply(text, attempt) or "[]", "m1", first)
+    found = extraction.merged(first, again)
+    return found.groupBy("doc_id", "record_type", "normalized").agg(F.count("*").alias("n"), F.count_distinct("chunk_id").alias("chunks"))
 
 
 def group_by_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -424,8 +427,9 @@ ORACLE_SQL = {
       m AS (SELECT *, st = 'ready' AND NOT coalesce(truncated, false) AS ready, truncated IS NULL AND st IN ('building', 'pending', 'stale') AS partial FROM d)
       SELECT doc_id, CASE WHEN ready OR partial THEN 'tree' ELSE 'capped' END AS mode, CASE WHEN ready OR partial THEN leaves ELSE chunks END AS covered, chunks AS total, CASE WHEN ready THEN false WHEN partial THEN true ELSE coalesce(truncated, false) END AS truncated FROM m""",
     "missing_page_gaps": "WITH p AS (SELECT DISTINCT conv_id AS doc_id, turn + 1 AS page FROM conversations WHERE turn % 3 = 1), e AS (SELECT * FROM p UNION SELECT doc_id, 0 FROM p UNION SELECT doc_id, 13 FROM p), g AS (SELECT *, lag(page) OVER (PARTITION BY doc_id ORDER BY page) AS before FROM e) SELECT doc_id, CAST(before + 1 AS BIGINT) AS first, CAST(page - 1 AS BIGINT) AS last FROM g WHERE page - before > 1",
-    "extraction_resume": """WITH l AS (SELECT * FROM conversations WHERE text NOT IN (SELECT text FROM conversations WHERE turn % 2 = 0)), s AS (SELECT *, regexp_matches(text, '\\S') AS good FROM l)
-      SELECT * FROM (SELECT '__scan__' AS record_type, count(*) AS n, count(DISTINCT text) AS texts FROM s UNION ALL SELECT 'words', count(*) FILTER (good), count(DISTINCT text) FILTER (good) FROM s) WHERE n > 0""",
+    "extraction_resume": r"""WITH t AS (SELECT conv_id AS doc_id, turn, CASE WHEN turn < 2 THEN left(text, 6) ELSE text END AS text FROM conversations), k AS (SELECT * FROM t WHERE regexp_matches(text, '\S')),
+      r AS (SELECT doc_id, '__scan__' AS record_type, 'ok' AS normalized FROM k UNION ALL SELECT doc_id, 'amount', CAST(length(text) AS VARCHAR) FROM k WHERE length(text) % 5 <> 0)
+      SELECT doc_id, record_type, normalized, count(*) AS n, count(*) AS chunks FROM r GROUP BY ALL""",
     "group_by_budget": """WITH RECURSIVE t AS (SELECT conv_id AS doc_id, turn AS ordinal, length(text) AS cost, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations),
       g AS (SELECT doc_id, ordinal, r, cost AS total, 1 AS n, 0 AS "group" FROM t WHERE r = 1 UNION ALL
         SELECT t.doc_id, t.ordinal, t.r, CASE WHEN g.n >= 2 AND g.total + t.cost > 400 THEN t.cost ELSE g.total + t.cost END, CASE WHEN g.n >= 2 AND g.total + t.cost > 400 THEN 1 ELSE g.n + 1 END, g."group" + CASE WHEN g.n >= 2 AND g.total + t.cost > 400 THEN 1 ELSE 0 END FROM g JOIN t ON t.doc_id = g.doc_id AND t.r = g.r + 1)

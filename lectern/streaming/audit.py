@@ -6,28 +6,36 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from lectern.operators import analysis, conversation
+from lectern.operators import conversation, extraction
+from lectern.sources import folders
 
 KEEP, SLACK = 5000, 250
 
 
-def events_stream(spark: SparkSession, folder: str, name: str, per_batch: int = 1) -> DataFrame:
-    """The rows of Parquet files of one name pattern in a folder, as they arrive."""
-    schema = spark.read.parquet(f"{folder}/{name}").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", name).option("maxFilesPerTrigger", per_batch).parquet(folder)
+def table_stream(spark: SparkSession, path: str, per_batch: int = 1) -> DataFrame:
+    """The rows of a Parquet table, a folder or one file, as its files arrive. An error if there is none."""
+    schema = spark.read.parquet(path).schema
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch)
+    if folders.is_folder(spark, path):
+        rows = reader.parquet(path)
+    else:
+        folder, _, name = path.rpartition("/")
+        rows = reader.option("pathGlobFilter", name).parquet(folder)
     return rows.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in rows.columns else rows
 
 
-def latest_version(spark: SparkSession, path: str) -> DataFrame | None:
-    """The table that the last finished batch has written, None before the first one."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(root):
-        return None
-    done = [s.getPath().getName() for s in files.listStatus(root) if files.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    return spark.read.parquet(f"{path}/{max(done)}") if done else None
+def latest_version(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """The table that the last finished batch has written; before the first one an empty table of the schema."""
+    files, root = folders.system(spark, path)
+    done = [s.getPath().getName() for s in files.listStatus(root) if folders.exists(spark, f"{path}/{s.getPath().getName()}/_SUCCESS")] if files.exists(root) else []
+    if done:
+        return spark.read.parquet(f"{path}/{max(done)}")
+    if schema is None:
+        raise ValueError(f"{path} has no version yet")
+    return spark.createDataFrame([], schema)
 
 
 def bounded_log(events: DataFrame, path: str, keep: int = KEEP, slack: int = SLACK) -> StreamingQuery:
@@ -38,38 +46,38 @@ def bounded_log(events: DataFrame, path: str, keep: int = KEEP, slack: int = SLA
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = _before(spark, f"{path}/log", number)
-        rows = batch if before is None else before.unionByName(batch)
+        spark, before = batch.sparkSession, f"{path}/log/v{number - 1:012d}"
+        rows = spark.read.parquet(before).unionByName(batch) if folders.exists(spark, before) else batch
         full = conversation.newest(rows, keep, F.col("ts")) if rows.count() > keep + slack else rows
         full.write.mode("overwrite").parquet(f"{path}/log/v{number:012d}")
 
     return events.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
 
 
-def _before(spark: SparkSession, path: str, number: int) -> DataFrame | None:
-    """The version before a batch, even if the batch was written once already."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(path, f"v{number - 1:012d}")
-    there = root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root)
-    return spark.read.parquet(root.toString()) if there else None
+def extracted(chunks: DataFrame, path: str, extract: Callable[[str, int], str | None], model: str) -> StreamingQuery:
+    """Writes markers and records of chunks as they arrive to ``path/records``, once each, whatever restarts there are.
+
+    What was read is keyed state of the query, so a batch costs what it brings; ``extraction.current``
+    gives the last rows of each chunk.
+    """
+    rows = extraction.scanned_stream(chunks, extract, model)
+    return rows.writeStream.format("parquet").option("path", f"{path}/records").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+
+
+def windowed_counts(events: DataFrame, late: str = "1 hour", width: str = "1 hour") -> DataFrame:
+    """Events by kind in windows of event time; those later than ``late`` are left out once a window is closed."""
+    return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("events")).select(F.col("window.start").alias("start"), "event_type", "events")
 
 
-def extraction(chunks: DataFrame, path: str, extract: Callable[[str], list[tuple[str, str]] | None]) -> StreamingQuery:
-    """Extracts records from chunks as they arrive, each text once: those with a marker of an earlier batch are skipped."""
+def changes(counts: DataFrame, path: str) -> StreamingQuery:
+    """Writes the rows that each batch changes to a folder of that batch; a repeated batch overwrites itself."""
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        known = None
-        for k in range(number):
-            one = _before(spark, f"{path}/records", k + 1)
-            known = one if known is None or one is None else known.unionByName(one)
-        empty = spark.createDataFrame([], "content_hash string")
-        done = empty if known is None else known.where("record_type = '__scan__' AND value = 'ok'").select("content_hash")
-        analysis.extracted_by(batch.dropDuplicates(["text"]), done, extract).write.mode("overwrite").parquet(f"{path}/records/v{number:012d}")
+        batch.write.mode("overwrite").parquet(f"{path}/changes/batch={number}")
 
-    return chunks.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    return counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
 
 
-def windowed_counts(events: DataFrame, late: str = "1 hour", width: str = "1 hour") -> DataFrame:
-    """Events by kind in windows of event time; those later than ``late`` are left out once a window is closed."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("events")).select(F.col("window.start").alias("start"), "event_type", "events")
+def settled(spark: SparkSession, path: str, keys: list[str], value: str) -> DataFrame:
+    """The last value of each key that ``changes`` has written."""
+    return spark.read.option("basePath", f"{path}/changes").parquet(f"{path}/changes").groupBy(*keys).agg(F.max_by(value, "batch").alias(value))

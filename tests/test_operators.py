@@ -10,7 +10,7 @@ import pytest
 
 from lectern.functions import money as M
 from lectern.functions import text as T
-from lectern.operators import analysis, budgets, chunking, compare, edits, library, redaction, retrieval, skills, statement
+from lectern.operators import analysis, budgets, chunking, compare, edits, extraction, invoices, library, redaction, retrieval, skills, statement
 from lectern.plans import compare as compare_plans
 from lectern.plans import search
 from lectern.sources import exports, files
@@ -216,6 +216,118 @@ def test_log_stream_over_several_batches(spark, tmp_path):
     assert sorted(r.event_id for r in kept.collect()) == list(range(70, 120))
 
 
+def test_streams_of_folders_and_files(spark, tmp_path):
+    """A table may be a folder or a file; one that isn't there is an error; before the first version there is an empty table."""
+    rows = spark.createDataFrame([(i, i % 3) for i in range(90)], "a long, b long")
+    rows.repartition(4).write.parquet(str(tmp_path / "folder.parquet"))
+    part = next((tmp_path / "folder.parquet").glob("part-*.parquet"))
+    (tmp_path / "one.parquet").write_bytes(part.read_bytes())
+    for name in ("folder.parquet", "one.parquet"):
+        stream = audit.table_stream(spark, str(tmp_path / name), per_batch=1)
+        query = stream.writeStream.format("parquet").option("path", str(tmp_path / f"{name}-out")).option("checkpointLocation", str(tmp_path / f"{name}-check")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        assert spark.read.parquet(str(tmp_path / f"{name}-out")).count() == spark.read.parquet(str(tmp_path / name)).count() > 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        audit.table_stream(spark, str(tmp_path / "none.parquet"))
+    assert audit.latest_version(spark, str(tmp_path / "nothing"), rows.schema).count() == 0
+
+
+def test_extraction_marks_every_chunk(spark, tmp_path):
+    """Equal texts each have a marker; a changed text and an unread one are scanned again, others never."""
+    schema = "doc_id long, chunk_id long, text string"
+    rows = spark.createDataFrame([(1, 1, "a"), (1, 2, "a"), (2, 3, "b"), (2, 4, " "), (2, 5, None), (3, 6, "bad")], schema)
+    reply = lambda text, attempt: 1 / 0 if text == "bad" else f'[{{"type": "date", "value": "{text}"}}]'
+    first = extraction.scanned(rows, reply, "m")
+    assert sorted((r.chunk_id, r.normalized) for r in first.where("record_type = '__scan__'").collect()) == [(1, "ok"), (2, "ok"), (3, "ok"), (6, "unparsed")]
+    assert sorted(r.chunk_id for r in extraction.scanned(rows, reply, "m", first).collect()) == [6]
+    assert extraction.scanned(rows, reply, "other", first).where("record_type = '__scan__'").count() == 4
+    assert extraction.scanned(rows.limit(0), reply, "m").collect() == []
+    source, out = str(tmp_path / "chunks"), str(tmp_path / "out")
+    rows.coalesce(1).write.parquet(source)
+    for k in range(3):
+        audit.extracted(audit.table_stream(spark, source), out, reply, "m").awaitTermination()
+        if k == 0:
+            spark.createDataFrame([(1, 1, "a"), (1, 2, "new"), (3, 6, "good")], schema).coalesce(1).write.mode("append").parquet(source)
+    found = spark.read.parquet(f"{out}/records")
+    assert sorted((r.chunk_id, r.scan, r.value) for r in found.where("record_type = 'date'").collect()) == [(1, 1, "a"), (2, 1, "a"), (2, 2, "new"), (3, 1, "b"), (6, 2, "good")]
+    assert sorted((r.chunk_id, r.normalized) for r in extraction.current(found).collect()) == [(1, "a"), (1, "ok"), (2, "new"), (2, "ok"), (3, "b"), (3, "ok"), (6, "good"), (6, "ok")]
+
+
+def test_replies_cut_at_every_length():
+    """Whole elements of a cut array, as stepping back to each brace gives them."""
+    import json
+
+    def plain(text):
+        at = len(text)
+        while (at := text.rfind("}", 0, at)) > 0:
+            try:
+                return json.loads(text[: at + 1] + "]")
+            except ValueError:
+                pass
+        return None
+
+    whole = 'Sure [{"type": "date", "value": "a } ] b"}, {"type": "X", "value": 5}, 12, {"value": "é\\n"}, {"type": "PARTY ", "value": {"n": [1, {"k": 2}]}}, {"type": "amount", "value": " 5 EUR "}] done'
+    for cut in range(len(whole) + 1):
+        start = whole.find("[", 0, cut)
+        assert extraction.whole_elements(whole[start:cut]) == plain(whole[start:cut]) if start >= 0 else True
+    assert extraction.read_reply(whole) == [("date", "a } ] b"), ("generic", "é"), ("amount", "5 EUR")]
+    assert extraction.read_reply("[]") == [] and extraction.read_reply("no") is None and extraction.read_reply(None) is None
+    assert extraction.read_reply('[{"type": "date", "value": "x"}, {"ty') is None
+    assert extraction.read_reply('[{"type": "date", "value": "x"}, {"ty', salvage=True) == [("date", "x")]
+
+
+def test_figures_in_linear_time():
+    """Runs of digit groups: equal to a plain search, and a hundred thousand groups at once."""
+    import re
+    import time
+
+    def plain_cards(text, original):
+        for run in re.finditer(r"(?<![A-Za-z0-9_])[0-9]+(?:[ -][0-9]+)*(?![A-Za-z0-9_])", text):
+            edges = [(m.start() + run.start(), m.end() + run.start()) for m in re.finditer(r"\d+", run[0])]
+            todo = [(0, len(edges))]
+            while todo:
+                first, last = todo.pop()
+                spans = [(i - j, i, j) for i in range(first, last) for j in range(i + 1, min(last, i + 19) + 1)]
+                for _, i, j in sorted(spans):
+                    low, high = edges[i][0], edges[j - 1][1]
+                    if 13 <= high - low <= 40 and not re.search("[–−]", original[low:high]) and redaction.luhn(re.sub(r"\D", "", text[low:high])):
+                        yield low, high
+                        todo += [(j, last), (first, i)]
+                        break
+
+    def plain_phones(text, original):
+        number, at = re.compile(r"(?<![\d+])[+(]?\d(?:[ ./()-]{0,2}\d){5,}(?!\d)"), 0
+        while m := number.search(text, at):
+            ends = [m.start() + g.end() for g in re.finditer(r"\d+", m[0])]
+            hit = next((e for e in reversed(ends) if redaction._is_phone(text[m.start() : e], original[m.start() : e])), None)
+            if hit:
+                yield m.start(), hit
+            at = hit or ends[0]
+
+    r = random.Random(3)
+    for _ in range(8000):
+        original = "".join(r.choices([" ", "-", "–", "1", "0", "4", "55", "123", "4567", "+", "(", ")", "/", ".", "x", "12", "9"], k=r.randint(1, 40)))
+        text = original.translate(redaction._SHADOW)
+        assert sorted(redaction.cards(text, original)) == sorted(plain_cards(text, original))
+        assert list(redaction.phones(text, original)) == list(plain_phones(text, original))
+    began = time.process_time()
+    redaction.redact("12 " * 100_000)
+    assert time.process_time() - began < 5
+
+
+def test_invoice_lines_one_by_one(spark):
+    """Labels, columns and weak readings of single lines, and lines that can't be read for certain."""
+    texts = [
+        "Netto 100,00 MwSt 20% 20,00 Brutto 120,00", "EUR\nWidget 2 20% 10,00 20,00\n1 Web hosting 12 Monate 1 0% 76,17 914,00\nSchrauben 4 Stk 8,00\nNetto-Miete Objekt 3 1.000,00\nSteuerberatung Jänner 500,00\nHosting 12,50 500\nWidget 10 100",
+        "Total (excl. Tax) 914 $\nMwSt 20,00 %\nTotal (incl. Tax) 1.096,80 $", "Service A 700,00 $\nNet total 4 $\nTax 0 $\nTotal 914 $", "Service A 700,00 $\nNet total 700 $\nTax 20% 140 $\nTotal 840 $", "Gesamtbetrag -914 EUR", None, "", "Miete netto 1.000,00 EUR und mehr 5,00",
+    ]
+    rows = invoices.classed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r.doc_id: (r.net, r.tax, r.gross, r.rate) for r in invoices.totals(rows).collect()} == {0: (10000, 2000, 12000, None), 2: (91400, None, 109680, 20.0), 4: (70000, 14000, 84000, 20.0), 5: (None, None, -91400, None)}
+    got = [(r.description, r.quantity, r.tax_rate, r.unit_price, r.cents) for r in invoices.items(rows).where("doc_id = 1").orderBy("pos").collect()]
+    assert got == [("Widget", 2.0, 20.0, 1000, 2000), ("1 Web hosting 12 Monate 1 0%", None, None, 7617, 91400), ("Schrauben", 4.0, None, None, 800), ("Netto-Miete Objekt 3", None, None, None, 100000), ("Steuerberatung Jänner", None, None, None, 50000)]
+    assert {r.doc_id: r.dropped for r in invoices.unread(rows).collect() if r.dropped} == {1: 2}
+
+
 def test_tree_and_leaves_of_any_height(spark):
     """Seventy levels, a cycle, and a leaf that is reached twice."""
     nodes = [(1, 0, 0, True)]
