@@ -176,6 +176,20 @@ def redact(text: str, by_character: bool = False) -> tuple[str, dict[str, int]]:
     return text, counts
 
 
+def found(text: str) -> Iterator[tuple[str, int, int, str]]:
+    """Kind, place (in characters, from 0), length and original of all personal data of a text, each place once."""
+    original, hits = text, []
+    for kind, find in _STEPS:
+        spans = list(find(text.translate(_SHADOW), text))
+        hits += [(kind, low, high - low, original[low:high]) for low, high in spans]
+        out, at = [], 0
+        for low, high in spans:
+            out += [text[at:low], "█" * (high - low)]
+            at = high
+        text = "".join([*out, text[at:]])
+    return iter(sorted(hits, key=lambda h: h[1]))
+
+
 def redacted(documents: DataFrame, by_character: bool = False) -> DataFrame:
     """Every document's masked text and counts, a column for each kind. Only texts with a digit or @ or www reach Python."""
 

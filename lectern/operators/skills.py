@@ -6,9 +6,12 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 SCORED_HITS, KEYWORD, MIME, FILENAME = 2, 2, 1, 1
 SUGGEST, AUTOMATIC = 2, 3
@@ -132,3 +135,61 @@ class Registry:
         if missing := [f.name for f in wanted if f.name not in made.columns]:
             raise ValueError(f"{name} gives no {', '.join(missing)}")
         return made.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in wanted))
+
+
+# ---- tools in SQL --------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class SqlTool:
+    """A row's function for SQL: the types that it takes, and the type (of a value) or schema (of rows) that it gives."""
+
+    name: str
+    run: Callable
+    takes: tuple[str, ...]
+    gives: str
+    rows: bool = False
+
+
+def _table_function(tool: SqlTool):
+    wanted = [DataType.fromDDL(t) for t in tool.takes]
+    schema = StructType.fromDDL(tool.gives)
+    width = len(schema.fields)
+
+    class Rows:
+        @staticmethod
+        def analyze(*given: AnalyzeArgument) -> AnalyzeResult:
+            """Types of a call, checked while SQL is planned."""
+            types = [a.dataType for a in given]
+            if types != wanted:
+                raise ValueError(f"{tool.name} takes ({', '.join(tool.takes)}), not ({', '.join(t.simpleString() for t in types)})")
+            return AnalyzeResult(schema)
+
+        def eval(self, *values):
+            for row in tool.run(*values):
+                if len(row) != width:
+                    raise ValueError(f"{tool.name} gives rows of {len(row)} values, not {tool.gives}")
+                yield row
+
+    return F.udtf(Rows)
+
+
+def _value_function(tool: SqlTool):
+    def values(*columns: pd.Series) -> pd.Series:
+        if len(columns) != len(tool.takes):
+            raise ValueError(f"{tool.name} takes {len(tool.takes)} values")
+        return pd.Series([tool.run(*row) for row in zip(*columns, strict=True)], dtype=object)
+
+    return F.pandas_udf(values, tool.gives)
+
+
+def register_sql(spark: SparkSession, tools: list[SqlTool]) -> None:
+    """Make tools known to SQL: values by name, rows as table functions that a query calls with ``LATERAL``.
+
+    A call with other types, or a row of another width than declared, is an error.
+    """
+    for tool in tools:
+        if tool.rows:
+            spark.udtf.register(tool.name, _table_function(tool))
+        else:
+            spark.udf.register(tool.name, _value_function(tool))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from lectern.operators import conversation
 from lectern.plans import tables
 from lectern.plans.tables import LEDGER, table
-from lectern.sources import exports, files
+from lectern.sources import exports, files, folders, snapshots
 
 _md5 = lambda c: F.md5(F.col(c).cast("binary"))
 
@@ -88,7 +90,46 @@ def result_tables_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exports.result_tables(rows).select("message_id", "table_id", "n_rows")
 
 
-QUERIES = {f.__name__: f for f in (parser_kinds, markdown_sections, text_segments, csv_lines, preview_page, result_table_csv, statement_json, invoice_exports, result_tables_latest)}
+def _pages(content: bytes) -> list[tuple[str, str]]:
+    """Lines as pages; a text with odd bytes is an error, and one that begins with a number of seconds takes that long."""
+    text = content.decode()
+    if text.startswith("wait "):
+        time.sleep(float(text[5:].split()[0]))
+    return [(str(k), line) for k, line in enumerate(text.split("\n"))]
+
+
+def parsed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each supplier, of every kind of limit, read within the limits."""
+    folder = folders.new_path(spark, "files")
+    k = F.col("s_suppkey") % 8
+    text = F.when(k == 0, F.repeat(F.lit("large "), 200)).when(k == 1, F.concat_ws("\n", F.array_repeat(F.col("s_name"), 30))).when(k == 2, "wait 60").when(k == 3, F.repeat(F.lit("long"), 150)).when(k == 4, "  ").otherwise(F.concat("s_name", F.lit("\n"), F.lit("more")))
+    kind = F.element_at(F.array(*map(F.lit, ("txt", "md", "LOG", "text", "txt", "csv", "xyz", "MarkDown"))), (k + 1).cast("int"))
+    table(spark, sf_dir, "supplier").select(kind.alias("kind"), F.col("s_suppkey").alias("file"), text.alias("value")).repartition("file").write.partitionBy("kind", "file").option("lineSep", "\n").text(folder)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", F.col("length").alias("size_bytes"), "content")
+    found = found.withColumn("kind", files.kind_of(F.concat(F.lit("."), F.regexp_extract("path", r"/kind=([^/]+)/", 1))))
+    read = files.parsed(found, {"text": _pages, "markdown": _pages}, files.Limits(size=1000, text=500, pages=25, seconds=0.5))
+    return read.groupBy("kind", "status", "error").agg(F.count("*").alias("files"), F.sum(F.size("pages")).cast("long").alias("pages"))
+
+
+def snapshot_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks, sizes and roots of documents replaced and deleted together, read before and after."""
+    chunks = tables.chunks(spark, sf_dir).select("doc_id", "chunk_id", "token_count")
+    sizes, roots = chunks.select("chunk_id", "doc_id", (F.col("token_count") * 2).alias("size")), chunks.groupBy("doc_id").agg(F.max("chunk_id").alias("root"))
+    store = snapshots.Snapshots(spark, folders.new_path(spark, "snapshots"))
+    store.change({"chunks": chunks, "sizes": sizes, "roots": roots})
+    again = chunks.where("doc_id % 3 = 1 AND chunk_id % 2 = 0").withColumn("token_count", F.lit(1).cast("long"))
+    store.change({"chunks": again, "sizes": again.select("chunk_id", "doc_id", F.lit(5).cast("long").alias("size"))}, chunks.where("doc_id % 3 = 1").select("doc_id"))
+    store.delete(chunks.where("doc_id % 3 = 2").select("doc_id"))
+    made = None
+    for version in (1, 2, 3, store.compact()):
+        for name, rows in store.read(version).items():
+            value = {"chunks": "token_count", "sizes": "size", "roots": "root"}[name]
+            one = rows.agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.lit(version).alias("version"), F.lit(name).alias("table_name"), "n", "total")
+            made = one if made is None else made.unionByName(one)
+    return made
+
+
+QUERIES = {f.__name__: f for f in (parser_kinds, markdown_sections, text_segments, csv_lines, preview_page, result_table_csv, statement_json, invoice_exports, result_tables_latest, parsed_files, snapshot_changes)}
 
 _ROWS = f"""{LEDGER}, rows_ AS (SELECT l.* REPLACE (CASE WHEN pos % 4 = 0 THEN '=' ELSE '' END || description || CASE WHEN pos % 5 = 0 THEN ', "x"' ELSE '' END AS description), strftime(o_orderdate, '%Y-%m-%d') AS date,
     CASE WHEN pos % 2 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS value_date, CASE WHEN statement % 3 = 0 AND cents > 0 THEN 'Income' END AS category FROM ledger l JOIN orders ON o_orderkey = row_id),
@@ -104,6 +145,15 @@ _esc = lambda c: f"replace(replace(replace(replace(replace({c}, '&', '&amp;'), '
 _tag = lambda pad, name, value: f"'{' ' * pad}<{name}>' || {value} || '</{name}>'"
 
 ORACLE_SQL = {
+    "parsed_files": """SELECT CASE WHEN k IN (0, 2, 3, 4) THEN 'text' WHEN k IN (1, 7) THEN 'markdown' WHEN k = 5 THEN 'csv' END AS kind, CASE WHEN k = 7 THEN 'parsed' ELSE 'failed' END AS status,
+        CASE k WHEN 0 THEN 'too-large' WHEN 1 THEN 'too-many-pages' WHEN 2 THEN 'timeout' WHEN 3 THEN 'too-much-text' WHEN 4 THEN 'no-text' WHEN 5 THEN 'unsupported' WHEN 6 THEN 'unsupported' END AS error, count(*) AS files, CAST(sum(CASE WHEN k = 7 THEN 3 ELSE 0 END) AS BIGINT) AS pages
+      FROM (SELECT s_suppkey % 8 AS k FROM supplier) GROUP BY ALL""",
+    "snapshot_changes": f"""WITH {tables.CHUNKS}, s AS (SELECT *, doc_id % 3 AS r, chunk_id % 2 = 0 AS even FROM chunks),
+      v AS (SELECT unnest([1, 2, 3, 4]) AS version),
+      c AS (SELECT version, 'chunks' AS table_name, CASE WHEN version > 1 AND r = 1 THEN 1 ELSE token_count END AS x FROM s, v WHERE NOT (version > 1 AND r = 1 AND NOT even) AND NOT (version > 2 AND r = 2)
+        UNION ALL SELECT version, 'sizes', CASE WHEN version > 1 AND r = 1 THEN 5 ELSE token_count * 2 END FROM s, v WHERE NOT (version > 1 AND r = 1 AND NOT even) AND NOT (version > 2 AND r = 2)
+        UNION ALL SELECT version, 'roots', root FROM (SELECT doc_id % 3 AS r, max(chunk_id) AS root FROM chunks GROUP BY doc_id), v WHERE NOT (version > 1 AND r = 1) AND NOT (version > 2 AND r = 2))
+      SELECT CAST(version AS INTEGER) AS version, table_name, count(*) AS n, CAST(sum(x) AS BIGINT) AS total FROM c GROUP BY ALL""",
     "parser_kinds": """WITH f AS (SELECT doc_id % 5 AS k, n_chars * 400000 AS size FROM documents)
       SELECT CASE k WHEN 1 THEN 'markdown' WHEN 2 THEN 'csv' WHEN 3 THEN NULL ELSE 'text' END AS kind, CASE WHEN k = 3 OR size > 1073741824 THEN 'failed' ELSE 'queued' END AS status,
         CASE WHEN k = 3 THEN 'unsupported' WHEN size > 1073741824 THEN 'too-large' END AS error, count(*) AS files FROM f GROUP BY ALL""",

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions import money as M
-from lectern.operators import invoices, labels, ledger, redaction, statement
+from lectern.operators import invoices, labels, ledger, redaction, skills, statement
 from lectern.plans import tables
 from lectern.plans.tables import LEDGER, table
 
@@ -218,13 +218,28 @@ def redact_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.left("text", F.lit(24)).alias("start"), "name", "org", "other", "masked", "dropped", "email")
 
 
+SQL_TOOLS = [
+    skills.SqlTool("personal_data", redaction.found, ("string",), "kind string, at int, length int, found string", rows=True),
+    skills.SqlTool("mask_personal", lambda text: redaction.redact(text or "")[0], ("string",), "string"),
+    skills.SqlTool("text_hash", lambda text, key: f"{key}:{len(text)}", ("string", "bigint"), "string"),
+]
+
+
+def sql_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """2.14: a user's functions in SQL text, one of rows and two of values."""
+    skills.register_sql(spark, SQL_TOOLS)
+    _personal(spark, sf_dir).createOrReplaceTempView("letters_for_tools")
+    return spark.sql("""SELECT l.doc_id, p.kind, count(*) AS n, min(p.at) AS first_at, max(p.length) AS longest, min(p.found) AS found, max(mask_personal(l.text)) AS masked, max(text_hash(l.text, l.doc_id)) AS key
+      FROM letters_for_tools l, LATERAL personal_data(l.text) p GROUP BY l.doc_id, p.kind""").select("doc_id", "kind", "n", "first_at", "longest", "found", F.md5(F.col("masked").cast("binary")).alias("masked"), "key")
+
+
 def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P5: addresses and links of every document, by language."""
     docs = table(spark, sf_dir, "documents")
     return docs.select("lang", *redaction.counts(F.col("text"))).groupBy("lang").agg(F.sum("emails").alias("emails"), F.sum("urls").alias("urls"))
 
 
-QUERIES = {f.__name__: f for f in (parse_amount, parse_date, detect_currency, statement_rows, statement_balances, currency_vote, date_order_vote, glyph_soup, invoice_header, invoice_items, invoice_totals, invoice_crowded_totals, invoice_crowded_items, currency_signs, categorize_rules, transactions_with_categories, taxonomy_files, categorized_rows, redact_text, redact_entities, pii_counts)}
+QUERIES = {f.__name__: f for f in (parse_amount, parse_date, detect_currency, statement_rows, statement_balances, currency_vote, date_order_vote, glyph_soup, invoice_header, invoice_items, invoice_totals, invoice_crowded_totals, invoice_crowded_items, currency_signs, categorize_rules, transactions_with_categories, taxonomy_files, categorized_rows, redact_text, redact_entities, sql_tools, pii_counts)}
 
 _DAYS = f"""{LEDGER}, days AS (SELECT l.*, o_orderdate AS d, l.statement % 4 = 0 AS us FROM ledger l JOIN orders ON o_orderkey = row_id),
   votes AS (SELECT statement, bool_or(us AND day(d) > 12) AS month_first, bool_or(day(d) > 12) AS shown FROM days GROUP BY statement)"""
@@ -266,8 +281,16 @@ ORACLE_SQL = {
     "redact_text": """SELECT c_custkey AS doc_id, 'Dear ' || c_name || ', write to [EMAIL] or see [URL] (no@mail). Pay to [IBAN] with card ' || CASE WHEN c_custkey % 2 = 0 THEN '[CARD]' ELSE '4111 1111 1111 1112' END || ' by [DATE] or 2024-13-45, call [PHONE]' || CASE WHEN c_custkey % 5 = 0 THEN ' or [PHONE].' ELSE ' or 12345.' END AS text,
       1 AS email, 1 AS url, 1 AS iban, CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 0 END AS card, 1 AS date, CASE WHEN c_custkey % 5 = 0 THEN 2 ELSE 1 END AS phone FROM customer""",
     "redact_entities": "SELECT c_custkey AS doc_id, left('Dear [NAME], write to [EMAIL]', 24) AS start, 1 AS name, 0 AS org, 1 AS other, 2 AS masked, 2 AS dropped, 1 AS email FROM customer",
+    "sql_tools": """WITH t AS (SELECT c_custkey AS k, 'Dear ' || c_name || ', write to cust.' AS a, c_custkey || '@mail.example.com' AS m, ' or see ' AS b, 'https://shop.example.com/c?id=' || c_custkey AS u, ' (no@mail). Pay to ' AS c, 'DE89 3704 0044 0532 0130 00' AS i, ' with card ' AS d,
+        CASE WHEN c_custkey % 2 = 0 THEN '4111 1111 1111 1111' ELSE '4111 1111 1111 1112' END AS card, ' by ' AS e, CASE WHEN c_custkey % 3 = 0 THEN '2024-02-30' ELSE '31.12.2024' END AS day, ' or 2024-13-45, call ' AS f, '+49 171 234567' AS p, CASE WHEN c_custkey % 5 = 0 THEN ' or ' ELSE ' or 12345' END AS g, CASE WHEN c_custkey % 5 = 0 THEN '(555) 123-4567' ELSE '' END AS q FROM customer),
+      w AS (SELECT *, a || m || b || u || c || i || d || card || e || day || f || p || g || q || '.' AS whole, regexp_replace(a, 'cust\\.$', '') || '[EMAIL]' || b || '[URL]' || c || '[IBAN]' || d || CASE WHEN k % 2 = 0 THEN '[CARD]' ELSE card END || e || '[DATE]' || f || '[PHONE]' || g || CASE WHEN q = '' THEN '' ELSE '[PHONE]' END || '.' AS masked FROM t),
+      r AS (SELECT k, 'email' AS kind, length(a) - 5 AS place, 'cust.' || m AS found FROM w UNION ALL SELECT k, 'url', length(a || m || b), u FROM w UNION ALL SELECT k, 'iban', length(a || m || b || u || c), i FROM w
+        UNION ALL SELECT k, 'card', length(a || m || b || u || c || i || d), card FROM w WHERE k % 2 = 0 UNION ALL SELECT k, 'date', length(a || m || b || u || c || i || d || card || e), day FROM w
+        UNION ALL SELECT k, 'phone', length(a || m || b || u || c || i || d || card || e || day || f), p FROM w UNION ALL SELECT k, 'phone', length(a || m || b || u || c || i || d || card || e || day || f || p || g), q FROM w WHERE q <> '')
+      SELECT r.k AS doc_id, kind, count(*) AS n, CAST(min(place) AS INTEGER) AS first_at, CAST(max(length(found)) AS INTEGER) AS longest, min(found) AS found, md5(any_value(masked)) AS masked, any_value(whole) AS whole FROM r JOIN w ON r.k = w.k GROUP BY r.k, kind""",
     "pii_counts": r"""WITH e AS (SELECT lang, text, len(regexp_extract_all(text, '[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,63}')) AS emails,
         len(regexp_extract_all(regexp_replace(text, '[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,63}', '[EMAIL]', 'g'), '(?i)\b(?:https?://|www\.)[^\s<>(),;]+')) AS urls FROM documents)
       SELECT lang, CAST(sum(emails) AS BIGINT) AS emails, CAST(sum(urls) AS BIGINT) AS urls FROM e GROUP BY lang""",
 }
 ORACLE_SQL["categorize_rules"] = f"SELECT p_partkey, category FROM ({ORACLE_SQL['categorize_rules']})"
+ORACLE_SQL["sql_tools"] = f"SELECT doc_id, kind, n, first_at, longest, found, masked, doc_id || ':' || length(whole) AS key FROM ({ORACLE_SQL['sql_tools']})"

@@ -6,8 +6,13 @@ work on texts from any source. A file beyond the limits becomes a failed row, ne
 
 from __future__ import annotations
 
+import contextlib
+import dataclasses
+import signal
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,15 +35,18 @@ def kind_of(path: Column) -> Column:
 
 
 def listed(spark: SparkSession, folders: list[str], files: list[str] = ()) -> DataFrame:
-    """Files (path, size_bytes, kind, folder): those of known kinds within the folders, and each named file."""
+    """Files (path, size_bytes, kind, folder, content): those of known kinds within the folders, and each named file.
+
+    Nothing is read for ``content`` unless a plan asks for it, and then only of the files that the plan keeps by size.
+    """
     found = None
     if folders:
-        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(folders)).select("path", "length")
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(folders)).select("path", "length", "content")
         found = found.where(kind_of(F.col("path")).isNotNull())
     if files:
-        named = spark.read.format("binaryFile").load(list(files)).select("path", "length")
-        found = named if found is None else found.unionByName(named).dropDuplicates(["path"])
-    return found.select("path", F.col("length").alias("size_bytes"), kind_of(F.col("path")).alias("kind"), F.regexp_extract("path", r"([^/]+)/[^/]*$", 1).alias("folder"))
+        named = spark.read.format("binaryFile").load(list(files)).select("path", "length", "content")
+        found = named if found is None else found.unionByName(named.join(found.select("path"), "path", "left_anti"))
+    return found.select("path", F.col("length").alias("size_bytes"), kind_of(F.col("path")).alias("kind"), F.regexp_extract("path", r"([^/]+)/[^/]*$", 1).alias("folder"), "content")
 
 
 def limited(files: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
@@ -48,15 +56,87 @@ def limited(files: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
 
 
 def texts(spark: SparkSession, files: DataFrame, most_text: int = MOST_TEXT) -> DataFrame:
-    """The queued files' texts (path, kind, text), a leading byte order mark removed; a text beyond the limit is null.
+    """The queued files' texts (path, kind, text), a leading byte order mark removed; a text beyond the limit is null, and not read.
 
-    The names of the files to read pass through the driver, their contents do not.
+    Bytes that are no UTF-8 become replacement characters. Names and contents stay with the tasks.
+    """
+    queued = files.where("status = 'queued'")
+    read = queued.where(F.col("size_bytes") <= most_text).select("path", "kind", T.without_mark(F.make_valid_utf8(F.col("content").cast("string"))).alias("text"))
+    return read.unionByName(queued.where(F.col("size_bytes") > most_text).select("path", "kind", F.lit(None).cast("string").alias("text")))
+
+
+@dataclasses.dataclass(frozen=True)
+class Limits:
+    """What one file may take; fixed values as defaults."""
+
+    size: int = MOST_BYTES
+    text: int = MOST_TEXT
+    pages: int = 5000
+    seconds: float = 30.0
+
+
+class _Late(Exception):
+    pass
+
+
+@contextlib.contextmanager
+def _deadline(seconds: float) -> Iterator[None]:
+    """Raise within the block once the time is over. Runs in the main thread of a Python worker."""
+
+    def ring(*_):
+        raise _Late
+
+    before = signal.signal(signal.SIGALRM, ring)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
+def _parsed(content: bytes, parser: Callable[[bytes], Iterable[tuple[str | None, str]]] | None, limits: Limits) -> tuple[str | None, list[tuple[str | None, str]]]:
+    """The error, or the pages of one file."""
+    if parser is None:
+        return "unsupported", []
+    pages, size = [], 0
+    try:
+        with _deadline(limits.seconds):
+            for label, text in parser(content):
+                pages.append((label, text))
+                size += len(text.encode())
+                if len(pages) > limits.pages:
+                    return "too-many-pages", []
+                if size > limits.text:
+                    return "too-much-text", []
+    except _Late:
+        return "timeout", []
+    except Exception:  # the parser is the user's: whatever it raises is that file's state
+        return "unreadable", []
+    return (None, pages) if any(text.strip() for _, text in pages) else ("no-text", [])
+
+
+def parsed(files: DataFrame, parsers: dict[str, Callable[[bytes], Iterable[tuple[str | None, str]]]], limits: Limits = Limits()) -> DataFrame:
+    """Files with status, error and pages (label, text), by the parser of each kind within the limits of a file.
+
+    Every file gives one row. Errors: ``too-large`` (not read at all), ``unsupported``, ``unreadable``
+    (whatever the parser raises), ``timeout``, ``too-many-pages``, ``too-much-text`` and ``no-text``;
+    a failed file has no pages. A parser gives its pages one by one, so one that goes on for ever is
+    stopped by a limit.
     """
-    names = [r.path for r in files.where("status = 'queued'").select("path").toLocalIterator()]
-    if not names:
-        return files.limit(0).select("path", "kind", F.lit(None).cast("string").alias("text"))
-    rows = spark.read.text(names, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"), F.col("_metadata.file_size").alias("_size"))
-    return rows.select("path", kind_of(F.col("path")).alias("kind"), F.when(F.col("_size") <= most_text, T.without_mark(F.col("text"))).alias("text"))
+    schema = "path string, size_bytes long, kind string, status string, error string, pages array<struct<label: string, text: string>>"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for path, size, kind, content in zip(frame.path, frame.size_bytes, frame.kind, frame.content, strict=True):
+                error, pages = _parsed(content, parsers.get(kind), limits)
+                rows.append((path, size, kind, "failed" if error else "parsed", error, [{"label": a, "text": b} for a, b in pages]))
+            yield pd.DataFrame(rows, columns=["path", "size_bytes", "kind", "status", "error", "pages"])
+
+    small = files.where(F.col("size_bytes") <= limits.size).select("path", "size_bytes", "kind", "content").mapInPandas(run, schema)
+    large = files.where(F.col("size_bytes") > limits.size)
+    return small.unionByName(large.select("path", "size_bytes", "kind", F.lit("failed").alias("status"), F.lit("too-large").alias("error"), F.array().cast("array<struct<label: string, text: string>>").alias("pages")))
 
 
 def text_segments(rows: DataFrame, key: str = "doc_id") -> DataFrame:

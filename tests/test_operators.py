@@ -13,7 +13,7 @@ from lectern.functions import text as T
 from lectern.operators import analysis, budgets, chunking, compare, edits, extraction, invoices, library, redaction, retrieval, skills, statement
 from lectern.plans import compare as compare_plans
 from lectern.plans import search
-from lectern.sources import exports, files
+from lectern.sources import exports, files, snapshots
 from lectern.streaming import audit
 
 
@@ -216,6 +216,74 @@ def test_log_stream_over_several_batches(spark, tmp_path):
     assert sorted(r.event_id for r in kept.collect()) == list(range(70, 120))
 
 
+def test_functions_in_sql_check_their_types(spark):
+    skills.register_sql(spark, [skills.SqlTool("words_of", lambda t: ((w, len(w)) for w in (t or "").split()), ("string",), "word string, size int", rows=True), skills.SqlTool("odd_rows", lambda t: [(1,)], ("string",), "a int, b int", rows=True)])
+    assert [tuple(r) for r in spark.sql("SELECT * FROM words_of('ab c')").collect()] == [("ab", 2), ("c", 1)]
+    assert spark.sql("SELECT w.* FROM VALUES (1, CAST(NULL AS STRING)), (2, 'x y') AS t(i, s), LATERAL words_of(t.s) w").count() == 2
+    with pytest.raises(Exception, match="takes"):
+        spark.sql("SELECT * FROM words_of(1)").collect()
+    with pytest.raises(Exception, match="rows of 1 values"):
+        spark.sql("SELECT * FROM odd_rows('x')").collect()
+
+
+def test_a_change_is_seen_whole_or_not_at_all(spark, tmp_path, monkeypatch):
+    """A writer that stops between two tables leaves the old state; of two writers one wins; deletes, repeats and compaction."""
+    store = snapshots.Snapshots(spark, str(tmp_path / "store"))
+    assert store.version() == 0 and store.read() == {}
+    chunks = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "n")], "doc_id long, text string")
+    store.change({"chunks": chunks, "vectors": chunks})
+    old = store.read()
+
+    def seen(version=None):
+        return {k: sorted((r.doc_id or 0, r.text) for r in t.collect()) for k, t in store.read(version).items()}
+
+    before = seen()
+    new = spark.createDataFrame([(1, "z")], chunks.schema)
+
+    def stop(self, version, changes):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(snapshots.Snapshots, "_commit", stop)
+        with pytest.raises(RuntimeError):
+            store.change({"chunks": new, "vectors": new}, new)
+    assert seen() == before and store.version() == 1
+    with monkeypatch.context() as m:
+        m.setattr(snapshots.Snapshots, "version", lambda self: 0)
+        with pytest.raises(snapshots.Conflict):
+            store.change({"chunks": new}, new)
+    assert seen() == before
+    store.change({"chunks": new, "vectors": new}, new)
+    assert seen() == {k: [(0, "n"), (1, "z"), (2, "c")] for k in before}
+    assert old["chunks"].count() == 4  # a plan made before goes on with what it saw
+    store.change({"chunks": new})
+    store.delete(spark.createDataFrame([(2,), (9,)], "doc_id long"))
+    assert seen() == {"chunks": [(0, "n"), (1, "z"), (1, "z")], "vectors": [(0, "n"), (1, "z")]}
+    last = seen()
+    store.compact()
+    store.clean()
+    assert seen() == last
+
+
+def test_files_within_limits(spark, tmp_path):
+    """Each limit makes a failed row; what is too large isn't read."""
+    import time
+
+    for name, data in {"a.txt": b"one\ntwo", "b.txt": b"\xff", "c.txt": b"x" * 300, "d.txt": b"slow", "e.txt": b"p\n" * 9, "f.txt": b" ", "g.md": b"# t", "h.bin": b"?"}.items():
+        (tmp_path / name).write_bytes(data)
+
+    def lines(content):
+        if content == b"slow":
+            time.sleep(30)
+        yield from ((None, line) for line in content.decode().split("\n"))
+
+    found = files.listed(spark, [str(tmp_path)], [str(tmp_path / "h.bin"), str(tmp_path / "a.txt")])
+    got = {r.path.rpartition("/")[2]: (r.status, r.error, len(r.pages)) for r in files.parsed(found, {"text": lines}, files.Limits(size=200, text=100, pages=5, seconds=0.4)).collect()}
+    assert got == {"a.txt": ("parsed", None, 2), "b.txt": ("failed", "unreadable", 0), "c.txt": ("failed", "too-large", 0), "d.txt": ("failed", "timeout", 0), "e.txt": ("failed", "too-many-pages", 0), "f.txt": ("failed", "no-text", 0), "g.md": ("failed", "unsupported", 0), "h.bin": ("failed", "unsupported", 0)}
+    texts = {r.path.rpartition("/")[2]: r.text for r in files.texts(spark, files.limited(found), 200).collect()}
+    assert texts["a.txt"] == "one\ntwo" and texts["b.txt"] == "\ufffd" and texts["c.txt"] is None and "h.bin" not in texts
+
+
 def test_streams_of_folders_and_files(spark, tmp_path):
     """A table may be a folder or a file; one that isn't there is an error; before the first version there is an empty table."""
     rows = spark.createDataFrame([(i, i % 3) for i in range(90)], "a long, b long")
