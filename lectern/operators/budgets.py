@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from lectern.functions import text as T
+from lectern.operators import analysis, chunking, grouping
 
 # Tokens kept free for the answer and the prompt, and the most calls of a summary.
 OUTPUT, RESERVE, CEILING, FLOOR, LEAST_WORDS = 512, 300, 12, 128, 200
@@ -43,20 +49,83 @@ def split_budget(a: Column, b: Column, total: Column) -> tuple[Column, Column]:
 def packed(pieces: DataFrame, budget: Column | int, key: str = "doc_id") -> DataFrame:
     """Pieces (key, ordinal, cost) with the window each falls into: greedy in order, a window closed before the piece that exceeds it.
 
-    A piece's cost is at most the budget (longer texts are cut before). One row for each document
-    passes the fold.
+    Pieces without cost are in no window. A piece's cost is at most the budget (longer texts are cut before).
+    """
+    return grouping.greedy(pieces.where("cost > 0"), key, budget, name="window")
+
+
+def pieces(texts: DataFrame, budget: int, key: str = "doc_id") -> DataFrame:
+    """Texts (key, ordinal, text) as pieces (key, ordinal, part, text, cost) that each fit the budget; blank ones give none."""
+    schema = T_.StructType([texts.schema[key], texts.schema["ordinal"], *T_.StructType.fromDDL("part int, text string, cost long").fields])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [(k, o, i, part, cost) for k, o, text in zip(frame[key], frame.ordinal, frame.text, strict=True) for i, (part, cost) in enumerate(chunking.windows(text, budget, 0))]
+            yield pd.DataFrame(rows, columns=["k", "ordinal", "part", "text", "cost"]).rename(columns={"k": key})
+
+    counted = texts.where("text IS NOT NULL").select(key, "ordinal", "text", T.token_count(F.col("text")).alias("cost"))
+    whole = counted.where(F.col("cost").between(1, budget)).select(key, "ordinal", F.lit(0).alias("part"), "text", "cost")
+    return whole.unionByName(counted.where(F.col("cost") > budget).select(key, "ordinal", "text").mapInPandas(run, schema))
+
+
+def _windows(cut: DataFrame, budget: int, key: str, extra: list[Column] = ()) -> DataFrame:
+    """Windows (key, window, text, tokens, ordinals) of pieces, the texts joined by a blank line."""
+    places = cut.withColumn("_at", F.struct("ordinal", "part"))
+    grouped = packed(places.select(key, F.col("_at").alias("ordinal"), "cost"), budget, key).select(key, F.col("ordinal").alias("_at"), "window")
+    joined = places.join(grouped, [key, "_at"]).groupBy(key, "window").agg(F.array_sort(F.collect_list(F.struct("_at", "text"))).alias("x"), F.sum("cost").alias("tokens"), *extra)
+    return joined.select(key, "window", F.array_join("x.text", "\n\n").alias("text"), "tokens", F.array_distinct("x._at.ordinal").alias("ordinals"), *[c for c in joined.columns if c not in (key, "window", "x", "tokens")])
+
+
+def compare_windows(chunks: DataFrame, context: int, key: str = "pair_id") -> DataFrame:
+    """Windows (key, window, text, tokens, ordinals) over the first document's chunks (key, ordinal, text) of each pair, in order.
+
+    A window takes half of a call's words; the other half, ``compare_plan``'s ``pair_words``, is left
+    for what is found in the second document. Longer chunks are cut. At most ``CEILING`` windows are kept.
     """
-    limit = budget if isinstance(budget, Column) else F.lit(budget)
-    rows = pieces.where("cost > 0").withColumn("_budget", limit).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ordinal", "cost"))).alias("c"), F.first("_budget").alias("_budget"))
-    start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("w"), F.array().cast("array<int>").alias("out"))
+    share = compare_shares(context)[0]
+    return _windows(pieces(chunks, share, key), share, key).where(F.col("window") < CEILING)
+
 
-    def step(s: Column, c: Column) -> Column:
-        new = (s["sum"] > 0) & (s["sum"] + c["cost"] > F.col("_budget"))
-        w = s["w"] + new.cast("int")
-        return F.struct(F.when(new, c["cost"]).otherwise(s["sum"] + c["cost"]).alias("sum"), w.alias("w"), F.concat(s["out"], F.array(w)).alias("out"))
+def compare_shares(context: int) -> tuple[int, int]:
+    """Words of one call for the first and for the second document."""
+    words = max(LEAST_WORDS, int((max(1024, context) - OUTPUT - RESERVE) / TOKENS_PER_WORD))
+    first = max(100, words // 2)
+    return first, max(100, words - first)
 
-    placed = rows.select(key, "c", F.aggregate("c", start, step)["out"].alias("w"))
-    return placed.select(key, F.explode(F.arrays_zip("c", "w")).alias("z")).select(key, F.col("z.c.ordinal").alias("ordinal"), F.col("z.c.cost").alias("cost"), F.col("z.w").alias("window"))
+
+def compare_plan(chunks: DataFrame, context: int, key: str = "pair_id") -> DataFrame:
+    """Per pair the calls of a comparison: windows kept, whether text of the first document is left out, tokens of each partial answer, words for the second document, and steps."""
+    share, other = compare_shares(context)
+    cut = pieces(chunks, share, key)
+    rows = packed(cut.select(key, F.struct("ordinal", "part").alias("ordinal"), "cost"), share, key).groupBy(key).agg((F.max("window") + 1).alias("n"))
+    kept = F.least("n", F.lit(CEILING))
+    most = F.greatest(F.lit(FLOOR), F.least(F.lit(OUTPUT), F.floor((max(1024, context) - OUTPUT - RESERVE) / kept)))
+    return rows.select(key, kept.alias("windows"), (F.col("n") > CEILING).alias("truncated"), most.cast("long").alias("answer_tokens"), F.lit(other).alias("pair_words"), (kept + 2).alias("steps"))
+
+
+def translation_blocks(segments: DataFrame, page_counts: DataFrame, context: int) -> DataFrame:
+    """A translation's blocks (doc_id, block, kind, text, first, last) in reading order.
+
+    Segments (doc_id, ordinal, page, text) between missing pages are packed into windows; a block of
+    kind ``gap`` stands at the place of each run of pages without a segment, up to the document's
+    ``page_count``. Documents with a segment without a page have no gaps.
+    """
+    budget = max(1, min(max(TRANSLATION_LEAST, min(int((context - TRANSLATION_RESERVE) // (SOURCE_TOKENS + TARGET_TOKENS)), int(TRANSLATION_INPUT // SOURCE_TOKENS))), int((context - TRANSLATION_RESERVE) // (SOURCE_TOKENS + TARGET_TOKENS))))
+    paged = segments.join(segments.where("page IS NULL").select("doc_id").distinct(), "doc_id", "left_anti")
+    gaps = analysis.missing_pages(paged.join(page_counts, "doc_id").select("doc_id", F.col("page").cast("int").alias("page"), "page_count"))
+    order = W.partitionBy("doc_id").orderBy("last")
+    gaps = gaps.withColumn("gap", F.row_number().over(order))
+    # a segment comes behind every gap that ends before its page, or before a page that came earlier
+    marks = gaps.select("doc_id", F.col("last").alias("page"), F.col("gap"), F.lit(None).cast("long").alias("ordinal"))
+    both = marks.unionByName(segments.select("doc_id", F.col("page").cast("int").alias("page"), F.lit(None).cast("int").alias("gap"), F.col("ordinal").cast("long").alias("ordinal")))
+    passed = F.coalesce(F.max("gap").over(W.partitionBy("doc_id").orderBy("page", F.col("gap").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)), F.lit(0))
+    runs = both.withColumn("passed", passed).where("ordinal IS NOT NULL")
+    runs = runs.withColumn("run", F.max("passed").over(W.partitionBy("doc_id").orderBy("ordinal"))).select("doc_id", "ordinal", "run")
+    rows = segments.withColumn("ordinal", F.col("ordinal").cast("long")).join(runs, ["doc_id", "ordinal"]).select(F.struct("doc_id", "run").alias("place"), "ordinal", "text")
+    made = _windows(pieces(rows, budget, "place"), budget, "place").select(F.col("place.doc_id").alias("doc_id"), F.col("place.run").alias("run"), F.lit(0).alias("_gap"), "window", F.lit("window").alias("kind"), "text", F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
+    holes = gaps.select("doc_id", (F.col("gap") - 1).alias("run"), F.lit(1).alias("_gap"), F.lit(0).alias("window"), F.lit("gap").alias("kind"), F.lit(None).cast("string").alias("text"), F.col("first").cast("int").alias("first"), F.col("last").cast("int").alias("last"))
+    block = F.row_number().over(W.partitionBy("doc_id").orderBy("run", "_gap", "window")) - 1
+    return made.unionByName(holes).select("doc_id", block.alias("block"), "kind", "text", "first", "last")
 
 
 def summary_plan(pieces: DataFrame, context: int, key: str = "doc_id") -> DataFrame:

@@ -177,6 +177,25 @@ def extraction_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("doc_id", "record_type", "normalized").agg(F.count("*").alias("n"), F.count_distinct("chunk_id").alias("chunks"))
 
 
+#: The context window of the plans' stand-in model.
+_CONTEXT = 2048
+
+
+def compare_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The calls that comparing each conversation with another takes, and what its windows hold."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("pair_id"), F.col("turn").alias("ordinal"), "text")
+    plan = budgets.compare_plan(turns, _CONTEXT)
+    windows = budgets.compare_windows(turns, _CONTEXT).groupBy("pair_id").agg(F.sum("tokens").cast("long").alias("tokens"), F.max("tokens").cast("long").alias("longest"), F.sum(F.size("ordinals")).cast("long").alias("turns"))
+    return plan.join(windows, "pair_id").select("pair_id", F.col("windows").cast("long").alias("windows"), "truncated", "answer_tokens", F.col("pair_words").cast("long").alias("pair_words"), F.col("steps").cast("long").alias("steps"), "tokens", "longest", "turns")
+
+
+def translation_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of conversations as documents whose every third page is empty, as are the last ones."""
+    segments = table(spark, sf_dir, "conversations").where("turn % 3 <> 1").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("ordinal"), (F.col("turn") + 1).alias("page"), "text")
+    blocks = budgets.translation_blocks(segments, segments.select("doc_id").distinct().withColumn("page_count", F.lit(10)), 8192)
+    return blocks.select("doc_id", F.col("block").cast("long").alias("block"), "kind", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"))
+
+
 def group_by_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X11: turns grouped for a summary tree, two at least in a group."""
     costs = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("ordinal"), F.length("text").cast("long").alias("cost"))
@@ -373,7 +392,7 @@ def stored_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        source_snapshots, freshness_status, review_gate, pack_counts, review_items, review_append, source_context, image_sessions, statement_purge, model_benchmarks, model_recommend, extraction_listing, extraction_coverage, extraction_built_in, listing_refs, leaf_provenance, coverage_modes, missing_page_gaps, extraction_resume,
+        source_snapshots, freshness_status, review_gate, pack_counts, review_items, review_append, source_context, image_sessions, statement_purge, model_benchmarks, model_recommend, extraction_listing, extraction_coverage, extraction_built_in, listing_refs, leaf_provenance, coverage_modes, missing_page_gaps, extraction_resume, compare_plans, translation_plan,
         group_by_budget, summary_plan, budget_arithmetic, changes_to_budget, shortened_texts, marked_snippets, question_routes, skill_suggestions, citation_markers, qa_scores, qa_aggregate, conversation_scopes, filtered_documents, documents_by_ids, ordered_collections, category_seeding, filed_imports, archive_and_remove,
         replaced_chunks, recovered_imports, evicted_cache, corpus_signature, messages_with_skills, undone_answers, compaction_rows, stored_citations,
     )
@@ -397,6 +416,8 @@ _ANSWERS = f"""answers AS (SELECT conv_id * 100 + turn AS id, CASE WHEN conv_id
   scores AS (SELECT id, lang, unanswerable, CAST(NOT unanswerable AND g <> '' AND contains(' ' || a || ' ', ' ' || g || ' ') AS INTEGER) AS em, round(CASE WHEN unanswerable OR na = 0 OR ng = 0 THEN 0.0 ELSE 2.0 * both_ / (na + ng) END, 6)::DOUBLE AS f1, a IN ('the report does not mention it', 'es gibt keine angaben') AS abstained, NOT unanswerable AND cites AS citation_correct FROM counted)"""
 _Q = "q AS (SELECT c_custkey, c_custkey % 15 AS k FROM customer)"
 
+_TOKENS = r"CAST(list_sum(list_transform(regexp_extract_all(text, '[^ \t\n\r\f\v]+'), lambda w: CASE WHEN length(w) <= 16 THEN 1 ELSE CAST(ceil(length(w) / 4) AS BIGINT) END)) AS BIGINT)"
+
 ORACLE_SQL = {
     "source_snapshots": f"WITH {_CITED} SELECT * FROM snapshots",
     "freshness_status": f"""WITH {_CITED}, now_ AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'new' ELSE sha256 END AS sha256 FROM docs WHERE doc_id % 7 <> 0), {_STATES}
@@ -427,6 +448,19 @@ ORACLE_SQL = {
       m AS (SELECT *, st = 'ready' AND NOT coalesce(truncated, false) AS ready, truncated IS NULL AND st IN ('building', 'pending', 'stale') AS partial FROM d)
       SELECT doc_id, CASE WHEN ready OR partial THEN 'tree' ELSE 'capped' END AS mode, CASE WHEN ready OR partial THEN leaves ELSE chunks END AS covered, chunks AS total, CASE WHEN ready THEN false WHEN partial THEN true ELSE coalesce(truncated, false) END AS truncated FROM m""",
     "missing_page_gaps": "WITH p AS (SELECT DISTINCT conv_id AS doc_id, turn + 1 AS page FROM conversations WHERE turn % 3 = 1), e AS (SELECT * FROM p UNION SELECT doc_id, 0 FROM p UNION SELECT doc_id, 13 FROM p), g AS (SELECT *, lag(page) OVER (PARTITION BY doc_id ORDER BY page) AS before FROM e) SELECT doc_id, CAST(before + 1 AS BIGINT) AS first, CAST(page - 1 AS BIGINT) AS last FROM g WHERE page - before > 1",
+    "compare_plans": rf"""WITH RECURSIVE c AS (SELECT conv_id, {_TOKENS} AS cost, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE {_TOKENS} > 0),
+      g AS (SELECT conv_id, n, cost, cost AS total, 0 AS w FROM c WHERE n = 1 UNION ALL SELECT c.conv_id, c.n, c.cost, CASE WHEN g.total + c.cost > 475 THEN c.cost ELSE g.total + c.cost END, CASE WHEN g.total + c.cost > 475 THEN g.w + 1 ELSE g.w END FROM g JOIN c ON c.conv_id = g.conv_id AND c.n = g.n + 1),
+      w AS (SELECT conv_id, w, sum(cost) AS tokens, count(*) AS turns FROM g GROUP BY ALL), p AS (SELECT conv_id, count(*) AS n FROM w GROUP BY conv_id)
+      SELECT conv_id AS pair_id, least(any_value(n), 12) AS windows, any_value(n) > 12 AS truncated, CAST(greatest(128, least(512, 1236 // least(any_value(n), 12))) AS BIGINT) AS answer_tokens, CAST(475 AS BIGINT) AS pair_words, least(any_value(n), 12) + 2 AS steps,
+        CAST(sum(tokens) AS BIGINT) AS tokens, CAST(max(tokens) AS BIGINT) AS longest, CAST(sum(turns) AS BIGINT) AS turns FROM w JOIN p USING (conv_id) WHERE w < 12 GROUP BY conv_id""",
+    "translation_plan": rf"""WITH RECURSIVE s AS (SELECT conv_id, turn, text, {_TOKENS} AS cost, (turn + 1) // 3 AS run FROM conversations WHERE turn % 3 <> 1),
+      c AS (SELECT *, row_number() OVER (PARTITION BY conv_id, run ORDER BY turn) AS n FROM s WHERE cost > 0),
+      g AS (SELECT conv_id, run, turn, text, n, cost AS total, 0 AS w FROM c WHERE n = 1 UNION ALL SELECT c.conv_id, c.run, c.turn, c.text, c.n, CASE WHEN g.total + c.cost > 720 THEN c.cost ELSE g.total + c.cost END, CASE WHEN g.total + c.cost > 720 THEN g.w + 1 ELSE g.w END FROM g JOIN c ON c.conv_id = g.conv_id AND c.run = g.run AND c.n = g.n + 1),
+      l AS (SELECT conv_id, max(turn) + 1 AS last FROM s GROUP BY conv_id),
+      b AS (SELECT conv_id, run, 0 AS gap, w, 'window' AS kind, md5(string_agg(text, chr(10) || chr(10) ORDER BY turn)) AS text_md5, CAST(NULL AS BIGINT) AS first, CAST(NULL AS BIGINT) AS last FROM g GROUP BY ALL
+        UNION ALL SELECT conv_id, k, 1, 0, 'gap', NULL, 3 * k + 2, 3 * k + 2 FROM l, (SELECT unnest(range(0, 4)) AS k) WHERE 3 * k + 2 < last
+        UNION ALL SELECT conv_id, 99, 1, 0, 'gap', NULL, last + 1, 10 FROM l WHERE last < 10)
+      SELECT conv_id AS doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY run, gap, w) - 1 AS block, kind, text_md5, first, last FROM b""",
     "extraction_resume": r"""WITH t AS (SELECT conv_id AS doc_id, turn, CASE WHEN turn < 2 THEN left(text, 6) ELSE text END AS text FROM conversations), k AS (SELECT * FROM t WHERE regexp_matches(text, '\S')),
       r AS (SELECT doc_id, '__scan__' AS record_type, 'ok' AS normalized FROM k UNION ALL SELECT doc_id, 'amount', CAST(length(text) AS VARCHAR) FROM k WHERE length(text) % 5 <> 0)
       SELECT doc_id, record_type, normalized, count(*) AS n, count(*) AS chunks FROM r GROUP BY ALL""",

@@ -10,7 +10,7 @@ import pytest
 
 from lectern.functions import money as M
 from lectern.functions import text as T
-from lectern.operators import analysis, budgets, chunking, compare, edits, extraction, invoices, library, redaction, retrieval, skills, statement
+from lectern.operators import analysis, budgets, chunking, compare, edits, extraction, grouping, invoices, library, redaction, retrieval, skills, statement
 from lectern.plans import compare as compare_plans
 from lectern.plans import search
 from lectern.sources import exports, files, snapshots
@@ -407,6 +407,76 @@ def test_tree_and_leaves_of_any_height(spark):
     assert levels[1] == 150 and levels[max(levels)] == 1 and max(levels) == 9
 
 
+def test_leaves_below_shared_nodes_and_in_order(spark):
+    """Thirty layers of two shared nodes each, and random graphs with cycles against a walk in depth."""
+    schema = "doc_id int, parent_id int, child_id int, child_is_leaf boolean, ordinal int"
+    layers = [(1, 2 * k + a, 2 * k + 2 + b, False, b) for k in range(30) for a in range(2) for b in range(2)] + [(1, 60, 900, True, 0), (1, 61, 901, True, 0), (1, 0, 901, True, 5)]
+    root = spark.createDataFrame([(1, 0, 0, True), (2, 0, 0, True)], "doc_id int, node_id int, ordinal int, is_root boolean")
+    got = analysis.leaves(root.where("doc_id = 1"), spark.createDataFrame(layers, schema)).orderBy("place").collect()
+    assert [r.leaf_id for r in got] == [900, 901]
+    r = random.Random(5)
+    for _ in range(4):
+        edges = [(2, a, b if b < 9 else 100 + b, b >= 9, k) for a in range(9) for k, b in enumerate(r.sample(range(16), r.randint(0, 4)))]
+        below, seen, out = {}, set(), []
+        for _, a, b, leaf, k in sorted(edges, key=lambda e: (e[1], e[4])):
+            below.setdefault(a, []).append((b, leaf))
+
+        def walk(node):
+            seen.add(node)
+            for b, leaf in below.get(node, []):
+                if leaf and b not in out:
+                    out.append(b)
+                if not leaf and b not in seen:
+                    walk(b)
+
+        walk(0)
+        found = analysis.leaves(root.where("doc_id = 2"), spark.createDataFrame(edges or [(2, 50, 51, True, 0)], schema)).orderBy("place").collect()
+        assert [x.leaf_id for x in found] == out
+
+
+def test_greedy_groups_of_any_size(spark):
+    """Equal to a plain loop over batches of any cut, with null keys, costs and oversized rows; a million children at once."""
+    r = random.Random(9)
+    rows = [(k, i, r.choice([None, 0, 1, 5, 30])) for k in ("a", "b", None, "c") for i in range(r.randint(1, 60))]
+    frame = spark.createDataFrame(rows, "doc_id string, ordinal int, cost int")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        for least in (1, 2, 3):
+            expected = {}
+            for key in ("a", "b", None, "c"):
+                total = n = group = 0
+                for _, i, c in [x for x in rows if x[0] == key]:
+                    if n >= least and total + (c or 0) > 25:
+                        total, n, group = 0, 0, group + 1
+                    total, n = total + (c or 0), n + 1
+                    expected[key, i] = group
+            assert {(x.doc_id, x.ordinal): x.group for x in grouping.greedy(frame, "doc_id", 25, least).collect()} == expected
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    many = spark.range(1_000_000).selectExpr("1 AS doc_id", "id AS ordinal", "id % 7 AS cost")
+    sizes = grouping.greedy(many, "doc_id", 1000).groupBy("group").agg({"cost": "sum"}).collect()
+    assert 2995 < len(sizes) < 3020 and all(x["sum(cost)"] <= 1000 for x in sizes)
+    assert grouping.greedy(frame.limit(0), "doc_id", 25).collect() == []
+
+
+def test_windows_of_comparisons_and_translations(spark):
+    """Long chunks are cut and keep their number, windows beyond the ceiling are left out, no text is lost in a translation."""
+    words = [("p", 0, " ".join(f"w{i}" for i in range(450))), ("p", 1, " "), ("p", 2, "short one"), ("q", 0, None), ("p", 3, "x" * 2000)]
+    rows = spark.createDataFrame(words, "pair_id string, ordinal int, text string")
+    got = budgets.compare_windows(rows, 1024).orderBy("window").collect()
+    assert [(x.tokens, x.ordinals) for x in got][:5] == [(100, [0]), (100, [0]), (100, [0]), (100, [0]), (52, [0, 2])] and sum(x.tokens for x in got[5:]) == 500 and all(x.tokens <= 100 for x in got)
+    plan = budgets.compare_plan(rows, 1024).collect()
+    assert [(p.pair_id, p.windows, p.truncated, p.answer_tokens, p.pair_words, p.steps) for p in plan] == [("p", len(got), False, 128, 100, len(got) + 2)]
+    many = budgets.compare_plan(spark.createDataFrame([("p", i, "word " * 90) for i in range(20)], rows.schema), 1024).first()
+    assert (many.windows, many.truncated, many.steps) == (12, True, 14)
+    segments = spark.createDataFrame([(1, 0, 2, "a b"), (1, 1, 2, "c"), (1, 2, 5, " ".join(["y"] * 1500)), (1, 3, 4, "back"), (2, 0, None, "no page"), (3, 0, 1, "x")], "doc_id int, ordinal int, page int, text string")
+    pages = spark.createDataFrame([(1, 8), (2, 4), (3, 1)], "doc_id int, page_count int")
+    blocks = [(b.doc_id, b.kind, b.first, b.last) for b in budgets.translation_blocks(segments, pages, 8192).orderBy("doc_id", "block").collect()]
+    assert blocks == [(1, "gap", 1, 1), (1, "window", None, None), (1, "gap", 3, 3), (1, "window", None, None), (1, "window", None, None), (1, "window", None, None), (1, "gap", 6, 8), (2, "window", None, None), (3, "window", None, None)]
+    texts = " ".join(b.text for b in budgets.translation_blocks(segments, pages, 8192).where("doc_id = 1 AND kind = 'window'").orderBy("block").collect())
+    assert texts.split() == "a b c".split() + ["y"] * 1500 + ["back"]
+
+
 def test_swept_entities_do_not_meet_masks():
     text, found, masked, dropped = redaction.swept("Bob Red and Bobby met Red.", [("Bob", "name"), ("Bobby", "name"), ("Red", "other"), ("RED", "org"), ("ab", "name"), ("Bob", "org")])
     assert text == "[NAME] [REDACTED] and [NAME] met [REDACTED]." and (found["name"], found["other"], masked, dropped) == (2, 1, 4, 2)
