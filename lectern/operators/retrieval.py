@@ -101,10 +101,28 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(F.size(a) != F.size(b), None).when(norms == 0, 0.0).otherwise(dot(a, b) / norms)
 
 
-def similar(vectors: DataFrame, question: list[float], key: str = "chunk_id", floor: float | None = None) -> DataFrame:
-    """Scores (key, score) of the vectors of the question's length by cosine."""
-    query = F.array(*[F.lit(float(x)) for x in question])
-    rows = vectors.where(F.size("embedding") == len(question)).select(key, F.round(cosine(F.col("embedding"), query), 6).alias("score"))
+def similar(vectors: DataFrame, question: list[float], key: str = "chunk_id", floor: float | None = None, most: int | None = None) -> DataFrame:
+    """Scores (key, score) of the vectors of the question's length by cosine, a matrix product for each Arrow batch.
+
+    0 where a vector is zero, null where one holds a null. ``most`` keeps of each batch what can be
+    among so many best, ties included, so that little goes on to the final order.
+    """
+    asked = np.asarray(question, np.float64)
+    norm = float(np.sqrt(asked @ asked))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = np.asarray(batch.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(batch.num_rows, len(asked))
+            lengths = np.sqrt(np.einsum("ij,ij->i", made, made)) * norm
+            score = np.divide(made @ asked, lengths, out=np.zeros(len(made)), where=lengths != 0)
+            rows = pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, mask=np.isnan(score))], [key, "raw"])
+            if most is not None and batch.num_rows > most:
+                least = -np.partition(-np.nan_to_num(score, nan=-2.0), most - 1)[most - 1]
+                rows = rows.filter(pa.array(np.nan_to_num(score, nan=-2.0) >= least - 1e-6))
+            yield rows
+
+    kind = vectors.schema[key].dataType.simpleString()
+    rows = vectors.where(F.size("embedding") == len(question)).select(key, "embedding").mapInArrow(run, f"{key} {kind}, raw double").select(key, F.round("raw", 6).alias("score"))
     return rows if floor is None else rows.where(F.col("score") >= floor)
 
 

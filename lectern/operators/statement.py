@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -33,31 +33,33 @@ def _any(labels: tuple[str, ...]):
     return F.lower("line").rlike("|".join(labels))
 
 
-def currency_vote(rows: DataFrame) -> DataFrame:
-    """Each document's currency: that of most lines, the earliest on a tie.
-
-    A line with figures votes with what follows the first of them or a code right before it.
-    """
+def _vote() -> Column:
+    """The currency that a line votes for: that of what follows its first figure or of a code right before it, else of the line."""
     figure = F.regexp_extract(M.without_dates(F.col("line")), f"((?:[A-Z]{{3}}|[€$£¥])?\\s?{M.FIGURE}.*)$", 1)
-    votes = rows.select("doc_id", "pos", M.currency(F.when(figure != "", figure).otherwise(F.col("line"))).alias("currency")).where("currency IS NOT NULL")
+    return M.currency(F.when(figure != "", figure).otherwise(F.col("line")))
+
+
+def _orders() -> dict[str, Column]:
+    """How many dates of a line show the month first, the day first, or either; lines with figures have their leading dates only."""
+    part = F.when(F.size(M.figures(F.col("line"))) > 0, F.regexp_extract("line", rf"^\s*((?:{M.DATE})(?:\s+(?:{M.DATE}))?)", 1)).otherwise(F.col("line"))
+    dates = F.regexp_extract_all(part, F.lit(r"(?<![\d.])(\d{1,2}[./]\d{1,2})[./]"), F.lit(1))
+    a, b = (lambda d: F.element_at(F.split(d, "[./]"), 1).cast("int")), (lambda d: F.element_at(F.split(d, "[./]"), 2).cast("int"))
+    count = lambda test: F.size(F.filter(dates, test)).cast("long")
+    return {"us": count(lambda d: (b(d) > 12) & (b(d) <= 31) & (a(d) <= 12)), "eu": count(lambda d: (a(d) > 12) & (a(d) <= 31) & (b(d) <= 12)), "open": count(lambda d: (a(d) <= 12) & (b(d) <= 12))}
+
+
+def currency_vote(rows: DataFrame) -> DataFrame:
+    """Each document's currency: that of most lines, the earliest on a tie."""
+    votes = rows.select("doc_id", "pos", _vote().alias("currency")).where("currency IS NOT NULL")
     counted = votes.groupBy("doc_id", "currency").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
     return counted.groupBy("doc_id").agg(F.max_by("currency", F.struct("n", -F.col("first"))).alias("doc_currency"))
 
 
 def date_order(rows: DataFrame) -> DataFrame:
-    """Whether a document writes the month first, and whether its dates show it.
-
-    Lines with figures vote with their leading dates only, others with all of theirs.
-    """
-    part = F.when(F.size(M.figures(F.col("line"))) > 0, F.regexp_extract("line", rf"^\s*((?:{M.DATE})(?:\s+(?:{M.DATE}))?)", 1)).otherwise(F.col("line"))
-    dates = rows.select("doc_id", F.explode(F.regexp_extract_all(part, F.lit(r"(?<![\d.])(\d{1,2}[./]\d{1,2})[./]"), F.lit(1))).alias("d"))
-    a, b = (F.element_at(F.split("d", "[./]"), i).cast("int") for i in (1, 2))
-    us = F.sum(((b > 12) & (b <= 31) & (a <= 12)).cast("long"))
-    eu = F.sum(((a > 12) & (a <= 31) & (b <= 12)).cast("long"))
-    open_ = F.sum(((a <= 12) & (b <= 12)).cast("long"))
-    votes = dates.groupBy("doc_id").agg(us.alias("us"), eu.alias("eu"), open_.alias("open"))
+    """Whether a document writes the month first, and whether its dates show it; documents without such dates are left out."""
+    votes = rows.select("doc_id", *(c.alias(k) for k, c in _orders().items())).groupBy("doc_id").agg(*(F.sum(k).alias(k) for k in ("us", "eu", "open"))).where("us + eu + open > 0")
     clean = (F.col("us") > 0) != (F.col("eu") > 0)
-    return votes.select("doc_id", ((F.col("us") > 0) & (F.col("eu") == 0)).alias("month_first"), F.when(~clean & (F.col("open") > 0), "default").otherwise("evidence").alias("inferred"))
+    return votes.select("doc_id", F.expr("us > 0 AND eu = 0").alias("month_first"), F.when(~clean & (F.col("open") > 0), "default").otherwise("evidence").alias("inferred"))
 
 
 def transactions(documents: DataFrame) -> DataFrame:
@@ -67,18 +69,22 @@ def transactions(documents: DataFrame) -> DataFrame:
     first. A row with one figure whose description ends in a bare number could be either; it
     is dropped if any row of its statement prints a balance.
     """
-    rows = lines(documents)
-    anchor = rows.select("doc_id", "pos", M.first_full_date(F.col("line")).alias("full")).where("full IS NOT NULL").groupBy("doc_id").agg(F.min_by("full", "pos").alias("full"))
+    own, order = W.partitionBy("doc_id"), W.partitionBy("doc_id").orderBy("pos")
+    # what depends on the whole document comes from windows over its lines, which are dealt out once
+    rows = lines(documents).select("*", M.first_full_date(F.col("line")).alias("full"), _vote().alias("vote"), *(c.alias(k) for k, c in _orders().items()))
+    rows = rows.select("doc_id", "pos", "line", F.min_by("full", F.when(F.col("full").isNotNull(), F.col("pos"))).over(own).alias("full"), "vote", *(F.sum(k).over(own).alias(k) for k in ("us", "eu")), F.lead("line").over(order).alias("next"))
+    same = W.partitionBy("doc_id", "vote")
+    rows = rows.withColumn("n", F.count("vote").over(same)).withColumn("earliest", F.min("pos").over(same))
+    rows = rows.withColumn("doc_currency", F.max_by("vote", F.when(F.col("vote").isNotNull(), F.struct("n", -F.col("earliest")))).over(own)).withColumn("month_first", F.expr("us > 0 AND eu = 0"))
     # a line of words alone right behind a row goes on with its description
-    words = (F.size(M.figures(F.col("line"))) == 0) & (M.first_date(F.col("line")) == "") & ~_any(OPENING + CLOSING + PERIOD)
-    following = F.lead(F.when(words, F.trim("line"))).over(W.partitionBy("doc_id").orderBy("pos"))
-    body = rows.withColumn("more", following).where(~_any(OPENING + CLOSING + PERIOD))
-    body = body.join(currency_vote(rows), "doc_id", "left").join(date_order(rows), "doc_id", "left").join(anchor, "doc_id", "left")
-    known = M.date(F.col("full"), F.coalesce("month_first", F.lit(False)))
-    body = body.withColumn("anchor", known)
+    of_next = F.col("next")
+    balance = lambda c: F.lower(c).rlike("|".join(OPENING + CLOSING + PERIOD))
+    words = (F.size(M.figures(of_next)) == 0) & (M.first_date(of_next) == "") & ~balance(of_next)
+    body = rows.withColumn("more", F.when(words, F.trim("next"))).where(~balance(F.col("line")))
+    body = body.withColumn("anchor", M.date(F.col("full"), F.col("month_first")))
     leading = lambda i: F.regexp_extract("line", rf"^\s*({M.DATE})?(?:\s+({M.DATE}))?", i)
     rest = F.regexp_replace("line", rf"^\s*(?:{M.DATE})?(?:\s+(?:{M.DATE}))?", "")
-    parse = lambda c: M.date(c, F.coalesce("month_first", F.lit(False)), F.year("anchor"), F.month("anchor"))
+    parse = lambda c: M.date(c, F.col("month_first"), F.year("anchor"), F.month("anchor"))
     body = body.withColumn("rest", M.without_dates(rest)).withColumn("figures", F.regexp_extract_all("rest", F.lit(f"({M.FIGURE})"), F.lit(1)))
     body = body.withColumn("date", parse(leading(1))).withColumn("value_date", parse(leading(2))).where(F.size("figures") > 0)
     description = F.trim(F.regexp_replace(F.regexp_extract("rest", f"(?s)^(.*?){M.FIGURE}", 1), r"\s*(?:[A-Z]{3}|[€$£¥])\s*$", ""))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import analysis, budgets, conversation, evidence, extraction, library, skills
+from lectern.operators import analysis, budgets, conversation, evidence, extraction, library, skills, vocabulary
 from lectern.plans import tables
 from lectern.plans.records import COST
 from lectern.plans.tables import LIBRARY, MEMBERSHIPS, table
@@ -177,6 +177,18 @@ def extraction_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("doc_id", "record_type", "normalized").agg(F.count("*").alias("n"), F.count_distinct("chunk_id").alias("chunks"))
 
 
+#: Words that turns have, beside those of the built-in skills.
+_WORDS = (("a", "the", "word"), ("a", "tion", "stem"), ("a", "of the", "phrase"), ("b", "ung", "stem"), ("b", "die", "word"), ("b", "und", "word"), ("c", "que", "word"), ("c", "é", "stem"), ("c", "THE", "word"), ("d", "on, ", "phrase"), ("d", ".", "stem"), ("e", "zzz", "word"))
+
+
+def skill_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The skills whose words each turn has; some turns ask for a change or for masking."""
+    asked = F.concat("text", F.when(F.col("turn") == 1, " Ersetze, please: RENAME it").when(F.col("turn") == 2, " schwärzend irreplaceable Anonymisierung").when(F.col("turn") == 3, " sensitive data").otherwise(""))
+    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), asked.alias("question"))
+    own = spark.createDataFrame([(*row, "route") for row in _WORDS], "skill_id string, term string, match string, use string")
+    return vocabulary.hits(turns, vocabulary.built_in(spark).unionByName(own)).select("question_id", "skill_id", F.array_join("terms", "|").alias("terms"))
+
+
 #: The context window of the plans' stand-in model.
 _CONTEXT = 2048
 
@@ -392,7 +404,7 @@ def stored_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        source_snapshots, freshness_status, review_gate, pack_counts, review_items, review_append, source_context, image_sessions, statement_purge, model_benchmarks, model_recommend, extraction_listing, extraction_coverage, extraction_built_in, listing_refs, leaf_provenance, coverage_modes, missing_page_gaps, extraction_resume, compare_plans, translation_plan,
+        source_snapshots, freshness_status, review_gate, pack_counts, review_items, review_append, source_context, image_sessions, statement_purge, model_benchmarks, model_recommend, extraction_listing, extraction_coverage, extraction_built_in, listing_refs, leaf_provenance, coverage_modes, missing_page_gaps, extraction_resume, compare_plans, translation_plan, skill_routes,
         group_by_budget, summary_plan, budget_arithmetic, changes_to_budget, shortened_texts, marked_snippets, question_routes, skill_suggestions, citation_markers, qa_scores, qa_aggregate, conversation_scopes, filtered_documents, documents_by_ids, ordered_collections, category_seeding, filed_imports, archive_and_remove,
         replaced_chunks, recovered_imports, evicted_cache, corpus_signature, messages_with_skills, undone_answers, compaction_rows, stored_citations,
     )
@@ -416,6 +428,7 @@ _ANSWERS = f"""answers AS (SELECT conv_id * 100 + turn AS id, CASE WHEN conv_id
   scores AS (SELECT id, lang, unanswerable, CAST(NOT unanswerable AND g <> '' AND contains(' ' || a || ' ', ' ' || g || ' ') AS INTEGER) AS em, round(CASE WHEN unanswerable OR na = 0 OR ng = 0 THEN 0.0 ELSE 2.0 * both_ / (na + ng) END, 6)::DOUBLE AS f1, a IN ('the report does not mention it', 'es gibt keine angaben') AS abstained, NOT unanswerable AND cites AS citation_correct FROM counted)"""
 _Q = "q AS (SELECT c_custkey, c_custkey % 15 AS k FROM customer)"
 
+_ALL_WORDS = [("document-redaction", t, vocabulary.match_of(t)) for t in vocabulary.REDACTION["both"]] + [("document-edit", t, vocabulary.match_of(t)) for use in ("both", "route") for t in vocabulary.EDIT[use]] + list(_WORDS)
 _TOKENS = r"CAST(list_sum(list_transform(regexp_extract_all(text, '[^ \t\n\r\f\v]+'), lambda w: CASE WHEN length(w) <= 16 THEN 1 ELSE CAST(ceil(length(w) / 4) AS BIGINT) END)) AS BIGINT)"
 
 ORACLE_SQL = {
@@ -448,6 +461,9 @@ ORACLE_SQL = {
       m AS (SELECT *, st = 'ready' AND NOT coalesce(truncated, false) AS ready, truncated IS NULL AND st IN ('building', 'pending', 'stale') AS partial FROM d)
       SELECT doc_id, CASE WHEN ready OR partial THEN 'tree' ELSE 'capped' END AS mode, CASE WHEN ready OR partial THEN leaves ELSE chunks END AS covered, chunks AS total, CASE WHEN ready THEN false WHEN partial THEN true ELSE coalesce(truncated, false) END AS truncated FROM m""",
     "missing_page_gaps": "WITH p AS (SELECT DISTINCT conv_id AS doc_id, turn + 1 AS page FROM conversations WHERE turn % 3 = 1), e AS (SELECT * FROM p UNION SELECT doc_id, 0 FROM p UNION SELECT doc_id, 13 FROM p), g AS (SELECT *, lag(page) OVER (PARTITION BY doc_id ORDER BY page) AS before FROM e) SELECT doc_id, CAST(before + 1 AS BIGINT) AS first, CAST(page - 1 AS BIGINT) AS last FROM g WHERE page - before > 1",
+    "skill_routes": rf"""WITH q AS (SELECT conv_id * 1000 + turn AS question_id, lower(text || CASE turn WHEN 1 THEN ' Ersetze, please: RENAME it' WHEN 2 THEN ' schwärzend irreplaceable Anonymisierung' WHEN 3 THEN ' sensitive data' ELSE '' END) AS text FROM conversations),
+      v AS (SELECT DISTINCT skill_id, lower(term) AS term, match FROM (VALUES {", ".join(f"('{s}', '{t}', '{m}')" for s, t, m in _ALL_WORDS)}) x(skill_id, term, match))
+      SELECT question_id, skill_id, string_agg(DISTINCT term, '|' ORDER BY term) AS terms FROM q JOIN v ON CASE WHEN match = 'word' THEN regexp_matches(text, '(^|[^\p{{L}}\p{{N}}])' || term || '([^\p{{L}}\p{{N}}]|$)') ELSE contains(text, term) END GROUP BY ALL""",
     "compare_plans": rf"""WITH RECURSIVE c AS (SELECT conv_id, {_TOKENS} AS cost, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE {_TOKENS} > 0),
       g AS (SELECT conv_id, n, cost, cost AS total, 0 AS w FROM c WHERE n = 1 UNION ALL SELECT c.conv_id, c.n, c.cost, CASE WHEN g.total + c.cost > 475 THEN c.cost ELSE g.total + c.cost END, CASE WHEN g.total + c.cost > 475 THEN g.w + 1 ELSE g.w END FROM g JOIN c ON c.conv_id = g.conv_id AND c.n = g.n + 1),
       w AS (SELECT conv_id, w, sum(cost) AS tokens, count(*) AS turns FROM g GROUP BY ALL), p AS (SELECT conv_id, count(*) AS n FROM w GROUP BY conv_id)

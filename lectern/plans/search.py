@@ -103,20 +103,20 @@ def _question_vector(spark: SparkSession, sf_dir: str) -> list[float]:
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest vectors to the first one."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
-    return retrieval.top(retrieval.similar(vectors, _question_vector(spark, sf_dir)), 25)
+    return retrieval.top(retrieval.similar(vectors, _question_vector(spark, sf_dir), most=25), 25)
 
 
 def vector_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same for one label, above a floor."""
     vectors = table(spark, sf_dir, "embeddings").where("label = 3").select(F.col("vec_id").alias("chunk_id"), "embedding")
-    return retrieval.top(retrieval.similar(vectors, _question_vector(spark, sf_dir), floor=0.0), 25)
+    return retrieval.top(retrieval.similar(vectors, _question_vector(spark, sf_dir), floor=0.0, most=25), 25)
 
 
 def vector_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same over fifty times as many vectors, each turned by 0 to 49 places."""
     turned = table(spark, sf_dir, "embeddings").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(49))))
     vectors = turned.select((F.col("vec_id") * 50 + F.col("k")).alias("chunk_id"), F.concat(F.slice("embedding", F.col("k") + 1, F.lit(64)), F.slice("embedding", F.lit(1), F.col("k"))).alias("embedding"))
-    return retrieval.top(retrieval.similar(vectors, _question_vector(spark, sf_dir)), 25)
+    return retrieval.top(retrieval.similar(vectors, _question_vector(spark, sf_dir), most=25), 25)
 
 
 _COSINE = """(SELECT embedding AS q FROM embeddings ORDER BY vec_id LIMIT 1)"""
