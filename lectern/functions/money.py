@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,30 +21,39 @@ def plain(text: Column) -> Column:
     return F.translate(text, "\u2212\u2013\u2011\u00a0\u202f\u2007\u2019", "---   '")
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What ``use`` makes of a value that is computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def amount(raw: Column) -> Column:
     """A printed amount in whole cents; null without a digit.
 
     The last separator is the decimal sign, unless it is the only kind and three digits
     follow: then it groups thousands. Negative by a sign before or behind, or parentheses.
     """
-    s = F.trim(raw)
-    negative = s.rlike(r"^\(.*\)$") | s.startswith("-") | s.rlike(r"-\s*$")
-    digits = F.regexp_replace(s, r"[^0-9.,]", "")
-    tail = F.regexp_extract(digits, r"[.,]([0-9]*)$", 1)
-    both = digits.contains(".") & digits.contains(",")
-    separated = digits.rlike("[.,]")
-    whole = ~separated | (~both & (F.length(tail) == 3))
-    head = F.regexp_replace(F.regexp_replace(digits, r"[.,][0-9]*$", ""), "[.,]", "")
-    number = F.when(whole, F.regexp_replace(digits, "[.,]", "")).otherwise(F.concat(head, F.lit("."), tail))
-    cents = F.floor(F.regexp_replace(number, r"\.$", "").try_cast("decimal(30,6)") * 100 + F.lit("0.5").cast("decimal(2,1)")).cast("long")
-    return F.when(digits.rlike("[0-9]"), F.when(negative, -cents).otherwise(cents))
+
+    def read(s: Column) -> Column:
+        negative = s.rlike(r"^\(.*\)$") | s.startswith("-") | s.rlike(r"-\s*$")
+        return once(F.regexp_replace(s, r"[^0-9.,]", ""), lambda digits: F.when(digits.rlike("[0-9]"), F.when(negative, -1).otherwise(1) * once(F.regexp_extract(digits, r"[.,]([0-9]*)$", 1), lambda tail: cents(digits, tail))))
+
+    def cents(digits: Column, tail: Column) -> Column:
+        whole = ~digits.rlike("[.,]") | (~(digits.contains(".") & digits.contains(",")) & (F.length(tail) == 3))
+        plain_digits = F.translate(digits, ".,", "")
+        number = F.when(whole, plain_digits).otherwise(F.concat(F.left(plain_digits, F.length(plain_digits) - F.length(tail)), F.lit("."), tail))
+        return F.floor(F.regexp_replace(number, r"\.$", "").try_cast("decimal(30,6)") * 100 + F.lit("0.5").cast("decimal(2,1)")).cast("long")
+
+    return once(F.trim(raw), read)
 
 
 def currency(text: Column) -> Column:
     """The first recognised code, else the first sign in the order of ``SIGNS`` that occurs; null without either."""
-    codes = F.filter(F.regexp_extract_all(text, F.lit(r"(?<![\p{L}\p{N}])([A-Z]{3})(?![\p{L}\p{N}])"), F.lit(1)), lambda c: c.isin(*CURRENCIES))
-    named = F.coalesce(*[F.when(text.contains(mark), code) for mark, code in SIGNS])
-    return F.coalesce(F.try_element_at(codes, F.lit(1)), named)
+
+    def read(t: Column) -> Column:
+        codes = F.filter(F.regexp_extract_all(t, F.lit(r"(?<![\p{L}\p{N}])([A-Z]{3})(?![\p{L}\p{N}])"), F.lit(1)), lambda c: c.isin(*CURRENCIES))
+        return F.coalesce(F.try_element_at(codes, F.lit(1)), *[F.when(t.contains(mark), code) for mark, code in SIGNS])
+
+    return once(text, read)
 
 
 def date(token: Column, month_first: Column | bool = False, year: Column | int | None = None, month: Column | int = 6) -> Column:
@@ -53,15 +64,20 @@ def date(token: Column, month_first: Column | bool = False, year: Column | int |
     is of the year before, and the other way round.
     """
     month_first = month_first if isinstance(month_first, Column) else F.lit(month_first)
-    at = lambda i: F.regexp_extract(token, r"^(\d{1,2})[./](\d{1,2})[./](\d{4}|\d{2})?$", i)
-    first, second, printed = at(1).try_cast("int"), at(2).try_cast("int"), at(3)
-    d, m = F.when(month_first, second).otherwise(first), F.when(month_first, first).otherwise(second)
     anchor = F.lit(year).cast("int") if not isinstance(year, Column) else year
     near = F.lit(month) if not isinstance(month, Column) else month
-    rolled = F.when((near <= 2) & (m >= 11), anchor - 1).when((near >= 11) & (m <= 2), anchor + 1).otherwise(anchor)
-    y = F.when(F.length(printed) == 4, printed.try_cast("int")).when(F.length(printed) == 2, F.floor(anchor / 100) * 100 + printed.try_cast("int")).otherwise(rolled).cast("int")
-    text = F.when(token.rlike(r"^\d{4}-\d{2}-\d{2}$"), token).when(token.rlike(r"^\d{1,2}[./]\d{1,2}[./](\d{4}|\d{2})?$"), F.format_string("%04d-%02d-%02d", y, m, d))
-    return F.try_to_date(text, "yyyy-MM-dd")
+
+    def read(t: Column) -> Column:
+        at = lambda i: F.regexp_extract(t, r"^(\d{1,2})[./](\d{1,2})[./](\d{4}|\d{2})?$", i)
+        return F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), t).otherwise(once(F.struct(at(1).try_cast("int").alias("a"), at(2).try_cast("int").alias("b"), at(3).alias("y")), day))
+
+    def day(x: Column) -> Column:
+        d, m, printed = F.when(month_first, x["b"]).otherwise(x["a"]), F.when(month_first, x["a"]).otherwise(x["b"]), x["y"]
+        rolled = F.when((near <= 2) & (m >= 11), anchor - 1).when((near >= 11) & (m <= 2), anchor + 1).otherwise(anchor)
+        y = F.when(F.length(printed) == 4, printed.try_cast("int")).when(F.length(printed) == 2, F.floor(anchor / 100) * 100 + printed.try_cast("int")).otherwise(rolled).cast("int")
+        return F.when(x["a"].isNotNull(), F.format_string("%04d-%02d-%02d", y, m, d))
+
+    return F.try_to_date(once(token, read), "yyyy-MM-dd")
 
 
 def first_full_date(text: Column) -> Column:

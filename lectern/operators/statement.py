@@ -36,16 +36,19 @@ def _any(labels: tuple[str, ...]):
 def _vote() -> Column:
     """The currency that a line votes for: that of what follows its first figure or of a code right before it, else of the line."""
     figure = F.regexp_extract(M.without_dates(F.col("line")), f"((?:[A-Z]{{3}}|[€$£¥])?\\s?{M.FIGURE}.*)$", 1)
-    return M.currency(F.when(figure != "", figure).otherwise(F.col("line")))
+    return M.currency(M.once(figure, lambda f: F.when(f != "", f).otherwise(F.col("line"))))
 
 
-def _orders() -> dict[str, Column]:
-    """How many dates of a line show the month first, the day first, or either; lines with figures have their leading dates only."""
+def _orders() -> Column:
+    """How many dates of a line show the month first (us), the day first (eu), or either (open); lines with figures have their leading dates only."""
     part = F.when(F.size(M.figures(F.col("line"))) > 0, F.regexp_extract("line", rf"^\s*((?:{M.DATE})(?:\s+(?:{M.DATE}))?)", 1)).otherwise(F.col("line"))
-    dates = F.regexp_extract_all(part, F.lit(r"(?<![\d.])(\d{1,2}[./]\d{1,2})[./]"), F.lit(1))
-    a, b = (lambda d: F.element_at(F.split(d, "[./]"), 1).cast("int")), (lambda d: F.element_at(F.split(d, "[./]"), 2).cast("int"))
-    count = lambda test: F.size(F.filter(dates, test)).cast("long")
-    return {"us": count(lambda d: (b(d) > 12) & (b(d) <= 31) & (a(d) <= 12)), "eu": count(lambda d: (a(d) > 12) & (a(d) <= 31) & (b(d) <= 12)), "open": count(lambda d: (a(d) <= 12) & (b(d) <= 12))}
+    pairs = F.transform(F.regexp_extract_all(part, F.lit(r"(?<![\d.])(\d{1,2}[./]\d{1,2})[./]"), F.lit(1)), lambda d: F.transform(F.split(d, "[./]"), lambda n: n.cast("int")))
+
+    def counted(found: Column) -> Column:
+        count = lambda test: F.size(F.filter(found, lambda p: test(p[0], p[1]))).cast("long")
+        return F.struct(count(lambda a, b: (b > 12) & (b <= 31) & (a <= 12)).alias("us"), count(lambda a, b: (a > 12) & (a <= 31) & (b <= 12)).alias("eu"), count(lambda a, b: (a <= 12) & (b <= 12)).alias("open"))
+
+    return M.once(pairs, counted)
 
 
 def currency_vote(rows: DataFrame) -> DataFrame:
@@ -57,7 +60,7 @@ def currency_vote(rows: DataFrame) -> DataFrame:
 
 def date_order(rows: DataFrame) -> DataFrame:
     """Whether a document writes the month first, and whether its dates show it; documents without such dates are left out."""
-    votes = rows.select("doc_id", *(c.alias(k) for k, c in _orders().items())).groupBy("doc_id").agg(*(F.sum(k).alias(k) for k in ("us", "eu", "open"))).where("us + eu + open > 0")
+    votes = rows.select("doc_id", _orders().alias("o")).groupBy("doc_id").agg(*(F.sum(f"o.{k}").alias(k) for k in ("us", "eu", "open"))).where("us + eu + open > 0")
     clean = (F.col("us") > 0) != (F.col("eu") > 0)
     return votes.select("doc_id", F.expr("us > 0 AND eu = 0").alias("month_first"), F.when(~clean & (F.col("open") > 0), "default").otherwise("evidence").alias("inferred"))
 
@@ -71,8 +74,8 @@ def transactions(documents: DataFrame) -> DataFrame:
     """
     own, order = W.partitionBy("doc_id"), W.partitionBy("doc_id").orderBy("pos")
     # what depends on the whole document comes from windows over its lines, which are dealt out once
-    rows = lines(documents).select("*", M.first_full_date(F.col("line")).alias("full"), _vote().alias("vote"), *(c.alias(k) for k, c in _orders().items()))
-    rows = rows.select("doc_id", "pos", "line", F.min_by("full", F.when(F.col("full").isNotNull(), F.col("pos"))).over(own).alias("full"), "vote", *(F.sum(k).over(own).alias(k) for k in ("us", "eu")), F.lead("line").over(order).alias("next"))
+    rows = lines(documents).select("*", M.first_full_date(F.col("line")).alias("full"), _vote().alias("vote"), _orders().alias("o"))
+    rows = rows.select("doc_id", "pos", "line", F.min_by("full", F.when(F.col("full").isNotNull(), F.col("pos"))).over(own).alias("full"), "vote", *(F.sum(f"o.{k}").over(own).alias(k) for k in ("us", "eu")), F.lead("line").over(order).alias("next"))
     same = W.partitionBy("doc_id", "vote")
     rows = rows.withColumn("n", F.count("vote").over(same)).withColumn("earliest", F.min("pos").over(same))
     rows = rows.withColumn("doc_currency", F.max_by("vote", F.when(F.col("vote").isNotNull(), F.struct("n", -F.col("earliest")))).over(own)).withColumn("month_first", F.expr("us > 0 AND eu = 0"))
