@@ -477,6 +477,39 @@ def test_windows_of_comparisons_and_translations(spark):
     assert texts.split() == "a b c".split() + ["y"] * 1500 + ["back"]
 
 
+def test_differences_with_their_chunks(spark):
+    """Real words that repeat: changes applied to the old text give the new one, and the chunks cited are those that changed."""
+    r = random.Random(4)
+    rows, pairs = [], []
+    for p in range(12):
+        old = [r.choices(["the", "a", "of", "in", "on", "it", "cat", "dog"], k=r.randint(1, 40)) for _ in range(3)]
+        new = [list(w) for w in old]
+        for _ in range(0 if p == 0 else r.randint(1, 5)):
+            w = r.choice(new)
+            at = r.randrange(len(w) + 1)
+            w[at : at + r.randint(0, 2)] = r.choices(["new", "the"], k=r.randint(0, 2))
+        rows += [(2 * p, 100 * p + k, k, " ".join(w)) for k, w in enumerate(old)] + [(2 * p + 1, 100 * p + 50 + k, k, " ".join(w)) for k, w in enumerate(new)]
+        pairs.append((p, 2 * p, 2 * p + 1))
+        a, b = [x for w in old for x in w], [x for w in new for x in w]
+        found = compare.in_context(a, compare.changes(a, b, compare.edit_script(a, b)))
+        again, at = [], 0
+        for c in found:
+            assert b[c["to"] : c["to"] + c["come"]] == c["added"].split() and a[c["at"] : c["at"] + c["gone"]] == c["removed"].split()
+            again += a[at : c["at"]] + c["added"].split()
+            at = c["at"] + c["gone"]
+        assert again + a[at:] == b
+    schema = "doc_id int, chunk_id int, chunk_index int, text string"
+    chunks = spark.createDataFrame(rows, schema)
+    read = {x.pair_id: x for x in compare.difference_read(spark.createDataFrame([*pairs, (99, 0, 777)], "pair_id int, a int, b int"), chunks, 5000).collect()}
+    assert read[0].identical and read[0].changes == compare.SAME and [(c.label, c.chunk_id) for c in read[0].cited] == [("S1", 0), ("S2", 50)]
+    assert 99 not in read and all(x.added + x.removed > 0 and x.cited and x.redline for p, x in read.items() if not x.identical)
+    one = spark.createDataFrame([(1, 1, 0, "a b c d e f g h"), (1, 2, 1, "i j k l"), (2, 3, 0, "a b c d e f g h"), (2, 4, 1, "i X k l m")], schema)
+    got = compare.difference_read(spark.createDataFrame([(1, 1, 2)], "pair_id int, a int, b int"), one, 400).first()
+    assert got.changes == '1. Changed: "j" → "X"  (context: …d e f g h i / k l…)\n2. Added: "m"  (context: …k l)' and got.redline == "1. …d e f g h i ~~j~~ **X** k l…\n2. …k l **m**"
+    assert [(c.label, c.chunk_id) for c in got.cited] == [("S1", 2), ("S2", 4)] and (got.chunks_total, got.truncated) == (4, False)
+    assert compare.fitted([{"at": k, "to": k, "gone": 1, "come": 0, "removed": "w", "added": "", "before": "", "after": ""} for k in range(300)], 60)[2] is True
+
+
 def test_swept_entities_do_not_meet_masks():
     text, found, masked, dropped = redaction.swept("Bob Red and Bobby met Red.", [("Bob", "name"), ("Bobby", "name"), ("Red", "other"), ("RED", "org"), ("ab", "name"), ("Bob", "org")])
     assert text == "[NAME] [REDACTED] and [NAME] met [REDACTED]." and (found["name"], found["other"], masked, dropped) == (2, 1, 4, 2)
