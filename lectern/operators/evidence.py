@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -45,6 +45,93 @@ def pack_counts(items: DataFrame, states: DataFrame) -> DataFrame:
     return made.join(fresh, "review_id", "left").fillna(0)
 
 
+#: Decisions and relations in the order in which a pack has them.
+DECISIONS = ("supported", "partly_supported", "not_supported", "follow_up", "not_applicable", "not_reviewed")
+RELATIONS = ("supports", "qualifies", "contradicts", "context")
+
+
+def _filled(column: str) -> Column:
+    """A text, null where it is blank."""
+    return F.when(F.trim(column) != "", F.col(column))
+
+
+def acknowledged(freshness: DataFrame, acknowledgements: DataFrame) -> DataFrame:
+    """Summaries of freshness (review_id, outdated, fingerprint, ...) with ``acknowledged_at``.
+
+    An acknowledgement (review_id, fingerprint, acknowledged_at) holds for what differed then: any
+    later difference lets it lapse, and a review that isn't outdated has none. The last of several counts.
+    """
+    last = acknowledgements.groupBy("review_id", "fingerprint").agg(F.max("acknowledged_at").alias("acknowledged_at"))
+    rows = freshness.join(last, ["review_id", "fingerprint"], "left")
+    return rows.withColumn("acknowledged_at", F.when(F.col("outdated"), F.col("acknowledged_at"))).select(*freshness.columns, "acknowledged_at")
+
+
+def pack_model(reviews: DataFrame, items: DataFrame, links: DataFrame, sources: DataFrame, states: DataFrame, freshness: DataFrame, *, unreviewed: bool = True, notes: bool = True, excerpts: bool = True, hashes: bool = True) -> DataFrame:
+    """Evidence packs (review_id, pack): one nested value for each review, from which it is rendered.
+
+    ``reviews``: review_id, title, question, answer, answer_changed, coverage_changed. ``items``:
+    review_id, item_id, ordinal, kind, block_kind, text, decision, note. ``links``: item_id, evidence_key,
+    origin, relation. ``sources``: review_id, ordinal, key, identity, title, sha256, snippet, availability.
+    ``states``: review_id, key, state now. ``freshness``: review_id, outdated, acknowledged_at.
+
+    Sources are numbered from 1 in their order; of sources that share a key the first is meant by
+    links. Relations of a source come from the links of all items, hidden ones too; unknown ones are
+    null. Sources that were missing at the time are no new loss. A review without items or sources
+    has empty lists.
+    """
+    state = states.groupBy("review_id", "key").agg(F.min("state").alias("state"))
+    numbered = sources.withColumn("index", F.row_number().over(W.partitionBy("review_id").orderBy("ordinal", "key")))
+    first = numbered.groupBy("review_id", "key").agg(F.min(F.struct("index", "title")).alias("x")).select("review_id", "key", F.col("x.index").alias("index"), F.col("x.title").alias("source_title"))
+    known = F.when(F.col("relation").isin(*RELATIONS), F.col("relation"))
+    held = items.select("review_id", "item_id").join(links.select("item_id", F.col("evidence_key").alias("key"), "origin", known.alias("relation")), "item_id").join(first, ["review_id", "key"], "left")
+    relations = held.where("relation IS NOT NULL AND index IS NOT NULL").groupBy("review_id", "index").agg(F.collect_set("relation").alias("_found"))
+    in_order = F.filter(F.array(*map(F.lit, RELATIONS)), lambda r: F.array_contains(F.coalesce("_found", F.array().cast("array<string>")), r))
+    register = numbered.join(relations, ["review_id", "index"], "left").join(state, ["review_id", "key"], "left")
+    entry = F.struct(
+        "index", "key", "identity", F.col("title").alias("documentTitle"), (_filled("sha256") if hashes else F.lit(None).cast("string")).alias("documentSha256"), (_filled("snippet") if excerpts else F.lit(None).cast("string")).alias("snippet"),
+        F.col("availability").alias("availabilityAtCreation"), F.coalesce("state", F.lit("unverifiable")).alias("currentState"), in_order.alias("relations"),
+    )
+    lost = (F.col("state") == "missing") & (F.coalesce("availability", F.lit("")) != "missing")
+    count = lambda test: F.sum(F.coalesce(test, F.lit(False)).cast("long"))
+    evidence = register.groupBy("review_id").agg(
+        F.array_sort(F.collect_list(entry)).alias("evidence"), count(F.col("identity") == "unresolved").alias("unresolved"), count(F.col("availability") == "missing").alias("missing"), count(F.col("state") == "changed").alias("changed"), count(lost).alias("lost")
+    )
+
+    link = F.struct("index", F.coalesce("source_title", "key").alias("label"), "origin", "relation", "key")
+    by_item = held.groupBy("item_id").agg(F.array_sort(F.collect_list(link)).alias("links"))
+    rows = items.join(by_item, "item_id", "left")
+    shown = F.lit(True) if unreviewed else F.col("decision") != "not_reviewed"
+    no_links = F.array().cast(by_item.schema["links"].dataType)
+    item = F.struct("ordinal", "kind", F.coalesce(F.col("block_kind") == "heading", F.lit(False)).alias("heading"), "text", "decision", (_filled("note") if notes else F.lit(None).cast("string")).alias("note"), F.coalesce("links", no_links).alias("links"))
+    made = rows.groupBy("review_id").agg(
+        F.array_sort(F.collect_list(F.when(shown, item))).alias("items"), count(~shown).alias("hidden"), F.array(*(F.struct(F.lit(d).alias("decision"), count(F.col("decision") == d).alias("count")) for d in DECISIONS)).alias("counts"), count(F.col("decision") == "follow_up").alias("follow_ups")
+    )
+    whole = reviews.join(made, "review_id", "left").join(evidence, "review_id", "left").join(freshness.select("review_id", "outdated", "acknowledged_at"), "review_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    listed = lambda frame, c: F.coalesce(c, F.array().cast(frame.schema[c].dataType)).alias(c)
+    none = F.array(*(F.struct(F.lit(d).alias("decision"), F.lit(0).cast("long").alias("count")) for d in DECISIONS))
+    pack = F.struct(
+        F.lit(1).alias("schemaVersion"), "title", F.coalesce("outdated", F.lit(False)).alias("outdated"), _filled("question").alias("question"), "answer",
+        F.struct(F.coalesce("counts", none).alias("decisionCounts"), zero("follow_ups").alias("followUps")).alias("summary"), listed(made, "items"), zero("hidden").alias("excludedItemCount"), listed(evidence, "evidence"),
+        F.struct(zero("unresolved").alias("unresolvedSources"), zero("missing").alias("missingSources")).alias("honesty"),
+        F.struct(F.coalesce("outdated", F.lit(False)).alias("outdated"), F.coalesce("answer_changed", F.lit(False)).alias("answerChanged"), F.coalesce("coverage_changed", F.lit(False)).alias("coverageChanged"), zero("changed").alias("sourcesChanged"), zero("lost").alias("sourcesMissingNow"), F.col("acknowledged_at").alias("acknowledgedAt")).alias("freshness"),
+    )
+    return whole.select("review_id", pack.alias("pack"))
+
+
+def pack_html(pack: Column) -> Column:
+    """A pack as a page: cover, question and answer, items with their sources, and the register of sources."""
+    safe = lambda c: F.replace(F.replace(F.replace(F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else safe(p) for p in parts))
+    links = lambda item: F.array_join(F.transform(item["links"], lambda x: text(" [", F.coalesce(x["index"].cast("string"), x["label"]), "]")), "")
+    notice = F.when(pack["outdated"], F.concat(F.lit('<p class="outdated">Outdated'), F.when(pack["freshness"]["acknowledgedAt"].isNotNull(), text(", acknowledged ", pack["freshness"]["acknowledgedAt"])).otherwise(""), F.lit("</p>"))).otherwise("")
+    counts = F.array_join(F.transform(pack["summary"]["decisionCounts"], lambda c: text("<li>", c["decision"], ": ", c["count"], "</li>")), "")
+    items = F.array_join(F.transform(pack["items"], lambda i: F.concat(text('<li class="', i["decision"], '">', i["text"]), links(i), F.when(i["note"].isNotNull(), text("<p>", i["note"], "</p>")).otherwise(""), F.lit("</li>"))), "")
+    hidden = F.when(pack["excludedItemCount"] > 0, text("<p>", pack["excludedItemCount"], " items not shown</p>")).otherwise("")
+    sources = F.array_join(F.transform(pack["evidence"], lambda e: F.concat(text("<li>[", e["index"], "] ", e["documentTitle"], " (", e["currentState"], ")"), F.when(F.size(e["relations"]) > 0, text(" ", F.array_join(e["relations"], ", "))).otherwise(""), F.when(e["snippet"].isNotNull(), text("<blockquote>", e["snippet"], "</blockquote>")).otherwise(""), F.lit("</li>"))), "")
+    return F.concat(text("<!DOCTYPE html><html><head><title>", pack["title"], "</title></head><body><h1>", pack["title"], "</h1>"), notice, F.when(pack["question"].isNotNull(), text("<h2>", pack["question"], "</h2>")).otherwise(""), text("<p>", pack["answer"], "</p><ul>"), counts, F.lit("</ul><ol>"), items, F.lit("</ol>"), hidden, F.lit("<ol>"), sources, F.lit("</ol></body></html>"))
+
+
 def appended(items: DataFrame, new: DataFrame) -> DataFrame:
     """The items with new ones (review_id, item_id, ...) behind the last of their review."""
     last = items.groupBy("review_id").agg(F.max("ordinal").alias("_last"))

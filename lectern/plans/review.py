@@ -40,6 +40,26 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("review_id"), (F.col("conv_id") * 100 + F.col("turn")).alias("item_id"), F.col("turn").alias("ordinal"), F.when(F.col("turn") % 3 == 2, "source").otherwise("block").alias("kind"), F.when(F.col("turn") % 4 == 0, "heading").when(F.col("turn") % 4 == 1, "paragraph").alias("block_kind"), F.element_at(kinds, (F.length("text") % 6 + 1).cast("int")).alias("decision"))
 
 
+def evidence_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation's review as a nested pack, its counts, items, links, sources and freshness; some are acknowledged."""
+    cited, docs = _citations(spark, sf_dir)
+    sources = evidence.resolved(cited, docs).withColumn("snippet", F.when(F.col("ordinal") % 2 == 0, F.concat(F.lit("<s> & "), F.col("key"))).otherwise(" "))
+    now = docs.where("doc_id % 7 <> 0").withColumn("sha256", F.when(F.col("doc_id") % 5 == 0, "new").otherwise(F.col("sha256")))
+    states = analysis.freshness(sources, now, "key")
+    summary = analysis.freshness_summary(states)
+    acks = summary.select("review_id", F.when(F.col("review_id") % 2 == 0, F.col("fingerprint")).otherwise("old").alias("fingerprint"), F.lit("2024-05-01").alias("acknowledged_at"))
+    items = _items(spark, sf_dir).withColumn("text", F.concat(F.lit("turn "), "ordinal")).withColumn("note", F.when(F.col("ordinal") == 1, "look").otherwise(" "))
+    relation = F.element_at(F.array(*map(F.lit, ("supports", "qualifies", "contradicts", "context", "odd"))), (F.col("ordinal") % 5 + 1).cast("int"))
+    links = sources.where("ordinal > 0").select((F.col("review_id") * 100 + F.col("ordinal") - 1).alias("item_id"), F.when(F.col("ordinal") == 5, "gone").otherwise(F.col("key")).alias("evidence_key"), F.lit("machine").alias("origin"), relation.alias("relation"))
+    reviews = items.select("review_id").distinct().select("review_id", F.concat(F.lit("Review "), "review_id").alias("title"), F.when(F.col("review_id") % 3 == 0, " ").otherwise("Why?").alias("question"), F.lit("Because").alias("answer"), (F.col("review_id") % 4 == 0).alias("answer_changed"), F.lit(None).cast("boolean").alias("coverage_changed"))
+    packs = evidence.pack_model(reviews, items, links, sources, states, evidence.acknowledged(summary, acks), unreviewed=False)
+    p = F.col("pack")
+    shown = F.array_join(F.transform(p["items"], lambda i: F.concat_ws(":", i["ordinal"], i["decision"], i["heading"].cast("string"), i["note"], F.array_join(F.transform(i["links"], lambda x: F.concat_ws("/", x["index"], x["relation"])), "+"))), "|")
+    known = F.array_join(F.transform(p["evidence"], lambda e: F.concat_ws(":", e["index"], e["key"], e["identity"], e["currentState"], e["snippet"], F.array_join(e["relations"], "+"))), "|")
+    return packs.select("review_id", p["question"].alias("question"), p["excludedItemCount"].alias("hidden"), p["summary"]["followUps"].alias("follow_ups"), F.array_join(F.transform(p["summary"]["decisionCounts"], lambda c: c["count"].cast("string")), ",").alias("counts"), shown.alias("items"), known.alias("sources"),
+                        p["honesty"]["unresolvedSources"].alias("unresolved"), p["honesty"]["missingSources"].alias("missing"), p["freshness"]["sourcesChanged"].alias("changed"), p["freshness"]["sourcesMissingNow"].alias("lost"), p["outdated"].alias("outdated"), p["freshness"]["answerChanged"].alias("answer_changed"), p["freshness"]["acknowledgedAt"].alias("acknowledged_at"))
+
+
 def review_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left to decide in each review, after headings are set aside in one go."""
     return analysis.ready_gate(analysis.bulk_decision(_items(spark, sf_dir), "headings"))
@@ -404,7 +424,7 @@ def stored_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        source_snapshots, freshness_status, review_gate, pack_counts, review_items, review_append, source_context, image_sessions, statement_purge, model_benchmarks, model_recommend, extraction_listing, extraction_coverage, extraction_built_in, listing_refs, leaf_provenance, coverage_modes, missing_page_gaps, extraction_resume, compare_plans, translation_plan, skill_routes,
+        source_snapshots, freshness_status, evidence_packs, review_gate, pack_counts, review_items, review_append, source_context, image_sessions, statement_purge, model_benchmarks, model_recommend, extraction_listing, extraction_coverage, extraction_built_in, listing_refs, leaf_provenance, coverage_modes, missing_page_gaps, extraction_resume, compare_plans, translation_plan, skill_routes,
         group_by_budget, summary_plan, budget_arithmetic, changes_to_budget, shortened_texts, marked_snippets, question_routes, skill_suggestions, citation_markers, qa_scores, qa_aggregate, conversation_scopes, filtered_documents, documents_by_ids, ordered_collections, category_seeding, filed_imports, archive_and_remove,
         replaced_chunks, recovered_imports, evicted_cache, corpus_signature, messages_with_skills, undone_answers, compaction_rows, stored_citations,
     )
@@ -433,6 +453,15 @@ _TOKENS = r"CAST(list_sum(list_transform(regexp_extract_all(text, '[^ \t\n\r\f\v
 
 ORACLE_SQL = {
     "source_snapshots": f"WITH {_CITED} SELECT * FROM snapshots",
+    "evidence_packs": f"""WITH {_CITED}, {_ITEMS}, now_ AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'new' ELSE sha256 END AS sha256 FROM docs WHERE doc_id % 7 <> 0),
+      st AS (SELECT s.*, CASE WHEN s.doc_id IS NULL OR s.sha256 IS NULL THEN 'unverifiable' WHEN n.doc_id IS NULL THEN 'missing' WHEN n.sha256 <> s.sha256 THEN 'changed' ELSE 'current' END AS state, row_number() OVER (PARTITION BY review_id ORDER BY ordinal) AS idx FROM snapshots s LEFT JOIN now_ n ON n.doc_id = s.doc_id),
+      ln AS (SELECT s.review_id, s.ordinal - 1 AS item, CASE WHEN s.ordinal <> 5 THEN s.idx END AS idx, ['supports', 'qualifies', 'contradicts', 'context', NULL][s.ordinal % 5 + 1] AS relation FROM st s WHERE s.ordinal > 0),
+      it AS (SELECT i.review_id, i.ordinal, i.decision, i.block_kind, coalesce(concat_ws('/', l.idx, l.relation), '') AS link FROM items i LEFT JOIN ln l ON l.review_id = i.review_id AND l.item = i.ordinal),
+      a AS (SELECT review_id, count(*) FILTER (decision = 'not_reviewed') AS hidden, count(*) FILTER (decision = 'follow_up') AS follow_ups, concat_ws(',', {", ".join(f"count(*) FILTER (decision = '{d}')" for d in evidence.DECISIONS)}) AS counts,
+        coalesce(string_agg(concat_ws(':', ordinal, decision, CASE WHEN block_kind = 'heading' THEN 'true' ELSE 'false' END, CASE WHEN ordinal = 1 THEN 'look' END, link), '|' ORDER BY ordinal) FILTER (decision <> 'not_reviewed'), '') AS items FROM it GROUP BY review_id),
+      b AS (SELECT review_id, string_agg(concat_ws(':', idx, key, identity, state, CASE WHEN ordinal % 2 = 0 THEN '<s> & ' || key END, CASE WHEN ordinal > 0 AND ordinal <> 5 AND ordinal % 5 < 4 THEN ['supports', 'qualifies', 'contradicts', 'context'][ordinal % 5 + 1] ELSE '' END), '|' ORDER BY idx) AS sources,
+        count(*) FILTER (identity = 'unresolved') AS unresolved, count(*) FILTER (availability = 'missing') AS missing, count(*) FILTER (state = 'changed') AS changed, count(*) FILTER (state = 'missing' AND availability IS DISTINCT FROM 'missing') AS lost FROM st GROUP BY review_id)
+      SELECT review_id, CASE WHEN review_id % 3 <> 0 THEN 'Why?' END AS question, hidden, follow_ups, counts, items, sources, unresolved, missing, changed, lost, changed > 0 AS outdated, review_id % 4 = 0 AS answer_changed, CASE WHEN changed > 0 AND review_id % 2 = 0 THEN '2024-05-01' END AS acknowledged_at FROM a JOIN b USING (review_id)""",
     "freshness_status": f"""WITH {_CITED}, now_ AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'new' ELSE sha256 END AS sha256 FROM docs WHERE doc_id % 7 <> 0), {_STATES}
       SELECT review_id, count(*) FILTER (state = 'changed') AS changed, count(*) FILTER (state = 'missing') AS missing, count(*) FILTER (state = 'unverifiable') AS unverifiable, coalesce(string_agg(concat_ws(':', CAST(doc_id AS VARCHAR), state), ';' ORDER BY concat_ws(':', CAST(doc_id AS VARCHAR), state)) FILTER (state <> 'current'), '') AS fingerprint, count(*) FILTER (state = 'changed') > 0 AS outdated FROM states GROUP BY review_id""",
     "review_gate": f"WITH {_ITEMS}, b AS (SELECT *, CASE WHEN kind = 'block' AND block_kind = 'heading' THEN 'not_applicable' ELSE decision END AS d, kind = 'block' AND coalesce(block_kind, '') <> 'heading' AS needed FROM items) SELECT review_id, count(*) FILTER (needed) AS required, count(*) FILTER (needed AND d <> 'not_reviewed') AS decided, count(*) FILTER (needed) = count(*) FILTER (needed AND d <> 'not_reviewed') AS eligible FROM b GROUP BY review_id",
