@@ -54,43 +54,62 @@ def taxonomy_file(question: Column) -> Column:
     return F.when(asked, F.nullif(name, F.lit("")))
 
 
-def categorised(rows: DataFrame, categories: list[str] | None = None, choose: Callable[[list[str]], list[str | None]] | None = None) -> DataFrame:
+def categorised(rows: DataFrame, categories: list[str] | None = None, choose: Callable[[list[str]], list[str | None]] | None = None, failed: str | None = None) -> DataFrame:
     """Rows (description, cents, ...) with a category: by rule, by a user's function over batches of descriptions, or none of a given set.
 
     Without a function, and where it fails or names no category of the set, the rules decide; of a set of one's own such rows are Uncategorized.
+    ``failed`` names a column that tells the rows of batches on which the function failed; ``failures`` counts them.
     """
     by_rule = F.lit("Uncategorized") if categories else ledger.category(F.col("description"), F.col("cents"))
     ruled = rows.withColumn("category", by_rule)
-    return ruled if choose is None else _batched(ruled, "category", CATEGORY_BATCH, lambda frame: choose(frame.description.tolist()), categories)
+    if failed:
+        ruled = ruled.withColumn(failed, F.lit(None).cast("string"))
+    return ruled if choose is None else _batched(ruled, "category", CATEGORY_BATCH, lambda frame: choose(frame.description.tolist()), categories, failed)
 
 
-def _batched(rows: DataFrame, column: str, size: int, make: Callable[[pd.DataFrame], list], allowed: list[str] | None) -> DataFrame:
-    """The rows with what a function makes of each batch; an answer of another length, an error, or a value not allowed leaves the column as it is."""
+def failures(rows: DataFrame, failed: str) -> DataFrame:
+    """What went wrong in batches (reason, rows)."""
+    return rows.where(F.col(failed).isNotNull()).groupBy(F.col(failed).alias("reason")).agg(F.count("*").alias("rows"))
+
+
+def _batched(rows: DataFrame, column: str, size: int, make: Callable[[pd.DataFrame], list], allowed: list[str] | None, failed: str | None = None) -> DataFrame:
+    """The rows with what a function makes of each batch; an answer of another length, an error, or a value not allowed leaves the column as it is.
+
+    Of the first two ``failed``, a column of the rows, gets the reason.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for low in range(0, len(frame), size):
                 part = frame.iloc[low : low + size].copy()
+                reason = None
                 try:
                     made = list(make(part))
-                except Exception:  # a user's function may fail on any batch; its rows keep what they have
-                    made = []
-                if len(made) == len(part):
+                except Exception as error:  # a user's function may fail on any batch; its rows keep what they have
+                    made, reason = None, type(error).__name__
+                if made is not None and len(made) != len(part):
+                    reason = "length"
+                if failed:
+                    part[failed] = reason
+                if reason is None:
                     part[column] = [m if isinstance(m, str) and (allowed is None or m in allowed) else old for m, old in zip(made, part[column], strict=True)]
                 yield part
 
     return rows.mapInPandas(run, rows.schema)
 
 
-def enriched(rows: DataFrame, columns: dict[str, list[str] | None], derive: Callable[[str, list[dict]], list[str]]) -> DataFrame:
+def enriched(rows: DataFrame, columns: dict[str, list[str] | None], derive: Callable[[str, list[dict]], list[str]], failed: str | None = None) -> DataFrame:
     """Rows with derived text columns (name and allowed values), by a user's function over batches; unknown values are blank.
 
-    More than four columns, or one that is there already, is an error.
+    More than four columns, or one that is there already, is an error. ``failed`` begins the names of columns that
+    tell, for each derived one, the rows of batches on which the function failed.
     """
     if len(columns) > MOST_COLUMNS or any(c in rows.columns for c in columns):
         raise ValueError(f"at most {MOST_COLUMNS} new columns can be derived")
     out, names = rows, rows.columns
     for name, allowed in columns.items():
         out = out.withColumn(name, F.lit("").cast(S.StringType()))
-        out = _batched(out, name, ENRICH_BATCH, lambda frame, name=name: derive(name, frame[names].to_dict("records")), allowed)
+        mark = f"{failed}_{name}" if failed else None
+        out = out.withColumn(mark, F.lit(None).cast("string")) if mark else out
+        out = _batched(out, name, ENRICH_BATCH, lambda frame, name=name: derive(name, frame[names].to_dict("records")), allowed, mark)
     return out

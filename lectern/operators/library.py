@@ -122,8 +122,9 @@ def recovered(documents: DataFrame, cutoff: Column) -> DataFrame:
 
 
 def added(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The table with the rows whose keys it doesn't have yet, the first of each key."""
-    fresh = rows.dropDuplicates(keys).join(table.select(*keys), keys, "left_anti")
+    """The table with the rows whose keys it doesn't have yet; of rows that share a key the least by their other columns."""
+    rank = F.row_number().over(W.partitionBy(*keys).orderBy(*([c for c in rows.columns if c not in keys] or keys)))
+    fresh = rows.withColumn("_n", rank).where("_n = 1").drop("_n").join(table.select(*keys), keys, "left_anti")
     return table.unionByName(fresh)
 
 
@@ -133,8 +134,8 @@ def replaced(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def latest(table: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The newest row of each key."""
-    rank = F.row_number().over(W.partitionBy(*keys).orderBy(F.col(order).desc()))
+    """The newest row of each key; of equally new ones the greatest by its other columns."""
+    rank = F.row_number().over(W.partitionBy(*keys).orderBy(F.col(order).desc(), *(F.col(c).desc() for c in table.columns if c not in (*keys, order))))
     return table.withColumn("_n", rank).where("_n = 1").drop("_n")
 
 
@@ -194,6 +195,24 @@ def removed(memberships: DataFrame, gone: DataFrame) -> DataFrame:
     return memberships.join(gone.select("doc_id", "collection").distinct(), ["doc_id", "collection"], "left_anti")
 
 
+def renamed(collections: DataFrame, memberships: DataFrame, old: str, new: str) -> tuple[DataFrame, DataFrame]:
+    """Collections and memberships with a project's name changed; a built-in collection keeps its name, and one that is there already is an error."""
+    there = collections.where(F.col("name") == new).limit(1).count()
+    if there and old != new:
+        raise ValueError(f"there is a collection {new} already")
+    own = (F.col("name") == old) & (F.col("type") != "builtin")
+    changed = collections.where(own).select("name").distinct().withColumn("_new", F.lit(new)).withColumnRenamed("name", "collection")
+    moved = memberships.join(changed, "collection", "left").withColumn("collection", F.coalesce("_new", "collection")).select(*memberships.columns)
+    return collections.withColumn("name", F.when(own, new).otherwise(F.col("name"))), moved
+
+
+def with_counts(collections: DataFrame, memberships: DataFrame, documents: DataFrame) -> DataFrame:
+    """Collections in their order (name, type, documents): how many documents, archived ones apart, each has."""
+    live = documents.where(F.coalesce(F.col("lifecycle") != "archived", F.lit(True))).select("doc_id")
+    n = memberships.join(live, "doc_id").groupBy(F.col("collection").alias("name")).agg(F.count_distinct("doc_id").alias("documents"))
+    return ordered_collections(collections.join(n, "name", "left").fillna(0, ["documents"]).select(*collections.columns, "documents"))
+
+
 def listed_by_ids(documents: DataFrame, memberships: DataFrame, chunks: DataFrame, vectors: DataFrame, ids: list[int]) -> DataFrame:
     """The document list for some ids; only their rows are counted."""
     own = F.col("doc_id").isin(*ids)

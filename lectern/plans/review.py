@@ -142,6 +142,24 @@ def extraction_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysis.listing(_records(spark, sf_dir), "party")
 
 
+def listing_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation's words of four letters as a listing; some were read in part, some hardly at all."""
+    turns = table(spark, sf_dir, "conversations")
+    chunks = turns.select(F.col("conv_id").alias("doc_id"), (F.col("conv_id") * 100 + F.col("turn")).alias("chunk_id"), F.col("turn").alias("chunk_index"), F.when(F.col("turn") % 3 == 0, F.col("turn") + 1).alias("page"), F.when(F.col("turn") % 3 == 1, F.concat(F.lit(" "), "role")).alias("section"), (F.col("conv_id") % 2 == 0).alias("whole"))
+    rows = turns.select(F.col("conv_id").alias("doc_id"), (F.col("conv_id") * 100 + F.col("turn")).alias("chunk_id"), "turn", "text")
+    values = rows.where("doc_id % 5 <> 4").select("doc_id", "chunk_id", F.lit("amount").alias("record_type"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("(?:^| )(th|on|an|in|re)(?= |$)"), F.lit(1))).alias("value"))
+    marks = rows.where("turn < 3 OR doc_id % 3 > 0").select("doc_id", "chunk_id", F.lit("__scan__").alias("record_type"), F.when((F.col("doc_id") % 5 == 4) & (F.col("turn") > 0), "unparsed").otherwise("ok").alias("value"))
+    return analysis.listing_answers(values.unionByName(marks), chunks, "amount", sums=True)
+
+
+def collection_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U8: collections with a project renamed, each with its number of live documents."""
+    members = tables.memberships(spark, sf_dir)
+    collections = members.select(F.col("collection").alias("name"), "type").distinct()
+    named, moved = library.renamed(collections, members, "de", "Deutsche Texte")
+    return library.with_counts(named, moved, tables.library(spark, sf_dir))
+
+
 def extraction_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A2: chunks scanned and not understood."""
     chunks = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), (F.col("conv_id") * 100 + F.col("turn")).alias("chunk_id"))
@@ -424,7 +442,7 @@ def stored_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        source_snapshots, freshness_status, evidence_packs, review_gate, pack_counts, review_items, review_append, source_context, image_sessions, statement_purge, model_benchmarks, model_recommend, extraction_listing, extraction_coverage, extraction_built_in, listing_refs, leaf_provenance, coverage_modes, missing_page_gaps, extraction_resume, compare_plans, translation_plan, skill_routes,
+        source_snapshots, freshness_status, evidence_packs, review_gate, pack_counts, review_items, review_append, source_context, image_sessions, statement_purge, model_benchmarks, model_recommend, extraction_listing, listing_texts, collection_list, extraction_coverage, extraction_built_in, listing_refs, leaf_provenance, coverage_modes, missing_page_gaps, extraction_resume, compare_plans, translation_plan, skill_routes,
         group_by_budget, summary_plan, budget_arithmetic, changes_to_budget, shortened_texts, marked_snippets, question_routes, skill_suggestions, citation_markers, qa_scores, qa_aggregate, conversation_scopes, filtered_documents, documents_by_ids, ordered_collections, category_seeding, filed_imports, archive_and_remove,
         replaced_chunks, recovered_imports, evicted_cache, corpus_signature, messages_with_skills, undone_answers, compaction_rows, stored_citations,
     )
@@ -480,6 +498,18 @@ ORACLE_SQL = {
       a AS (SELECT ram, model_id, row_number() OVER (PARTITION BY ram ORDER BY rank > 0 DESC, ram_gb DESC, rank DESC, size_gb DESC) AS n FROM r JOIN m ON ram_gb <= ram), b AS (SELECT ram, model_id, row_number() OVER (PARTITION BY ram ORDER BY rank > 0 DESC, min_ram_gb, rank DESC, size_gb) AS n FROM r JOIN m ON min_ram_gb <= ram)
       SELECT ram, coalesce(a.model_id, b.model_id) AS model_id FROM (SELECT * FROM a WHERE n = 1) a FULL JOIN (SELECT * FROM b WHERE n = 1) b USING (ram)""",
     "extraction_listing": f"WITH {_RECORDS} SELECT lower(value) AS key, min(value) AS value, count(*) AS occurrences, count(DISTINCT chunk_id) AS chunks FROM records GROUP BY lower(value)",
+    "listing_texts": rf"""WITH v AS (SELECT conv_id AS doc_id, turn, unnest(regexp_extract_all(replace(' ' || lower(text) || ' ', ' ', '  '), ' (th|on|an|in|re) ', 1)) AS value FROM conversations WHERE conv_id % 5 <> 4),
+      m AS (SELECT conv_id AS doc_id, count(*) AS total, count(*) FILTER (turn < 3 OR conv_id % 3 > 0) AS scanned, count(*) FILTER ((turn < 3 OR conv_id % 3 > 0) AND conv_id % 5 = 4 AND turn > 0) AS unread FROM conversations GROUP BY conv_id),
+      p AS (SELECT DISTINCT doc_id, value, v.turn, CASE v.turn % 3 WHEN 0 THEN 'p. ' || (v.turn + 1) WHEN 1 THEN role ELSE 'section ' || (v.turn + 1) END AS label FROM v JOIN conversations c ON c.conv_id = v.doc_id AND c.turn = v.turn),
+      l AS (SELECT doc_id, value, label, min(turn) AS turn FROM p GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, value ORDER BY turn) AS n FROM l),
+      r AS (SELECT doc_id, value, string_agg(label, ', ' ORDER BY n) FILTER (n <= 4) AS labels, least(count(*), 4) AS shown FROM k GROUP BY ALL),
+      i AS (SELECT doc_id, value, count(*) AS n, count(DISTINCT turn) AS places FROM v GROUP BY ALL),
+      t AS (SELECT doc_id, count(*) AS kinds, string_agg('- ' || value || ' (×' || n || ') (' || labels || CASE WHEN places > shown THEN '…' ELSE '' END || ')', chr(10) ORDER BY n DESC, value) AS lines FROM i JOIN r USING (doc_id, value) GROUP BY doc_id),
+      u AS (SELECT *, CASE WHEN unread > 0 THEN ' (' || unread || ' could not be read)' ELSE '' END AS suffix FROM m LEFT JOIN t USING (doc_id))
+      SELECT doc_id, CASE WHEN lines IS NULL THEN 'No amounts found across ' || scanned || ' sections scanned' || suffix || '.' || CASE WHEN unread > 0 AND unread * 2 >= scanned THEN chr(10) || chr(10) || '{analysis.UNREAD_HINT} {analysis.UNREAD_AMOUNTS}' ELSE '' END
+        ELSE '{analysis.SUMS_HINT} {analysis.SUMS_AMOUNTS}' || chr(10) || chr(10) || 'Found ' || kinds || ' amounts across ' || CASE WHEN doc_id % 2 = 0 AND scanned >= total THEN 'the whole document — ' ELSE '' END || scanned || ' sections scanned' || suffix || ':' || chr(10) || chr(10) || lines || chr(10) || chr(10) || '{analysis.CAVEAT}' END AS answer FROM u""",
+    "collection_list": f"""WITH {MEMBERSHIPS}, {LIBRARY}, c AS (SELECT DISTINCT collection AS name, type FROM memberships), n AS (SELECT collection AS name, count(DISTINCT doc_id) AS documents FROM memberships JOIN library USING (doc_id) WHERE lifecycle IS DISTINCT FROM 'archived' GROUP BY collection)
+      SELECT CASE WHEN name = 'de' AND type <> 'builtin' THEN 'Deutsche Texte' ELSE name END AS name, type, coalesce(documents, 0) AS documents FROM c LEFT JOIN n USING (name)""",
     "extraction_coverage": "SELECT conv_id AS doc_id, count(*) AS total, count(*) FILTER (turn % 4 <> 3) AS scanned, count(*) FILTER (turn % 4 = 2) AS unparsed, count(*) FILTER (turn % 4 <> 3) >= count(*) AS whole FROM conversations GROUP BY conv_id",
     "extraction_built_in": "SELECT record_type, value, count(*) AS n FROM (SELECT 'date' AS record_type, '2024-05-' || lpad(CAST(c_custkey % 28 + 1 AS VARCHAR), 2, '0') AS value FROM customer UNION ALL SELECT 'amount', c_custkey || ' EUR' FROM customer UNION ALL SELECT 'party', 'a' || c_custkey || '@b.org' FROM customer) GROUP BY ALL",
     "listing_refs": """WITH l AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'p. ' || (turn + 1) WHEN 1 THEN role ELSE '§ ' || (turn + 1) END AS label FROM conversations),
