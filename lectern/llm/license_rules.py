@@ -12,6 +12,10 @@ is named by its most specific statement and its sentences are not used a second
 Texts without any of the trigger words that every known sentence has are settled by a
 built-in expression and never leave the JVM.
 
+A whole licence text is known by its title and a sentence that ends it (or the appendix on how to
+apply it): the match reaches from the one to the last of the other before the next title, and
+statements within it, its own notice for instance, are part of it and no licence of their own.
+
 Defined results: a null or empty text has no licence. Rows are handled one by one, so
 repeated rows have equal results; a null doc_id is kept. Other columns are not read. An empty
 table gives an empty result.
@@ -109,7 +113,21 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("LGPL-3.0", ("lgpl3-named",)), ("AGPL-3.0", ("agpl3-named",)), ("MPL-2.0", ("mpl2-named",)), ("Unlicense", ("unlicense-named",)), ("Zlib", ("zlib-named",)), ("BSL-1.0", ("boost-named",)), ("all-rights-reserved", ("reserved",)),
 )
 
-#: Every known sentence has one of these, whatever its case.
+# Sentences that end whole licence texts, and which licence a title begins with the ends that it may have.
+ENDS: dict[str, tuple[str, ...]] = {
+    "terms-end": ("END OF TERMS AND CONDITIONS",),
+    "gpl-end": ("If this is what you want to do, use the GNU Lesser General Public License instead of this License.", "If this is what you want to do, use the GNU Library General Public License instead of this License."),
+    "agpl-end": ("For more information on this, and how to apply and follow the GNU AGPL, see <https://www.gnu.org/licenses/>.", "For more information on this, and how to apply and follow the GNU AGPL, see <http://www.gnu.org/licenses/>."),
+    "lgpl3-end": ("If the Library as you received it specifies that a proxy can decide whether future versions of the GNU Lesser General Public License shall apply, that proxy's public statement of acceptance of any version is permanent authorization for you to choose that version for the Library.",),
+    "lgpl21-end": ("That's all there is to it!",),
+    "mpl2-end": ("This Source Code Form is \"Incompatible With Secondary Licenses\", as defined by the Mozilla Public License, v. 2.0.",),
+}
+WHOLE: dict[str, tuple[str, tuple[str, ...]]] = {
+    "gpl3-title": ("GPL-3.0", ("terms-end", "gpl-end")), "gpl2-title": ("GPL-2.0", ("terms-end", "gpl-end")), "agpl3-title": ("AGPL-3.0", ("terms-end", "agpl-end")), "lgpl3-title": ("LGPL-3.0", ("lgpl3-end",)),
+    "lgpl21-title": ("LGPL-2.1", ("terms-end", "lgpl21-end")), "mpl2-title": ("MPL-2.0", ("mpl2-end",)), "apache2-title": ("Apache-2.0", ("terms-end", "apache2-see")),
+}
+
+#: Every known sentence of a rule has one of these, whatever its case.
 TRIGGER = r"(?i)licen[cs]e|copyright|permission|redistribut|warrant|public\s+domain|released\s+under|liable|anyone\s+is\s+free|copy\s+of\s+the\s+mpl"
 
 _WORD = re.compile(r"[^\W_]+(?:[.+-][^\W_]+)*")
@@ -144,7 +162,8 @@ def _known() -> tuple[dict[str, str], tuple[tuple[str, tuple[str, ...]], ...]]:
 
 
 KNOWN_WORDINGS, ALL_RULES = _known()
-KNOWN = {normalised(wording): name for wording, name in KNOWN_WORDINGS.items()}
+_END_WORDINGS = {wording: name for name, wordings in ENDS.items() for wording in wordings}
+KNOWN = {normalised(wording): name for wording, name in (KNOWN_WORDINGS | _END_WORDINGS).items()}
 _BY_FIRST: dict[str, list[tuple[str, tuple[str, ...]]]] = {}
 for _rule in sorted(ALL_RULES, key=lambda r: -len(r[1])):
     _BY_FIRST.setdefault(_rule[1][0], []).append(_rule)
@@ -153,7 +172,7 @@ for _rule in sorted(ALL_RULES, key=lambda r: -len(r[1])):
 def _leading() -> set[str]:
     """The normalised leading sentences of the wordings that are cut into several."""
     out = set()
-    for wording in KNOWN_WORDINGS:
+    for wording in (*KNOWN_WORDINGS, *_END_WORDINGS):
         ends = [high for _, high in _cut(wording, 0, len(wording))]
         out |= {normalised(wording[:high]) for high in ends[:-1]}
     return out
@@ -225,10 +244,23 @@ def _found(text: str) -> list[tuple[str, int, int, int, int]]:
 
 
 def recognise(text: str) -> tuple[list[tuple[str, int, int]], int]:
-    """Matches (licence, start, end) of a text and how many known wordings it has."""
+    """Matches (licence, start, end) of a text and how many known wordings of rules it has."""
     found = _found(text)
+    titles = [k for k, f in enumerate(found) if f[0] in WHOLE]
+    ends: dict[str, list[int]] = {}
+    for k, f in enumerate(found):
+        ends.setdefault(f[0], []).append(k)
     matches, at = [], 0
     while at < len(found):
+        if found[at][0] in WHOLE:
+            license_name, closing = WHOLE[found[at][0]]
+            after = bisect.bisect_right(titles, at)
+            stop = titles[after] if after < len(titles) else len(found)
+            last = max((places[k - 1] for name in closing if (places := ends.get(name)) and (k := bisect.bisect_left(places, stop)) and places[k - 1] > at), default=None)
+            if last is not None:
+                matches.append((license_name, found[at][1], found[last][2]))
+                at = last + 1
+                continue
         for license_name, wanted in _BY_FIRST.get(found[at][0], ()):
             used = [at]
             for name in wanted[1:]:
@@ -243,7 +275,7 @@ def recognise(text: str) -> tuple[list[tuple[str, int, int]], int]:
                 at = used[-1]
                 break
         at += 1
-    return matches, len(found)
+    return matches, sum(f[0] not in ENDS for f in found)
 
 
 def scan(documents: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -318,6 +319,37 @@ def test_many_statements_take_linear_time():
     assert (len(matches), n) == (20_000, 20_000) and time.monotonic() - began < 20
 
 
+WHOLE_TEXTS = {"GPL-3": "GPL-3.0", "GPL-2": "GPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "Apache-2.0": "Apache-2.0", "MPL-2.0": "MPL-2.0"}
+
+
+@pytest.mark.parametrize("name", WHOLE_TEXTS)
+def test_whole_licence_texts_are_one_match(name):
+    """The texts that Linux distributions carry, where they are there: the notice within is no licence of its own."""
+    path = Path("/usr/share/common-licenses") / name
+    if not path.exists():
+        pytest.skip("no licence texts on this machine")
+    text = path.read_text()
+    matches, _ = license_rules.recognise("Some prose.\n\n" + text)
+    assert [m[0] for m in matches] == [WHOLE_TEXTS[name]] and matches[0][2] - matches[0][1] > 0.8 * len(text)
+    both, _ = license_rules.recognise(text + "\n\nReleased under the MIT License.\n\n" + text)
+    assert [m[0] for m in both] == [WHOLE_TEXTS[name], "MIT", WHOLE_TEXTS[name]]
+
+
+def test_statements_within_a_whole_licence():
+    """A title without an end is the title's rule alone; an end belongs to the title right before it; many titles take linear time."""
+    import time
+
+    title, notice, end = (license_rules.SENTENCES[n][0] for n in ("gpl3-title", "gpl3-later", "mit-named"))
+    close = license_rules.ENDS["terms-end"][0]
+    text = f"{title}\n\nProse.\n\n{notice}\n\nProse.\n\n{close}\n\nProse.\n\n{end}"
+    assert [m[0] for m in license_rules.recognise(text)[0]] == ["GPL-3.0", "MIT"]
+    assert [m[0] for m in license_rules.recognise(text.replace(close, "Prose."))[0]] == ["GPL-3.0", "GPL-3.0-or-later", "MIT"]
+    assert [m[0] for m in license_rules.recognise(f"{title}\n\n{notice}\n\n{text}")[0]] == ["GPL-3.0", "GPL-3.0-or-later", "GPL-3.0", "MIT"]
+    assert license_rules.recognise(close)[1] == 0
+    began = time.monotonic()
+    assert len(license_rules.recognise(f"{title}\n\n" * 5000)[0]) == 5000 and time.monotonic() - began < 20
+
+
 def test_wrapped_licence_text_is_one_match():
     notice = [w for n in ("gpl2-later", "gpl-warranty") for w in license_rules.SENTENCES[n][:1]]
     text = "\n".join(line for w in notice for line in re.findall(r"\S.{0,60}(?=\s|$)", w))
