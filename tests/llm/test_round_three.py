@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
+import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pyarrow as pa
 import pytest
 import sentencepiece
 
-from lectern.llm import piece_agenda, queries, token_ids, turn_trie
+from lectern.llm import piece_agenda, queries, tiered_search, token_ids, turn_trie
 
 MODEL = token_ids.vocabulary_path("piece_bpe_32k.model")
 PARTS = ["a", "B", "don't", " ", "  ", "\t", "\n", "▁", "▁▁", "\x00", "😀", "é", "é", "日本", "ﬁ", "<s>", "<0x41>", "x" * 70, " the ", " in", "　", "\x85", "\U000e0001", "....", "0123", " " * 40, "ing ", "tion"]
@@ -122,3 +124,58 @@ def test_tries_equal_all_prefixes(spark, least, most):
 def test_tries_of_nothing(spark):
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert [tuple(r) for r in turn_trie.prefix_nodes(empty).collect()] == plain_nodes([])
+
+
+def plain_ranks(documents, items, top=20):
+    """Every document's score for every item."""
+    def terms(text):
+        return [t.translate({c: c + 32 for c in range(65, 91)}) for t in re.findall("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", text or "")]
+
+    docs = [(d, terms(t)) for d, t in documents]
+    docs = [(d, Counter(t), len(t)) for d, t in docs if t]
+    total, length = len(docs), sum(n for _, _, n in docs)
+    df = Counter(t for _, tf, _ in docs for t in tf)
+    weight = {t: math.floor(1000 * math.log((2 * total + 2) / (2 * n + 1))) for t, n in df.items()}
+    out = []
+    for item, text in items:
+        asked, scores = Counter(terms(text)), []
+        for d, tf, n in docs:
+            m = 75 + (25 * n * total) // length
+            score = sum(k * weight[t] * ((10**9 * tf[t]) // (1000 * tf[t] + 12 * m)) for t, k in asked.items() if t in tf)
+            scores.append((-score, (d is not None, d or 0), d))
+        for rank, (score, _, d) in enumerate(sorted(s for s in scores if s[0] < 0)[:top], 1):
+            out.append((item, rank, d, -score))
+    return sorted(out, key=lambda x: (x[0] is not None, x[0] or 0, x[1], x[3]))
+
+
+@pytest.mark.parametrize("first, top", [(1000, 20), (3, 20), (1, 4), (40, 2)])
+def test_ranks_equal_a_full_scan(spark, monkeypatch, first, top):
+    """Ties, repeated rows, null texts and ids, odd characters, an item without a known term; proofs at every tier."""
+    r = random.Random(11)
+    words = [f"w{k}" for k in range(60)] + ["ÄÖ", "K", "日本", "x-y", "İ"]
+    weights = [1 / (k + 1) for k in range(len(words))]
+    documents = [(k, " ".join(r.choices(words, weights, k=r.choice([1, 3, 10, 40, 200])))) for k in range(300)]
+    documents += [(300, None), (301, ""), (302, "..."), (None, "w1 w2 w3 rare"), (303, "same words here"), (304, "same words here"), (305, "SAME words HERE"), (306, "w5 " * 3000)]
+    items = [(k, " ".join(r.choices(words, k=r.choice([1, 2, 6, 30])))) for k in range(40)] + [(100, None), (101, "nowhere"), (102, "same, Words: here rare"), (None, "w1 rare"), (103, "W0 w0 w0")]
+    monkeypatch.setattr(tiered_search, "FIRST", first)
+    monkeypatch.setattr(tiered_search, "PARTS", (30, 3))
+    got = tiered_search.rank_all(spark.createDataFrame([(*d, 1) for d in documents], "doc_id long, text string, rank int").repartition(3), spark.createDataFrame(items, "item_id long, text string"), top).collect()
+    rows = sorted(((x.item_id, x["rank"], x.doc_id, x.score) for x in got), key=lambda x: (x[0] is not None, x[0] or 0, x[1], x[3]))
+    assert rows == plain_ranks(documents, items, top)
+    if first == 1:
+        assert len({x.tier for x in got}) > 1
+
+
+def test_ranks_of_nothing(spark):
+    documents, items = spark.createDataFrame([(1, "a b")], "doc_id long, text string"), spark.createDataFrame([(1, "a")], "item_id long, text string")
+    assert tiered_search.rank_all(documents.limit(0), items).collect() == []
+    assert tiered_search.rank_all(documents, items.limit(0)).collect() == []
+    assert [tuple(x)[:3] for x in tiered_search.rank_all(documents, items).collect()] == [(1, 1, 1)]
+
+
+def test_whole_index_serves_any_item(spark):
+    """An index of all terms gives what an index of the items' terms gives."""
+    documents, items = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
+    index, _ = tiered_search.build(documents)
+    assert sorted(map(tuple, tiered_search.search(index, items).collect())) == sorted(map(tuple, tiered_search.rank_all(documents, items).collect()))
+    assert index.terms.count() > 1000 and index.postings.select("row").distinct().count() == index.documents
