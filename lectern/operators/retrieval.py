@@ -34,9 +34,10 @@ def bm25(chunks: DataFrame, question: str, key: str = "chunk_id") -> DataFrame:
     """
     asked = [r.term for r in chunks.sparkSession.range(1).select(F.explode(T.query_terms(F.lit(question))).alias("term")).collect()]
     times = {t: asked.count(t) for t in sorted(set(asked))}
-    wanted = F.array(*map(F.lit, times)).cast("array<string>")
-    words = T.terms(F.col("text"))
-    rows = chunks.select(key, F.explode(F.array(words)).alias("terms")).select(key, F.size("terms").cast("long").alias("dl"), F.filter("terms", lambda t: F.array_contains(wanted, t)).alias("hits"))
+    # only the question's terms are taken out of a text; all others are counted where they stand
+    wanted = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(times) or '(?!)'})(?![\p{{L}}\p{{N}}])"
+    low = chunks.select(key, F.lower("text").alias("low"))
+    rows = low.select(key, F.regexp_count("low", F.lit(r"[\p{L}\p{N}]+")).cast("long").alias("dl"), F.coalesce(F.regexp_extract_all("low", F.lit(wanted), F.lit(0)), F.array().cast("array<string>")).alias("hits"))
     totals = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("average"), *(F.sum(F.array_contains("hits", t).cast("long")).alias(f"df{i}") for i, t in enumerate(times)))
     scored = rows.where(F.size("hits") > 0).crossJoin(F.broadcast(totals))  # one row of totals
     score = F.lit(0.0)
@@ -58,28 +59,33 @@ class Index:
     A question reads the parts of its own terms only, whatever the number of chunks.
     """
 
-    PARTS = 64
+    #: Characters of text for each part of the postings, and parts at most.
+    PART, MOST = 1 << 22, 4096
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
     @classmethod
     def build(cls, chunks: DataFrame, path: str, key: str = "chunk_id") -> Index:
+        """Texts are read twice: for their lengths, which tell how many parts there are, and for their terms."""
+        size = chunks.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+        parts = max(1, min(cls.MOST, size.chars // cls.PART))
         rows = chunks.select(F.col(key).alias("chunk_id"), F.explode(F.array(T.terms(F.col("text")))).alias("terms")).withColumn("dl", F.size("terms").cast("long"))
-        rows.agg(F.count("*").alias("n"), F.avg("dl").alias("average")).write.parquet(f"{path}/totals")
         terms = rows.select("chunk_id", "dl", F.explode("terms").alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-        placed = terms.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(cls.PARTS)).cast("int"))
+        placed = terms.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int"))
         # a frequent term is spread over several files of its part
         placed.repartition("part", F.pmod(F.xxhash64("chunk_id"), F.lit(8))).sortWithinPartitions("part", "term").write.partitionBy("part").parquet(f"{path}/postings")
+        chunks.sparkSession.read.schema("tf long").parquet(f"{path}/postings").agg(F.lit(size.n).cast("long").alias("n"), (F.coalesce(F.sum("tf"), F.lit(0)) / max(size.n, 1)).alias("average"), F.lit(parts).alias("parts")).write.parquet(f"{path}/totals")
         return cls(chunks.sparkSession, path)
 
     def scores(self, question: str) -> DataFrame:
         """The same scores as ``bm25``."""
+        totals = self.spark.read.parquet(f"{self.path}/totals")
+        parts = totals.first().parts
         asked = self.spark.range(1).select(F.explode(T.query_terms(F.lit(question))).alias("term")).groupBy("term").agg(F.count("*").alias("times"))
-        found = asked.select("term", "times", F.pmod(F.xxhash64("term"), F.lit(self.PARTS)).cast("int").alias("part")).collect()  # 32 at most
+        found = asked.select("term", "times", F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int").alias("part")).collect()  # 32 at most
         hits = self.spark.read.parquet(f"{self.path}/postings").where(F.col("part").isin(sorted({r.part for r in found})) & F.col("term").isin([r.term for r in found])).drop("part")
         df = hits.groupBy("term").agg(F.count("*").alias("df"))
-        totals = self.spark.read.parquet(f"{self.path}/totals")
         rows = hits.join(F.broadcast(df), "term").join(F.broadcast(asked), "term").crossJoin(F.broadcast(totals))  # 32 rows and one
         idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
         part = F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("average")))
