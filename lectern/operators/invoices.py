@@ -82,10 +82,12 @@ def classed(documents: DataFrame) -> DataFrame:
     dated = _masked(F.col("line"), _date_pattern())
     rows = rows.withColumn("dated", dated).withColumn("scan", _masked(F.col("dated"), _RATE))
     rows = rows.withColumn("figures", F.regexp_extract_all("scan", F.lit(f"({M.FIGURE})"), F.lit(1))).withColumn("segments", F.split("scan", M.FIGURE, -1))
-    rows = rows.withColumn("low", F.lower("line"))
+    # most lines name no total, and are spared what follows
+    every = "|".join(_labels(kind) for kind in statement.TOTALS)
+    rows = rows.withColumn("low", F.lower("line")).withColumn("labelled", F.col("low").rlike(rf"{_START}(?:{every}){_EDGE}")).withColumn("leading", F.col("low").rlike(rf"^(?:{every}){_EDGE}"))
 
     # a line of several labels: each figure belongs to the label right before it
-    several = F.size("figures") >= 2
+    several = (F.size("figures") >= 2) & F.col("labelled")
     rows = rows.withColumn("owners", F.when(several, F.transform(F.slice("segments", 1, F.size("figures")), _label_of)))
     multi = several & ~F.exists("owners", lambda k: k.isNull()) & (F.size(F.array_distinct("owners")) >= 2)
     rows = rows.withColumn("multi", F.coalesce(multi, F.lit(False)))
@@ -101,7 +103,8 @@ def classed(documents: DataFrame) -> DataFrame:
         single = F.when(alone & _only_filler(figureless), kind).otherwise(single)
         summary = summary | (alone & _only_filler(F.element_at(F.split(F.regexp_replace(F.lower("dated"), label, ""), M.FIGURE, 2), 1)))
     without = F.col("low").rlike(rf"\b(?:{'|'.join(WITHOUT_TAX)})|{_START}nett?o?{_EDGE}")
-    rows = rows.withColumn("label", F.when(~F.col("multi"), F.when((single == "gross") & without, "net").otherwise(single))).withColumn("summary", summary)
+    single = F.when(F.col("leading") & ~F.col("multi"), single)
+    rows = rows.withColumn("label", M.once(single, lambda k: F.when((k == "gross") & without, "net").otherwise(k))).withColumn("summary", F.when(F.col("leading"), summary).otherwise(F.lit(False)))
 
     # an item: its figures with those of dates hidden
     rows = rows.withColumn("rest", F.regexp_replace("dated", rf"^(?:[-]+\s+){{1,2}}", ""))
@@ -115,12 +118,14 @@ def classed(documents: DataFrame) -> DataFrame:
     rows = rows.withColumn("words", before)
     readable = (F.size("amounts") > 0) & ~fused & ~uncaught & (F.col("words") != "") & F.col("currency").isNotNull()
 
+    titles = "|".join(re.escape(x) for labels in statement.HEADER.values() for x in labels)
     shaped = F.exists("figures", lambda f: f.rlike(r"[.,]\d{2}[)\s-]*$")) | ((F.size("figures") > 0) & M.currency(F.col("scan")).isNotNull())
     named = F.lit(False)
     for kind, labels in statement.HEADER.items():
         value = F.regexp_extract("line", rf"(?i)^(?:{'|'.join(re.escape(x) for x in labels)}){_EDGE}[\s.:#-]*(\S.*)$", 1)
         fits = (value != "") if "date" not in kind else F.regexp_extract(value, f"({M.DATE})", 1) != ""
         named = named | (fits & ~value.rlike(rf"(?i)^(?:{'|'.join(NUMBERS)}){_EDGE}") if kind == "recipient" else fits)
+    named = F.when(F.col("low").rlike(rf"^(?:{titles}){_EDGE}"), named).otherwise(F.lit(False))
     kind = F.when(named & ~shaped, "header").when(F.col("multi") | F.col("label").isNotNull(), "totals").when(F.col("summary"), "summary").when(readable, "item").when(F.size("figures") > 0, "dropped").otherwise("words")
     return rows.withColumn("kind", kind).select("doc_id", "pos", "line", "kind", "multi", "label", "owners", "figures", "amounts", "words", "currency")
 
@@ -150,26 +155,28 @@ def items(rows: DataFrame) -> DataFrame:
     return found.select("doc_id", "pos", F.concat_ws(" ", words, "more").alias("description"), quantity.alias("quantity"), F.when(fits, number(part(columns, 3))).alias("tax_rate"), "unit_price", "cents", "currency")
 
 
-def totals(rows: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+def totals(rows: DataFrame) -> DataFrame:
     """Net, tax and gross in cents and the printed rate in percent; the last reading of a kind counts.
 
     A reading from a bare number beside a currency is weak: it goes if a check that it takes part
     in fails and none holds. Checks: items make the net (in one currency), net and tax the gross,
     the rate the tax.
     """
-    lines = items(rows) if lines is None else lines
-    found = rows.where("kind = 'totals'")
-    own = F.when(~F.col("multi"), F.array(F.struct(F.col("label").alias("kind"), F.coalesce(M.amount(F.try_element_at("figures", F.lit(-1))), M.last_integer(F.col("line"))).alias("value"), (F.size("figures") == 0).alias("weak"), F.lit(0).alias("at"))))
+    found = rows.where("kind IN ('totals', 'item')")
+    last_figure = F.try_element_at("figures", F.lit(-1))
+    own = F.array(F.struct(F.col("label").alias("kind"), F.coalesce(M.amount(last_figure), M.last_integer(F.col("line"))).alias("value"), (F.size("figures") == 0).alias("weak"), F.lit(0).alias("at")))
     each = F.transform(F.arrays_zip("owners", "figures"), lambda z, i: F.struct(z["owners"].alias("kind"), M.amount(z["figures"]).alias("value"), F.lit(False).alias("weak"), i.alias("at")))
-    read = found.select("doc_id", "pos", F.explode(F.coalesce(own, each)).alias("r"), F.when(~F.col("multi") & (F.col("label") == "tax"), M.percent(F.col("line"))).alias("rate"))
+    item = F.col("kind") == "item"
+    total = F.when(item, F.array(F.struct(F.lit(None).cast("string").alias("kind"), M.amount(F.try_element_at("amounts", F.lit(-1))).alias("value"), F.lit(False).alias("weak"), F.lit(0).alias("at")))).when(F.col("multi"), each).otherwise(own)
+    read = found.select("doc_id", "pos", F.explode(total).alias("r"), F.when(~F.col("multi") & (F.col("label") == "tax"), M.percent(F.col("line"))).alias("rate"), F.when(item, F.col("currency")).alias("currency"))
     place = F.struct("pos", "r.at")
     known = F.col("r.value").isNotNull()
     last = lambda kind, what: F.max_by(what, F.when((F.col("r.kind") == kind) & known, place))
-    sums = read.groupBy("doc_id").agg(
-        *(last(k, F.col("r.value")).alias(k) for k in statement.TOTALS), *(last(k, F.col("r.weak")).alias(f"{k}_weak") for k in statement.TOTALS), F.max_by("rate", F.when(F.col("rate").isNotNull(), place)).alias("rate")
+    line = F.col("r.kind").isNull()
+    both = read.groupBy("doc_id").agg(
+        *(last(k, F.col("r.value")).alias(k) for k in statement.TOTALS), *(last(k, F.col("r.weak")).alias(f"{k}_weak") for k in statement.TOTALS), F.max_by("rate", F.when(F.col("rate").isNotNull(), place)).alias("rate"),
+        F.sum(F.when(line, F.col("r.value"))).alias("items"), F.sum(line.cast("long")).alias("n"), F.size(F.collect_set("currency")).alias("currencies"),
     )
-    made = lines.groupBy("doc_id").agg(F.sum("cents").alias("items"), F.count("*").alias("n"), F.count_distinct("currency").alias("currencies"))
-    both = sums.join(made, "doc_id", "left")
     net, tax, gross = F.col("net"), F.col("tax"), F.col("gross")
     checks = {
         "items": F.when(F.col("currencies") == 1, F.col("items") == net),
