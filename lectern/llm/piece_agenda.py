@@ -74,6 +74,8 @@ class Vocabulary:
         chars = sorted((ord(p), i) for p, i in self.pieces.items() if len(p) == 1)
         self.chars = np.array([c for c, _ in chars], np.int64)
         self.char_ids = np.array([i for _, i in chars], np.int64)
+        self.leads = np.zeros(size, bool)
+        self.leads[[i for p, i in self.pieces.items() if p.startswith(_BLANK)]] = True
         self._forget()
 
     def _forget(self) -> None:
@@ -274,11 +276,8 @@ class Vocabulary:
     def decode(self, ids: np.ndarray) -> str:
         """The library's text, asked for in parts that begin with a piece that begins with a blank."""
         parts, low = [], 0
-        if not hasattr(self, "_leads"):
-            self._leads = np.array([i in self.pieces.values() for i in range(self.size)])
-            self._leads &= np.array([self.library.id_to_piece(i).startswith(_BLANK) for i in range(self.size)])
         while len(ids) - low > DECODED:
-            found = np.flatnonzero(self._leads[ids[low + DECODED :]])
+            found = np.flatnonzero(self.leads[ids[low + DECODED :]])
             if not len(found):
                 break
             parts.append(self.library.decode(ids[low : low + DECODED + found[0]].tolist()))
