@@ -98,13 +98,20 @@ def _pages(content: bytes) -> list[tuple[str, str]]:
     return [(str(k), line) for k, line in enumerate(text.split("\n"))]
 
 
-def parsed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A file for each supplier, of every kind of limit, read within the limits."""
+def supplier_files(spark: SparkSession, sf_dir: str) -> str:
+    """The folder with a file for each supplier."""
     folder = folders.new_path(spark, "files")
     k = F.col("s_suppkey") % 8
     text = F.when(k == 0, F.repeat(F.lit("large "), 200)).when(k == 1, F.concat_ws("\n", F.array_repeat(F.col("s_name"), 30))).when(k == 2, "wait 60").when(k == 3, F.repeat(F.lit("long"), 150)).when(k == 4, "  ").otherwise(F.concat("s_name", F.lit("\n"), F.lit("more")))
     kind = F.element_at(F.array(*map(F.lit, ("txt", "md", "LOG", "text", "txt", "csv", "xyz", "MarkDown"))), (k + 1).cast("int"))
-    table(spark, sf_dir, "supplier").select(kind.alias("kind"), F.col("s_suppkey").alias("file"), text.alias("value")).repartition("file").write.partitionBy("kind", "file").option("lineSep", "\n").text(folder)
+    # a file for each row, in one folder of each kind: to write and list a folder for each file takes longer than all else
+    tables.spread(table(spark, sf_dir, "supplier").select(kind.alias("kind"), text.alias("value"))).write.partitionBy("kind").option("lineSep", "\n").option("maxRecordsPerFile", 1).text(folder)
+    return folder
+
+
+def parsed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each supplier, of every kind of limit, read within the limits."""
+    folder = supplier_files(spark, sf_dir)
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", F.col("length").alias("size_bytes"), "content")
     found = found.withColumn("kind", files.kind_of(F.concat(F.lit("."), F.regexp_extract("path", r"/kind=([^/]+)/", 1))))
     read = files.parsed(found, {"text": _pages, "markdown": _pages}, files.Limits(size=1000, text=500, pages=25, seconds=0.5))
