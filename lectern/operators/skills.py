@@ -174,11 +174,21 @@ def _table_function(tool: SqlTool):
     return F.udtf(Rows)
 
 
+def _values(tool: SqlTool, *columns: pd.Series) -> pd.Series:
+    """What the tool gives for each row; a join repeats a row's values for all that it finds, and such a run is one call."""
+    made, before = [], None
+    for row in zip(*columns, strict=True):
+        if before is None or any(a is not b and (a != b or type(a) is not type(b)) for a, b in zip(row, before, strict=True)):
+            before, value = row, tool.run(*row)
+        made.append(value)
+    return pd.Series(made, dtype=object)
+
+
 def _value_function(tool: SqlTool):
     def values(*columns: pd.Series) -> pd.Series:
         if len(columns) != len(tool.takes):
             raise ValueError(f"{tool.name} takes {len(tool.takes)} values")
-        return pd.Series([tool.run(*row) for row in zip(*columns, strict=True)], dtype=object)
+        return _values(tool, *columns)
 
     return F.pandas_udf(values, tool.gives)
 

@@ -202,7 +202,7 @@ def _personal(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("Dear "), "c_name", F.lit(", write to cust."), k, F.lit("@mail.example.com or see https://shop.example.com/c?id="), k, F.lit(" (no@mail). Pay to DE89 3704 0044 0532 0130 00 with card "),
         F.when(k % 2 == 0, "4111 1111 1111 1111").otherwise("4111 1111 1111 1112"), F.lit(" by "), F.when(k % 3 == 0, "2024-02-30").otherwise("31.12.2024"), F.lit(" or 2024-13-45, call +49 171 234567"), F.when(k % 5 == 0, " or (555) 123-4567").otherwise(" or 12345"), F.lit("."),
     )
-    return table(spark, sf_dir, "customer").select(k.alias("doc_id"), text.alias("text"))
+    return tables.spread(table(spark, sf_dir, "customer").select("c_custkey", "c_name")).select(k.alias("doc_id"), text.alias("text"))
 
 
 def redact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
