@@ -4,26 +4,41 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Currencies that are recognised, and signs of some.
 CURRENCIES = ("EUR", "USD", "GBP", "CHF", "JPY", "CAD", "AUD", "NZD", "SEK", "NOK", "DKK", "PLN", "CZK", "HUF")
 SIGNS = (("€", "EUR"), ("$", "USD"), ("£", "GBP"), ("¥", "JPY"))
 
+#: A code point that is no character, for the places where plain texts are cut.
+CUT = "\uffff"
+
 DATE = r"\d{4}-\d{2}-\d{2}|\d{1,2}[./]\d{1,2}[./](?:\d{4}|\d{2})?"
 #: A figure with two decimals or grouped thousands, with its sign or parentheses.
 FIGURE = r"(?<![\p{L}\p{N}.,])(?:\(\s?)?[-+]?\s?(?:\d{1,3}(?:[.,' ]\d{3})+(?:[.,]\d{2})?|\d+[.,]\d{2})(?:\s?\)|-)?(?![\p{L}\p{N}]|[.,]\d)"
 
 
 def plain(text: Column) -> Column:
-    """Print variants of minus, blank and apostrophe as their ASCII signs; the length stays."""
-    return F.translate(text, "\u2212\u2013\u2011\u00a0\u202f\u2007\u2019", "---   '")
+    """Print variants of minus, blank and apostrophe as their ASCII signs, and another character for ``CUT``; the length stays."""
+    return F.translate(text, f"\u2212\u2013\u2011\u00a0\u202f\u2007\u2019{CUT}", "---   '\ufffd")
+
+
+def parts(text: Column, pattern: str) -> Column:
+    """What stands between the matches of a pattern, in a plain text; a split by a pattern would compile it for each row."""
+    return F.split(F.regexp_replace(text, pattern, CUT), CUT, -1)
 
 
 def once(value: Column, use: Callable[[Column], Column]) -> Column:
     """What ``use`` makes of a value that is computed once, however often it is named."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    # a fold over nothing: an element taken out of an array would ask for the type of all that is inside, for each row anew
+    return F.aggregate(F.array().cast("array<int>"), value, lambda kept, _: kept, use)
+
+
+def settled(rows: DataFrame, **columns: Column) -> DataFrame:
+    """The rows with columns that are computed once a row: a later filter on them is not rewritten into what they are made of."""
+    names = [c for c in rows.columns if c not in columns]
+    return rows.select(*names, F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))).alias("_made")).select(*names, "_made.*")
 
 
 def amount(raw: Column) -> Column:

@@ -42,8 +42,9 @@ _BETWEEN = rf"\d[\d.,'%]*|[\s.:;#/\\()€$£¥%{_HIDDEN}-]+|{_START}(?:{'|'.join
 
 def _masked(text: Column, pattern: str) -> Column:
     """The text with the digits and marks of every match hidden, at the same length."""
-    between, found = F.split(text, pattern), F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    return F.array_join(F.zip_with(between, found, lambda b, m: F.concat(b, F.coalesce(F.translate(m, _SIGNS, _HIDDEN), F.lit("")))), "")
+    between, found = M.parts(text, pattern), F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
+    masked = F.array_join(F.zip_with(between, found, lambda b, m: F.concat(b, F.coalesce(F.translate(m, _SIGNS, _HIDDEN), F.lit("")))), "")
+    return F.when(text.rlike(pattern), masked).otherwise(text)
 
 
 def _shown(text: Column) -> Column:
@@ -77,11 +78,10 @@ def classed(documents: DataFrame) -> DataFrame:
     Kinds: ``totals`` (of one label or several), ``header``, ``summary`` (a label of totals alone
     before its figure), ``item``, ``dropped`` (a figure that can't be read for certain) and ``words``.
     """
-    rows = statement.lines(documents).withColumn("line", F.trim("line"))
-    rows = rows.join(statement.currency_vote(rows), "doc_id", "left")
-    dated = _masked(F.col("line"), _date_pattern())
-    rows = rows.withColumn("dated", dated).withColumn("scan", _masked(F.col("dated"), _RATE))
-    rows = rows.withColumn("figures", F.regexp_extract_all("scan", F.lit(f"({M.FIGURE})"), F.lit(1))).withColumn("segments", F.split("scan", M.FIGURE, -1))
+    rows = statement.with_currency(statement.lines(documents).withColumn("line", F.trim("line")))
+    rows = M.settled(rows, dated=_masked(F.col("line"), _date_pattern()))
+    rows = M.settled(rows, scan=_masked(F.col("dated"), _RATE))
+    rows = rows.withColumn("figures", F.regexp_extract_all("scan", F.lit(f"({M.FIGURE})"), F.lit(1))).withColumn("segments", M.parts(F.col("scan"), M.FIGURE))
     # most lines name no total, and are spared what follows
     every = "|".join(_labels(kind) for kind in statement.TOTALS)
     rows = rows.withColumn("low", F.lower("line")).withColumn("labelled", F.col("low").rlike(rf"{_START}(?:{every}){_EDGE}")).withColumn("leading", F.col("low").rlike(rf"^(?:{every}){_EDGE}"))
@@ -101,14 +101,14 @@ def classed(documents: DataFrame) -> DataFrame:
         alone = F.col("low").rlike(label)
         figureless = F.regexp_replace(F.regexp_replace(behind, _date_pattern(), " "), M.FIGURE, " ")
         single = F.when(alone & _only_filler(figureless), kind).otherwise(single)
-        summary = summary | (alone & _only_filler(F.element_at(F.split(F.regexp_replace(F.lower("dated"), label, ""), M.FIGURE, 2), 1)))
+        summary = summary | (alone & _only_filler(F.element_at(M.parts(F.regexp_replace(F.lower("dated"), label, ""), M.FIGURE), 1)))
     without = F.col("low").rlike(rf"\b(?:{'|'.join(WITHOUT_TAX)})|{_START}nett?o?{_EDGE}")
     single = F.when(F.col("leading") & ~F.col("multi"), single)
     rows = rows.withColumn("label", M.once(single, lambda k: F.when((k == "gross") & without, "net").otherwise(k))).withColumn("summary", F.when(F.col("leading"), summary).otherwise(F.lit(False)))
 
     # an item: its figures with those of dates hidden
     rows = rows.withColumn("rest", F.regexp_replace("dated", rf"^(?:[-]+\s+){{1,2}}", ""))
-    rows = rows.withColumn("amounts", F.regexp_extract_all("rest", F.lit(f"({M.FIGURE})"), F.lit(1))).withColumn("cut", F.split("rest", M.FIGURE, -1))
+    rows = rows.withColumn("amounts", F.regexp_extract_all("rest", F.lit(f"({M.FIGURE})"), F.lit(1))).withColumn("cut", M.parts(F.col("rest"), M.FIGURE))
     fused = F.exists("amounts", lambda a: F.trim(F.regexp_replace(a, r"[-+()]", "")).contains(" ") & ~F.trim(F.regexp_replace(a, r"[-+()]", "")).rlike(r"[.,]\d{2}$"))
     uncaught = F.element_at("cut", -1).rlike(r"^\s*[-+(]?\d[\d.,']*\)?\s*$")
     region = F.substring("rest", F.length(F.element_at("cut", 1)) + 1, F.length("rest"))
@@ -127,20 +127,23 @@ def classed(documents: DataFrame) -> DataFrame:
         named = named | (fits & ~value.rlike(rf"(?i)^(?:{'|'.join(NUMBERS)}){_EDGE}") if kind == "recipient" else fits)
     named = F.when(F.col("low").rlike(rf"^(?:{titles}){_EDGE}"), named).otherwise(F.lit(False))
     kind = F.when(named & ~shaped, "header").when(F.col("multi") | F.col("label").isNotNull(), "totals").when(F.col("summary"), "summary").when(readable, "item").when(F.size("figures") > 0, "dropped").otherwise("words")
-    return rows.withColumn("kind", kind).select("doc_id", "pos", "line", "kind", "multi", "label", "owners", "figures", "amounts", "words", "currency")
+    return M.settled(rows, kind=kind).select("doc_id", "pos", "line", "kind", "multi", "label", "owners", "figures", "amounts", "words", "currency")
 
 
-def items(rows: DataFrame) -> DataFrame:
+def items(rows: DataFrame, unread: bool = False) -> DataFrame:
     """Line items (doc_id, pos, description, quantity, tax_rate, unit_price, cents, currency) of classed lines.
 
     The last figure is the line's total, the one before it the unit price. ``2 20%`` behind the
     words is quantity and rate if quantity x price is the total, and a row number before them goes
     then too; a number with a unit before or behind the words is the quantity, one without a unit
     only behind them and beside a price. A line of words right below goes on with the description.
+    With ``unread`` each has its document's ``dropped``, as ``unread`` counts them, without reading the lines again.
     """
     order = W.partitionBy("doc_id").orderBy("pos")
     following = F.when((F.lead("kind").over(order) == "words") & (F.lead("pos").over(order) == F.col("pos") + 1), F.lead("line").over(order))
-    found = rows.withColumn("more", following).where("kind = 'item'")
+    dropped = F.sum((F.col("kind") == "dropped").cast("long")).over(W.partitionBy("doc_id"))
+    rows = rows.withColumn("more", following)
+    found = (rows.withColumn("dropped", dropped) if unread else rows).where("kind = 'item'")
     cents, price = M.amount(F.element_at("amounts", -1)), F.when(F.size("amounts") >= 2, M.amount(F.element_at("amounts", -2)))
     found = found.withColumn("cents", cents).withColumn("unit_price", price)
     number = lambda c: F.regexp_replace(c, ",", ".").try_cast("double")
@@ -152,7 +155,7 @@ def items(rows: DataFrame) -> DataFrame:
     ahead = (part(lead, 1) != "") & F.col("unit_price").isNotNull()
     quantity = F.when(fits, number(part(columns, 2))).when(ahead, number(part(lead, 1))).when(split, number(part(trail, 2)))
     words = F.when(fits, clean).when(ahead, part(lead, 2)).when(split, F.trim(part(trail, 1))).otherwise(F.col("words"))
-    return found.select("doc_id", "pos", F.concat_ws(" ", words, "more").alias("description"), quantity.alias("quantity"), F.when(fits, number(part(columns, 3))).alias("tax_rate"), "unit_price", "cents", "currency")
+    return found.select("doc_id", "pos", F.concat_ws(" ", words, "more").alias("description"), quantity.alias("quantity"), F.when(fits, number(part(columns, 3))).alias("tax_rate"), "unit_price", "cents", "currency", *(["dropped"] if unread else []))
 
 
 def totals(rows: DataFrame) -> DataFrame:

@@ -51,6 +51,14 @@ def _orders() -> Column:
     return M.once(pairs, counted)
 
 
+def with_currency(rows: DataFrame) -> DataFrame:
+    """Lines (doc_id, pos, ...) with ``doc_currency``, as ``currency_vote`` gives it, by windows over lines that are dealt out once."""
+    rows = M.settled(rows, _vote=_vote())
+    same = W.partitionBy("doc_id", "_vote")
+    rows = rows.withColumn("_n", F.count("_vote").over(same)).withColumn("_first", F.min("pos").over(same))
+    return rows.withColumn("doc_currency", F.max_by("_vote", F.when(F.col("_vote").isNotNull(), F.struct("_n", -F.col("_first")))).over(W.partitionBy("doc_id"))).drop("_vote", "_n", "_first")
+
+
 def currency_vote(rows: DataFrame) -> DataFrame:
     """Each document's currency: that of most lines, the earliest on a tie."""
     votes = rows.select("doc_id", "pos", _vote().alias("currency")).where("currency IS NOT NULL")
