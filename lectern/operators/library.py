@@ -149,6 +149,15 @@ def kept_newest(table: DataFrame, cap: int, order: list[Column]) -> DataFrame:
     return table.orderBy(*order).limit(cap)
 
 
+def _scopes(conversations: DataFrame) -> DataFrame:
+    """Each conversation's collections ``c`` and own documents ``d``."""
+    new = F.from_json("scope_json", "collectionIds array<string>, documentIds array<long>")
+    old = F.from_json("ids_json", "array<long>")
+    usable = F.coalesce(F.size(new["collectionIds"]) > 0, F.lit(False)) | F.coalesce(F.size(new["documentIds"]) > 0, F.lit(False))
+    legacy = F.coalesce(F.size(old) > 0, F.lit(False))
+    return conversations.select("conv_id", F.when(usable, new["collectionIds"]).when(legacy, F.array().cast("array<string>")).otherwise(F.array(F.coalesce("project", F.lit("Library")))).alias("c"), F.when(usable, new["documentIds"]).when(legacy, old).alias("d"))
+
+
 def resolved_scope(conversations: DataFrame, memberships: DataFrame, attachments: DataFrame) -> DataFrame:
     """Documents (conv_id, doc_id) in each conversation's scope.
 
@@ -156,15 +165,32 @@ def resolved_scope(conversations: DataFrame, memberships: DataFrame, attachments
     ``ids_json``; else the conversation's project; else the collection Library. Attached documents
     always belong to it. Text that is no JSON counts as none.
     """
-    new = F.from_json("scope_json", "collectionIds array<string>, documentIds array<long>")
-    old = F.from_json("ids_json", "array<long>")
-    usable = F.coalesce(F.size(new["collectionIds"]) > 0, F.lit(False)) | F.coalesce(F.size(new["documentIds"]) > 0, F.lit(False))
-    legacy = F.coalesce(F.size(old) > 0, F.lit(False))
-    rows = conversations.select("conv_id", F.when(usable, new["collectionIds"]).when(legacy, F.array().cast("array<string>")).otherwise(F.array(F.coalesce("project", F.lit("Library")))).alias("c"), F.when(usable, new["documentIds"]).when(legacy, old).alias("d"))
+    rows = _scopes(conversations)
     by_collection = rows.select("conv_id", F.explode("c").alias("collection")).join(memberships, "collection").select("conv_id", "doc_id")
     return by_collection.union(rows.select("conv_id", F.explode("d").alias("doc_id"))).union(attachments.select("conv_id", "doc_id")).distinct()
 
 
+def scope_sizes(conversations: DataFrame, memberships: DataFrame, attachments: DataFrame) -> DataFrame:
+    """How many documents each scope of ``resolved_scope`` has, and the first (conv_id, documents, first); none for an empty one.
+
+    Conversations with the same collections share their documents, so these are counted once for each
+    distinct set of collections; only the documents that conversations name themselves are looked up in them.
+    """
+    rows = _scopes(conversations).select("conv_id", F.array_sort(F.array_distinct(F.coalesce("c", F.array().cast("array<string>")))).alias("c"), "d")
+    held = rows.select("c").distinct().select("c", F.explode("c").alias("collection")).join(memberships, "collection").select("c", "doc_id").distinct()
+    shared = held.groupBy("c").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"))
+    # a conversation may stand in several rows: its scope is that of all of them
+    sets = rows.groupBy("conv_id").agg(F.collect_set("c").alias("sets"))
+    one, many = sets.where(F.size("sets") == 1).select("conv_id", F.col("sets")[0].alias("c")), sets.where(F.size("sets") > 1)
+    own = rows.select("conv_id", F.explode("d").alias("doc_id")).union(attachments.select("conv_id", "doc_id"))
+    wide = many.select("conv_id", F.explode("sets").alias("c")).join(held, "c").select("conv_id", "doc_id")
+    own = own.union(wide).distinct().join(one, "conv_id", "left")
+    same = F.expr("own.c <=> held.c AND own.doc_id <=> held.doc_id")
+    more = own.alias("own").join(held.alias("held"), same, "left_anti").groupBy("conv_id").agg(F.count("*").alias("more"), F.min("doc_id").alias("own_low"))
+    both = one.join(shared, "c").select("conv_id", "n", "low").join(more, "conv_id", "full")
+    return both.select("conv_id", (F.coalesce("n", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("documents"), F.least("low", "own_low").alias("first"))
+
+
 def ordered_collections(collections: DataFrame) -> DataFrame:
     """Collections, built-in ones first, then by name."""
     return collections.orderBy((F.col("type") != "builtin").cast("int"), "name")

@@ -340,7 +340,7 @@ def conversation_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = c.select("conv_id", F.when(k == 0, '{"collectionIds":["src3"],"documentIds":[1,2]}').when(k == 1, "{broken").when(k == 4, '{"collectionIds":[]}').alias("scope_json"), F.when((k == 1) | (k == 2), "[5,6,7]").when(k == 3, "[]").alias("ids_json"), F.when(k == 3, "src4").alias("project"))
     attached = c.select("conv_id", F.lit(3).cast("long").alias("doc_id"))
     members = tables.memberships(spark, sf_dir).select("doc_id", F.when(F.col("collection") == "src1", "Library").otherwise(F.col("collection")).alias("collection"))
-    return library.resolved_scope(rows, members, attached).groupBy("conv_id").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first"))
+    return library.scope_sizes(rows, members, attached)
 
 
 def filtered_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
