@@ -152,7 +152,13 @@ def glyph_soup(documents: DataFrame) -> DataFrame:
 
 def invoice_header(documents: DataFrame) -> DataFrame:
     """Vendor, recipient, number, date and due date: the first labelled line of each, without a figure."""
-    rows = lines(documents).where(F.size(M.figures(F.col("line"))) == 0).join(date_order(lines(documents)), "doc_id", "left")
+    # most lines have neither a label nor a date, and are spared what follows; both kinds are dealt out once
+    titles = "|".join(re.escape(x) for labels in HEADER.values() for x in labels)
+    titled = F.trim("line").rlike(rf"(?i)^(?:{titles})(?![\p{{L}}\p{{N}}])")
+    rows = M.settled(lines(documents), titled=titled, dated=F.col("line").rlike(r"\d[./]\d{1,2}[./]")).where("titled OR dated")
+    rows = M.settled(rows, o=F.when(F.col("dated"), _orders()))
+    rows = rows.withColumn("month_first", F.expr("sum(o.us) OVER (PARTITION BY doc_id) > 0 AND sum(o.eu) OVER (PARTITION BY doc_id) = 0"))
+    rows = M.settled(rows.where("titled"), plain=F.size(M.figures(F.col("line"))) == 0).where("plain")
     value = lambda kind: F.regexp_extract(F.trim("line"), rf"(?i)^(?:{'|'.join(re.escape(x) for x in HEADER[kind])})(?![\p{{L}}\p{{N}}])[\s.:#-]*(\S.*)$", 1)
     day = lambda kind: M.date(F.regexp_extract(value(kind), rf"({M.DATE})", 1), F.coalesce("month_first", F.lit(False)))
     kinds, taken = {}, F.lit(False)
@@ -161,6 +167,8 @@ def invoice_header(documents: DataFrame) -> DataFrame:
         if kind == "recipient":
             got = F.when(~got.rlike(r"(?i)^(?:number|no|nr|nummer|reference|ref|id)\b"), got)
         kinds[kind] = F.when(~taken, got)
-        taken = taken | got.isNotNull()
-    marked = rows.select("doc_id", "pos", *(c.alias(k) for k, c in kinds.items()))
+        taken = taken | F.col(kind).isNotNull()
+    marked = rows
+    for k, c in kinds.items():
+        marked = M.settled(marked, **{k: c})
     return marked.groupBy("doc_id").agg(*(F.min_by(k, F.when(F.col(k).isNotNull(), F.col("pos"))).alias(k) for k in HEADER))
