@@ -64,7 +64,7 @@ def categorised(rows: DataFrame, categories: list[str] | None = None, choose: Ca
     ruled = rows.withColumn("category", by_rule)
     if failed:
         ruled = ruled.withColumn(failed, F.lit(None).cast("string"))
-    return ruled if choose is None else _batched(ruled, "category", CATEGORY_BATCH, lambda frame: choose(frame.description.tolist()), categories, failed)
+    return ruled if choose is None else _batched(ruled, "category", CATEGORY_BATCH, lambda frame: frame.description.tolist(), choose, categories, failed)
 
 
 def failures(rows: DataFrame, failed: str) -> DataFrame:
@@ -72,28 +72,32 @@ def failures(rows: DataFrame, failed: str) -> DataFrame:
     return rows.where(F.col(failed).isNotNull()).groupBy(F.col(failed).alias("reason")).agg(F.count("*").alias("rows"))
 
 
-def _batched(rows: DataFrame, column: str, size: int, make: Callable[[pd.DataFrame], list], allowed: list[str] | None, failed: str | None = None) -> DataFrame:
-    """The rows with what a function makes of each batch; an answer of another length, an error, or a value not allowed leaves the column as it is.
+def _batched(rows: DataFrame, column: str, size: int, given: Callable[[pd.DataFrame], list], make: Callable[[list], list], allowed: list[str] | None, failed: str | None = None) -> DataFrame:
+    """The rows with what a function makes of each batch of what it is given; an answer of another length, an error, or a value not allowed leaves the column as it is.
 
     Of the first two ``failed``, a column of the rows, gets the reason.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
+            values, column_values, reasons = given(frame), frame[column].tolist(), [None] * len(frame)
             for low in range(0, len(frame), size):
-                part = frame.iloc[low : low + size].copy()
-                reason = None
+                part, reason = values[low : low + size], None
+                n = len(part)
                 try:
                     made = list(make(part))
                 except Exception as error:  # a user's function may fail on any batch; its rows keep what they have
                     made, reason = None, type(error).__name__
-                if made is not None and len(made) != len(part):
+                if made is not None and len(made) != n:
                     reason = "length"
-                if failed:
-                    part[failed] = reason
                 if reason is None:
-                    part[column] = [m if isinstance(m, str) and (allowed is None or m in allowed) else old for m, old in zip(made, part[column], strict=True)]
-                yield part
+                    column_values[low : low + n] = [m if isinstance(m, str) and (allowed is None or m in allowed) else old for m, old in zip(made, column_values[low : low + n], strict=True)]
+                reasons[low : low + n] = [reason] * n
+            # tables of a batch each would cost more than what most functions do
+            frame[column] = pd.Series(column_values, index=frame.index, dtype=object)
+            if failed:
+                frame[failed] = pd.Series(reasons, index=frame.index, dtype=object)
+            yield frame
 
     return rows.mapInPandas(run, rows.schema)
 
@@ -111,5 +115,5 @@ def enriched(rows: DataFrame, columns: dict[str, list[str] | None], derive: Call
         out = out.withColumn(name, F.lit("").cast(S.StringType()))
         mark = f"{failed}_{name}" if failed else None
         out = out.withColumn(mark, F.lit(None).cast("string")) if mark else out
-        out = _batched(out, name, ENRICH_BATCH, lambda frame, name=name: derive(name, frame[names].to_dict("records")), allowed, mark)
+        out = _batched(out, name, ENRICH_BATCH, lambda frame: frame[names].to_dict("records"), lambda batch, name=name: derive(name, batch), allowed, mark)
     return out
