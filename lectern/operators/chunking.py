@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lectern.functions import batches as B
 from lectern.functions import text as T
 
 SIZE = 500
@@ -101,9 +102,9 @@ def shared_length(before: str | None, text: str, reach: int = OVERLAP * REACH) -
 
 def _cut(documents: DataFrame, cut, overlap: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part_of in B.parts(batches, "text"):
             out: list[list] = [[], [], [], [], []]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc_id, text in zip(part_of.column(0).to_pylist(), part_of.column(1).to_pylist(), strict=True):
                 before = None
                 for k, (part, n) in enumerate(cut(text or "")):
                     for column, value in zip(out, (doc_id, k, part, n, shared_length(before, part, overlap * REACH)), strict=True):
