@@ -9,11 +9,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, FloatType
 
+from lectern.functions import batches as in_batches
 from lectern.functions import text as T
 from lectern.operators import budgets
 
@@ -70,14 +72,29 @@ class Index:
         """Texts are read twice: for their lengths, which tell how many parts there are, and for their terms."""
         size = chunks.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
         parts = max(1, min(cls.MOST, size.chars // cls.PART))
-        rows = chunks.select(F.col(key).alias("chunk_id"), F.explode(F.array(T.terms(F.col("text")))).alias("terms")).withColumn("dl", F.size("terms").cast("long"))
-        terms = rows.select("chunk_id", "dl", F.explode("terms").alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-        placed = terms.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int"))
-        # a frequent term is spread over several files of its part
-        placed.repartition("part", F.pmod(F.xxhash64("chunk_id"), F.lit(8))).sortWithinPartitions("part", "term").write.partitionBy("part").parquet(f"{path}/postings")
+        cls.postings(chunks, parts, key).sortWithinPartitions("part", "term").drop("slot").write.partitionBy("part").parquet(f"{path}/postings")
         chunks.sparkSession.read.schema("tf long").parquet(f"{path}/postings").agg(F.lit(size.n).cast("long").alias("n"), (F.coalesce(F.sum("tf"), F.lit(0)) / max(size.n, 1)).alias("average"), F.lit(parts).alias("parts")).write.parquet(f"{path}/totals")
         return cls(chunks.sparkSession, path)
 
+    @staticmethod
+    def postings(chunks: DataFrame, parts: int, key: str = "chunk_id") -> DataFrame:
+        """Postings (part, slot, chunk_id, term, tf, dl): a text's terms are counted where it stands, and dealt once."""
+        kind = chunks.schema[key].dataType.simpleString()
+
+        def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in in_batches.parts(batches, "terms"):
+                terms = batch.column("terms")
+                rows = pa.table({"row": np.repeat(np.arange(len(terms)), pc.list_value_length(terms)), "term": pc.list_flatten(terms)}).group_by(["row", "term"], use_threads=False).aggregate([([], "count_all")])
+                at = rows.column("row").combine_chunks()
+                whole = pa.table([batch.column("chunk_id").take(at), batch.column("dl").take(at), rows.column("term"), rows.column("count_all")], ["chunk_id", "dl", "term", "tf"])
+                yield from whole.combine_chunks().to_batches()
+
+        rows = chunks.select(F.col(key).alias("chunk_id"), F.explode(F.array(T.terms(F.col("text")))).alias("terms")).where(F.size("terms") > 0)
+        terms = rows.select("chunk_id", F.size("terms").cast("long").alias("dl"), "terms").mapInArrow(counted, f"chunk_id {kind}, dl long, term string, tf long")
+        # a frequent term is spread over several files of its part; rows of one chunk_id meet in its slot
+        placed = terms.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int")).withColumn("slot", F.pmod(F.xxhash64("chunk_id"), F.lit(8)))
+        return placed.repartition("part", "slot").groupBy("part", "slot", "chunk_id", "term").agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"))
+
     def scores(self, question: str) -> DataFrame:
         """The same scores as ``bm25``."""
         totals = self.spark.read.parquet(f"{self.path}/totals")
