@@ -13,7 +13,7 @@ MOST_ROWS = 10_000
 
 def two_places(cents: Column) -> Column:
     """Whole cents as a number with two decimals and a point."""
-    return F.when(cents.isNotNull(), F.format_string("%s%d.%02d", F.when(cents < 0, "-").otherwise(""), F.floor(F.abs(cents) / 100), F.abs(cents) % 100))
+    return F.when(cents.isNotNull(), F.concat(F.when(cents < 0, "-").otherwise(""), F.floor(F.abs(cents) / 100).cast("string"), F.lit("."), F.lpad((F.abs(cents) % 100).cast("string"), 2, "0")))
 
 
 def cell(value: Column, kind: str) -> Column:
@@ -27,10 +27,19 @@ def table_csv(rows: DataFrame, columns: list[tuple[str, str, str]], key: str, or
 
     Lines end with CR LF, the last one too. A table is one text, so it must be of a size for one.
     """
+    lines = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, csv_line(columns).alias("line")))).alias("x"))
+    return lines.select(key, csv_text(columns, F.col("x.line")).alias("csv"), F.size("x").alias("n_rows"))
+
+
+def csv_line(columns: list[tuple[str, str, str]]) -> Column:
+    """A row as a line of CSV."""
+    return F.concat_ws(",", *(cell(F.col(c), kind) for c, _, kind in columns))
+
+
+def csv_text(columns: list[tuple[str, str, str]], lines: Column) -> Column:
+    """A CSV text of finished lines under the labels."""
     head = F.concat_ws(",", *(T.csv_field(F.lit(label)) for _, label, _ in columns))
-    line = F.concat_ws(",", *(cell(F.col(c), kind) for c, _, kind in columns))
-    lines = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, line.alias("line")))).alias("x"))
-    return lines.select(key, F.concat(F.array_join(F.concat(F.array(head), F.col("x.line")), "\r\n"), F.lit("\r\n")).alias("csv"), F.size("x").alias("n_rows"))
+    return F.concat(F.array_join(F.concat(F.array(head), lines), "\r\n"), F.lit("\r\n"))
 
 
 TRANSACTION = [("date", "date", "text"), ("value_date", "valueDate", "text"), ("description", "description", "text"), ("cents", "amount", "money"), ("currency", "currency", "text"), ("balance", "balanceAfter", "money"), ("page", "sourcePage", "integer")]
@@ -52,7 +61,8 @@ def _number(cents: Column) -> Column:
 
 def _string(value: Column) -> Column:
     """A JSON string or null."""
-    quoted = F.regexp_extract(F.to_json(F.struct(value.cast("string").alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
+    made = F.to_json(F.struct(value.cast("string").alias("v")))
+    quoted = F.substr(made, F.lit(len('{"v":') + 1), F.length(made) - len('{"v":}'))
     return F.when(value.isNull(), "null").otherwise(quoted)
 
 
@@ -107,8 +117,9 @@ def invoice_exports(invoices: DataFrame, lines: DataFrame, key: str = "invoice",
     element = lambda name, value, indent: F.concat(F.lit(" " * indent + f"<{name}>"), value, F.lit(f"</{name}>"))
     inner = [element("description", _escaped(F.col("description")), 6), *(element(n, two_places(F.col(c)), 6) for c, n in (("quantity", "quantity"), ("unit_price", "unitPrice"), ("rate", "taxRatePercent"), ("cents", "lineTotal"))), element("currency", _escaped(F.col("currency")), 6)]
     xml_item = F.concat_ws("\n", F.lit("    <lineItem>"), *inner, F.lit("    </lineItem>"))
-    items = lines.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, json_item.alias("json"), xml_item.alias("xml")))).alias("x"))
-    rows = invoices.join(table_csv(lines, LINE_ITEM, key, order), key, "left").join(items, key, "left")
+    # the three texts of a line go through one grouping
+    items = lines.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(order, csv_line(LINE_ITEM).alias("line"), json_item.alias("json"), xml_item.alias("xml")))).alias("x"))
+    rows = invoices.join(items, key, "left")
     found = F.coalesce(F.col("x"), F.array().cast(rows.schema["x"].dataType))
     totals = _object([(n, _number(F.col(c))) for c, n in TOTALS], 4)
     json = _object([*((n, _string(F.col(c))) for c, n in HEADER), ("lineItems", _list(F.transform(found, lambda i: i["json"]), 4)), ("totals", totals)], 2)
@@ -116,8 +127,7 @@ def invoice_exports(invoices: DataFrame, lines: DataFrame, key: str = "invoice",
         "\n", F.lit('<?xml version="1.0" encoding="UTF-8"?>'), F.lit("<invoice>"), *(element(n, _escaped(F.col(c)), 2) for c, n in HEADER), F.lit("  <lineItems>"),
         F.when(F.size(found) > 0, F.array_join(F.transform(found, lambda i: i["xml"]), "\n")), F.lit("  </lineItems>"), F.lit("  <totals>"), *(element(n, two_places(F.col(c)), 4) for c, n in TOTALS), F.lit("  </totals>"), F.lit("</invoice>"), F.lit(""),
     )
-    empty = F.lit("description,quantity,unitPrice,lineTotal,currency\r\n")
-    return rows.select(key, F.coalesce("csv", empty).alias("csv"), json.alias("json"), xml.alias("xml"))
+    return rows.select(key, csv_text(LINE_ITEM, F.transform(found, lambda i: i["line"])).alias("csv"), json.alias("json"), xml.alias("xml"))
 
 
 def result_tables(tables: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:
