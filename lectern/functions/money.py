@@ -56,7 +56,10 @@ def amount(raw: Column) -> Column:
         whole = ~digits.rlike("[.,]") | (~(digits.contains(".") & digits.contains(",")) & (F.length(tail) == 3))
         plain_digits = F.translate(digits, ".,", "")
         number = F.when(whole, plain_digits).otherwise(F.concat(F.left(plain_digits, F.length(plain_digits) - F.length(tail)), F.lit("."), tail))
-        return F.floor(F.regexp_replace(number, r"\.$", "").try_cast("decimal(30,6)") * 100 + F.lit("0.5").cast("decimal(2,1)")).cast("long")
+        rounded = F.floor(F.regexp_replace(number, r"\.$", "").try_cast("decimal(30,6)") * 100 + F.lit("0.5").cast("decimal(2,1)")).cast("long")
+        # whole numbers and two decimals, which most figures are, need no decimal arithmetic
+        short = F.length(plain_digits) <= 15
+        return F.when(short & whole, plain_digits.cast("long") * 100).when(short & (F.length(tail) == 2), plain_digits.cast("long")).otherwise(rounded)
 
     return once(F.trim(raw), read)
 
@@ -84,15 +87,16 @@ def date(token: Column, month_first: Column | bool = False, year: Column | int |
 
     def read(t: Column) -> Column:
         at = lambda i: F.regexp_extract(t, r"^(\d{1,2})[./](\d{1,2})[./](\d{4}|\d{2})?$", i)
-        return F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), t).otherwise(once(F.struct(at(1).try_cast("int").alias("a"), at(2).try_cast("int").alias("b"), at(3).alias("y")), day))
+        return F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}\z"), t).otherwise(once(F.struct(at(1).try_cast("int").alias("a"), at(2).try_cast("int").alias("b"), at(3).alias("y")), day))
 
     def day(x: Column) -> Column:
         d, m, printed = F.when(month_first, x["b"]).otherwise(x["a"]), F.when(month_first, x["a"]).otherwise(x["b"]), x["y"]
         rolled = F.when((near <= 2) & (m >= 11), anchor - 1).when((near >= 11) & (m <= 2), anchor + 1).otherwise(anchor)
         y = F.when(F.length(printed) == 4, printed.try_cast("int")).when(F.length(printed) == 2, F.floor(anchor / 100) * 100 + printed.try_cast("int")).otherwise(rolled).cast("int")
-        return F.when(x["a"].isNotNull(), F.format_string("%04d-%02d-%02d", y, m, d))
+        return F.when(x["a"].isNotNull(), F.concat(F.lpad(y.cast("string"), 4, "0"), F.lit("-"), m.cast("string"), F.lit("-"), d.cast("string")))
 
-    return F.try_to_date(once(token, read), "yyyy-MM-dd")
+    # a cast reads the same days as the pattern yyyy-MM-dd, without a formatter
+    return once(token, read).try_cast("date")
 
 
 def first_full_date(text: Column) -> Column:
@@ -100,6 +104,11 @@ def first_full_date(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, r"(?<!\d)(\d{4}-\d{2}-\d{2}|\d{1,2}[./]\d{1,2}[./]\d{4})(?!\d)", 1), F.lit(""))
 
 
+def cut(text: Column) -> Column:
+    """A plain text cut at its figures, found in one pass: what is before the first, that figure, what is behind it, the next figure, and so on."""
+    return F.split(F.regexp_replace(text, f"({FIGURE})", f"{CUT}$1{CUT}"), CUT, -1)
+
+
 def figures(text: Column) -> Column:
     """All figures of a text from which the dates have been blanked."""
     return F.regexp_extract_all(without_dates(text), F.lit(f"({FIGURE})"), F.lit(1))

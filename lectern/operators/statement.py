@@ -39,9 +39,10 @@ def _vote() -> Column:
     return M.currency(M.once(figure, lambda f: F.when(f != "", f).otherwise(F.col("line"))))
 
 
-def _orders() -> Column:
+def _orders(has: Column | None = None) -> Column:
     """How many dates of a line show the month first (us), the day first (eu), or either (open); lines with figures have their leading dates only."""
-    part = F.when(F.size(M.figures(F.col("line"))) > 0, F.regexp_extract("line", rf"^\s*((?:{M.DATE})(?:\s+(?:{M.DATE}))?)", 1)).otherwise(F.col("line"))
+    has = F.size(M.figures(F.col("line"))) > 0 if has is None else has
+    part = F.when(has, F.regexp_extract("line", rf"^\s*((?:{M.DATE})(?:\s+(?:{M.DATE}))?)", 1)).otherwise(F.col("line"))
     pairs = F.transform(F.regexp_extract_all(part, F.lit(r"(?<![\d.])(\d{1,2}[./]\d{1,2})[./]"), F.lit(1)), lambda d: F.transform(F.split(d, "[./]"), lambda n: n.cast("int")))
 
     def counted(found: Column) -> Column:
@@ -73,6 +74,41 @@ def date_order(rows: DataFrame) -> DataFrame:
     return votes.select("doc_id", F.expr("us > 0 AND eu = 0").alias("month_first"), F.when(~clean & (F.col("open") > 0), "default").otherwise("evidence").alias("inferred"))
 
 
+def _of_first_figure(dateless: Column, cut: Column) -> Column:
+    """What follows the first figure of a line without line breaks, and a code right before it."""
+    return F.concat(F.regexp_extract(F.right(cut[0], F.lit(4)), r"((?:[A-Z]{3}|[€$£¥])?\s?)\z", 1), dateless.substr(F.length(cut[0]) + 1, F.length(dateless)))
+
+
+def _read(documents: DataFrame) -> DataFrame:
+    """Lines with all that can be read from a line alone; dates are blanked and figures searched once."""
+    leading = rf"^\s*({M.DATE})?(?:\s+({M.DATE}))?"
+    column = F.col
+    rows = lines(documents).withColumn("dateless", M.without_dates(column("line"))).withColumn("cut", M.cut(column("dateless")))
+    lower = F.lower("line")
+    # the stems spare most lines the labels
+    balance = (lower.contains("balance") | lower.contains("saldo") | lower.contains("kontostand")) & lower.rlike("|".join(OPENING + CLOSING + PERIOD))
+    broken = column("line").rlike("[\r\u0085\u2028\u2029]")
+    rows = rows.select("*", balance.alias("balance"), broken.alias("broken"), (F.size("cut") > 1).alias("has"), *(F.regexp_extract("line", leading, i).alias(n) for i, n in ((0, "head"), (1, "first"), (2, "second"))))
+    vote = F.when(column("broken"), _vote()).otherwise(M.currency(F.when(column("has"), _of_first_figure(column("dateless"), column("cut"))).otherwise(column("line"))))
+    words = ~column("has") & ~column("balance") & (M.first_date(column("line")) == "")
+    rest = column("line").substr(F.length("head") + 1, F.length("line"))
+    rows = rows.withColumn("rest", F.when(~column("balance") & (column("first") != ""), rest)).select("*", vote.alias("vote"), _orders(column("has")).alias("o"), F.when(words, F.trim("line")).alias("words"))
+    # behind a blank the rest of a line has the figures and the currency that the line has; else it is read anew
+    same = ~column("broken") & column("rest").rlike(r"^(?:\s|\z)")
+    blanked = F.length("head") - F.length("first") + 1 - F.when(column("second") != "", F.length("second") - 1).otherwise(0)
+    whole = F.struct(column("cut"), column("cut")[0].substr(blanked + 1, F.length(column("cut")[0])).alias("before"), column("vote").alias("currency"))
+
+    def anew(dateless: Column) -> Column:
+        region = F.regexp_extract(dateless, f"((?:(?:[A-Z]{{3}}|[€$£¥])\\s?)?{M.FIGURE}.*)$", 1)
+        return M.once(M.cut(dateless), lambda cut: F.struct(cut.alias("cut"), cut[0].alias("before"), M.currency(region).alias("currency")))
+
+    rows = rows.withColumn("read", F.when(same, whole).when(column("rest").isNotNull(), M.once(M.without_dates(column("rest")), anew)))
+    size, description = F.size("read.cut"), F.trim(F.regexp_replace("read.before", r"\s*(?:[A-Z]{3}|[€$£¥])\s*$", ""))
+    figure = lambda k: column("read.cut")[size - 2 * k]
+    body = F.struct(description.alias("description"), (size > 3).alias("many"), figure(1).alias("last"), F.when(size > 3, figure(2)).alias("other"), column("read.currency").alias("currency"), "first", "second")
+    return rows.select("doc_id", "pos", M.first_full_date(column("line")).alias("full"), "vote", "o", "words", F.when(size > 1, body).alias("row"))
+
+
 def transactions(documents: DataFrame) -> DataFrame:
     """Rows (doc_id, pos, date, value_date, description, cents, balance, currency) of all statements.
 
@@ -81,32 +117,24 @@ def transactions(documents: DataFrame) -> DataFrame:
     is dropped if any row of its statement prints a balance.
     """
     own, order = W.partitionBy("doc_id"), W.partitionBy("doc_id").orderBy("pos")
-    # what depends on the whole document comes from windows over its lines, which are dealt out once
-    rows = lines(documents).select("*", M.first_full_date(F.col("line")).alias("full"), _vote().alias("vote"), _orders().alias("o"))
-    rows = rows.select("doc_id", "pos", "line", F.min_by("full", F.when(F.col("full").isNotNull(), F.col("pos"))).over(own).alias("full"), "vote", *(F.sum(f"o.{k}").over(own).alias(k) for k in ("us", "eu")), F.lead("line").over(order).alias("next"))
+    # what depends on the whole document comes from windows over its lines, which are dealt out once;
+    # a line of words alone right behind a row goes on with its description
+    rows = _read(documents).withColumn("more", F.lead("words").over(order))
+    rows = rows.select("doc_id", "pos", F.min_by("full", F.when(F.col("full").isNotNull(), F.col("pos"))).over(own).alias("full"), "vote", *(F.sum(f"o.{k}").over(own).alias(k) for k in ("us", "eu")), "more", "row")
     same = W.partitionBy("doc_id", "vote")
     rows = rows.withColumn("n", F.count("vote").over(same)).withColumn("earliest", F.min("pos").over(same))
     rows = rows.withColumn("doc_currency", F.max_by("vote", F.when(F.col("vote").isNotNull(), F.struct("n", -F.col("earliest")))).over(own)).withColumn("month_first", F.expr("us > 0 AND eu = 0"))
-    # a line of words alone right behind a row goes on with its description
-    of_next = F.col("next")
-    balance = lambda c: F.lower(c).rlike("|".join(OPENING + CLOSING + PERIOD))
-    words = (F.size(M.figures(of_next)) == 0) & (M.first_date(of_next) == "") & ~balance(of_next)
-    body = rows.withColumn("more", F.when(words, F.trim("next"))).where(~balance(F.col("line")))
-    body = body.withColumn("anchor", M.date(F.col("full"), F.col("month_first")))
-    leading = lambda i: F.regexp_extract("line", rf"^\s*({M.DATE})?(?:\s+({M.DATE}))?", i)
-    rest = F.regexp_replace("line", rf"^\s*(?:{M.DATE})?(?:\s+(?:{M.DATE}))?", "")
-    parse = lambda c: M.date(c, F.col("month_first"), F.year("anchor"), F.month("anchor"))
-    body = body.withColumn("rest", M.without_dates(rest)).withColumn("figures", F.regexp_extract_all("rest", F.lit(f"({M.FIGURE})"), F.lit(1)))
-    body = body.withColumn("date", parse(leading(1))).withColumn("value_date", parse(leading(2))).where(F.size("figures") > 0)
-    description = F.trim(F.regexp_replace(F.regexp_extract("rest", f"(?s)^(.*?){M.FIGURE}", 1), r"\s*(?:[A-Z]{3}|[€$£¥])\s*$", ""))
-    own = description
-    description = F.when(description != "", F.concat_ws(" ", description, "more")).otherwise("")
-    many = F.size("figures") >= 2
-    region = F.regexp_extract("rest", f"((?:(?:[A-Z]{{3}}|[€$£¥])\\s?)?{M.FIGURE}.*)$", 1)
-    body = body.select("doc_id", "pos", "date", "value_date", description.alias("description"), (~many & own.rlike(r"(?:^|\s)\d+$")).alias("doubtful"), M.amount(F.element_at("figures", F.when(many, -2).otherwise(-1))).alias("cents"), F.when(many, M.amount(F.element_at("figures", -1))).alias("balance"), F.coalesce(M.currency(region), F.col("doc_currency")).alias("currency"))
-    body = body.where(F.col("date").isNotNull() & (F.col("description") != "") & F.col("currency").isNotNull())
+    body = rows.where(F.col("row").isNotNull()).select("doc_id", "pos", "full", "month_first", "more", "doc_currency", "row.*").where("description <> ''")
+    # dates with a full year need no anchor
+    short = ~F.col("first").rlike(r"\d{4}") | ((F.col("second") != "") & ~F.col("second").rlike(r"\d{4}"))
+    body = body.withColumn("anchor", F.when(short, M.date(F.col("full"), F.col("month_first"))))
+    parse = lambda c: M.date(F.col(c), F.col("month_first"), F.year("anchor"), F.month("anchor"))
+    body = M.settled(body, date=parse("first"), value_date=F.when(F.col("second") != "", parse("second")), currency=F.coalesce("currency", "doc_currency")).where("date IS NOT NULL AND currency IS NOT NULL")
+    doubtful = ~F.col("many") & F.col("description").rlike(r"(?:^|\s)\d+$")
+    body = M.settled(body, cents=M.amount(F.when(F.col("many"), F.col("other")).otherwise(F.col("last"))), balance=F.when(F.col("many"), M.amount(F.col("last"))))
+    body = body.select("doc_id", "pos", "date", "value_date", F.concat_ws(" ", "description", "more").alias("description"), "cents", "balance", "currency", doubtful.alias("_doubtful"))
     printed = F.max(F.col("balance").isNotNull()).over(W.partitionBy("doc_id"))
-    return body.withColumn("_printed", printed).where(~(F.col("doubtful") & F.col("_printed"))).drop("_printed", "doubtful")
+    return body.withColumn("_printed", printed).where(~(F.col("_doubtful") & F.col("_printed"))).drop("_printed", "_doubtful")
 
 
 def balances(documents: DataFrame) -> DataFrame:
