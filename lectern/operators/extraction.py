@@ -30,6 +30,8 @@ ATTEMPTS = 2
 MARKER, OK, UNPARSED = "__scan__", "ok", "unparsed"
 #: Distinct texts whose replies one task of a stream remembers.
 REMEMBERED = 10_000
+#: Chunk ids whose state a stream keeps together.
+TOGETHER = 4096
 
 RECORDS = "doc_id long, chunk_id long, record_type string, value string, normalized string, content_hash string, model string"
 _DECODER = json.JSONDecoder()
@@ -103,8 +105,12 @@ def _rows(found: list[tuple[str, str]] | None) -> list[tuple[str, str, str]]:
     return [(MARKER, "", marker), *((kind, value, _normalized(value)) for kind, value in found or ())]
 
 
-def _with_hash(chunks: DataFrame) -> DataFrame:
-    return chunks.where(F.trim(F.regexp_replace("text", r"\s+", " ")) != "").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("chunk_id").cast("long").alias("chunk_id"), "text", T.content_hash(F.col("text")).alias("content_hash"))
+def _whole(number: str | None) -> int | None:
+    return None if number is None else int(number)
+
+
+def _with_hash(chunks: DataFrame, *more: str) -> DataFrame:
+    return chunks.where(F.trim(F.regexp_replace("text", r"\s+", " ")) != "").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("chunk_id").cast("long").alias("chunk_id"), "text", T.content_hash(F.col("text")).alias("content_hash"), *more)
 
 
 def scanned(chunks: DataFrame, extract: Callable[[str, int], str | None], model: str, earlier: DataFrame | None = None, attempts: int = ATTEMPTS) -> DataFrame:
@@ -134,28 +140,37 @@ def scanned_stream(chunks: DataFrame, extract: Callable[[str, int], str | None],
     """The same for a stream: keyed state holds the text that each chunk was read with, so a batch costs what it brings.
 
     Rows have a number ``scan`` that goes up whenever a chunk is scanned anew; ``current`` takes the
-    last ones. A task sends equal texts of a batch once, while it remembers them.
+    last ones. A task sends equal texts of a batch once, while it remembers them. Chunks of a run of
+    ``TOGETHER`` ids are a group with one state, since a call for each chunk would cost more than its
+    reading. Where a batch may bring a chunk twice, a column ``arrived`` tells the order.
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        known, number = state.get if state.exists else ("", 0)
-        rows = []
-        for frame in frames:
-            for doc, chunk, text, digest in zip(frame.doc_id, frame.chunk_id, frame.text, frame.content_hash, strict=True):
-                if digest == known:
-                    continue
-                if digest not in memory:
-                    if len(memory) >= REMEMBERED:
-                        memory.clear()
-                    memory[digest] = attempted(text, extract, attempts)
-                found, number = memory[digest], number + 1
-                known = digest if found is not None else ""
-                rows += [(doc, chunk, kind, value, norm, digest, model, number) for kind, value, norm in _rows(found)]
-        state.update((known, number))
-        yield pd.DataFrame(rows, columns=["doc_id", "chunk_id", "record_type", "value", "normalized", "content_hash", "model", "scan"])
+        known = {chunk: (digest, number) for chunk, digest, number in zip(*state.get, strict=True)} if state.exists else {}
+        frame, rows = pd.concat(frames), []
+        if frame.arrived.nunique() > 1:
+            frame = frame.sort_values("arrived", kind="stable")
+        for doc, chunk, text, digest in zip(frame.doc_id, frame.chunk_id, frame.text, frame.content_hash, strict=True):
+            doc, chunk = _whole(doc), _whole(chunk)
+            before, number = known.get(chunk, ("", 0))
+            if digest == before:
+                continue
+            if digest not in memory:
+                if len(memory) >= REMEMBERED:
+                    memory.clear()
+                memory[digest] = attempted(text, extract, attempts)
+            found, number = memory[digest], number + 1
+            known[chunk] = (digest if found is not None else "", number)
+            rows += [(doc, chunk, kind, value, norm, digest, model, number) for kind, value, norm in _rows(found)]
+        state.update((list(known), [digest for digest, _ in known.values()], [number for _, number in known.values()]))
+        yield pd.DataFrame(rows, columns=["doc_id", "chunk_id", "record_type", "value", "normalized", "content_hash", "model", "scan"], dtype=object)
 
     memory: dict[str, list | None] = {}
-    return _with_hash(chunks).groupBy("chunk_id").applyInPandasWithState(run, f"{RECORDS}, scan long", "content_hash string, scan long", "append", "NoTimeout")
+    if "arrived" not in chunks.columns:
+        chunks = chunks.withColumn("arrived", F.lit(""))
+    # ids go as text: beside a null pandas would round them
+    rows = _with_hash(chunks, "arrived").select(F.shiftright("chunk_id", TOGETHER.bit_length() - 1).alias("run"), F.col("doc_id").cast("string").alias("doc_id"), F.col("chunk_id").cast("string").alias("chunk_id"), "text", "content_hash", "arrived")
+    return rows.groupBy("run").applyInPandasWithState(run, f"{RECORDS}, scan long", "chunks array<long>, hashes array<string>, scans array<long>", "append", "NoTimeout")
 
 
 def current(records: DataFrame) -> DataFrame:

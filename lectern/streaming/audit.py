@@ -13,17 +13,25 @@ from lectern.operators import conversation, extraction
 from lectern.sources import folders
 
 KEEP, SLACK = 5000, 250
+#: Bytes of files that a batch of extraction brings: a batch of each file would be a task of each state for each file.
+BATCH_BYTES = 64 << 20
 
 
-def table_stream(spark: SparkSession, path: str, per_batch: int = 1) -> DataFrame:
-    """The rows of a Parquet table, a folder or one file, as its files arrive. An error if there is none."""
+def table_stream(spark: SparkSession, path: str, per_batch: int = 1, batch_bytes: int | None = None) -> DataFrame:
+    """The rows of a Parquet table, a folder or one file, as its files arrive. An error if there is none.
+
+    A batch brings ``per_batch`` files, or files of ``batch_bytes`` together; then ``arrived`` tells their order.
+    """
     schema = spark.read.parquet(path).schema
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch)
+    reader = spark.readStream.schema(schema)
+    reader = reader.option("maxFilesPerTrigger", per_batch) if batch_bytes is None else reader.option("maxBytesPerTrigger", batch_bytes)
     if folders.is_folder(spark, path):
         rows = reader.parquet(path)
     else:
         folder, _, name = path.rpartition("/")
         rows = reader.option("pathGlobFilter", name).parquet(folder)
+    if batch_bytes is not None:
+        rows = rows.withColumn("arrived", F.concat(F.lpad(F.unix_micros("_metadata.file_modification_time").cast("string"), 20, "0"), F.lit(" "), "_metadata.file_path"))
     return rows.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in rows.columns else rows
 
 
