@@ -6,16 +6,25 @@ or none of these. Totals go to the label right before each figure, items must pa
 quantity x price = total before a quantity is split off, and a total that was read from a bare
 number stays only if no check speaks against it or one speaks for it. What can't be read for
 certain is counted, never guessed.
+
+Lines are read in Python, a document at a time and next to its other texts, so that its currency
+and its unread lines are known without dealing out its lines; a line costs some microseconds, where
+column expressions took ten times that. Blanks, digits and line ends are those of the engine's patterns.
 """
 
 from __future__ import annotations
 
 import re
+import tempfile
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from lectern.functions import batches
 from lectern.functions import money as M
 from lectern.operators import statement
 
@@ -32,102 +41,437 @@ WITHOUT_TAX = ("excl", "exkl", "excluding", "net of tax", "before tax", "ohne st
 #: What follows the label of a customer's number, and is no name.
 NUMBERS = ("number", "no", "nr", "nummer", "reference", "ref", "id")
 
-_EDGE = r"(?![\p{L}\p{N}])"
-_START = r"(?<![\p{L}\p{N}])"
-_RATE = r"\d[\d.,']*\s*%"
+#: What is read of a line, beside its document's id.
+FIELDS = "pos int, line string, kind string, currency string, description string, quantity double, tax_rate double, unit_price long, cents long, labels array<string>, amounts array<long>, weak boolean, rate double, dropped long"
+_ARROW = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "array<string>": pa.list_(pa.string()), "array<long>": pa.list_(pa.int64())}
+_TYPES = {name: _ARROW[kind] for name, kind in (field.split(" ") for field in FIELDS.split(", "))}
+#: Documents (or texts of one document) beyond these bytes are read line by line, not kept as rows until their end.
+LARGE = 4 << 20
+_ROWS = 1 << 13
+_LONG = (1 << 63) - 1
+
+_EDGE = r"(?![^\W_])"
+_START = r"(?<![^\W_])"
+_SPACE = r" \t\n\x0b\f\r"  # blanks of the engine's patterns are ASCII
+_BREAKS = r"\r\u0085\u2028\u2029"
+_LINE = rf"[^\n{_BREAKS}]"
+_END = rf"(?=[{_BREAKS}]?\Z)"
 _SIGNS = "0123456789./-,'"
 _HIDDEN = "".join(chr(0xE000 + i) for i in range(len(_SIGNS)))
-_BETWEEN = rf"\d[\d.,'%]*|[\s.:;#/\\()€$£¥%{_HIDDEN}-]+|{_START}(?:{'|'.join(FILLER)})(?![^\s.:;#/\\()€$£¥%{_HIDDEN}\d-])"
+_HIDE, _SHOW = str.maketrans(_SIGNS, _HIDDEN), str.maketrans(_HIDDEN, _SIGNS)
+
+
+def _folded(words: Iterable[str]) -> str:
+    """Words as a pattern that takes ASCII letters, and no others, in either case."""
+    return "|".join("".join(f"[{c}{c.upper()}]" if c.isascii() and c.isalpha() else re.escape(c) for c in w) for w in words)
+
+
+def _any_of(words: Iterable[str]) -> str:
+    return "|".join(re.escape(w) for w in words)
+
+
+_FIGURE_TEXT = rf"(?<![^\W_])(?<![.,])(?:\([{_SPACE}]?)?[-+]?[{_SPACE}]?(?:[0-9]{{1,3}}(?:[.,' ][0-9]{{3}})+(?:[.,][0-9]{{2}})?|[0-9]+[.,][0-9]{{2}})(?:[{_SPACE}]?\)|-)?(?![^\W_]|[.,][0-9])"
+_FIGURE = re.compile(_FIGURE_TEXT)
+#: A figure from its first digit on, and what may stand before that; a search that begins with a digit is several times as fast.
+_FROM_DIGIT = re.compile(rf"[0-9](?<![^\W_].)(?<![.,].)(?:[0-9]{{0,2}}(?:[.,' ][0-9]{{3}})+(?:[.,][0-9]{{2}})?|[0-9]*[.,][0-9]{{2}})(?:[{_SPACE}]?\)|-)?(?![^\W_]|[.,][0-9])")
+_BLANKS = " \t\n\x0b\f\r"
+_MAY_BE_BEFORE = frozenset(_BLANKS + "-+(")
+_BEFORE = frozenset(a + b + c for a in ("", "(", *("(" + x for x in _BLANKS)) for b in ("", "-", "+") for c in ("", *_BLANKS))
+_UNIT_ENDS = frozenset("0123456789xX×.kKcCsStT")
+#: Line ends, and characters that hide digits: lines with them are read by patterns alone.
+_ODD = re.compile(rf"[{_BREAKS}\ue000-\uf8ff]")
+_DATE_TEXT = M.DATE.replace(r"\d", "[0-9]")
+_DATE = re.compile(_DATE_TEXT)
+_DATES = re.compile(rf"(?<![0-9.])(?:{_DATE_TEXT})(?![0-9])")
+_DIGIT = re.compile("[0-9]")
+_RATE = re.compile(rf"[0-9][0-9.,']*[{_SPACE}]*%")
+_PERCENT = re.compile(rf"([0-9]+(?:[.,][0-9]+)?)[{_SPACE}]*%")
+_FROM_FIGURE = re.compile(rf"((?:[A-Z]{{3}}|[€$£¥])?[{_SPACE}]?{_FIGURE_TEXT}{_LINE}*){_END}")
+_CURRENCY_CODE = re.compile(rf"(?:{'|'.join(M.CURRENCIES)})(?<![^\W_]...){_EDGE}")
+_SIGN = re.compile("[€$£¥]")
+_BEHIND = rf"[{_SPACE}.:;#/\\()€$£¥%{_HIDDEN}-]"
+_BETWEEN = re.compile(rf"[0-9][0-9.,'%]*|{_BEHIND}+|{_START}(?:{'|'.join(FILLER)})(?=[{_SPACE}.:;#/\\()€$£¥%{_HIDDEN}0-9-]|\Z)")
+_LABELS = {kind: _any_of(labels) for kind, labels in statement.TOTALS.items()}
+_WITHIN = {kind: re.compile(rf"{_START}(?:{x}){_EDGE}") for kind, x in _LABELS.items()}
+_LEADING = {kind: re.compile(rf"(?:{x}){_EDGE}") for kind, x in _LABELS.items()}
+_EVERY = [x for labels in statement.TOTALS.values() for x in labels]
+_LABELLED = re.compile(rf"[{''.join(sorted({x[0] for x in _EVERY}))}](?<![^\W_].)(?:{'|'.join(f'(?<={x[0]}){re.escape(x[1:])}' for x in _EVERY)}){_EDGE}")
+_LEADS = re.compile(rf"(?:{'|'.join(_LABELS.values())}){_EDGE}")
+_WORD = re.compile(r"[^\W_]+")
+#: The first words of labels: one stands between edges, so a line that begins with another word does not begin with a label.
+_FIRST = frozenset(_WORD.match(x).group() for x in _EVERY)
+_FIRST_OF_TITLE = frozenset(_WORD.match(x).group() for labels in statement.HEADER.values() for x in labels)
+_WITHOUT = re.compile(rf"(?<!\w)(?:{_any_of(WITHOUT_TAX)})|{_START}nett?o?{_EDGE}")
+_LEADING_DATES = re.compile(rf"(?:[\ue000-\uf8ff]+[{_SPACE}]+){{1,2}}")
+_SIGNED = re.compile("[-+()]")
+_TWO = re.compile(rf"[.,][0-9]{{2}}{_END}")
+_BARE = re.compile(rf"[{_SPACE}]*[-+(]?[0-9][0-9.,']*\)?[{_SPACE}]*{_END}")
+_BESIDE = re.compile(rf"((?:[A-Z]{{3}}|[€$£¥])[{_SPACE}]?){_END}")
+_CURRENCY_LAST = re.compile(rf"[{_SPACE}]*(?:[A-Z]{{3}}|[€$£¥])[{_SPACE}]*{_END}")
+_SHAPED = re.compile(rf"[.,][0-9]{{2}}[){_SPACE}-]*{_END}")
+_TITLE = re.compile(rf"(?:{_any_of(x for labels in statement.HEADER.values() for x in labels)}){_EDGE}")
+_HEADER = {kind: re.compile(rf"(?:{_folded(labels)}){_EDGE}[{_SPACE}.:#-]*([^{_SPACE}]{_LINE}*){_END}") for kind, labels in statement.HEADER.items()}
+_NUMBERED = re.compile(rf"(?:{_folded(NUMBERS)}){_EDGE}")
+_UNITS = r"(?:[xX]|×|" + _folded(["stk"]) + r"\.?|" + _folded(["stück"]) + "|[pP][cC][sS]?" + r"\.?|" + _folded(["unit"]) + "[sS]?"
+_COLUMNS = re.compile(rf"({_LINE}*?)[{_SPACE}]+([0-9]+)[{_SPACE}]+([0-9]+(?:[.,][0-9]+)?)[{_SPACE}]*%[{_SPACE}]*{_END}")
+_TRAIL = re.compile(rf"({_LINE}*?)[{_SPACE}]+([0-9]+(?:[.,][0-9]+)?)[{_SPACE}]*({_UNITS}))?[{_SPACE}]*{_END}")
+_LEAD = re.compile(rf"([0-9]+)[{_SPACE}]*{_UNITS}|[hH]|{_folded(['std'])}\.?)[{_SPACE}]+([^\W\d_]{_LINE}*){_END}")
+_ROW_NUMBER = re.compile(rf"[0-9]{{1,3}}[{_SPACE}]+")
+_NO_FIGURE = re.compile("[^0-9.,]")
+_INTEGER = rf"(?:\([{_SPACE}]*)?-?(?<![0-9.,])[0-9]+(?![0-9]|[.,][0-9])(?:[{_SPACE}]*\)|-)?"
+_CODES = "|".join(M.CURRENCIES)
+_INTEGERS = re.compile(rf"(?:[€$£¥][{_SPACE}]*|{_START}(?:{_CODES})[{_SPACE}]+){_INTEGER}|{_INTEGER}[{_SPACE}]*(?:[€$£¥]|(?<=[{_SPACE}])(?:{_CODES}){_EDGE})")
+_ONE_INTEGER = re.compile(_INTEGER)
+
+
+def _places(text: str) -> list[tuple[int, int]]:
+    """Where the figures of a text begin and end, as a search for ``money.FIGURE`` finds them."""
+    found, end = [], 0
+    for core in _FROM_DIGIT.finditer(text):
+        start = core.start()
+        if start > end and text[start - 1] in _MAY_BE_BEFORE:
+            for at in range(max(end, start - 4), start):
+                if text[at:start] in _BEFORE and not (at and (text[at - 1].isalnum() or text[at - 1] in ".,")):
+                    start = at
+                    break
+        end = core.end()
+        found.append((start, end))
+    return found
 
 
-def _masked(text: Column, pattern: str) -> Column:
-    """The text with the digits and marks of every match hidden, at the same length."""
-    between, found = M.parts(text, pattern), F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    masked = F.array_join(F.zip_with(between, found, lambda b, m: F.concat(b, F.coalesce(F.translate(m, _SIGNS, _HIDDEN), F.lit("")))), "")
-    return F.when(text.rlike(pattern), masked).otherwise(text)
+def _without(text: str, places: list[tuple[int, int]]) -> str:
+    """A text with a blank for each figure."""
+    at, kept = 0, []
+    for start, end in places:
+        kept.append(text[at:start])
+        at = end
+    return " ".join([*kept, text[at:]])
 
 
-def _shown(text: Column) -> Column:
-    return F.translate(text, _HIDDEN, _SIGNS)
+def _amount(raw: str) -> int | None:
+    """``money.amount`` of a figure or a whole number in Python; null too beyond the range of a long."""
+    s = raw.strip(" ")
+    number = s.replace(".", "").replace(",", "")
+    if not (number.isascii() and number.isdigit()):
+        negative = s.startswith("-") or s.rstrip(_BLANKS).endswith("-") or (s.startswith("(") and s.endswith(")"))
+        digits = _NO_FIGURE.sub("", s)
+        value = _amount(digits) if digits else None
+        return -value if negative and value is not None else value
+    at = max(s.rfind("."), s.rfind(","))
+    size = len(s) - at - 1 if at >= 0 else 0
+    if at < 0 or (size == 3 and not ("." in s and "," in s)):
+        value = int(number) * 100
+    else:
+        value = int(number) if size == 2 else (200 * int(number) + 10**size) // (2 * 10**size)
+    return value if value <= _LONG else None
 
 
-def _only_filler(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(text), _BETWEEN, " ")) == ""
+def _currency(text: str) -> str | None:
+    """``money.currency`` in Python."""
+    found = _CURRENCY_CODE.search(text)
+    if found:
+        return found.group()
+    if "$" in text or (not text.isascii() and _SIGN.search(text)):
+        return next(code for mark, code in M.SIGNS if mark in text)
+    return None
 
 
-def _labels(kind: str) -> str:
-    return "|".join(re.escape(x) for x in statement.TOTALS[kind])
+def _currency_beside(before: str, region: str) -> str | None:
+    """The currency of a code or sign right before a figure, and of the text from the figure on."""
+    before = before[:-1] if before and before[-1] in _BLANKS else before
+    code = before[-3:]
+    if len(code) == 3 and code.isascii() and code.isalpha() and code.isupper():
+        return code if code in M.CURRENCIES else _currency(f"{code} {region}")
+    return _currency(f"{code[-1]} {region}" if code and code[-1] in "€$£¥" else region)
 
 
-def _label_of(segment: Column) -> Column:
-    """The kind of total that a text before a figure names, if it is that and filler; null otherwise."""
-    low, found = F.lower(segment), F.lit(None).cast("string")
-    for kind in reversed(statement.TOTALS):
-        label = rf"{_START}(?:{_labels(kind)}){_EDGE}"
-        found = F.when(low.rlike(label) & _only_filler(F.regexp_replace(low, label, " ")), kind).otherwise(found)
-    return found
+def _last_integer(line: str) -> int | None:
+    found = _INTEGERS.findall(_DATES.sub(" ", line))
+    one = _ONE_INTEGER.search(found[-1]) if found else None
+    return _amount(one.group()) if one else None
 
 
-def _date_pattern() -> str:
-    return rf"(?<![\d.])(?:{M.DATE})(?!\d)"
+def _double(text: str) -> float:
+    return float(text.replace(",", "."))
 
 
-def classed(documents: DataFrame) -> DataFrame:
-    """Every line (doc_id, pos, line) with its ``kind`` and what totals and items need.
+def _percent(line: str) -> float | None:
+    found = _PERCENT.search(line)
+    return _double(found.group(1)) if found else None
+
+
+def _only_filler(text: str) -> bool:
+    return _BETWEEN.sub(" ", text.lower()).strip(" ") == ""
 
-    Kinds: ``totals`` (of one label or several), ``header``, ``summary`` (a label of totals alone
-    before its figure), ``item``, ``dropped`` (a figure that can't be read for certain) and ``words``.
-    """
-    rows = statement.with_currency(statement.lines(documents).withColumn("line", F.trim("line")))
-    rows = M.settled(rows, dated=_masked(F.col("line"), _date_pattern()))
-    rows = M.settled(rows, scan=_masked(F.col("dated"), _RATE))
-    rows = rows.withColumn("figures", F.regexp_extract_all("scan", F.lit(f"({M.FIGURE})"), F.lit(1))).withColumn("segments", M.parts(F.col("scan"), M.FIGURE))
-    # most lines name no total, and are spared what follows
-    every = "|".join(_labels(kind) for kind in statement.TOTALS)
-    rows = rows.withColumn("low", F.lower("line")).withColumn("labelled", F.col("low").rlike(rf"{_START}(?:{every}){_EDGE}")).withColumn("leading", F.col("low").rlike(rf"^(?:{every}){_EDGE}"))
+
+def _label_of(segment: str) -> str | None:
+    """The kind of total that a text before a figure names, if it is that and filler; null otherwise."""
+    low = segment.lower()
+    return next((kind for kind, label in _WITHIN.items() if label.search(low) and _only_filler(label.sub(" ", low))), None)
+
+
+def _hidden(found: re.Match) -> str:
+    return found.group().translate(_HIDE)
+
+
+def _vote(line: str) -> str | None:
+    """The currency that any line with a digit votes for, as ``statement.with_currency`` counts it."""
+    found = _FROM_FIGURE.search(_DATES.sub(" ", line))
+    return _currency(found.group(1) if found else line)
+
+
+def _names(line: str) -> bool:
+    """Whether a line that begins with a title of a header gives what it names."""
+    for kind, title in _HEADER.items():
+        found = title.match(line)
+        if found and (_DATE.search(found.group(1)) if "date" in kind else kind != "recipient" or not _NUMBERED.match(found.group(1))):
+            return True
+    return False
+
+
+def _read(line: str) -> tuple:
+    """A trimmed line's vote for a currency, its kind, and what it takes: of an item amounts, words, its own currency and the kind without any; of totals labels, amounts, weakness and rate."""
+    low, digit = line.lower(), _DIGIT.search(line)
+    odd = "\r" in line or (not line.isascii() and _ODD.search(line))
+    first = _WORD.match(low)
+    first = first.group() if first else ""
+    dated, places, figures = line, (), []
+    if digit:
+        dates = (line.count("-") > 1 or line.count(".") + line.count("/") > 1) and _DATES.search(line)
+        dated = _DATES.sub(_hidden, line) if dates else line
+        places = shown = _places(dated)
+        scan = dated
+        rates = [r.span() for r in _RATE.finditer(dated)] if "%" in line else ()
+        if rates:
+            scan, at = "", 0
+            for start, end in rates:
+                scan, at = scan + dated[at:start] + dated[start:end].translate(_HIDE), end
+            scan += dated[at:]
+            # a figure that no rate touches is the same with the rates hidden
+            if any(start < rate_end and end > rate_start - 2 for start, end in places for rate_start, rate_end in rates):
+                shown = _places(scan)
+        figures = [scan[a:b] for a, b in shown]
+        if odd or dates:
+            vote = _vote(line)
+        else:
+            vote = _currency_beside(line[max(0, places[0][0] - 4) : places[0][0]], line[places[0][0] :]) if places else _currency(line)
+    else:
+        vote = _currency(line)
 
     # a line of several labels: each figure belongs to the label right before it
-    several = (F.size("figures") >= 2) & F.col("labelled")
-    rows = rows.withColumn("owners", F.when(several, F.transform(F.slice("segments", 1, F.size("figures")), _label_of)))
-    multi = several & ~F.exists("owners", lambda k: k.isNull()) & (F.size(F.array_distinct("owners")) >= 2)
-    rows = rows.withColumn("multi", F.coalesce(multi, F.lit(False)))
+    owners, multi = None, False
+    if len(figures) >= 2 and _LABELLED.search(low):
+        owners = [_label_of(scan[a:b]) for a, b in zip((0, *(e for _, e in shown)), (s for s, _ in shown))]
+        multi = None not in owners and len(set(owners)) >= 2
+
+    if first in _FIRST_OF_TITLE and _TITLE.match(low) and _names(line) and not (figures and (any(_SHAPED.search(f) for f in figures) or _currency(scan))):
+        return vote, "header"
+    if multi:
+        return vote, "totals", owners, [_amount(f) for f in figures], False, None
 
     # a line of one label, and nothing but filler behind it
-    single = F.lit(None).cast("string")
-    summary = F.lit(False)
-    for kind in reversed(statement.TOTALS):
-        label = rf"^(?:{_labels(kind)}){_EDGE}"
-        behind = F.regexp_replace("low", label, "")
-        alone = F.col("low").rlike(label)
-        figureless = F.regexp_replace(F.regexp_replace(behind, _date_pattern(), " "), M.FIGURE, " ")
-        single = F.when(alone & _only_filler(figureless), kind).otherwise(single)
-        summary = summary | (alone & _only_filler(F.element_at(M.parts(F.regexp_replace(F.lower("dated"), label, ""), M.FIGURE), 1)))
-    without = F.col("low").rlike(rf"\b(?:{'|'.join(WITHOUT_TAX)})|{_START}nett?o?{_EDGE}")
-    single = F.when(F.col("leading") & ~F.col("multi"), single)
-    rows = rows.withColumn("label", M.once(single, lambda k: F.when((k == "gross") & without, "net").otherwise(k))).withColumn("summary", F.when(F.col("leading"), summary).otherwise(F.lit(False)))
+    if first in _FIRST and _LEADS.match(low):
+        summary = False
+        for kind, label in _LEADING.items():
+            found = label.match(low)
+            if found:
+                behind = low[found.end() :]
+                behind = _DATES.sub(" ", behind) if digit else behind
+                if _only_filler(_without(behind, _places(behind)) if digit else behind):
+                    kind = "net" if kind == "gross" and _WITHOUT.search(low) else kind
+                    value = _amount(figures[-1]) if figures else None
+                    return vote, "totals", [kind], [_last_integer(line) if value is None else value], not figures, _percent(line) if kind == "tax" else None
+                behind = dated.lower()
+                behind = behind[label.match(behind).end() :]
+                until = _FIGURE.search(behind)
+                summary = summary or _only_filler(behind[: until.start()] if until else behind)
+        if summary:
+            return vote, "summary"
 
     # an item: its figures with those of dates hidden
-    rows = rows.withColumn("rest", F.regexp_replace("dated", rf"^(?:[-]+\s+){{1,2}}", ""))
-    rows = rows.withColumn("amounts", F.regexp_extract_all("rest", F.lit(f"({M.FIGURE})"), F.lit(1))).withColumn("cut", M.parts(F.col("rest"), M.FIGURE))
-    fused = F.exists("amounts", lambda a: F.trim(F.regexp_replace(a, r"[-+()]", "")).contains(" ") & ~F.trim(F.regexp_replace(a, r"[-+()]", "")).rlike(r"[.,]\d{2}$"))
-    uncaught = F.element_at("cut", -1).rlike(r"^\s*[-+(]?\d[\d.,']*\)?\s*$")
-    region = F.substring("rest", F.length(F.element_at("cut", 1)) + 1, F.length("rest"))
-    beside = F.concat(F.regexp_extract(F.element_at("cut", 1), r"((?:[A-Z]{3}|[€$£¥])\s?)$", 1), region)
-    rows = rows.withColumn("currency", F.coalesce(M.currency(_shown(beside)), F.col("doc_currency")))
-    before = F.trim(F.regexp_replace(_shown(F.element_at("cut", 1)), r"\s*(?:[A-Z]{3}|[€$£¥])\s*$", ""))
-    rows = rows.withColumn("words", before)
-    readable = (F.size("amounts") > 0) & ~fused & ~uncaught & (F.col("words") != "") & F.col("currency").isNotNull()
-
-    titles = "|".join(re.escape(x) for labels in statement.HEADER.values() for x in labels)
-    shaped = F.exists("figures", lambda f: f.rlike(r"[.,]\d{2}[)\s-]*$")) | ((F.size("figures") > 0) & M.currency(F.col("scan")).isNotNull())
-    named = F.lit(False)
-    for kind, labels in statement.HEADER.items():
-        value = F.regexp_extract("line", rf"(?i)^(?:{'|'.join(re.escape(x) for x in labels)}){_EDGE}[\s.:#-]*(\S.*)$", 1)
-        fits = (value != "") if "date" not in kind else F.regexp_extract(value, f"({M.DATE})", 1) != ""
-        named = named | (fits & ~value.rlike(rf"(?i)^(?:{'|'.join(NUMBERS)}){_EDGE}") if kind == "recipient" else fits)
-    named = F.when(F.col("low").rlike(rf"^(?:{titles}){_EDGE}"), named).otherwise(F.lit(False))
-    kind = F.when(named & ~shaped, "header").when(F.col("multi") | F.col("label").isNotNull(), "totals").when(F.col("summary"), "summary").when(readable, "item").when(F.size("figures") > 0, "dropped").otherwise("words")
-    return M.settled(rows, kind=kind).select("doc_id", "pos", "line", "kind", "multi", "label", "owners", "figures", "amounts", "words", "currency")
+    if not places:
+        return vote, "dropped" if figures else "words"
+    none = "dropped" if figures else "words"
+    leading = _LEADING_DATES.match(dated) if odd or dates else None
+    rest = dated[leading.end() :] if leading else dated
+    places = _places(rest) if leading else places
+    if not places:
+        return vote, none
+    at, end = places[0][0], places[-1][1]
+    amounts, before, region = [rest[a:b] for a, b in places], rest[:at], rest[at:]
+    if end < len(rest) and _BARE.match(rest[end:]):
+        return vote, none
+    for amount in amounts:
+        if " " in amount.strip(" "):
+            bare = _SIGNED.sub("", amount).strip(" ")
+            if " " in bare and not _TWO.search(bare):
+                return vote, none
+    if odd:
+        words = _CURRENCY_LAST.sub("", before.translate(_SHOW)).strip(" ")
+        beside = _BESIDE.search(before)
+        currency = _currency(((beside.group(1) if beside else "") + region).translate(_SHOW))
+    else:
+        words = (before.translate(_SHOW) if dates else before).rstrip(_BLANKS)
+        code = words[-3:]
+        if len(code) == 3 and code.isascii() and code.isalpha() and code.isupper():
+            words = words[:-3].rstrip(_BLANKS).strip(" ")
+        elif words and words[-1] in "€$£¥":
+            words = words[:-1].rstrip(_BLANKS).strip(" ")
+        else:
+            words = before.translate(_SHOW).strip(" ") if dates else before.strip(" ")
+        currency = _currency_beside(before, region.translate(_SHOW)) if dates else vote
+    return (vote, "item", amounts, words, currency, none) if words else (vote, none)
+
+
+def _item(amounts: list[str], words: str) -> tuple:
+    """Description, quantity, tax rate, unit price and cents of an item."""
+    cents, price = _amount(amounts[-1]), _amount(amounts[-2]) if len(amounts) >= 2 else None
+    last = words.rstrip(_BLANKS)[-1:]
+    odd = not words.isascii() or "\r" in words
+    if price is not None:
+        columns = _COLUMNS.match(words) if last == "%" or odd else None
+        if columns and cents is not None:
+            clean = _ROW_NUMBER.match(columns.group(1))
+            clean = (columns.group(1)[clean.end() :] if clean else columns.group(1)).strip(" ")
+            n = int(columns.group(2))
+            if clean and n <= _LONG and n * price == cents:
+                return clean, _double(columns.group(2)), _double(columns.group(3)), price, cents
+        lead = _LEAD.match(words)
+        if lead and lead.group(2)[0].isalpha():
+            return lead.group(2), _double(lead.group(1)), None, price, cents
+    trail = _TRAIL.match(words) if last in _UNIT_ENDS or odd else None
+    if trail and trail.group(1).strip(" ") and (trail.group(3) or price is not None):
+        return trail.group(1).strip(" "), _double(trail.group(2)), None, price, cents
+    return words, None, None, price, cents
+
+
+def _lines(texts: Iterable[str | None]) -> Iterator[tuple[int, str]]:
+    """The lines of plain texts that aren't blank, trimmed, with their position in their text."""
+    for text in texts:
+        if text is not None:
+            at, pos = 0, 0
+            while at >= 0:
+                end = text.find("\n", at)
+                line = text[at:] if end < 0 else text[at : end - 1] if end > at and text[end - 1] == "\r" else text[at:end]
+                line = line.strip(" ")
+                if line:
+                    yield pos, line
+                at, pos = end + 1 if end >= 0 else -1, pos + 1
+
+
+def _rows(texts: Iterable[str | None]) -> Iterator[tuple]:
+    """Of every line its vote, position, text, kind, and what it takes; an item has what its kind is without any currency, its own one, and its fields, and a line of words right below goes on with its description."""
+    held = None
+    for pos, line in _lines(texts):
+        read = _read(line)
+        kind = read[1]
+        if held is not None:
+            yield held if kind != "words" or pos != held[1] + 1 else (*held[:6], f"{held[6]} {line}", *held[7:])
+            held = None
+        if kind == "item":
+            held = (read[0], pos, line, kind, read[5], read[4], *_item(read[2], read[3]))
+        else:
+            yield (read[0], pos, line, *read[1:])
+    if held is not None:
+        yield held
+
+
+class _Kept:
+    """Texts of one document, in memory or beyond ``LARGE`` in a file."""
+
+    def __init__(self):
+        self.file, self.ends, self.size = tempfile.SpooledTemporaryFile(max_size=LARGE), [], 0
+
+    def add(self, text: str | None) -> None:
+        data = (text or "").encode()
+        self.file.write(data)
+        self.size += len(data)
+        self.ends.append(len(data))
+
+    def __iter__(self) -> Iterator[str]:
+        self.file.seek(0)
+        for n in self.ends:
+            yield self.file.read(n).decode()
+
+
+def _document(texts: Iterable[str | None], large: bool, kinds: frozenset[str]) -> Iterator[tuple]:
+    """The rows of one document that are of the kinds, with how many of its lines were dropped.
+
+    The currency of a document is that of most lines, on a tie that of the least position; without any, a line without one is no item.
+    """
+    kept = None if large else list(_rows(texts))
+    votes: dict[str, list[int]] = {}
+    dropped = bare = 0
+    for row in _rows(texts) if large else kept:
+        if row[0]:
+            count = votes.setdefault(row[0], [0, -row[1]])
+            count[0], count[1] = count[0] + 1, max(count[1], -row[1])
+        if row[3] == "dropped":
+            dropped += 1
+        elif row[3] == "item" and row[4] == "dropped" and not row[5]:
+            bare += 1
+    currency = max(votes, key=votes.get) if votes else None
+    dropped += 0 if currency else bare
+    for _, pos, line, kind, *found in _rows(texts) if large else kept:
+        if kind == "item":
+            if found[1] or currency:
+                if "item" in kinds:
+                    yield pos, line, kind, found[1] or currency, *found[2:], None, None, None, None, dropped
+                continue
+            kind = found[0]
+        if kind in kinds:
+            yield (pos, line, kind, None, None, None, None, None, None, *(found if kind == "totals" else (None, None, None, None)), dropped)
+
+
+KINDS = ("totals", "header", "summary", "item", "dropped", "words")
+
+
+def classed(documents: DataFrame, kinds: Iterable[str] = KINDS) -> DataFrame:
+    """Every line (doc_id, pos, line) with its ``kind`` and what totals and items need; with ``kinds`` lines of these only.
+
+    Kinds: ``totals`` (of one label or several), ``header``, ``summary`` (a label of totals alone
+    before its figure), ``item``, ``dropped`` (a figure that can't be read for certain) and ``words``.
+    Items have ``currency``, ``description`` with the line of words right below, ``quantity``, ``tax_rate``,
+    ``unit_price`` and ``cents``; totals have ``labels``, ``amounts``, ``weak`` and ``rate``; all have how many lines of
+    their document were ``dropped``. Rows of one doc_id are one document, which votes for one currency.
+    """
+    plain = documents.select("doc_id", M.plain(F.col("text")).alias("text"))
+    # the window brings the rows of a doc_id together, one behind the other, and says how many they are
+    together = plain.withColumn("texts", F.count(F.lit(1)).over(W.partitionBy("doc_id")))
+    schema = T.StructType([T.StructField("doc_id", plain.schema["doc_id"].dataType), *T.StructType.fromDDL(FIELDS)])
+    kept = frozenset(kinds)
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, made, rest, texts = [], [], 0, None
+
+        def batch(key: pa.DataType) -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(ids, key), *(pa.array(c, t) for c, t in zip(zip(*made, strict=True), _TYPES.values(), strict=True))], names=["doc_id", *_TYPES])
+            ids.clear()
+            made.clear()
+            return out
+
+        for part in batches.parts(found, "text"):
+            key_type = part.schema.field("doc_id").type
+            for key, text, n in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "texts")), strict=True):
+                if n == 1:
+                    document, large = (text,), text is not None and len(text) > LARGE
+                else:
+                    if not rest:
+                        rest, texts = n, _Kept()
+                    texts.add(text)
+                    rest -= 1
+                    if rest:
+                        continue
+                    document, large = texts, texts.size > LARGE
+                for row in _document(document, large, kept):
+                    ids.append(key)
+                    made.append(row)
+                    if len(made) >= _ROWS:
+                        yield batch(key_type)
+        if made:
+            yield batch(key_type)
+
+    return together.mapInArrow(run, schema)
 
 
 def items(rows: DataFrame, unread: bool = False) -> DataFrame:
@@ -139,23 +483,7 @@ def items(rows: DataFrame, unread: bool = False) -> DataFrame:
     only behind them and beside a price. A line of words right below goes on with the description.
     With ``unread`` each has its document's ``dropped``, as ``unread`` counts them, without reading the lines again.
     """
-    order = W.partitionBy("doc_id").orderBy("pos")
-    following = F.when((F.lead("kind").over(order) == "words") & (F.lead("pos").over(order) == F.col("pos") + 1), F.lead("line").over(order))
-    dropped = F.sum((F.col("kind") == "dropped").cast("long")).over(W.partitionBy("doc_id"))
-    rows = rows.withColumn("more", following)
-    found = (rows.withColumn("dropped", dropped) if unread else rows).where("kind = 'item'")
-    cents, price = M.amount(F.element_at("amounts", -1)), F.when(F.size("amounts") >= 2, M.amount(F.element_at("amounts", -2)))
-    found = found.withColumn("cents", cents).withColumn("unit_price", price)
-    number = lambda c: F.regexp_replace(c, ",", ".").try_cast("double")
-    part = lambda pattern, i: F.regexp_extract("words", pattern, i)
-    columns, trail, lead = r"^(.*?)\s+(\d+)\s+(\d+(?:[.,]\d+)?)\s*%\s*$", r"(?i)^(.*?)\s+(\d+(?:[.,]\d+)?)\s*(x|×|stk\.?|stück|pcs?\.?|units?)?\s*$", r"(?i)^(\d+)\s*(?:x|×|stk\.?|stück|pcs?\.?|units?|h|std\.?)\s+(\p{L}.*)$"
-    clean = F.trim(F.regexp_replace(part(columns, 1), r"^\d{1,3}\s+", ""))
-    fits = F.coalesce((part(columns, 2).try_cast("long") * F.col("unit_price") == F.col("cents")) & (clean != ""), F.lit(False))
-    split = (F.trim(part(trail, 1)) != "") & ((part(trail, 3) != "") | F.col("unit_price").isNotNull())
-    ahead = (part(lead, 1) != "") & F.col("unit_price").isNotNull()
-    quantity = F.when(fits, number(part(columns, 2))).when(ahead, number(part(lead, 1))).when(split, number(part(trail, 2)))
-    words = F.when(fits, clean).when(ahead, part(lead, 2)).when(split, F.trim(part(trail, 1))).otherwise(F.col("words"))
-    return found.select("doc_id", "pos", F.concat_ws(" ", words, "more").alias("description"), quantity.alias("quantity"), F.when(fits, number(part(columns, 3))).alias("tax_rate"), "unit_price", "cents", "currency", *(["dropped"] if unread else []))
+    return rows.where("kind = 'item'").select("doc_id", "pos", "description", "quantity", "tax_rate", "unit_price", "cents", "currency", *(["dropped"] if unread else []))
 
 
 def totals(rows: DataFrame) -> DataFrame:
@@ -166,12 +494,10 @@ def totals(rows: DataFrame) -> DataFrame:
     the rate the tax.
     """
     found = rows.where("kind IN ('totals', 'item')")
-    last_figure = F.try_element_at("figures", F.lit(-1))
-    own = F.array(F.struct(F.col("label").alias("kind"), F.coalesce(M.amount(last_figure), M.last_integer(F.col("line"))).alias("value"), (F.size("figures") == 0).alias("weak"), F.lit(0).alias("at")))
-    each = F.transform(F.arrays_zip("owners", "figures"), lambda z, i: F.struct(z["owners"].alias("kind"), M.amount(z["figures"]).alias("value"), F.lit(False).alias("weak"), i.alias("at")))
     item = F.col("kind") == "item"
-    total = F.when(item, F.array(F.struct(F.lit(None).cast("string").alias("kind"), M.amount(F.try_element_at("amounts", F.lit(-1))).alias("value"), F.lit(False).alias("weak"), F.lit(0).alias("at")))).when(F.col("multi"), each).otherwise(own)
-    read = found.select("doc_id", "pos", F.explode(total).alias("r"), F.when(~F.col("multi") & (F.col("label") == "tax"), M.percent(F.col("line"))).alias("rate"), F.when(item, F.col("currency")).alias("currency"))
+    total = F.transform(F.arrays_zip("labels", "amounts"), lambda z, i: F.struct(z["labels"].alias("kind"), z["amounts"].alias("value"), F.col("weak").alias("weak"), i.alias("at")))
+    total = F.when(item, F.array(F.struct(F.lit(None).cast("string").alias("kind"), F.col("cents").alias("value"), F.lit(False).alias("weak"), F.lit(0).alias("at")))).otherwise(total)
+    read = found.select("doc_id", "pos", F.explode(total).alias("r"), "rate", "currency")
     place = F.struct("pos", "r.at")
     known = F.col("r.value").isNotNull()
     last = lambda kind, what: F.max_by(what, F.when((F.col("r.kind") == kind) & known, place))

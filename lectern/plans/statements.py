@@ -114,7 +114,7 @@ def invoice_header(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def invoice_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of printed invoices."""
-    found = invoices.items(invoices.classed(_invoices(spark, sf_dir)))
+    found = invoices.items(invoices.classed(_invoices(spark, sf_dir), ("item",)))
     return found.select("doc_id", F.col("quantity").cast("long").alias("quantity"), "description", "unit_price", "cents")
 
 
