@@ -120,7 +120,7 @@ def invoice_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def invoice_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The totals of printed invoices."""
-    return invoices.totals(invoices.classed(_invoices(spark, sf_dir)))
+    return invoices.totals(invoices.classed(_invoices(spark, sf_dir), ("item", "totals")))
 
 
 def _crowded(spark: SparkSession, sf_dir: str) -> DataFrame:
