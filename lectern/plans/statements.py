@@ -147,7 +147,7 @@ def invoice_crowded_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def invoice_crowded_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns that run into the words, split off where quantity x price is the total, and what stays unread."""
-    return invoices.items(invoices.classed(_crowded(spark, sf_dir)), unread=True).drop("pos")
+    return invoices.items(invoices.classed(_crowded(spark, sf_dir), ("item",)), unread=True).drop("pos")
 
 
 def currency_signs(spark: SparkSession, sf_dir: str) -> DataFrame:
