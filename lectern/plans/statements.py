@@ -142,7 +142,7 @@ def _crowded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def invoice_crowded_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each figure of a line goes to its own label; weak totals stay only if the arithmetic lets them."""
-    return invoices.totals(invoices.classed(_crowded(spark, sf_dir)))
+    return invoices.totals(invoices.classed(_crowded(spark, sf_dir), ("item", "totals")))
 
 
 def invoice_crowded_items(spark: SparkSession, sf_dir: str) -> DataFrame:
