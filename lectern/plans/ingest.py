@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Iterator
+from pathlib import Path
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -98,6 +102,23 @@ def _pages(content: bytes) -> list[tuple[str, str]]:
     return [(str(k), line) for k, line in enumerate(text.split("\n"))]
 
 
+def _written(folder: str):
+    """A function that writes each row (kind, value) as a file; a task that runs again writes the same names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, n = TaskContext.get().partitionId(), 0
+        Path(folder).mkdir(parents=True, exist_ok=True)
+        for batch in batches:
+            for kind, value in zip(batch.column("kind").to_pylist(), batch.column("value").to_pylist(), strict=True):
+                path = Path(folder, f"kind={kind}", f"part-{task:05}-{n:08}.txt")
+                path.parent.mkdir(parents=True, exist_ok=True)
+                path.write_bytes(f"{value}\n".encode())
+                n += 1
+        yield pa.RecordBatch.from_pydict({"files": pa.array([n], pa.int64())})
+
+    return run
+
+
 def supplier_files(spark: SparkSession, sf_dir: str) -> str:
     """The folder with a file for each supplier."""
     folder = folders.new_path(spark, "files")
@@ -105,7 +126,12 @@ def supplier_files(spark: SparkSession, sf_dir: str) -> str:
     text = F.when(k == 0, F.repeat(F.lit("large "), 200)).when(k == 1, F.concat_ws("\n", F.array_repeat(F.col("s_name"), 30))).when(k == 2, "wait 60").when(k == 3, F.repeat(F.lit("long"), 150)).when(k == 4, "  ").otherwise(F.concat("s_name", F.lit("\n"), F.lit("more")))
     kind = F.element_at(F.array(*map(F.lit, ("txt", "md", "LOG", "text", "txt", "csv", "xyz", "MarkDown"))), (k + 1).cast("int"))
     # a file for each row, in one folder of each kind: to write and list a folder for each file takes longer than all else
-    tables.spread(table(spark, sf_dir, "supplier").select(kind.alias("kind"), text.alias("value"))).write.partitionBy("kind").option("lineSep", "\n").option("maxRecordsPerFile", 1).text(folder)
+    rows = tables.spread(table(spark, sf_dir, "supplier").select(kind.alias("kind"), text.alias("value")))
+    store, where = folders.system(spark, folder)
+    if store.getScheme() == "file":  # Hadoop starts a process for the rights of each local file
+        rows.mapInArrow(_written(where.toUri().getPath()), "files long").agg(F.sum("files")).collect()
+    else:
+        rows.write.partitionBy("kind").option("lineSep", "\n").option("maxRecordsPerFile", 1).text(folder)
     return folder
 
 
@@ -114,6 +140,8 @@ def parsed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = supplier_files(spark, sf_dir)
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", F.col("length").alias("size_bytes"), "content")
     found = found.withColumn("kind", files.kind_of(F.concat(F.lit("."), F.regexp_extract("path", r"/kind=([^/]+)/", 1))))
+    # a task of many files has others to read while some wait
+    found = found.coalesce(4 * spark.sparkContext.defaultParallelism)
     read = files.parsed(found, {"text": _pages, "markdown": _pages}, files.Limits(size=1000, text=500, pages=25, seconds=0.5))
     return read.groupBy("kind", "status", "error").agg(F.count("*").alias("files"), F.sum(F.size("pages")).cast("long").alias("pages"))
 

@@ -8,9 +8,13 @@ from __future__ import annotations
 
 import contextlib
 import dataclasses
+import os
 import signal
+import time
 from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
+from multiprocessing import Pipe
+from multiprocessing.connection import Connection, wait
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +28,8 @@ KINDS = {"text": ("txt", "text", "log"), "markdown": ("md", "markdown", "mdown")
 MOST_BYTES = 1 << 30
 MOST_TEXT = 64 << 20
 PAGE = 50
+#: Processes of a task that parse files, how long one runs before it may count as waiting, and the bytes of a file that is handed to one.
+HELPERS, PATIENCE, HANDED = 8, 0.02, 1 << 20
 FENCE = r"^\s*(```|~~~)"
 HEADING = r"^#{1,6}\s+(.*)$"
 
@@ -116,23 +122,90 @@ def _parsed(content: bytes, parser: Callable[[bytes], Iterable[tuple[str | None,
     return (None, pages) if any(text.strip() for _, text in pages) else ("no-text", [])
 
 
+class _Helpers:
+    """Processes that parse small files, one of them at work at a time: a further one begins only while all others wait (for a device, a server, their deadline) and use no core."""
+
+    def __init__(self, parse: Callable[[str | None, bytes], tuple]):
+        self.parse, self.idle, self.at_work, self.pids = parse, [], {}, {}
+
+    def _forked(self) -> Connection:
+        ours, theirs = Pipe()
+        pid = os.fork()
+        if not pid:
+            try:
+                for other in (ours, *self.pids):
+                    other.close()
+                while True:
+                    theirs.send(self.parse(*theirs.recv()))
+            except BaseException:  # the other end is gone: there is nobody to tell
+                os._exit(0)
+        theirs.close()
+        self.pids[ours] = pid
+        return ours
+
+    @staticmethod
+    def _cores_seconds(pid: int) -> float:
+        return time.clock_gettime((~pid << 3) | 2)  # the clock of another process, as Linux numbers it
+
+    def _all_wait(self) -> bool:
+        now = time.monotonic()
+        try:
+            return all(now - began > PATIENCE and self._cores_seconds(self.pids[c]) - used < 0.5 * (now - began) for c, (_, began, used) in self.at_work.items())
+        except OSError:
+            return False
+
+    def parsed(self, files: Iterable[tuple[str | None, bytes]]) -> list[tuple]:
+        """What ``parse`` makes of each file, in their order."""
+        files, made, k = list(files), {}, 0
+        while len(made) < len(files):
+            if k < len(files) and (not self.at_work or (len(self.at_work) < HELPERS and len(files[k][1] or b"") <= HANDED and self._all_wait())):
+                if len(files[k][1] or b"") > HANDED:
+                    made[k] = self.parse(*files[k])
+                else:
+                    helper = self.idle.pop() if self.idle else self._forked()
+                    try:
+                        used = self._cores_seconds(self.pids[helper])
+                    except OSError:
+                        used = 0.0
+                    self.at_work[helper] = (k, time.monotonic(), used)
+                    helper.send(files[k])
+                k += 1
+            more = k < len(files) and len(self.at_work) < HELPERS
+            for helper in wait(list(self.at_work), PATIENCE if more else None) if self.at_work else ():
+                made[self.at_work.pop(helper)[0]] = helper.recv()
+                self.idle.append(helper)
+        return [made[i] for i in range(len(files))]
+
+    def close(self) -> None:
+        for helper, pid in self.pids.items():
+            helper.close()
+            with contextlib.suppress(OSError):
+                os.kill(pid, signal.SIGKILL)
+            with contextlib.suppress(OSError):
+                os.waitpid(pid, 0)
+        self.idle, self.at_work, self.pids = [], {}, {}
+
+
 def parsed(files: DataFrame, parsers: dict[str, Callable[[bytes], Iterable[tuple[str | None, str]]]], limits: Limits = Limits()) -> DataFrame:
     """Files with status, error and pages (label, text), by the parser of each kind within the limits of a file.
 
     Every file gives one row. Errors: ``too-large`` (not read at all), ``unsupported``, ``unreadable``
     (whatever the parser raises), ``timeout``, ``too-many-pages``, ``too-much-text`` and ``no-text``;
     a failed file has no pages. A parser gives its pages one by one, so one that goes on for ever is
-    stopped by a limit.
+    stopped by a limit. While the files at hand wait, further ones are read: a task never needs more
+    than one core for them, and deadlines overlap.
     """
     schema = "path string, size_bytes long, kind string, status string, error string, pages array<struct<label: string, text: string>>"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for path, size, kind, content in zip(frame.path, frame.size_bytes, frame.kind, frame.content, strict=True):
-                error, pages = _parsed(content, parsers.get(kind), limits)
-                rows.append((path, size, kind, "failed" if error else "parsed", error, [{"label": a, "text": b} for a, b in pages]))
-            yield pd.DataFrame(rows, columns=["path", "size_bytes", "kind", "status", "error", "pages"])
+        helpers = _Helpers(lambda kind, content: _parsed(content, parsers.get(kind), limits))
+        try:
+            for frame in frames:
+                made = helpers.parsed(zip(frame.kind, frame.content, strict=True))
+                rows = [(path, size, kind, "failed" if error else "parsed", error, [{"label": a, "text": b} for a, b in pages]) for path, size, kind, (error, pages) in zip(frame.path, frame.size_bytes, frame.kind, made, strict=True)]
+                yield pd.DataFrame(rows, columns=["path", "size_bytes", "kind", "status", "error", "pages"])
+        finally:
+            helpers.close()
 
     small = files.where(F.col("size_bytes") <= limits.size).select("path", "size_bytes", "kind", "content").mapInPandas(run, schema)
     large = files.where(F.col("size_bytes") > limits.size)
