@@ -130,10 +130,16 @@ def _places(text: str) -> list[tuple[int, int]]:
     for core in _FROM_DIGIT.finditer(text):
         start = core.start()
         if start > end and text[start - 1] in _MAY_BE_BEFORE:
-            for at in range(max(end, start - 4), start):
-                if text[at:start] in _BEFORE and not (at and (text[at - 1].isalnum() or text[at - 1] in ".,")):
-                    start = at
-                    break
+            second = text[start - 2] if start > 1 else ""
+            if second == " " and start > 2 and text[start - 3] not in _MAY_BE_BEFORE:
+                start -= 1
+            elif second and second not in _MAY_BE_BEFORE:
+                start -= not (second.isalnum() or second in ".,")
+            else:
+                for at in range(max(end, start - 4), start):
+                    if text[at:start] in _BEFORE and not (at and (text[at - 1].isalnum() or text[at - 1] in ".,")):
+                        start = at
+                        break
         end = core.end()
         found.append((start, end))
     return found
@@ -157,6 +163,9 @@ def _amount(raw: str) -> int | None:
         digits = _NO_FIGURE.sub("", s)
         value = _amount(digits) if digits else None
         return -value if negative and value is not None else value
+    if s[-3:-2] in (".", ","):
+        value = int(number)
+        return value if value <= _LONG else None
     at = max(s.rfind("."), s.rfind(","))
     size = len(s) - at - 1 if at >= 0 else 0
     if at < 0 or (size == 3 and not ("." in s and "," in s)):
@@ -248,7 +257,7 @@ def _read(line: str) -> tuple:
                 scan, at = scan + dated[at:start] + dated[start:end].translate(_HIDE), end
             scan += dated[at:]
             # a figure that no rate touches is the same with the rates hidden
-            if any(start < rate_end and end > rate_start - 2 for start, end in places for rate_start, rate_end in rates):
+            if any(start < rate_end and end > rate_start - 3 for start, end in places for rate_start, rate_end in rates):
                 shown = _places(scan)
         figures = [scan[a:b] for a, b in shown]
         if odd or dates:
@@ -298,11 +307,11 @@ def _read(line: str) -> tuple:
     if not places:
         return vote, none
     at, end = places[0][0], places[-1][1]
-    amounts, before, region = [rest[a:b] for a, b in places], rest[:at], rest[at:]
+    amounts, before, region = figures if rest is scan else [rest[a:b] for a, b in places], rest[:at], rest[at:]
     if end < len(rest) and _BARE.match(rest[end:]):
         return vote, none
     for amount in amounts:
-        if " " in amount.strip(" "):
+        if " " in amount and " " in amount.strip(" "):
             bare = _SIGNED.sub("", amount).strip(" ")
             if " " in bare and not _TWO.search(bare):
                 return vote, none
